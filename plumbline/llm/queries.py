@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, packing, quality, toxicity
+from plumbline.llm import decontamination, packing, quality, secrets, toxicity
 from plumbline.llm.sampling import held_out
 
 
@@ -54,6 +54,18 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = secrets.scan(docs, secrets.train(docs)).select("doc_id", "spans")
+    counts = {f"n_{k}": secrets.count(F.col("spans"), k) for k in secrets.KINDS[:3]}
+    return spans.select(
+        "doc_id",
+        *(c.alias(n) for n, c in counts.items()),
+        F.sha2(secrets.joined(F.col("spans"), secrets.KINDS[:3]), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 OP7_SQL = r"""
 WITH folded AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -80,6 +92,7 @@ _QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op10_secret_scans": op10_secret_scans,
 }
 _SQL = {"op7_benchmark_decontamination": OP7_SQL}
 
