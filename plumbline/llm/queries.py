@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, packing, quality, secrets, toxicity
+from plumbline.llm import chat, decontamination, fingerprints, licenses, packing, quality, secrets, toxicity
 from plumbline.llm.sampling import held_out
 
 
@@ -13,6 +13,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_checkpoints(spark: SparkSession) -> None:
+    """Uses the shared folder that the cluster names; one of our own only where none is named."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.sparkContext.setCheckpointDir(named)
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -23,6 +34,35 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES) + " AS t(template_id, text)")
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), templates)
+    return found.select("doc_id", "n_matches", F.array_join(F.transform("licenses", lambda x: x["template_id"]), ",").alias("licenses"))
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_checkpoints(spark)
+    return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.sql("SELECT -7L AS conv_id, posexplode(array('user', 'assistant')) AS (turn, role)")
+    planted = planted.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", F.lit("\\### Assistant: </turn> ok").alias("text"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    out = chat.render(chat.fold_events(chat.as_events(rows)))
+    turns = chat.parse(F.col("formatted"))
+    out = out.withColumn("turns", turns).withColumn("learned", chat.learned_text(F.col("formatted"), F.col("loss_spans")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def _scored(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
@@ -87,14 +127,54 @@ SELECT f.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0
 FROM folded f LEFT JOIN hit ON f.id = hit.id LEFT JOIN its ON f.id = its.id WHERE f.side = 'd'
 """
 
+OP4_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+e AS (SELECT *, replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h') AS body FROM r)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(role) + 1 + length(body) + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+OP2_SQL = (
+    """
+WITH t AS (SELECT * FROM (VALUES """
+    + ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES)
+    + """) AS t(template_id, text)),
+f AS (SELECT template_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+ts AS (SELECT DISTINCT id AS template_id, len(w) AS n, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM f)),
+tn AS (SELECT template_id, n, count(*) AS total FROM ts GROUP BY ALL),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ds AS (SELECT doc_id, i - 1 AS i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+h AS (SELECT DISTINCT doc_id, ts.template_id, ts.n, i, ts.s FROM ds JOIN ts USING (s)),
+w AS (SELECT doc_id, template_id, n, s, i // n AS k FROM h UNION ALL SELECT doc_id, template_id, n, s, i // n - 1 FROM h WHERE i // n >= 1 AND i < (i // n - 1) * n + greatest(2 * n - 4, 1)),
+c AS (SELECT doc_id, template_id, n, k, count(DISTINCT s) AS got FROM w GROUP BY ALL),
+ok AS (SELECT DISTINCT doc_id, template_id FROM c JOIN tn USING (template_id, n) WHERE got >= 0.8 * total)
+SELECT documents.doc_id, count(template_id) AS n_matches, coalesce(string_agg(template_id, ',' ORDER BY template_id), '') AS licenses
+FROM documents LEFT JOIN ok USING (doc_id) GROUP BY documents.doc_id
+"""
+)
+
 _QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_license_scans": op2_license_scans,
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
     "op10_secret_scans": op10_secret_scans,
 }
-_SQL = {"op7_benchmark_decontamination": OP7_SQL}
+_SQL = {
+    "op2_license_scans": OP2_SQL,
+    "op4_chat_formatting": OP4_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
+}
 
 
 def queries():
