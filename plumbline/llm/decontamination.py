@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.saved import saved
+
 WINDOW = 13
 #: Benchmark characters whose tables one pass over the documents holds in memory.
 PASS_CHARS = 16_000_000
@@ -117,7 +119,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
     The benchmark is sized first. Up to ``pass_chars`` characters its tables are broadcast once; a
     larger one is dealt into blocks of about that size, and the documents go through one pass per
-    block, each saved with checkpoint(), so neither the driver nor a task ever holds more than one
+    block, each saved in the shared folder, so neither the driver nor a task ever holds more than one
     block. A document is contaminated when it has a hit and 20 * n_hit >= n_words.
     """
     spark: SparkSession = docs.sparkSession
@@ -131,7 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
         items = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in mine.toLocalIterator()])
         out = _pass(out, items, window)
         if blocks > 1:
-            out = out.checkpoint()
+            out = saved(out)
     hit = F.aggregate(
         F.sequence(F.lit(0), F.floor(F.size("hit_runs") / 2).cast("int") - 1),
         F.lit(0).cast("bigint"),

@@ -20,17 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.native_text import let, shingle_hashes, split_words
+from plumbline.llm.saved import saved
 
 SHINGLE = 5
 BINS = 256
 BITS = 8
 PROBES = 12
-_SHIFT = 63 - (BINS.bit_length() - 1)
-_EMPTY = (1 << _SHIFT) - 1  # the value of a bin that no shingle fell into
 
 
-def fingerprint(text: Column, bins: int = BINS) -> Column:
-    """Hexadecimal string of ``bins`` values of 8 bits, or '' without words."""
+def values(text: Column, bins: int = BINS) -> Column:
+    """Array of ``bins`` values of 8 bits, empty without words."""
     shift = 63 - (bins.bit_length() - 1)
     empty = (1 << shift) - 1
     ends = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.shiftleft(b.cast("bigint"), shift).bitwiseOR(F.lit(empty)))
@@ -57,23 +56,29 @@ def fingerprint(text: Column, bins: int = BINS) -> Column:
 
         def dense(filled: Column) -> Column:
             full = F.transform(values, lambda v, i: F.when(v != empty, v).otherwise(borrowed(values, filled, i)))
-            return F.array_join(F.transform(full, lambda v: F.lpad(F.lower(F.hex(v.bitwiseAND(F.lit(255).cast("bigint")))), 2, "0")), "")
+            return F.transform(full, lambda v: v.bitwiseAND(F.lit((1 << BITS) - 1).cast("bigint")).cast("smallint"))
 
         return let(spots, dense)
 
     def of(hashes: Column) -> Column:
         kept = F.transform(hashes, lambda h: h.bitwiseAND(F.lit((1 << 63) - 1)))
-        return F.when(F.size(hashes) == 0, F.lit("")).otherwise(let(let(F.sort_array(F.concat(kept, ends)), least), packed))
+        return F.when(F.size(hashes) == 0, F.array().cast("array<smallint>")).otherwise(let(let(F.sort_array(F.concat(kept, ends)), least), packed))
 
     return let(shingle_hashes(split_words(F.lower(text), r"[\x20\x09-\x0D]+"), SHINGLE), of)
 
 
-def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
-    """Estimated shingle similarity, 0 to 1, of two fingerprints, corrected for chance agreement of 8-bit values."""
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: a.substr(2 * i + 1, F.lit(2)) == b.substr(2 * i + 1, F.lit(2))))
+def packed_hex(stored: Column) -> Column:
+    """The values as one hexadecimal string, two digits each."""
+    return F.array_join(F.transform(stored, lambda v: F.substring(F.hex(v.cast("bigint") + 256), 2, 2)), "")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated shingle similarity, 0 to 1, of two value arrays, corrected for values that agree by chance."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
     chance = 1 / (1 << BITS)
-    estimate = F.greatest(F.lit(0.0), (same / bins - chance) / (1 - chance))
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(estimate)
+    estimate = F.greatest(F.lit(0.0), (same / F.size(a) - chance) / (1 - chance))
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    return F.when(both, estimate).when(a.isNull() | b.isNull(), F.lit(None).cast("double")).otherwise((F.size(a) == F.size(b)).cast("double"))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def next_ids(ids: DataFrame) -> DataFrame:
     range, and for a range's last id in a table with one row per range.
     """
     ranged = ids.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars")).repartitionByRange("doc_id")
-    ranged = ranged.withColumn("part", F.spark_partition_id()).checkpoint()
+    ranged = saved(ranged.withColumn("part", F.spark_partition_id()))
     firsts = ranged.groupBy("part").agg(F.min("doc_id").alias("first"))
     everywhere = Window.partitionBy().orderBy("part")  # one row per range
     firsts = firsts.select(
@@ -103,7 +108,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     placed = base.where(F.col("doc_id").isNotNull())
-    prints = placed.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint")).checkpoint()
+    prints = placed.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), values(F.col("text")).alias("fingerprint"))
+    prints = saved(prints)
     order = next_ids(prints)
     heads = placed.select("doc_id", "text")
     wanted = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n_chars") / 2).cast("int").alias("most"))
@@ -112,15 +118,15 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     greatest = prints.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
     if repeated:
         tails = tails.groupBy("doc_id").agg(F.max("tail").alias("tail"))
-        greatest = heads.groupBy("doc_id").agg(F.max("text").alias("text")).select(F.col("doc_id").alias("next_id"), fingerprint(F.col("text")).alias("next_fingerprint"))
+        greatest = heads.groupBy("doc_id").agg(F.max("text").alias("text")).select(F.col("doc_id").alias("next_id"), values(F.col("text")).alias("next_fingerprint"))
     near = order.select("doc_id", "next_id").join(greatest, "next_id").select("doc_id", "next_fingerprint")
     if repeated:  # prints holds a row per copy: give each text its own
-        own = heads.withColumn("fingerprint", fingerprint(F.col("text")))
+        own = heads.withColumn("fingerprint", values(F.col("text")))
     else:
         own = heads.join(prints.select("doc_id", "fingerprint"), "doc_id")
     own = own.join(tails, "doc_id", "left").join(near, "doc_id", "left")
     lost = base.where(F.col("doc_id").isNull()).select(
-        "doc_id", "text", fingerprint(F.col("text")).alias("fingerprint"), F.lit(None).cast("string").alias("tail"), F.lit(None).cast("string").alias("next_fingerprint")
+        "doc_id", "text", values(F.col("text")).alias("fingerprint"), F.lit(None).cast("string").alias("tail"), F.lit(None).cast("array<smallint>").alias("next_fingerprint")
     )
     both = own.select("doc_id", "text", "fingerprint", "tail", "next_fingerprint").unionByName(lost)
     n = F.length("text")
@@ -129,14 +135,14 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     edited = F.concat(head, F.coalesce(F.col("tail").substr(F.lit(1), F.floor(n / 2).cast("int")), F.lit("")))
     both = both.select("doc_id", n.cast("bigint").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
     both = both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint")
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", values(F.col("edited")).alias("edited_fingerprint")
     )
     return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
+        F.lower(packed_hex(F.col("fingerprint"))).alias("fingerprint"),
+        F.lower(packed_hex(F.col("edited_fingerprint"))).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

@@ -74,8 +74,9 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
         return F.transform(starts, lambda s: F.struct(F.lit(length).alias("n_words"), F.array_distinct(F.slice(F.col("hits"), s + 1, max(n, 1))).alias("window")))
 
     cut = F.filter(F.concat(*(windows(n) for n in lengths)), lambda w: F.arrays_overlap(w["window"], known)) if lengths else F.array().cast("array<struct<n_words:int,window:array<bigint>>>")
-    found = have.select("doc_id", cut.alias("cut"))
-    banded = found.select("doc_id", F.explode("cut").alias("w")).select("doc_id", "w.n_words", "w.window", F.posexplode(_bands(F.col("w.window"))).alias("band", "value"))
+    # the outer forms: for the plain ones the optimizer adds a filter below that would work out "cut" a second time
+    found = have.select("doc_id", F.explode_outer(cut).alias("w")).where("w is not null")
+    banded = found.select("doc_id", "w.n_words", "w.window", F.posexplode_outer(_bands(F.col("w.window"))).alias("band", "value"))
     index = ready.select("template_id", "n_words", "shingles", F.posexplode(_bands(F.col("shingles"))).alias("band", "value"))
     retrieved = banded.join(F.broadcast(index), ["n_words", "band", "value"])
     share = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")

@@ -13,17 +13,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; one of our own only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.sparkContext.setCheckpointDir(named)
-
-
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -41,7 +30,6 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with_checkpoints(spark)
     return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
