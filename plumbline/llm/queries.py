@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontamination, fingerprints, licenses, packing, quality, secrets, toxicity
+from plumbline.llm import chat, decontamination, fingerprints, jaccard_join, licenses, packing, quality, secrets, toxicity
 from plumbline.llm.sampling import held_out
 
 
@@ -69,6 +69,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_toxicity(docs, model), 0.5)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -153,12 +157,30 @@ _QUERIES = {
     "op2_license_scans": op2_license_scans,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
     "op10_secret_scans": op10_secret_scans,
 }
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a, b FROM t UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.a GROUP BY d.doc_id
+"""
+
 _SQL = {
+    "op5_ngram_jaccard_join": OP5_SQL,
     "op2_license_scans": OP2_SQL,
     "op4_chat_formatting": OP4_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
