@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontamination, fingerprints, jaccard_join, licenses, packing, quality, secrets, toxicity
+from plumbline.llm import chat, decontamination, fingerprints, jaccard_join, licenses, packing, quality, secrets, suffix_dedup, toxicity
 from plumbline.llm.sampling import held_out
 
 
@@ -86,6 +86,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = secrets.scan(docs, secrets.train(docs)).select("doc_id", "spans")
@@ -161,6 +166,7 @@ _QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 OP5_SQL = r"""
