@@ -1,4 +1,69 @@
-"""The corpus cleaning pipeline: stages follow with their operators."""
+"""The corpus cleaning pipeline: five stages over documents, each written as Parquet and read again.
+
+1. toxicity: documents scored 0.5 or more by the positive-unlabelled classifier go.
+2. near duplicates: of each component of documents whose five-word shingle sets are 0.8 similar or more, the
+   one with the least doc_id stays.
+3. decontamination: documents with benchmark windows over a twentieth or more of their words go.
+4. secrets: found secret values are replaced by a mark; n_chars follows the text.
+5. packing: texts are tokenised and packed into sequences of 1024 tokens.
+
+The last stage gives a row per piece, the others the columns of documents. An empty table passes
+through all of them. ORACLE_SQL is None: classifiers, the random field and the packer are not
+expressible in SQL; the tests compare the stages with brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import decontamination, jaccard_join, packing, secrets, toxicity
+from plumbline.llm.saved import saved
 
-STAGES: list = []
 ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_toxicity(docs, model, "toxic_score").where("toxic_score < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = saved(jaccard_join.join_components(docs.select("doc_id", "text"), 5, 80, 100))
+    gone = jaccard_join.few(found.where("component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("NOT contaminated").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secrets.redact(secrets.scan(docs, secrets.train(docs)))
+    return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textbytes as tb
@@ -108,26 +108,76 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def sets_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set, null if empty), keys."""
+def sets_table(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles, node (hash of the set, null if empty)."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             for start, end, buf, offs in tb.runs(batch.column("text")):
                 found, at = shingle_sets(buf, offs, k)
-                n = end - start
-                count = np.bincount(at, minlength=n)
-                keys, row = region_keys(found, at, n, num, den)
-                order = np.argsort(row, kind="stable")
-                cut = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
-                node = pa.array(set_hash(found, at, n).view(np.int64), mask=count == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, n), pa.array(count.astype(np.int64)), node, pa.ListArray.from_arrays(pa.array(cut), _signed(keys[order]))],
-                    ["doc_id", "n_shingles", "node", "keys"],
-                )
+                count = np.bincount(at, minlength=end - start)
+                node = pa.array(set_hash(found, at, end - start).view(np.int64), mask=count == 0)
+                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(count.astype(np.int64)), node], ["doc_id", "n_shingles", "node"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
+
+
+def keyed_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(key, node) rows; equal sets in one Arrow batch give theirs once."""
+
+    def run(batches):
+        for batch in batches:
+            seen: set = set()
+            for start, end, buf, offs in tb.runs(batch.column("text")):
+                found, at = shingle_sets(buf, offs, k)
+                node = set_hash(found, at, end - start).view(np.int64)
+                fresh = np.zeros(end - start, bool)
+                for r, x in enumerate(node.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[r] = True
+                use = fresh[at]
+                keys, row = region_keys(found[use], at[use], end - start, num, den)
+                yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(node[row])], ["key", "node"])
+
+    return docs.select("text").mapInArrow(run, "key bigint, node bigint")
+
+
+#: One in SAMPLED documents is looked at to find keys that more than one in COMMON of them hold.
+SAMPLED, COMMON, SALTS = 64, 10_000, 64
+
+
+def meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(region, pivot, node): all holders of a key that several sets hold, the least of them being region and pivot.
+
+    The keys are shuffled once and looked at in windows. Keys that a sample shows to be held by very many
+    documents are salted, and their least holders found by a grouped aggregation over what the salts leave.
+    """
+    part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SAMPLED)) == 0)
+    counted = keyed_sets(part, k, num, den).groupBy("key").agg(F.countDistinct("node").alias("n"))
+    least = F.greatest(F.lit(32), F.ceil(F.lit(part.select("doc_id").count()) / COMMON))
+    common = counted.where(F.col("n") >= least).select("key", F.lit(True).alias("hot"))
+    # at most COMMON times the keys of a document: a bounded table
+    rows = keyed_sets(docs, k, num, den).join(F.broadcast(common), "key", "left")
+    rows = rows.select("key", "node", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(0).alias("salt"))
+    group = Window.partitionBy("key", "salt")
+    rows = rows.withColumns({"pivot": F.min("node").over(group), "last": F.max("node").over(group)})
+    rows = saved(rows.where("salt > 0 OR pivot <> last").select("key", "node", "salt", "pivot").distinct())
+    cold = rows.where("salt = 0").select("pivot", "node")
+    hot = rows.where("salt > 0")
+    tops = hot.groupBy("key").agg(F.min("pivot").alias("top"), F.max("node").alias("last")).where("top <> last")
+    hot = hot.join(F.broadcast(tops), "key").select(F.col("top").alias("pivot"), "node")
+    return cold.unionByName(hot).distinct().select(F.col("pivot").alias("region"), "pivot", "node")
+
+
+#: Ids that are sent to every executor; more are joined by shuffle.
+SENT = 1_000_000
+
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>")
+def few(ids: DataFrame) -> DataFrame:
+    """ids, marked for broadcast if they are few enough by count."""
+    return F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids
 
 
 def hashed_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -320,15 +370,12 @@ def _block_edges(large: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 
 def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id per row, where num/den is the least similarity of a link."""
-    table = saved(sets_table(docs, shingle, num, den))
-    nodes = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by("keys", F.coalesce("doc_id", F.lit(0))).alias("keys"))
-    nodes = saved(nodes)
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    meet = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
-    regions = keyed.join(meet.select("key", "pivot"), "key").select(F.col("pivot").alias("region"), "pivot", "node").distinct()
-    regions = saved(regions)
-    wanted = nodes.join(regions.select("node").distinct(), "node").select(F.col("least").alias("doc_id"))
-    sets = saved(hashed_sets(docs.alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id"), "left_semi"), shingle).dropDuplicates(["node"]))
+    table = saved(sets_table(docs, shingle))
+    nodes = saved(table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")))
+    regions = saved(meetings(docs, shingle, num, den))
+    wanted = saved(nodes.join(regions.select("node").distinct(), "node").select(F.col("least").alias("doc_id")))
+    mine = docs.alias("d").join(few(wanted).alias("w"), F.expr("d.doc_id <=> w.doc_id"), "left_semi")
+    sets = saved(hashed_sets(mine, shingle).dropDuplicates(["node"]))
     edges = None
     for part in region_edges(regions, sets, num, den):
         edges = part if edges is None else edges.unionByName(part)

@@ -157,6 +157,12 @@ FROM documents LEFT JOIN ok USING (doc_id) GROUP BY documents.doc_id
 """
 )
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scans": op2_license_scans,
@@ -168,6 +174,7 @@ _QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "pipeline": pipeline,
 }
 OP5_SQL = r"""
 WITH RECURSIVE d AS (
@@ -198,4 +205,6 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    import corpus_pipeline
+
+    return _SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
