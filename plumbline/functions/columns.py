@@ -20,7 +20,7 @@ def wilson(part: Column, whole: Column, z: float = Z95) -> tuple[Column, Column]
     scale = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / scale
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
-    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), centre - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), centre + half))
 
 
 def count_if(condition: Column) -> Column:

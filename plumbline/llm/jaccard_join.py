@@ -16,10 +16,13 @@ set's own range and, where a linked set may be smaller, for the one below. A cla
 makes no key; sets with two or more such classes get their least shingle hashes as keys
 instead (as many as guarantee a shared one), so no link is lost.
 
-All sets are compared as 64-bit hashes of shingles, and equal sets are one node. Every pair of a region is either
-linked, or ruled out exactly, or already connected. Regions larger than ``REGION`` sets are worked on
-in chunks against their pivots and then by cells; one that pivots do not divide any further is
-compared chunk against chunk. No step holds more than two chunks in a task.
+All sets are compared as 64-bit hashes of shingles, and equal sets are one node. A region is settled when all
+its sets are connected or every pair across components is ruled out, so components are formed early:
+first every set is measured against one pivot of its own, then against the pivots of the regions that still hold
+several components. Of the regions left, small ones are compared in one task; in a large one most
+sets belong to one component, and the others are sent to every chunk of it; where the others are
+too many as well, pivots divide the region into cells, and a region that pivots do not divide any
+further is compared chunk against chunk. No step holds more than two chunks in a task.
 
 Corner cases: a text without words has the empty set, links with nothing and is its own component;
 fewer words than the shingle length give one shingle of all of them; rows that repeat a doc_id are documents
@@ -227,40 +230,53 @@ class _Groups:
         return a != b
 
 
-def link_all(nodes: list[int], sets: list[np.ndarray], num: int, den: int, left: int | None = None) -> list[tuple[int, int]]:
-    """Edges that connect all nodes linked inside a region; the first node is its pivot.
+def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    la, lb = len(a), len(b)
+    if min(la, lb) * den < num * max(la, lb):
+        return False
+    both = shared(a, b)
+    return den * both >= num * (la + lb - both)
+
+
+def link_all(nodes: list[int], sets: list[np.ndarray], labels: list, num: int, den: int, left: int | None = None) -> list[tuple[int, int]]:
+    """Edges that connect all nodes linked inside a region; the first node is its pivot, equal labels are connected already.
 
     With ``left`` given, only pairs of one of the first ``left`` nodes and one of the others count.
     """
+    if left is None and len({n if x is None else x for n, x in zip(nodes, labels, strict=True)}) < 2:
+        return []
     eps = 1 - num / den + 1e-9
     far = np.array([distance(sets[0], s) for s in sets])
     order = np.argsort(far, kind="stable")
-    groups, edges = _Groups(), []
+    near = np.searchsorted(far[order], far[order] + eps, "right")
+    groups, edges, of = _Groups(), [], {}
+    for n, x in zip(nodes, labels, strict=True):
+        if x is not None:
+            groups.join(n, of.setdefault(x, n))
     for i, a in enumerate(order):
-        for b in order[i + 1 :]:
-            if far[b] - far[a] > eps:
-                break
+        for b in order[i + 1 : near[i]]:
             if left is not None and (a < left) == (b < left):
                 continue
-            la, lb = len(sets[a]), len(sets[b])
-            if min(la, lb) * den < num * max(la, lb) or groups.root(nodes[a]) == groups.root(nodes[b]):
-                continue
-            both = shared(sets[a], sets[b])
-            if den * both >= num * (la + lb - both) and groups.join(nodes[a], nodes[b]):
+            if groups.root(nodes[a]) != groups.root(nodes[b]) and linked(sets[a], sets[b], num, den):
+                groups.join(nodes[a], nodes[b])
                 edges.append((nodes[a], nodes[b]))
     return edges
 
 
 def _grouped(batches, key: str):
-    """(key, [(node, side, hashes)]) from batches sorted by key."""
+    """(key, [(node, side, label, hashes)]) from batches sorted by key; sets are views of the batch they came in."""
     now, rows = None, []
     for batch in batches:
-        for k, node, side, raw in zip(*(batch.column(c).to_pylist() for c in (key, "node", "side", "hashes")), strict=True):
+        rows = [(n, s, c, h.copy()) for n, s, c, h in rows]
+        raw = batch.column("hashes")
+        at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2], np.uint8)
+        for i, (k, node, side, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, "node", "side", "label")), strict=True)):
             if k != now and rows:
                 yield now, rows
                 rows = []
             now = k
-            rows.append((node, side, np.frombuffer(raw, "<u8")))
+            rows.append((node, side, label, data[at[i] : at[i + 1]].view("<u8")))
     if rows:
         yield now, rows
 
@@ -271,39 +287,61 @@ def _edges(pairs) -> pa.RecordBatch:
 
 def _dealt(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
     """rows(key, node, side) with their sets, whole groups in a task, the pivots (side 0) first."""
-    return rows.join(sets, "node").select(key, "node", "side", "hashes").repartition(key).sortWithinPartitions(key, "side", "node")
+    rows = rows if "label" in rows.columns else rows.withColumn("label", F.lit(None).cast("bigint"))
+    return rows.join(sets, "node").select(key, "node", "side", "label", "hashes").repartition(key).sortWithinPartitions(key, "side", "node")
 
 
 def compare_regions(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges inside regions small enough for a task: rows(region, node, side), side 0 for the pivot."""
+    """Edges inside regions small enough for a task: rows(region, node, side[, label]), side 0 for the pivot."""
 
     def run(batches):
         for _, group in _grouped(batches, "region"):
-            if pairs := link_all([g[0] for g in group], [g[2] for g in group], num, den):
+            node, _, label, own = zip(*group, strict=True)
+            if pairs := link_all(list(node), list(own), list(label), num, den):
                 yield _edges(pairs)
 
     return _dealt(rows, sets, "region").mapInArrow(run, "u bigint, v bigint")
 
 
 def compare_chunks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges between the two chunks of a block: rows(block, node, side), side 0 and 1."""
+    """Edges between the sides of a block: rows(block, node, side[, label]), side 0 and 1."""
 
     def run(batches):
         for _, group in _grouped(batches, "block"):
             left = sum(g[1] == 0 for g in group)
-            if 0 < left < len(group) and (pairs := link_all([g[0] for g in group], [g[2] for g in group], num, den, left)):
+            node, _, label, own = zip(*group, strict=True)
+            if 0 < left < len(group) and (pairs := link_all(list(node), list(own), list(label), num, den, left)):
+                yield _edges(pairs)
+
+    return _dealt(rows, sets, "block").mapInArrow(run, "u bigint, v bigint")
+
+
+def compare_stars(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges of nodes linked to the pivot of their block: rows(block, node, side), side 0 for the pivot."""
+
+    def run(batches):
+        for _, group in _grouped(batches, "block"):
+            if pairs := [(g[0], group[0][0]) for g in group[1:] if linked(g[3], group[0][3], num, den)]:
                 yield _edges(pairs)
 
     return _dealt(rows, sets, "block").mapInArrow(run, "u bigint, v bigint")
 
 
+def star_rows(pairs: DataFrame) -> DataFrame:
+    """rows(block, node, side) for pairs(pivot, node): the nodes of a pivot in blocks of about REGION, the pivot in each."""
+    total = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / REGION).alias("blocks"))
+    dealt = pairs.join(total, "pivot").select("pivot", "node", F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    heads = dealt.select("block", F.col("pivot").alias("node")).distinct().withColumn("side", F.lit(0))
+    return heads.unionByName(dealt.select("block", "node", F.lit(1).alias("side")))
+
+
 def measure(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """rows(chunk, node, side), pivots (side 0) in every chunk: node, pivot, away for the cells a node belongs to, nearest first and with all within reach decided later."""
 
     def run(batches):
         for chunk, group in _grouped(batches, "chunk"):
             pivots = [g for g in group if g[1] == 0]
-            out = [(chunk, node, p[0], distance(own, p[2])) for node, side, own in group if side == 1 for p in pivots]
+            out = [(chunk, node, p[0], distance(own, p[3])) for node, side, _, own in group if side == 1 for p in pivots]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["chunk", "node", "pivot", "away"])
 
@@ -368,6 +406,50 @@ def _block_edges(large: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return saved(compare_regions(inner, sets, num, den).unionByName(compare_chunks(rows, sets, num, den)))
 
 
+def _labelled(regions: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """regions with the component of each node, only those regions that hold several."""
+    if edges is None:
+        return regions.withColumn("label", F.col("node"))
+    out = regions.join(components(edges), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    open_ = out.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("region")
+    return saved(out.join(open_, "region", "left_semi"))
+
+
+def settle(regions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (u, v) that connect whatever is linked inside regions(region, pivot, node)."""
+    own = regions.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
+    edges = saved(compare_stars(star_rows(own.select("pivot", "node")), sets, num, den))
+    left = _labelled(regions, edges)
+    at = left.where("node = pivot").select("region", F.col("label").alias("at"))
+    pairs = left.join(at, "region").where("label <> at").select("pivot", "node").distinct()
+    edges = saved(edges.unionByName(compare_stars(star_rows(pairs), sets, num, den)))
+    left = _labelled(regions, edges)
+    sizes = sets.select("node", (F.length("hashes") / 8).cast("bigint").alias("n"))
+    sized = saved(_sized(left, sizes))
+    small = sized.where("chunks <= 1").select("region", "node", F.when(F.col("node") == F.col("pivot"), 0).otherwise(1).alias("side"), "label")
+    edges = edges.unionByName(saved(compare_regions(small, sets, num, den)))
+    large = sized.where("chunks > 1")
+    if large.isEmpty():
+        return edges
+    # the sets outside a region's largest component go to every chunk of it
+    share = large.groupBy("region", "label").agg(F.count("*").alias("k"))
+    main = share.groupBy("region").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"))
+    main = main.select("region", F.col("top.label").alias("top"), (F.col("all") - F.col("top.k")).alias("others"))
+    large = large.join(main, "region")
+    few_ = large.where(F.col("others") <= REGION)
+    block = few_.withColumn("block", F.xxhash64("region", F.pmod(F.xxhash64("node"), F.col("chunks"))))
+    heads = block.select("region", "block").distinct().join(few_.where("label <> top").select("region", "node", "label"), "region")
+    rows = heads.select("block", "node", F.lit(0).alias("side"), "label").unionByName(block.where("label = top").select("block", "node", F.lit(1).alias("side"), "label"))
+    edges = edges.unionByName(saved(compare_chunks(rows, sets, num, den)))
+    among = few_.where("label <> top").select("region", "node", F.lit(1).alias("side"), "label")
+    edges = edges.unionByName(saved(compare_regions(among, sets, num, den)))
+    rest = large.where(F.col("others") > REGION).select("region", "pivot", "node")
+    if not rest.isEmpty():
+        for part in region_edges(saved(rest), sets, num, den):
+            edges = edges.unionByName(part)
+    return edges
+
+
 def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id per row, where num/den is the least similarity of a link."""
     table = saved(sets_table(docs, shingle))
@@ -376,10 +458,7 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     wanted = saved(nodes.join(regions.select("node").distinct(), "node").select(F.col("least").alias("doc_id")))
     mine = docs.alias("d").join(few(wanted).alias("w"), F.expr("d.doc_id <=> w.doc_id"), "left_semi")
     sets = saved(hashed_sets(mine, shingle).dropDuplicates(["node"]))
-    edges = None
-    for part in region_edges(regions, sets, num, den):
-        edges = part if edges is None else edges.unionByName(part)
-    rooted = components(edges)
+    rooted = components(saved(settle(regions, sets, num, den)))
     named = nodes.select("node", "least").join(rooted, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select("node", "component_id")
