@@ -283,4 +283,32 @@ SELECT path, string_agg(k, ',' ORDER BY k) AS keys FROM k GROUP BY path""",
     "b19_import_strings": _PATHS + r"SELECT path, regexp_replace(path, '\.py$', '') AS module FROM paths",
     "h07_languages": _PATHS + "SELECT path, CASE WHEN path LIKE '%.py' THEN 'python' END AS language, 'module::' || path AS node FROM paths",
     "b26_staleness_verdicts": cte("commit_files") + f", s AS (SELECT project, CAST(week(committed_on) AS BIGINT) AS week, count(*) AS stale_commits, count(DISTINCT CASE WHEN path LIKE '%.py' THEN path END) AS code_files_changed_since FROM commit_files GROUP BY ALL) SELECT project, week, {_VERDICT} AS verdict FROM s",
+    "b01_field_normalisation": """SELECT l_orderkey AS class, 'f' || CAST(l_partkey % 3 AS VARCHAR) AS name, CASE WHEN l_tax > 0.04 THEN l_returnflag END AS type, CAST(l_linenumber AS BIGINT) AS pos FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY class, name ORDER BY type IS NULL, l_linenumber, type) = 1""",
+    "b04_call_lists": cte("call_sites") + """, r AS (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY site, callee) AS k FROM call_sites)
+SELECT caller, count(*) AS kept, string_agg(DISTINCT callee, ',' ORDER BY callee) AS calls FROM r WHERE k <= 3 GROUP BY caller""",
+    "b20_impact_scope": _PATHS + "SELECT path AS file_path FROM paths WHERE path IN (SELECT path FROM commit_files WHERE project = 1)",
+    "b21_evaluability": cte("commit_files") + """, s AS (SELECT project, committed_on, count(*) FILTER (path LIKE '%.mdj') AS d, count(*) FILTER (path LIKE '%.py') AS c, count(*) FILTER (path LIKE '%.md') > 2 AS u FROM commit_files GROUP BY ALL),
+i AS (SELECT *, list_filter([CASE WHEN d = 0 THEN 'no design' END, CASE WHEN c = 0 THEN 'no classes in code' END, CASE WHEN u THEN 'unsupported languages' END], lambda x: x IS NOT NULL) AS l FROM s)
+SELECT project, CAST(committed_on AS VARCHAR) AS day, array_to_string(l, ',') AS issues, CASE WHEN len(l) = 0 THEN 50.0 END AS score FROM i""",
+    "b25_output_coercion": """SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN CAST(least(100, p_size * 3) AS BIGINT) END AS score,
+  CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_size % 2 = 0 THEN 'one' ELSE 'a,b' END AS gaps, p_partkey % 7 <> 0 AS readable FROM part""",
+    "c05_symbol_tables": "SELECT p_brand AS class, split_part(p_name, ' ', 1) AS method, min(p_partkey) AS method_id, count(*) AS candidates FROM part WHERE p_partkey BETWEEN 1 AND 400 GROUP BY ALL",
+    "c07_inherited_methods": """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size FROM part WHERE p_partkey BETWEEN 1 AND 400), m AS (SELECT k AS class, 'm' || CAST(p_size % 8 AS VARCHAR) AS name FROM p WHERE p_size % 4 = 0),
+n AS (SELECT k AS c FROM p), l AS (SELECT c, c AS a, 0 AS d FROM n UNION ALL SELECT c, a // 2, d + 1 FROM l WHERE d < 4 AND a // 2 > 0 AND EXISTS (SELECT 1 FROM p WHERE p.k = l.a))
+SELECT l.c AS class, name, arg_min(m.class, d) AS method_id FROM l JOIN m ON m.class = l.a GROUP BY ALL""",
+    "c08_import_bindings": _PATHS + """SELECT DISTINCT 'f' || CAST(project AS VARCHAR) AS file, replace(split_part(path, '/', 2), '.py', '') AS symbol, path AS target FROM commit_files WHERE path LIKE 'src/%'""",
+    "e18_controlled_tests": _R + f"""SELECT gate_strategy, kind, tp, fn, fp, tn, {_rate('tp', '(tp + fp)', 'precision')}, {_rate('tp', '(tp + fn)', 'recall')} FROM (
+  SELECT gate_strategy, CASE WHEN source_touched THEN 'touched' ELSE 'untouched' END AS kind, {_COUNTS} FROM runs GROUP BY ALL)""",
+    "a06_active_designs": cte("commit_files") + "SELECT project, arg_min(path, list_extract(str_split(path, '/'), -1)) AS path FROM commit_files GROUP BY project",
+    "a10_merged_results": _R + """, q AS (SELECT project, gate_strategy, commit_index, conformance_changed FROM runs WHERE project < 3 UNION ALL SELECT project, gate_strategy, commit_index, NULL FROM runs WHERE project = 3
+  UNION ALL SELECT project, gate_strategy, commit_index, conformance_changed FROM runs WHERE project = 2 AND commit_index < 5)
+SELECT 'repeated' AS conflict, count(*) AS n FROM (SELECT 1 FROM q GROUP BY project, gate_strategy, commit_index HAVING count(*) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'rows', count(*) FROM q""",
+    "a15_changed_files": cte("commit_files") + "SELECT DISTINCT project, path FROM commit_files WHERE path LIKE 'src/%' OR path LIKE 'docs/%'",
+    "i01_streaming_gate": """WITH s AS (SELECT source AS project, doc_id AS version, sha256(text) AS x, sha256(replace(replace(text, chr(10), ''), ' ', '')) AS t FROM documents),
+m AS (SELECT project, version, lag(x) OVER w IS DISTINCT FROM x AS xm, lag(t) OVER w IS DISTINCT FROM t AS tm FROM s WINDOW w AS (PARTITION BY project ORDER BY version))
+SELECT project, version, g AS gate_strategy, CASE g WHEN 'always' THEN true WHEN 'content' THEN xm ELSE tm END AS fired, false AS late FROM m, (SELECT unnest(['always', 'content', 'structural']) AS g)""",
+    "i02_streaming_metrics": "SELECT user_id % 5 AS project, event_type AS gate_strategy, count(*) AS runs, count(*) FILTER (value > 20) AS reanalyses, CAST(sum(floor(value) + 1) AS BIGINT) AS tokens FROM events GROUP BY ALL",
+    "i03_streaming_changed_files": "SELECT DISTINCT user_id % 5 AS project, 'src/' || CAST(user_id AS VARCHAR) || '.py' AS path FROM events WHERE event_type <> 'view'",
 }

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as fn
-from plumbline.operators import compare, gate, graph, history, resolve, statistics, survival
+from plumbline.operators import compare, facts, gate, graph, history, resolve, statistics, survival
+from plumbline.sources import files, lineage
 from plumbline.sources.bridge import load
+from plumbline.streaming import jobs
 
 QUERIES: dict = {}
 
@@ -572,3 +576,140 @@ def b26(spark, sf_dir):
     files = load(spark, sf_dir, "commit_files")
     counts = files.groupBy("project", F.weekofyear("committed_on").cast("bigint").alias("week")).agg(F.count("*").alias("stale"), F.countDistinct(F.when(F.endswith("path", F.lit(".py")), F.col("path"))).alias("code"))
     return counts.select("project", "week", statistics.staleness_verdict(F.col("stale"), F.col("code")).alias("verdict"))
+
+
+@query("b01_field_normalisation")
+def b01(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    fields = lines.select(
+        F.col("l_orderkey").alias("class"), F.concat(F.lit("f"), (F.col("l_partkey") % 3).cast("string")).alias("name"), F.when(F.col("l_tax") > 0.04, F.col("l_returnflag")).alias("type"), F.col("l_linenumber").alias("pos")
+    )
+    return tidy(facts.normalise_fields(fields))
+
+
+@query("b04_call_lists")
+def b04(spark, sf_dir):
+    sites = load(spark, sf_dir, "call_sites").groupBy("caller").agg(F.array_sort(F.collect_list(F.struct("site", "callee"))).alias("refs"))
+    kept, names = facts.cap_calls(F.transform("refs", lambda r: r["callee"]), 3)
+    return sites.select("caller", F.size(kept).cast("bigint").alias("kept"), F.array_join(names, ",").alias("calls"))
+
+
+@query("b20_impact_scope")
+def b20(spark, sf_dir):
+    known = _paths(spark, sf_dir).withColumnRenamed("path", "file_path")
+    hit = load(spark, sf_dir, "commit_files").where("project = 1").select(F.concat(F.lit("class::"), "path", F.lit("::C")).alias("node"))
+    return facts.scope(known, hit)
+
+
+@query("b21_evaluability")
+def b21(spark, sf_dir):
+    files = load(spark, sf_dir, "commit_files")
+    snaps = files.groupBy("project", "committed_on").agg(
+        fn.count_if(F.endswith("path", F.lit(".mdj"))).alias("design_elements"), fn.count_if(F.endswith("path", F.lit(".py"))).alias("code_classes"), F.lit(0).alias("parse_errors"), fn.count_if(F.endswith("path", F.lit(".md"))).alias("u")
+    )
+    snaps = snaps.select("project", "committed_on", "design_elements", "code_classes", "parse_errors", F.when(F.col("u") > 2, 1).otherwise(0).alias("unsupported"), F.lit(50.0).alias("score"))
+    return facts.evaluability(snaps).select("project", F.col("committed_on").cast("string").alias("day"), "issues", "score")
+
+
+@query("b25_output_coercion")
+def b25(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    body = F.concat(F.lit('{"score": '), (F.col("p_size") * 3).cast("string"), F.lit(', "gaps": '), F.when(F.col("p_size") % 2 == 0, F.lit('"one"')).otherwise(F.lit('["a", "b"]')), F.lit("}"))
+    said = F.when(F.col("p_partkey") % 7 == 0, F.lit("sorry, no")).otherwise(F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```")))
+    return facts.coerce_outputs(parts.select("p_partkey", said.alias("response"))).select("p_partkey", "score", "gaps", "readable")
+
+
+def _bases(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey BETWEEN 1 AND 400")
+    return parts.select(F.col("p_partkey").alias("class"), F.floor(F.col("p_partkey") / 2).alias("base"), F.lit(0).alias("pos")).where("base > 0"), parts
+
+
+@query("c05_symbol_tables")
+def c05(spark, sf_dir):
+    _, parts = _bases(spark, sf_dir)
+    return parts.groupBy(F.col("p_brand").alias("class"), F.substring_index("p_name", " ", 1).alias("method")).agg(F.min_by("p_partkey", "p_partkey").alias("method_id"), F.count("*").alias("candidates"))
+
+
+@query("c07_inherited_methods")
+def c07(spark, sf_dir):
+    bases, parts = _bases(spark, sf_dir)
+    methods = parts.where("p_size % 4 = 0").select(F.col("p_partkey").alias("class"), F.concat(F.lit("m"), (F.col("p_size") % 8).cast("string")).alias("name"), F.col("p_partkey").alias("method_id"), F.lit(0).alias("pos"))
+    return resolve.inherited_methods(methods, bases)
+
+
+@query("c08_import_bindings")
+def c08(spark, sf_dir):
+    modules = _paths(spark, sf_dir).where("path LIKE 'src/%'").select(F.explode(fn.module_keys(F.col("path"))).alias("module"), F.col("path").alias("target"))
+    bindings = load(spark, sf_dir, "commit_files").where("path LIKE 'src/%'").select(
+        F.concat(F.lit("f"), F.col("project").cast("string")).alias("file"), F.col("commit_ord").alias("pos"), F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", ".").alias("module"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("alias")
+    )
+    return resolve.import_targets(bindings, modules)
+
+
+@query("e18_controlled_tests")
+def e18(spark, sf_dir):
+    runs = load(spark, sf_dir, "runs").withColumns({"fired": F.col("gate_allowed_llm"), "changed": F.col("conformance_changed"), "kind": F.when(F.col("source_touched"), "touched").otherwise("untouched")})
+    return tidy(statistics.confusion(runs, "gate_strategy", "kind"))
+
+
+@query("a06_active_designs")
+def a06(spark, sf_dir):
+    return files.active_designs(load(spark, sf_dir, "commit_files"), "project")
+
+
+@query("a10_merged_results")
+def a10(spark, sf_dir):
+    runs = load(spark, sf_dir, "runs").select("project", "gate_strategy", "commit_index", "conformance_changed")
+    rows, conflicts = files.merge_results([runs.where("project < 3"), runs.where("project = 3").drop("conformance_changed"), runs.where("project = 2 AND commit_index < 5")])
+    return conflicts.groupBy("conflict").agg(F.count("*").alias("n")).unionByName(rows.agg(F.count("*").alias("n")).withColumn("conflict", F.lit("rows")))
+
+
+@query("a15_changed_files")
+def a15(spark, sf_dir):
+    each = load(spark, sf_dir, "commit_files").groupBy("project", "committed_on").agg(F.collect_set("path").alias("paths"))
+    nothing = F.array().cast("array<string>")
+    commit = F.array(F.struct(F.filter("paths", lambda p: F.startswith(p, F.lit("src/"))).alias("added"), nothing.alias("modified"), F.filter("paths", lambda p: F.startswith(p, F.lit("docs/"))).alias("removed")))
+    return files.changed_files(each.select(F.lit("push").alias("event"), "project", commit.alias("commits")))
+
+
+def _streamed(spark, sf_dir, table, build, mode):
+    """The result of a streaming query over a table's files, run to the end and read back."""
+    where = f"{lineage.folder(spark)}/{uuid.uuid4().hex}"
+    kind = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    stream = build(spark.readStream.schema(kind).parquet(f"{sf_dir}/{table}.parque*"))
+
+    def write(batch, _):
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{where}/out")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{where}/out")
+
+
+@query("i01_streaming_gate")
+def i01(spark, sf_dir):
+    def build(docs):
+        bare = F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit("")), F.lit(" "), F.lit(""))
+        snaps = docs.select(F.col("source").alias("project"), F.col("doc_id").alias("version"), F.sha2("text", 256).alias("text_hash"), F.sha2(bare, 256).alias("structure_hash"), F.lit("d").alias("design_hash"))
+        return jobs.stream_gate(snaps)
+
+    return _streamed(spark, sf_dir, "documents", build, "append")
+
+
+@query("i02_streaming_metrics")
+def i02(spark, sf_dir):
+    def build(events):
+        runs = events.select((F.col("user_id") % 5).alias("project"), F.col("event_type").alias("gate_strategy"), (F.col("value") > 20).alias("gate_allowed_llm"), F.floor("value").alias("prompt_tokens"), F.lit(1).alias("completion_tokens"))
+        return jobs.stream_metrics(runs)
+
+    return _streamed(spark, sf_dir, "events", build, "complete")
+
+
+@query("i03_streaming_changed_files")
+def i03(spark, sf_dir):
+    def build(events):
+        path = F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".py"))
+        commit = F.array(F.struct(F.array(path).alias("added"), F.array().cast("array<string>").alias("modified"), F.array().cast("array<string>").alias("removed")))
+        kind = F.when(F.col("event_type") == "view", "ping").otherwise("push")
+        return jobs.stream_changed_files(events.select(kind.alias("event"), (F.col("user_id") % 5).alias("project"), commit.alias("commits")))
+
+    return _streamed(spark, sf_dir, "events", build, "append")

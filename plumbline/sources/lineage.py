@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without lineage, kept in spark.checkpoint.dir; a folder of our own only where none is named."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where none is named."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             import tempfile
 
             named = tempfile.mkdtemp(prefix="spark-checkpoints-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without lineage."""
+    folder(df.sparkSession)
     return df.checkpoint()
