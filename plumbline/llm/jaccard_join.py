@@ -19,7 +19,8 @@ instead (as many as guarantee a shared one), so no link is lost.
 All sets are compared as 64-bit hashes of shingles, and equal sets are one node. A region is settled when all
 its sets are connected or every pair across components is ruled out, so components are formed early:
 first every set is measured against one pivot of its own, then against the pivots of the regions that still hold
-several components. Of the regions left, small ones are compared in one task; in a large one most
+several components. Pairs are first tried by small sketches of
+their sets, which rule most of them out exactly, and only those that are left are compared as sets. Of the regions left, small ones are compared in one task; in a large one most
 sets belong to one component, and the others are sent to every chunk of it; where the others are
 too many as well, pivots divide the region into cells, and a region that pivots do not divide any
 further is compared chunk against chunk. No step holds more than two chunks in a task.
@@ -183,8 +184,15 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids
 
 
+SKETCH = 256
+
+
 def hashed_sets(docs: DataFrame, k: int) -> DataFrame:
-    """node, hashes (sorted uint64 bytes), one row per non-empty text."""
+    """node, hashes (sorted uint64 bytes), n and sketch of every non-empty text.
+
+    The sketch counts a set's shingles in 256 buckets (16 bits each, wrapping). Two sets differ in at
+    least as many elements as their counts differ in total, so most pairs are ruled out by it alone.
+    """
 
     def run(batches):
         for batch in batches:
@@ -194,9 +202,13 @@ def hashed_sets(docs: DataFrame, k: int) -> DataFrame:
                 cut = np.searchsorted(at, np.arange(n + 1))
                 keep = np.flatnonzero(np.diff(cut))
                 raw = [found[cut[r] : cut[r + 1]].astype("<u8").tobytes() for r in keep]
-                yield pa.RecordBatch.from_arrays([_signed(set_hash(found, at, n)[keep]), pa.array(raw, pa.binary())], ["node", "hashes"])
+                bucket = (found >> _U(40)) % _U(SKETCH)
+                light = [np.bincount(bucket[cut[r] : cut[r + 1]].astype(np.int64), minlength=SKETCH).astype("<u2").tobytes() for r in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(set_hash(found, at, n)[keep]), pa.array(raw, pa.binary()), pa.array(np.diff(cut)[keep].astype(np.int64)), pa.array(light, pa.binary())], ["node", "hashes", "n", "sketch"]
+                )
 
-    return docs.select("text").mapInArrow(run, "node bigint, hashes binary")
+    return docs.select("text").mapInArrow(run, "node bigint, hashes binary, n bigint, sketch binary")
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -263,12 +275,12 @@ def link_all(nodes: list[int], sets: list[np.ndarray], labels: list, num: int, d
     return edges
 
 
-def _grouped(batches, key: str):
-    """(key, [(node, side, label, hashes)]) from batches sorted by key; sets are views of the batch they came in."""
+def _grouped(batches, key: str, kind: str = "<u8"):
+    """(key, [(node, side, label, payload)]) from batches sorted by key; sets are views of the batch they came in."""
     now, rows = None, []
     for batch in batches:
         rows = [(n, s, c, h.copy()) for n, s, c, h in rows]
-        raw = batch.column("hashes")
+        raw = batch.column("payload")
         at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
         data = np.frombuffer(raw.buffers()[2], np.uint8)
         for i, (k, node, side, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, "node", "side", "label")), strict=True)):
@@ -276,7 +288,7 @@ def _grouped(batches, key: str):
                 yield now, rows
                 rows = []
             now = k
-            rows.append((node, side, label, data[at[i] : at[i + 1]].view("<u8")))
+            rows.append((node, side, label, data[at[i] : at[i + 1]].view(kind)))
     if rows:
         yield now, rows
 
@@ -285,10 +297,65 @@ def _edges(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["u", "v"])
 
 
-def _dealt(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
-    """rows(key, node, side) with their sets, whole groups in a task, the pivots (side 0) first."""
+def _dealt(rows: DataFrame, sets: DataFrame, key: str, payload: str = "hashes") -> DataFrame:
+    """rows(key, node, side[, label]) with their sets or sketches, whole groups in a task, the pivots (side 0) first."""
     rows = rows if "label" in rows.columns else rows.withColumn("label", F.lit(None).cast("bigint"))
-    return rows.join(sets, "node").select(key, "node", "side", "label", "hashes").repartition(key).sortWithinPartitions(key, "side", "node")
+    full = few(rows).join(sets.select("node", F.col(payload).alias("payload")), "node").select(key, "node", "side", "label", "payload")
+    return full.repartition(key).sortWithinPartitions(key, "side", "node")
+
+
+def possible(sketch: np.ndarray, others: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the sketches [set, bucket] could belong to sets linked to the one of ``sketch``."""
+    differ = (others.astype(np.int64) - sketch.astype(np.int64) + 32768) % 65536 - 32768
+    total = others.sum(1, dtype=np.int64) + int(sketch.sum(dtype=np.int64))
+    return (np.abs(differ).sum(1) * (den + num) <= (den - num) * total) | (total > 60_000)
+
+
+def star_candidates(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(pivot, node) of rows(block, node, side) that their sketches allow to be linked."""
+
+    def run(batches):
+        for _, group in _grouped(batches, "block", "<u2"):
+            if len(group) > 1:
+                hit = possible(group[0][3], np.stack([g[3] for g in group[1:]]), num, den)
+                if hit.any():
+                    yield _pairs([(group[0][0], g[0]) for g, h in zip(group[1:], hit, strict=True) if h])
+
+    return _dealt(rows, sets, "block", "sketch").mapInArrow(run, "pivot bigint, node bigint")
+
+
+def region_candidates(rows: DataFrame, sets: DataFrame, num: int, den: int, key: str = "region") -> DataFrame:
+    """(pivot, node) pairs of different labels inside small regions that their sketches allow to be linked.
+
+    With sides 0 and 1 in blocks, only pairs across the sides count.
+    """
+
+    def run(batches):
+        for _, group in _grouped(batches, key, "<u2"):
+            light = np.stack([g[3] for g in group])
+            label = np.array([g[0] if g[2] is None else g[2] for g in group])
+            side = np.array([g[1] for g in group])
+            out = []
+            for i in range(len(group) - 1):
+                later = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+                if key == "block":
+                    later = later[side[later] != side[i]]
+                if len(later):
+                    later = later[possible(light[i], light[later], num, den)]
+                    out += [(group[i][0], group[j][0]) for j in later]
+            if out:
+                yield _pairs(out)
+
+    return _dealt(rows, sets, key, "sketch").mapInArrow(run, "pivot bigint, node bigint").distinct()
+
+
+def _pairs(pairs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["pivot", "node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges of pairs(pivot, node) that the whole sets confirm."""
+    return compare_stars(star_rows(saved(pairs)), sets, num, den)
 
 
 def compare_regions(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -358,7 +425,7 @@ def _sized(regions: DataFrame, sizes: DataFrame) -> DataFrame:
 def region_edges(regions: DataFrame, sets: DataFrame, num: int, den: int, depth: int = 8) -> list[DataFrame]:
     """Edge tables for regions(region, pivot, node), where each region's rows hold its pivot too."""
     eps = 1 - num / den
-    sizes = sets.select("node", (F.length("hashes") / 8).cast("bigint").alias("n"))
+    sizes = sets.select("node", "n")
     out: list[DataFrame] = []
     before = None
     for level in range(depth + 1):
@@ -418,16 +485,18 @@ def _labelled(regions: DataFrame, edges: DataFrame | None) -> DataFrame:
 def settle(regions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (u, v) that connect whatever is linked inside regions(region, pivot, node)."""
     own = regions.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
-    edges = saved(compare_stars(star_rows(own.select("pivot", "node")), sets, num, den))
-    left = _labelled(regions, edges)
+    edges = saved(verified(star_candidates(star_rows(own.select("pivot", "node")), sets, num, den), sets, num, den))
+    # whoever is linked to a pivot goes by the pivot's own name: sound, and cheaper than components
+    first = edges.groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("near"))
+    left = regions.join(few(first), "node", "left").withColumn("label", F.coalesce("near", "node")).drop("near")
     at = left.where("node = pivot").select("region", F.col("label").alias("at"))
     pairs = left.join(at, "region").where("label <> at").select("pivot", "node").distinct()
-    edges = saved(edges.unionByName(compare_stars(star_rows(pairs), sets, num, den)))
+    edges = saved(edges.unionByName(verified(star_candidates(star_rows(pairs), sets, num, den), sets, num, den)))
     left = _labelled(regions, edges)
-    sizes = sets.select("node", (F.length("hashes") / 8).cast("bigint").alias("n"))
+    sizes = sets.select("node", "n")
     sized = saved(_sized(left, sizes))
     small = sized.where("chunks <= 1").select("region", "node", F.when(F.col("node") == F.col("pivot"), 0).otherwise(1).alias("side"), "label")
-    edges = edges.unionByName(saved(compare_regions(small, sets, num, den)))
+    edges = edges.unionByName(saved(verified(region_candidates(small, sets, num, den), sets, num, den)))
     large = sized.where("chunks > 1")
     if large.isEmpty():
         return edges
@@ -440,9 +509,9 @@ def settle(regions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     block = few_.withColumn("block", F.xxhash64("region", F.pmod(F.xxhash64("node"), F.col("chunks"))))
     heads = block.select("region", "block").distinct().join(few_.where("label <> top").select("region", "node", "label"), "region")
     rows = heads.select("block", "node", F.lit(0).alias("side"), "label").unionByName(block.where("label = top").select("block", "node", F.lit(1).alias("side"), "label"))
-    edges = edges.unionByName(saved(compare_chunks(rows, sets, num, den)))
+    edges = edges.unionByName(saved(verified(region_candidates(rows, sets, num, den, "block"), sets, num, den)))
     among = few_.where("label <> top").select("region", "node", F.lit(1).alias("side"), "label")
-    edges = edges.unionByName(saved(compare_regions(among, sets, num, den)))
+    edges = edges.unionByName(saved(verified(region_candidates(among, sets, num, den), sets, num, den)))
     rest = large.where(F.col("others") > REGION).select("region", "pivot", "node")
     if not rest.isEmpty():
         for part in region_edges(saved(rest), sets, num, den):
@@ -457,7 +526,7 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     regions = saved(meetings(docs, shingle, num, den))
     wanted = saved(nodes.join(regions.select("node").distinct(), "node").select(F.col("least").alias("doc_id")))
     mine = docs.alias("d").join(few(wanted).alias("w"), F.expr("d.doc_id <=> w.doc_id"), "left_semi")
-    sets = saved(hashed_sets(mine, shingle).dropDuplicates(["node"]))
+    sets = saved(hashed_sets(mine, shingle))
     rooted = components(saved(settle(regions, sets, num, den)))
     named = nodes.select("node", "least").join(rooted, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -8,8 +8,10 @@ leftmost least hash among its 20-byte grams, so equal windows have equal anchors
 Neighbouring windows with one anchor are a piece. Pieces meet by anchor in one shuffle:
 * equal pieces: all but the earliest are repeats, decided at once, already inside an Arrow batch
   before the shuffle, so a passage that a third of all documents hold arrives once a batch;
-* different pieces with one anchor, each by its earliest copy, may share some of their windows. Their
-  bytes are fetched and go to suffix-array shards, whole anchors together: induced sorting orders a
+* different pieces with one anchor, each by its earliest copy, may share some of their windows, if what
+  stands next to the anchor on one side is the same (a window reaches at least 40 bytes to one side of its
+  anchor; 24-bit hashes of both neighbourhoods travel with a piece). The bytes of those
+  that do are fetched and go to suffix-array shards, whole anchors together: induced sorting orders a
   shard's suffixes, the permuted common prefixes cut the order into groups that agree in ``length``
   bytes or more, and in each group every start but the earliest is a repeat.
 An anchor with more than ``SHARD_PIECES`` different pieces, too many for a task, has its windows
@@ -57,7 +59,10 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH):
-    """(row, first window's start in the row, windows, anchor hash, piece hash) of the pieces of a run."""
+    """(row, first window's start in the row, windows and neighbourhoods packed, anchor hash, piece hash) of the pieces of a run.
+
+    Packed: windows in the low 8 bits, then 24 bits each for the left and the right neighbourhood, 0 where the text ends before.
+    """
     n = len(buf)
     if n < length:
         empty = np.zeros(0, np.int64)
@@ -80,7 +85,13 @@ def pieces(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH):
     count = np.diff(np.append(first, len(row)))
     row, start, mine = row[first], start[first], mine[first]
     whole = tb.mix(tb.span_hash(prefix, start, start + count + length - 1) + (mine - start).astype(_U))
-    return row, start - offs[row], count, grams[mine], whole
+    side = (length - GRAM) // 2
+    packed = count.astype(_U)
+    for far, near, has, shift in ((mine - side, mine + GRAM, mine - side >= offs[row], 8), (mine, mine + GRAM + side, mine + GRAM + side <= offs[row + 1], 32)):
+        around = np.zeros(len(mine), _U)
+        around[has] = 1 + (tb.span_hash(prefix, far[has], near[has]) >> _U(41))
+        packed |= around << _U(shift)
+    return row, start - offs[row], packed.view(np.int64), grams[mine], whole
 
 
 def _batch(kind, anchor, piece, doc, copy, start, count) -> pa.RecordBatch:
@@ -113,6 +124,7 @@ def piece_rows(docs: DataFrame, length: int) -> DataFrame:
             lead = np.zeros(len(order), bool)
             lead[order[new]] = True
             yield _batch(np.zeros(lead.sum()), anchor[lead], whole[lead], doc[lead], copy[lead], start[lead], count[lead])
+            count = count & 0xFF
             rest = np.flatnonzero(~lead)  # still in text order
             if len(rest):
                 joined = np.ones(len(rest), bool)
@@ -128,6 +140,17 @@ def piece_rows(docs: DataFrame, length: int) -> DataFrame:
 def decide(rows: DataFrame) -> DataFrame:
     """Pieces gathered by anchor: REPEAT rows, and as CANDIDATE the earliest copies of different pieces with one anchor."""
 
+    def alike(cols):
+        """Pieces whose anchor is shared by a different piece with the same neighbourhood on one side."""
+        keep = np.zeros(len(cols[0]), bool)
+        for shift in (8, 32):
+            around = (cols[5].view(_U) >> _U(shift)) & _U(0xFFFFFF)
+            _, inverse, size = np.unique(tb.mix(cols[0].view(_U) ^ tb.mix(around)), return_inverse=True, return_counts=True)
+            keep |= (size[inverse] > 1) & (around > 0)
+        cols = [c[keep] for c in cols]
+        cols[5] = cols[5] & 0xFF
+        return cols
+
     def run(batches):
         held: list[np.ndarray] | None = None  # earliest copies of the anchor that goes on into the next batch
         last = None
@@ -146,7 +169,9 @@ def decide(rows: DataFrame) -> DataFrame:
                 new[0] = (anchor[0], piece[0]) != last
             last = (anchor[-1], piece[-1])
             if not new.all():
-                yield _batch(np.ones((~new).sum()), *(c[~new] for c in cols))
+                again = [c[~new] for c in cols]
+                again[5] = again[5] & 0xFF
+                yield _batch(np.ones(len(again[0])), *again)
             cols = [c[new] for c in cols]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
@@ -154,12 +179,13 @@ def decide(rows: DataFrame) -> DataFrame:
             held = [c[stays] for c in cols]
             cols = [c[~stays] for c in cols]
             if len(cols[0]):
-                _, inverse, size = np.unique(cols[0], return_inverse=True, return_counts=True)
-                many = size[inverse] > 1
-                if many.any():
-                    yield _batch(np.zeros(many.sum()), *(c[many] for c in cols))
-        if held is not None and len(held[0]) > 1:
-            yield _batch(np.zeros(len(held[0])), *held)
+                cols = alike(cols)
+                if len(cols[0]):
+                    yield _batch(np.zeros(len(cols[0])), *cols)
+        if held is not None:
+            held = alike(held)
+            if len(held[0]):
+                yield _batch(np.zeros(len(held[0])), *held)
 
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "piece", "doc", "copy", "start")
     return dealt.mapInArrow(run, _SCHEMA)
@@ -263,6 +289,8 @@ def hashed_windows(pieces_: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(doc, copy, start, count): ranges of window starts that repeat an earlier window of docs(doc, copy, text)."""
+    if not 2 * GRAM <= length <= 255:
+        raise ValueError("strings of 40 to 255 bytes")  # windows of a piece are counted in 8 bits
     found = saved(decide(piece_rows(docs, length)))
     candidates = found.where(F.col("kind") == CANDIDATE).select("anchor", "doc", "copy", "start", "count")
     cut = slices(docs, candidates, length)
