@@ -8,71 +8,85 @@ linear sweeps induce the whole array: L suffixes left to right, then S suffixes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import accumulate
 
+import numpy as np
 
-def _induce(text: list[int], small: list[bool], counts: list[int], lms: list[int]) -> list[int]:
-    """Sorts all suffixes, given the leftmost smaller ones in an order that decides the rest."""
-    n, none = len(text), -1
-    out = [none] * n
-    ends = list(accumulate(counts))
-    heads = [0, *ends[:-1]]
+
+def _small(text: np.ndarray) -> np.ndarray:
+    """Which suffixes are S: by the next letter that differs; the last suffix is L."""
+    n = len(text)
+    step = np.sign(np.diff(text.astype(np.int64)))
+    place = np.where(step != 0, np.arange(n - 1), n - 1)
+    following = np.minimum.accumulate(place[::-1])[::-1]
+    return np.append(np.append(step, -1)[following] > 0, False)
+
+
+def _induce(text: Sequence[int], large_before: bytes, small_before: bytes, ends: list[int], lms: list[int]) -> list[int]:
+    """Sorts all suffixes, given the leftmost smaller ones in an order that decides the rest.
+
+    The two byte strings say of each suffix whether the one before it is L or S (neither for suffix 0, which also stands for an empty place).
+    """
+    n = len(text)
+    out = [0] * n
     tail = ends[:]
     for p in reversed(lms):
         c = text[p]
-        tail[c] -= 1
-        out[tail[c]] = p
-    head = heads[:]
-    if not small[n - 1]:  # the last suffix is larger than the empty one behind it
-        c = text[n - 1]
-        out[head[c]] = n - 1
-        head[c] += 1
-    for i in range(n):
-        p = out[i] - 1
-        if p >= 0 and not small[p]:
+        at = tail[c] - 1
+        tail[c] = at
+        out[at] = p
+    head = [0, *ends[:-1]]
+    c = text[n - 1]  # the last suffix is larger than the empty one behind it
+    out[head[c]] = n - 1
+    head[c] += 1
+    for p in out:
+        if large_before[p]:
+            p -= 1
             c = text[p]
-            out[head[c]] = p
-            head[c] += 1
+            at = head[c]
+            out[at] = p
+            head[c] = at + 1
     tail = ends[:]
-    for i in range(n - 1, -1, -1):
-        p = out[i] - 1
-        if p >= 0 and small[p]:
+    for p in reversed(out):
+        if small_before[p]:
+            p -= 1
             c = text[p]
-            tail[c] -= 1
-            out[tail[c]] = p
+            at = tail[c] - 1
+            tail[c] = at
+            out[at] = p
     return out
 
 
-def suffix_array(text: list[int], letters: int = 256) -> list[int]:
+def suffix_array(text: Sequence[int], letters: int = 256) -> list[int]:
     """Starts of all suffixes in ascending order; letters are 0 to letters - 1."""
     n = len(text)
     if n < 2:
         return list(range(n))
-    small = [False] * n
-    for i in range(n - 2, -1, -1):
-        a, b = text[i], text[i + 1]
-        small[i] = a < b or (a == b and small[i + 1])
-    counts = [0] * letters
-    for c in text:
-        counts[c] += 1
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    out = _induce(text, small, counts, lms)
-    if len(lms) > 1:
-        stop = {a: b for a, b in zip(lms, [*lms[1:], n])}
-        order = [p for p in out if p in stop]
-        names, name, last = {}, -1, None
-        for p in order:
-            piece = text[p : stop[p] + 1] if stop[p] < n else None  # the last substring is like no other
-            if piece is None or piece != last:
-                name += 1
-            last, names[p] = piece, name
-        if name + 1 < len(lms):
-            ranks = suffix_array([names[p] for p in lms], name + 1)
-            order = [lms[r] for r in ranks]
-        out = _induce(text, small, counts, order)
-    elif lms:
-        out = _induce(text, small, counts, lms)
-    return out
+    codes = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else np.asarray(text)
+    small = _small(codes)
+    ends = list(accumulate(np.bincount(codes, minlength=letters).tolist()))
+    large_before = np.append(False, ~small[:-1]).tobytes()
+    small_before = np.append(False, small[:-1]).tobytes()
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).tolist()
+    if len(lms) < 2:
+        return _induce(text, large_before, small_before, ends, lms)
+    out = np.array(_induce(text, large_before, small_before, ends, lms))
+    number = np.full(n, -1)
+    number[lms] = np.arange(len(lms))
+    order = number[out]
+    order = order[order >= 0].tolist()
+    stops = [*(p + 1 for p in lms[1:]), n + 1]
+    pieces = [text[a:b] for a, b in zip(lms, stops, strict=True)]
+    names, name, last = [0] * len(lms), -1, None
+    for k in order:
+        piece = pieces[k]
+        if piece != last or k == len(lms) - 1:  # the last substring is like no other
+            name += 1
+        last = piece if k < len(lms) - 1 else None
+        names[k] = name
+    ranks = suffix_array(names, name + 1) if name + 1 < len(lms) else order
+    return _induce(text, large_before, small_before, ends, [lms[r] for r in ranks])
 
 
 def common_prefixes(text: bytes, order: list[int]) -> list[int]:
@@ -82,16 +96,55 @@ def common_prefixes(text: bytes, order: list[int]) -> list[int]:
     for a, b in zip(order, order[1:]):
         before[b] = a
     out, have = [0] * n, 0
-    for p in range(n):
-        q = before[p]
+    for p, q in enumerate(before):
         if q < 0:
             have = 0
             continue
-        most = n - max(p, q)
-        while have + 16 <= most and text[p + have : p + have + 16] == text[q + have : q + have + 16]:
-            have += 16
-        while have < most and text[p + have] == text[q + have]:
-            have += 1
+        i, j = p + have, q + have
+        most = n - (j if j > i else i)
+        start = i
+        while most >= 16 and text[i : i + 16] == text[j : j + 16]:
+            i += 16
+            j += 16
+            most -= 16
+        while most > 0 and text[i] == text[j]:
+            i += 1
+            j += 1
+            most -= 1
+        have += i - start
         out[p] = have
-        have -= have > 0
+        if have:
+            have -= 1
     return out
+
+
+def chosen_prefixes(text: bytes, order: list[int], chosen: bytes, limit: int) -> list[int]:
+    """For the chosen suffixes, in order: the common prefix with the chosen one before, as far as ``limit`` tells.
+
+    Where a suffix and the one before it in order are both followed by chosen ones, the next prefix is at most one
+    shorter, as for whole arrays; elsewhere it is counted anew.
+    """
+    before = [-1] * len(text)
+    for a, b in zip(order, order[1:]):
+        before[b] = a
+    found, have, last = {}, 0, -2
+    for p in sorted(order):
+        q = before[p]
+        if q < 0:
+            found[p], last = 0, -2
+            continue
+        have = have - 1 if last == p - 1 and have and chosen[before[last] + 1] else 0
+        while have < limit:
+            step = min(32, limit - have)
+            i, j = p + have, q + have
+            a, b = text[i : i + step], text[j : j + step]
+            if a == b and len(a) == step:
+                have += step
+                continue
+            for x, y in zip(a, b):
+                if x != y:
+                    break
+                have += 1
+            break
+        found[p], last = have, p
+    return [found[p] for p in order]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import textbytes as tb
 from plumbline.llm.saved import saved
-from plumbline.llm.suffix_array import common_prefixes, suffix_array
+from plumbline.llm.suffix_array import chosen_prefixes, suffix_array
 
 LENGTH = 100
 GRAM = 20
@@ -216,17 +216,19 @@ def shard_repeats(rows: list[tuple], length: int) -> list[tuple]:
     """(doc, copy, start, count) of repeated windows among pieces (doc, copy, start, count, raw) of one shard."""
     rows = sorted(rows, key=lambda r: r[:3])
     text = b"".join(r[4] for r in rows)
-    order = suffix_array(list(text))
-    plcp = np.array(common_prefixes(text, order))
-    sa = np.array(order)
-    group = np.empty(len(sa), np.int64)
-    group[sa] = np.cumsum(plcp[sa] < length)
     sizes = np.array([len(r[4]) for r in rows])
     base = np.cumsum(sizes) - sizes
     counts = np.array([r[3] for r in rows])
     owner = np.repeat(np.arange(len(rows)), counts)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     spot = base[owner] + inner
+    chosen = np.zeros(len(text) + 1, bool)
+    chosen[spot] = True
+    order = np.array(suffix_array(text))
+    order = order[chosen[order]]
+    prefixes = np.array(chosen_prefixes(text, order.tolist(), chosen.tobytes(), length))
+    group = np.empty(len(text), np.int64)
+    group[order] = np.cumsum(prefixes < length)
     mine = group[spot]
     _, first = np.unique(mine, return_index=True)
     again = np.ones(len(spot), bool)
