@@ -41,20 +41,29 @@ def sparse_rows(docs: DataFrame, features: Features) -> DataFrame:
 
 
 class Csr:
-    """A small sparse matrix gathered from ``sparse_rows``."""
+    """A small sparse matrix gathered from ``sparse_rows``; products go over it in blocks of rows, so they need little memory."""
 
     def __init__(self, rows: list):
         self.starts = np.cumsum([0, *(len(r["buckets"]) // 4 for r in rows)])
         self.index = np.frombuffer(b"".join(bytes(r["buckets"]) for r in rows), "<i4")
         self.value = np.frombuffer(b"".join(bytes(r["weights"]) for r in rows), "<f4")
-        self.row = np.repeat(np.arange(len(rows)), np.diff(self.starts))
         self.n = len(rows)
 
+    def _blocks(self, rows: int = 256):
+        for a in range(0, self.n, rows):
+            b = min(a + rows, self.n)
+            s, e = self.starts[a], self.starts[b]
+            yield a, b, self.index[s:e], self.value[s:e], np.repeat(np.arange(b - a), np.diff(self.starts[a : b + 1]))
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.index], self.n)
+        parts = [np.bincount(row, value * w[index], b - a) for a, b, index, value, row in self._blocks()]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
     def gradient(self, per_row: np.ndarray, buckets: int) -> np.ndarray:
-        return np.bincount(self.index, self.value * per_row[self.row], buckets)
+        out = np.zeros(buckets)
+        for a, b, index, value, row in self._blocks():
+            out += np.bincount(index, value * per_row[a:b][row], buckets)
+        return out
 
 
 def score(docs: DataFrame, features: Features, weights: np.ndarray, bias: float, name: str = "score") -> DataFrame:

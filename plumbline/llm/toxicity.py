@@ -53,7 +53,7 @@ def fit_nnpu(positive: Csr, unlabelled: Csr, prior: float, buckets: int = BUCKET
     w, b = np.zeros(buckets), float(np.log(prior / (1 - prior)))
     if not (positive.n and unlabelled.n):
         return w, b
-    rms = np.sqrt(np.bincount(unlabelled.index, unlabelled.value.astype(float) ** 2, buckets) / unlabelled.n)
+    rms = np.sqrt(np.bincount(unlabelled.index, unlabelled.value**2, buckets) / unlabelled.n)
     scale = (np.bincount(positive.index, minlength=buckets) >= min(least, positive.n)) / (rms + 1e-3)
     speed, speed_b = np.zeros(buckets), 0.0
     for _ in range(steps):
@@ -86,8 +86,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled:
         kinds.setdefault(r["doc_id"], []).append(r["kind"])
     found = sparse_rows(docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"), features).collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["buckets"])))
-    parts = [[r for r in found if kind in kinds[r["doc_id"]]] for kind in (1, 0)]
-    return fit_nnpu(Csr(parts[0]), Csr(parts[1]), prior, steps=steps)
+    positive, others = (Csr([r for r in found if kind in kinds[r["doc_id"]]]) for kind in (1, 0))
+    del found
+    return fit_nnpu(positive, others, prior, steps=steps)
 
 
 def score_toxicity(docs: DataFrame, model, name: str = "score") -> DataFrame:
