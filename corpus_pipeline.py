@@ -2,7 +2,7 @@
 
 1. toxicity: documents scored 0.5 or more by the positive-unlabelled classifier go.
 2. near duplicates: of each component of documents whose five-word shingle sets are 0.8 similar or more, the
-   one with the least doc_id stays.
+   one with the least doc_id stays; rows that repeat a doc_id or have none count each for itself.
 3. decontamination: documents with benchmark windows over a twentieth or more of their words go.
 4. secrets: found secret values are replaced by a mark; n_chars follows the text.
 5. packing: texts are tokenised and packed into sequences of 1024 tokens.
@@ -28,13 +28,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, "toxic_score").where("toxic_score < 0.5").select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with row_id, a number of each row's own: in the order of doc_id (null last), then of the hashes of the text and the other columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = [F.asc_nulls_last("doc_id"), F.sha2("text", 256).asc_nulls_last(), *([F.xxhash64(*others)] if others else []), "row_id"]
+    placed = docs.withColumn("row_id", F.monotonically_increasing_id()).orderBy(*order)
+    return saved(placed.withColumn("row_id", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = saved(jaccard_join.join_components(docs.select("doc_id", "text"), 5, 80, 100))
-    gone = jaccard_join.few(found.where("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    """One row of each component stays: the least by doc_id (null last), then by the hash of the text, then by those of
+    the other columns; rows equal in all of them are numbered. Each row counts for itself, whatever rows share its id or have none;
+    a text without words is near to nothing and stays."""
+    unsure = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count() > 0
+    rows, key = (_numbered(docs), "row_id") if unsure else (docs, "doc_id")
+    found = saved(jaccard_join.join_components(rows.select(F.col(key).alias("doc_id"), "text"), 5, 80, 100))
+    gone = jaccard_join.few(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)))
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
