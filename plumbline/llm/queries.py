@@ -20,7 +20,7 @@ def _tokenizer() -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), added=True)
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
