@@ -166,8 +166,8 @@ def c15(spark, sf_dir):
 @query("c16_same_shape")
 def c16(spark, sf_dir):
     nodes, edges = load(spark, sf_dir, "snap_nodes"), load(spark, sf_dir, "snap_edges")
-    pick = lambda t, v: t.where(f"version = {v} AND project < 3").drop("version")
-    return graph.isomorphic(pick(nodes, 0), pick(nodes, 1), pick(edges, 0), pick(edges, 1), 1, most=10_000)
+    pick = lambda t, v: t.where(f"version = {v}").drop("version")
+    return graph.isomorphic(pick(nodes, 0), pick(nodes, 1), pick(edges, 0), pick(edges, 1), most=10_000)
 
 
 @query("c17_rename_recovery")

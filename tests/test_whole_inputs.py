@@ -32,3 +32,8 @@ def test_inherited_methods_take_all_parts(spark):
             at, depth = at // 2, depth + 1
     got = {(r["class"], r.name): r.method_id for r in QUERIES["c07_inherited_methods"](spark, SF).collect()}
     assert got == want
+
+
+def test_same_shape_takes_all_projects(spark, sf_dir):
+    want = {p for (p,) in duckdb.sql(f"SELECT DISTINCT l_suppkey % 5 FROM '{sf_dir}/lineitem.parquet'").fetchall()}
+    assert {r.project for r in QUERIES["c16_same_shape"](spark, sf_dir).collect()} == want and len(want) == 5
