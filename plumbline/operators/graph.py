@@ -104,12 +104,12 @@ def _verified(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: D
     mapped = old_edges.join(left, ["project", "src"]).join(right, ["project", "dst"]).select("project", F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), "relation")
     real = new_edges.select("project", "src", "dst", "relation")
     wrong = mapped.join(real, ["project", "src", "dst", "relation"], "left_anti").select("project").unionByName(real.join(mapped, ["project", "src", "dst", "relation"], "left_anti").select("project"))
-    ok = whole.join(wrong.distinct().withColumn("wrong", F.lit(True)), "project", "left").select("project", (F.col("paired") & F.col("wrong").isNull()).alias("verified"))
+    ok = whole.join(wrong.distinct().withColumn("wrong", F.lit(True)), "project", "left").select("project", "paired", (F.col("paired") & F.col("wrong").isNull()).alias("verified"))
     return pairs.join(ok, "project")
 
 
 def isomorphic(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, rounds: int = 3, most: int = MOST_NODES) -> DataFrame:
-    """(project, isomorphic): false when counts or kinds differ, NULL beyond ``most`` nodes or when the mapping found is not verified, true when it is."""
+    """(project, isomorphic): false when counts, kinds or colours differ, NULL beyond ``most`` nodes or when the mapping found is not verified, true when it is."""
 
     def sizes(n: DataFrame, e: DataFrame, name: str) -> DataFrame:
         kinds = n.groupBy("project").agg(F.count("*").alias(f"{name}_n"), F.array_join(F.array_sort(F.collect_list("kind")), ",").alias(f"{name}_kinds"))
@@ -117,9 +117,9 @@ def isomorphic(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges:
 
     both = sizes(old, old_edges, "a").join(sizes(new, new_edges, "b"), "project", "full_outer").fillna(0, ["a_n", "a_e", "b_n", "b_e"])
     differ = (F.col("a_n") != F.col("b_n")) | (F.col("a_e") != F.col("b_e")) | ~F.col("a_kinds").eqNullSafe(F.col("b_kinds"))
-    verdict = _verified(old, new, old_edges, new_edges, rounds).select("project", "verified").distinct()
+    verdict = _verified(old, new, old_edges, new_edges, rounds).select("project", "paired", "verified").distinct()
     out = both.join(verdict, "project", "left")
-    return out.select("project", F.when((F.col("a_n") > most) & ~(F.col("a_n") != F.col("b_n")), F.lit(None).cast("boolean")).when(differ, False).when(F.col("verified"), True).alias("isomorphic"))
+    return out.select("project", F.when((F.col("a_n") > most) & ~(F.col("a_n") != F.col("b_n")), F.lit(None).cast("boolean")).when(differ | ~F.col("paired"), False).when(F.col("verified"), True).alias("isomorphic"))
 
 
 def renames(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, rounds: int = 3) -> DataFrame:
