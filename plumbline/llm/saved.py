@@ -20,8 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: it survives lost executors and has no lineage."""
+#: Rows in a task, about, where a table is small beside what it was made of; tasks at least.
+IN_TASK, TASKS = 250_000, 12
+
+
+def saved(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: it survives lost executors and has no lineage.
+
+    With ``rows``, about how many rows it has at most, its last tasks and files are as many as these call for, and no more.
+    """
+    if rows is not None:
+        df = df.coalesce(max(TASKS, -(-rows // IN_TASK)))
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

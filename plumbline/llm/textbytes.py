@@ -107,10 +107,28 @@ def rows_of(starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.searchsorted(offs, starts, "right") - 1
 
 
+_NEAR = 64
+_PLACED = mix(BYTE_CODE[None, :] + np.arange(_NEAR, dtype=_U)[:, None] * _U(0xDA942042E4DD58B5)).ravel()
+
+
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans that do not touch, each the sum of codes drawn for (place in the span, byte): no polynomial, whose periodic texts collide."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    byte = buf[place + np.repeat(starts, size)].astype(np.int64)
+    code = _PLACED[np.minimum(place, _NEAR - 1) * 256 + byte]
+    far = np.flatnonzero(place >= _NEAR)
+    code[far] = mix(BYTE_CODE[byte[far]] + place[far].astype(_U) * _U(0xDA942042E4DD58B5))
+    return mix(np.add.reduceat(code, first) + size.astype(_U))
+
+
 def words(buf: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, 64-bit hashes, row) of the words made of bytes in ``member``; ``buf`` is lower-cased already."""
     starts, ends = spans(member[buf], offs)
-    return starts, ends, span_hash(prefix_hash(buf), starts, ends), rows_of(starts, offs)
+    return starts, ends, word_hash(buf, starts, ends), rows_of(starts, offs)
 
 
 def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:

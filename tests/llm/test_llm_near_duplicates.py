@@ -55,3 +55,30 @@ def test_a_single_null_id(spark):
 
 def test_unique_ids(spark):
     _check(spark, [(8, _text("a"), "x"), (4, _text("a", tail=" more"), "x"), (6, _text("b"), "x")])
+
+
+def _components(spark, texts, **how):
+    from plumbline.llm import jaccard_join
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in jaccard_join.join_components(df, **how).collect()}
+
+
+def test_periodic_words_are_told_apart(spark):
+    """The Thue-Morse word and its complement collide under any polynomial modulo a power of two."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    assert _components(spark, [word, word.translate(str.maketrans("ab", "ba")), word]) == {0: 0, 1: 1, 2: 0}
+
+
+def test_sets_with_one_equal_hash_are_told_apart(spark, monkeypatch):
+    """With a first hash that is the same for all sets, the second one keeps them apart."""
+    import numpy as np
+
+    from plumbline.llm import jaccard_join
+
+    real = jaccard_join.set_hashes
+    monkeypatch.setattr(jaccard_join, "set_hashes", lambda found, at, n: (np.full(n, 77, np.uint64), real(found, at, n)[1]))
+    texts = [_text("a"), _text("b"), _text("a", tail=" more"), _text("b"), None]
+    assert _components(spark, texts) == {0: 0, 1: 1, 2: 0, 3: 1, 4: 4}
