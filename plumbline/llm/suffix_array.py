@@ -1,9 +1,12 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are classified as S (smaller than the next one) or L (larger). A position is leftmost smaller
-when it is S and the one before it is L. The substrings between such positions are put in order by one
-induction, named, and sorted by recursion on the string of their names; from their true order two
+when it is S and the one before it is L. The substrings between such positions are put in order a few letters at
+a time, named, and sorted by recursion on the string of their names; from their true order two
 linear sweeps induce the whole array: L suffixes left to right, then S suffixes right to left.
+
+Common prefixes are kept in text order (permuted). Where the letters before a suffix and before its
+neighbour in the array agree, the prefix is that of the suffix before less one letter; only the others are counted.
 """
 
 from __future__ import annotations
@@ -58,6 +61,37 @@ def _induce(text: Sequence[int], large_before: bytes, small_before: bytes, ends:
     return out
 
 
+def _names(codes: np.ndarray, lms: np.ndarray, letters: int) -> np.ndarray:
+    """Ranks of the substrings from each leftmost smaller position to the next, both included, the last one to the end of the text.
+
+    Letters count from 1 and 0 is the end of the text. Where one substring begins another, its last letter starts a larger
+    suffix than the same letter does there, so the places behind an end count as a letter beyond all others.
+    """
+    n, m = len(codes), len(lms)
+    size = np.append(np.diff(lms) + 1, n - lms[-1] + 1)
+    bits = int(letters + 1).bit_length()
+    width = max(1, 62 // bits)
+    padded = np.append(codes.astype(np.int64) + 1, 0)
+    rank, live, done = np.zeros(m, np.int64), np.arange(m), 0
+    while len(live):
+        key = np.zeros(len(live), np.int64)
+        for j in range(done, done + width):
+            inside = j < size[live]
+            key = (key << bits) | np.where(inside, padded[np.where(inside, lms[live] + j, 0)], letters + 1)
+        order = np.lexsort((key, rank[live]))
+        r, k = rank[live][order], key[order]
+        group = np.append(True, r[1:] != r[:-1])
+        new = group | np.append(True, k[1:] != k[:-1])
+        at = np.arange(len(live))
+        start, base = (np.maximum.accumulate(np.where(x, at, 0)) for x in (new, group))
+        rank[live[order]] = r + start - base
+        tied = ~(new & np.append(new[1:], True))
+        done += width
+        live = live[order[tied]]
+        live = live[size[live] > done]
+    return np.unique(rank, return_inverse=True)[1]
+
+
 def suffix_array(text: Sequence[int], letters: int = 256) -> list[int]:
     """Starts of all suffixes in ascending order; letters are 0 to letters - 1."""
     n = len(text)
@@ -68,83 +102,49 @@ def suffix_array(text: Sequence[int], letters: int = 256) -> list[int]:
     ends = list(accumulate(np.bincount(codes, minlength=letters).tolist()))
     large_before = np.append(False, ~small[:-1]).tobytes()
     small_before = np.append(False, small[:-1]).tobytes()
-    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).tolist()
-    if len(lms) < 2:
-        return _induce(text, large_before, small_before, ends, lms)
-    out = np.array(_induce(text, large_before, small_before, ends, lms))
-    number = np.full(n, -1)
-    number[lms] = np.arange(len(lms))
-    order = number[out]
-    order = order[order >= 0].tolist()
-    stops = [*(p + 1 for p in lms[1:]), n + 1]
-    pieces = [text[a:b] for a, b in zip(lms, stops, strict=True)]
-    names, name, last = [0] * len(lms), -1, None
-    for k in order:
-        piece = pieces[k]
-        if piece != last or k == len(lms) - 1:  # the last substring is like no other
-            name += 1
-        last = piece if k < len(lms) - 1 else None
-        names[k] = name
-    ranks = suffix_array(names, name + 1) if name + 1 < len(lms) else order
-    return _induce(text, large_before, small_before, ends, [lms[r] for r in ranks])
-
-
-def common_prefixes(text: bytes, order: list[int]) -> list[int]:
-    """plcp[p]: the common prefix of suffix p with the one before it in order (0 for the first)."""
-    n = len(text)
-    before = [-1] * n
-    for a, b in zip(order, order[1:]):
-        before[b] = a
-    out, have = [0] * n, 0
-    for p, q in enumerate(before):
-        if q < 0:
-            have = 0
-            continue
-        i, j = p + have, q + have
-        most = n - (j if j > i else i)
-        start = i
-        while most >= 16 and text[i : i + 16] == text[j : j + 16]:
-            i += 16
-            j += 16
-            most -= 16
-        while most > 0 and text[i] == text[j]:
-            i += 1
-            j += 1
-            most -= 1
-        have += i - start
-        out[p] = have
-        if have:
-            have -= 1
-    return out
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    if len(lms) > 1:
+        names = _names(codes, lms, letters)
+        top = int(names.max()) + 1
+        lms = lms[suffix_array(names.tolist(), top) if top < len(lms) else np.argsort(names)]
+    return _induce(text, large_before, small_before, ends, lms.tolist())
 
 
-def chosen_prefixes(text: bytes, order: list[int], chosen: bytes, limit: int) -> list[int]:
-    """For the chosen suffixes, in order: the common prefix with the chosen one before, as far as ``limit`` tells.
+def common_prefixes(text: bytes, order: Sequence[int], enough: int | None = None) -> np.ndarray:
+    """plcp[p]: the common prefix of suffix p with the one before it in order (0 for the first).
 
-    Where a suffix and the one before it in order are both followed by chosen ones, the next prefix is at most one
-    shorter, as for whole arrays; elsewhere it is counted anew.
+    With ``enough`` given, prefixes that long or longer are only known to be so.
     """
-    before = [-1] * len(text)
-    for a, b in zip(order, order[1:]):
-        before[b] = a
-    found, have, last = {}, 0, -2
-    for p in sorted(order):
-        q = before[p]
-        if q < 0:
-            found[p], last = 0, -2
-            continue
-        have = have - 1 if last == p - 1 and have and chosen[before[last] + 1] else 0
-        while have < limit:
-            step = min(32, limit - have)
-            i, j = p + have, q + have
-            a, b = text[i : i + step], text[j : j + step]
-            if a == b and len(a) == step:
-                have += step
-                continue
-            for x, y in zip(a, b):
-                if x != y:
-                    break
-                have += 1
-            break
-        found[p], last = have, p
-    return [found[p] for p in order]
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
+    codes = np.frombuffer(text + bytes(8), np.uint8)
+    words = codes[:n].astype(np.uint64)
+    for i in range(1, 8):
+        words = (words << np.uint64(8)) | codes[i : n + i]
+    order = np.asarray(order)
+    before = np.full(n, -1)
+    before[order[1:]] = order[:-1]
+    here = np.arange(n)
+    counted = (before < 1) | (here == 0) | (codes[here - 1] != codes[before - 1])
+    if enough is not None:
+        counted |= here % 1024 == 0  # so that none is counted far beyond enough
+    heads = np.flatnonzero(counted)
+    # a counted prefix stands for all the positions up to the next one
+    need = np.diff(np.append(heads, n)) + (n if enough is None else enough)
+    have, live = np.zeros(len(heads), np.int64), np.flatnonzero(before[heads] >= 0)
+    while len(live):
+        i, j = heads[live] + have[live], before[heads[live]] + have[live]
+        room = n - np.maximum(i, j)
+        inside = room > 0
+        live, i, j, room = live[inside], i[inside], j[inside], room[inside]
+        differ = words[i] ^ words[j]
+        same = np.full(len(live), 8)
+        odd = np.flatnonzero(differ)
+        if len(odd):  # equal letters before the first one that differs
+            byte = differ[odd].byteswap().view(np.uint8).reshape(-1, 8) != 0
+            same[odd] = byte.argmax(1)
+        same = np.minimum(same, room)
+        have[live] += same
+        live = live[(same == 8) & (have[live] < need[live])]
+    return have[np.cumsum(counted) - 1] - (here - heads[np.cumsum(counted) - 1])

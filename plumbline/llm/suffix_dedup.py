@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import textbytes as tb
 from plumbline.llm.saved import saved
-from plumbline.llm.suffix_array import chosen_prefixes, suffix_array
+from plumbline.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 100
 GRAM = 20
@@ -222,13 +222,9 @@ def shard_repeats(rows: list[tuple], length: int) -> list[tuple]:
     owner = np.repeat(np.arange(len(rows)), counts)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     spot = base[owner] + inner
-    chosen = np.zeros(len(text) + 1, bool)
-    chosen[spot] = True
     order = np.array(suffix_array(text))
-    order = order[chosen[order]]
-    prefixes = np.array(chosen_prefixes(text, order.tolist(), chosen.tobytes(), length))
     group = np.empty(len(text), np.int64)
-    group[order] = np.cumsum(prefixes < length)
+    group[order] = np.cumsum(common_prefixes(text, order, length)[order] < length)
     mine = group[spot]
     _, first = np.unique(mine, return_index=True)
     again = np.ones(len(spot), bool)
