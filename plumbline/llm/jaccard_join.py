@@ -9,12 +9,13 @@ that are still large are divided again.
 Unrelated texts are all at distance 1 from each other and from any document, so document pivots cannot
 divide a whole corpus: every document would be copied to every region. The outermost regions therefore
 come from the other metric of sets, the size of their difference. Linked sets of given sizes
-differ in at most k elements; shingles are dealt into k + 2 classes by hash, so at least two classes
-hold the same shingles in both sets. The hash of a class's shingles is a region key, and the least
-set of a key is the pivot of all who share it. Sizes are dealt into ranges, with keys made for a
+differ in at most k elements, and so do what is left of them without any given shingles. Shingles are dealt into k + 1 + s classes by hash, so at least s + 1
+classes hold the same shingles in both sets. The hash of a class's shingles is a region key, and the least
+set of a key is the pivot of all who share it. Shingles that a sample shows to be common (passages that many documents hold) are in
+no class, so that they alone bring no sets together. Sizes are dealt into ranges, with keys made for a
 set's own range and, where a linked set may be smaller, for the one below. A class without shingles
-makes no key; sets with two or more such classes get their least shingle hashes as keys
-as well (as many as guarantee a shared one), so no link is lost.
+makes no key; s is chosen so that few sets have more than s such classes, and those get their first shingles as keys
+as well, rare ones before common ones, as many as guarantee a shared one, so no link is lost.
 
 Components are formed early: every set is first measured against the least of its pivots. Each region
 that still holds several components is then settled by pivot, window and recursion: one that a task
@@ -35,8 +36,12 @@ is a component's id only where no other is. Other columns than doc_id and text a
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +52,6 @@ from plumbline.llm.saved import saved
 _U = np.uint64
 #: Sets in a region that one task compares by itself, and shingles they may have together.
 REGION, REGION_SHINGLES = 400, 4_000_000
-_SPARE = 1  # classes without shingles that a set may have before it gets the other keys
 _WIDE = 2  # threshold ratios in a range of sizes
 #: Levels of division; parts of a region whose middle sets become pivots.
 DEPTH, PIVOTS = 4, 16
@@ -93,37 +97,54 @@ def node_ids(found: np.ndarray, at: np.ndarray, n_rows: int, twins: np.ndarray)
     return np.where(both, tb.mix(first + tb.mix(second)), first).view(np.int64)
 
 
-def region_keys(found: np.ndarray, at: np.ndarray, n_rows: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) such that linked rows share a key."""
+@lru_cache(maxsize=4096)
+def spare(differ: int, least: int) -> int:
+    """Classes to have beyond differ + 1, so that few sets of ``least`` shingles or more have more empty ones than that."""
+    s = 1
+    while (empty := (differ + 1 + s) * math.exp(-least / (differ + 1 + s))) + 2 * math.sqrt(empty) > s and s <= differ:
+        s += 1
+    return s
+
+
+def region_keys(found: np.ndarray, at: np.ndarray, n_rows: int, num: int, den: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) such that linked rows share a key; shingles in common (sorted) are left out of the classes."""
     n = np.bincount(at, minlength=n_rows)
     starts = size_ranges(num, den, int(n.max(initial=1)))
     own = np.searchsorted(starts, n, "right") - 1
-    first = np.concatenate([[0], np.cumsum(n)])
+    rare = ~np.isin(found, common) if len(common) else np.ones(len(found), bool)
+    rows_, shingles_ = at[rare], found[rare]
     keys, rows = [], []
     odd = np.zeros(n_rows, bool)
     below = (own > 0) & (-(-n * num // den) < starts[np.maximum(own, 0)])
+    bounds = np.append(starts, 2 * starts[-1])
+    differ = (den - num) * (bounds[1:] - 1 + (bounds[1:] - 1) * den // num) // (den + num)
+    extra = np.array([spare(int(d), int(s)) for d, s in zip(differ, starts, strict=True)])
     for instance, has in ((own, n > 0), (own - 1, below)):
-        top = np.append(starts, 2 * starts[-1])[np.maximum(instance, 0) + 1] - 1
-        differ = (den - num) * (top + top * den // num) // (den + num)
-        classes = np.where(has, differ + 1 + _SPARE, 0)
+        instance = np.maximum(instance, 0)
+        classes = np.where(has, differ[instance] + 1 + extra[instance], 0)
         base = np.concatenate([[0], np.cumsum(classes)])
-        use = has[at]
-        row = at[use]
-        slot = base[row] + ((found[use] >> _U(7)) % classes[row].astype(_U)).astype(np.int64)
+        use = has[rows_]
+        row, shingle = rows_[use], shingles_[use]
+        slot = base[row] + ((shingle >> _U(7)) % classes[row].astype(_U)).astype(np.int64)
         total = np.zeros(base[-1], _U)
-        np.add.at(total, slot, tb.mix(found[use]))
+        np.add.at(total, slot, tb.mix(shingle))
         filled = np.bincount(slot, minlength=base[-1]) > 0
         owner = np.repeat(np.arange(n_rows), classes)
         number = np.arange(base[-1]) - base[owner]
         empty = np.bincount(owner[~filled], minlength=n_rows)
-        odd |= has & (empty > _SPARE)
+        odd |= has & (empty > extra[instance])
         tag = tb.mix(number.astype(_U) + (instance[owner].astype(_U) << _U(32)))
         keys.append(tb.mix(total + tag)[filled])
         rows.append(owner[filled])
-    for r in np.flatnonzero(odd):
-        most = n[r] + (-n[r] * num // den) + 1  # n - ceil(n * num / den) + 1
-        keys.append(tb.mix(found[first[r] : first[r] + most] ^ _U(0xC2B2AE3D27D4EB4F)))
-        rows.append(np.full(most, r))
+    if odd.any():  # the first shingles, the rare ones before the common: as many as guarantee a shared one
+        use = odd[at]
+        row, shingle = at[use], found[use]
+        order = np.lexsort((shingle, ~rare[use], row))
+        row, shingle = row[order], shingle[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        first = place < n[row] + (-n[row] * num // den) + 1  # n - ceil(n * num / den) + 1
+        keys.append(tb.mix(shingle[first] ^ _U(0xC2B2AE3D27D4EB4F)))
+        rows.append(row[first])
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -147,7 +168,31 @@ def sets_table(docs: DataFrame, k: int, twins: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, check bigint")
 
 
-def keyed_sets(docs: DataFrame, k: int, num: int, den: int, twins: np.ndarray) -> DataFrame:
+#: One in SAMPLED documents is looked at to find shingles, and keys, that more than one in COMMON of them hold.
+SAMPLED, COMMON, SALTS = 64, 10_000, 64
+#: Holders in the sample that a common shingle, and a common key, has at least.
+HOLDERS, KEY_HOLDERS = 3, 32
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    return docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SAMPLED)) == 0)
+
+
+def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of shingles that several documents of the sample, and more than one in COMMON of them, hold: at most COMMON times the shingles of a document."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, buf, offs in tb.runs(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([_signed(shingle_sets(buf, offs, k)[0])], ["shingle"])
+
+    part = sampled(docs)
+    least = max(HOLDERS, -(-part.select("doc_id").count() // COMMON))
+    found = part.select("text").mapInArrow(run, "shingle bigint").groupBy("shingle").count().where(F.col("count") >= least)
+    return np.sort(found.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(_U))
+
+
+def keyed_sets(docs: DataFrame, k: int, num: int, den: int, twins: np.ndarray, common: Broadcast) -> DataFrame:
     """(key, node) rows; equal sets in one Arrow batch give theirs once."""
 
     def run(batches):
@@ -162,28 +207,25 @@ def keyed_sets(docs: DataFrame, k: int, num: int, den: int, twins: np.ndarray) -
                         seen.add(x)
                         fresh[r] = True
                 use = fresh[at]
-                keys, row = region_keys(found[use], at[use], end - start, num, den)
+                keys, row = region_keys(found[use], at[use], end - start, num, den, common.value)
                 yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(node[row])], ["key", "node"])
 
     return docs.select("text").mapInArrow(run, "key bigint, node bigint")
 
 
-#: One in SAMPLED documents is looked at to find keys that more than one in COMMON of them hold.
-SAMPLED, COMMON, SALTS = 64, 10_000, 64
-
-
 def meetings(docs: DataFrame, k: int, num: int, den: int, twins: np.ndarray, shingles: int = 0) -> DataFrame:
     """(pivot, node): the holders of every key that several sets hold with the least of them, itself left out.
 
     The keys are shuffled once and looked at in windows. Keys that a sample shows to be held by very many
     documents are salted, and their least holders found by a grouped aggregation over what the salts leave. ``shingles``: about how many there are.
     """
-    part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SAMPLED)) == 0)
-    counted = keyed_sets(part, k, num, den, twins).groupBy("key").agg(F.countDistinct("node").alias("n"))
-    least = F.greatest(F.lit(32), F.ceil(F.lit(part.select("doc_id").count()) / COMMON))
+    part = sampled(docs)
+    usual = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
+    counted = keyed_sets(part, k, num, den, twins, usual).groupBy("key").agg(F.countDistinct("node").alias("n"))
+    least = max(KEY_HOLDERS, -(-part.select("doc_id").count() // COMMON))
     common = saved(counted.where(F.col("n") >= least).select("key", F.lit(True).alias("hot")), 0)
     # at most COMMON times the keys of a document: a bounded table
-    rows = keyed_sets(docs, k, num, den, twins).join(F.broadcast(common), "key", "left")
+    rows = keyed_sets(docs, k, num, den, twins, usual).join(F.broadcast(common), "key", "left")
     rows = rows.select("key", "node", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(0).alias("salt"))
     group = Window.partitionBy("key", "salt")
     rows = rows.withColumns({"pivot": F.min("node").over(group), "last": F.max("node").over(group)})
@@ -340,20 +382,21 @@ _ROW = (("block", pa.int64()), ("node", pa.int64()), ("side", pa.int32()), ("lab
 _ROWS = "block bigint, node bigint, side int, label bigint"
 
 
-def hopeful(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of rows(block, node, side, label) whose sketches allow a link to another label in the block, and its side 0."""
+def hopeful(rows: DataFrame, sets: DataFrame, num: int, den: int, across: bool = False) -> DataFrame:
+    """Those of rows(block, node, side, label) whose sketches allow a link to another label in the block, and its side 0; across: only those that allow one between the sides."""
 
     def run(batches):
         for block, group in _grouped(batches, "block", "u1"):
             sizes, counts = _sketched(group)
             label = np.array([g[2] for g in group])
+            side = np.array([g[1] for g in group])
             keep = np.zeros(len(group), bool)
-            for i in range(len(group) - 1):
-                other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            for i in range(int((side == 0).sum()) if across else len(group) - 1):
+                other = np.flatnonzero((label[i + 1 :] != label[i]) & (not across or side[i + 1 :] != side[i])) + i + 1
                 if len(other) and (hit := other[possible(counts[i], sizes[i], counts[other], sizes[other], num, den)]).size:
                     keep[i] = keep[hit] = True
             if keep.any():
-                yield _batch([(block, g[0], g[1], g[2]) for g, k in zip(group, keep, strict=True) if k or g[1] == 0], *_ROW)
+                yield _batch([(block, g[0], g[1], g[2]) for g, k in zip(group, keep, strict=True) if k or (g[1] == 0 and not across)], *_ROW)
 
     return _dealt(rows, sets, "block", "sketch").mapInArrow(run, _ROWS)
 
@@ -485,7 +528,7 @@ def settle(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         if not (n := large.count()):
             return merged(named, edges)
         if level == DEPTH or not divides:
-            return merged(named, saved(edges.unionByName(compare(saved(by_parts(large)), sets, num, den, across=True))))
+            return merged(named, saved(edges.unionByName(compare(saved(hopeful(saved(by_parts(large)), sets, num, den, across=True)), sets, num, den, across=True))))
         cells_, near = divided(large, sets, eps, level)
         # windows may copy all members to all pivots: then the regions stay as they are, with what the pivots have linked
         divides = cells_.count() <= 2 * n
