@@ -41,42 +41,63 @@ def exact_paired_p(a_only: Column, b_only: Column) -> Column:
 
 
 #: Container types whose element type is what a field refers to.
-CONTAINERS = ("List", "Set", "Sequence", "Iterable", "Optional", "Dict", "Map", "Mapping", "Collection", "ArrayList", "HashMap")
+CONTAINERS = ("List", "list", "Optional", "Set", "set", "Iterable", "Sequence", "Array", "Collection", "ArrayList", "Mapping")
 #: Language of a file extension.
-LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "cs": "csharp", "php": "php"}
+LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "cs": "csharp", "php": "php"}
+#: Extensions an import string may carry, in the order they are taken off.
+IMPORTED = ("js", "jsx", "ts", "tsx", "py", "java", "mjs")
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def type_head(text: Column) -> Column:
-    """The type a declaration refers to: the element type of a container, else what stands before the first bracket."""
-    first = F.trim(F.get(F.split(F.regexp_replace(text, "['\"]", ""), r"\|"), F.lit(0)))
-    inner = F.regexp_extract(first, rf"^(?:{'|'.join(CONTAINERS)})\s*[\[<](?:.*,)?\s*([^,\[\]<>]+)[\]>]", 1)
-    head = F.trim(F.regexp_extract(first, r"^([^\[<(]*)", 1))
-    return F.when(inner != "", F.trim(inner)).otherwise(head)
+    """The type a declaration refers to: what stands before the first bracket, or, in a list-like container, the last type inside it.
+
+    Of the brackets [, < and ( the first kind that occurs counts. Alternatives after | are left out, then quotes; NULL if nothing is left.
+    """
+    bare = _stripped(F.regexp_replace(_stripped(text), "^:+", ""))
+    found = bare
+    for opener in ("(", "<", "["):
+        head = _stripped(F.substring_index(bare, opener, 1))
+        inner = F.regexp_replace(F.substr(bare, F.locate(opener, bare) + F.lit(1)), r"[\]>)]+$", "")
+        inside = F.when(head.isin(*CONTAINERS), _stripped(F.element_at(F.split(inner, ","), -1))).otherwise(head)
+        found = F.when(F.contains(bare, F.lit(opener)), inside).otherwise(found)
+    first = _stripped(F.substring_index(found, "|", 1))
+    return F.nullif(F.regexp_replace(F.regexp_replace(first, '^"+|"+$', ""), "^'+|'+$", ""), F.lit(""))
 
 
 def callee(text: Column) -> Column:
-    """[receiver, name] of a call expression, NULL if it is over 200 characters or ends in no identifier."""
-    plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"->|::", "."), r"\(.*$", "")
-    parts = F.split(plain, r"\.")
-    name = F.element_at(parts, -1)
-    receiver = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), ".")
-    good = (F.length(text) <= 200) & name.rlike(r"^[A-Za-z_]\w*$")
+    """[receiver, name] of a call expression; the receiver is NULL where there is none. NULL if the part before the arguments is over
+    200 characters or ends in no identifier."""
+    joined = F.regexp_replace(F.regexp_replace(_stripped(F.regexp_replace(text, r"\s+", " ")), r"->|::", "."), r"^\$+", "")
+    plain = _stripped(F.substring_index(joined, "(", 1))
+    parts = F.filter(F.split(plain, r"\."), lambda x: x != "")
+    name = _stripped(F.try_element_at(parts, F.lit(-1)))
+    receiver = F.nullif(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "."), F.lit(""))
+    good = (F.length(plain) <= 200) & name.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$")
     return F.when(good, F.struct(receiver.alias("receiver"), name.alias("name")))
 
 
 def module_name(text: Column) -> Column:
-    """An import string without quotes, leading ./ or ../ and a known extension."""
-    bare = F.regexp_replace(F.regexp_replace(text, "['\"`;]", ""), r"^(?:\.{1,2}/)+", "")
-    return F.regexp_replace(bare, rf"\.(?:{'|'.join(LANGUAGES)})$", "")
+    """An import string without quotes around it, leading dots and slashes, and known extensions."""
+    bare = F.regexp_replace(F.regexp_replace(_stripped(text), "^['\"]+|['\"]+$", ""), r"\\", "/")
+    bare = F.regexp_replace(bare, r"^[./]+", "")
+    for extension in IMPORTED:
+        bare = F.regexp_replace(bare, rf"\.{extension}$", "")
+    return bare
 
 
 def module_keys(path: Column) -> Column:
-    """All names a file may be imported by: its path, and every suffix of it with slashes and with dots; a package by its folder."""
-    stem = F.regexp_replace(F.regexp_replace(path, r"\.[A-Za-z]+$", ""), r"/__init__$", "")
+    """All names a file may be imported by: its path, and every suffix of it with slashes and with dots; a package by its folder too."""
+    stem = F.regexp_replace(F.regexp_replace(path, r"(?<=[^/\\])\.[^./\\]*$", ""), r"\\", "/")
     parts = F.split(stem, "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.slice(parts, i, F.size(parts)))
     spelled = F.flatten(F.transform(tails, lambda t: F.array(F.array_join(t, "/"), F.array_join(t, "."))))
-    return F.array_sort(F.array_distinct(F.concat(F.array(path), spelled)))
+    folder = F.regexp_extract(stem, r"^(.+)/__init__$", 1)
+    package = F.array(folder, F.replace(folder, F.lit("/"), F.lit(".")))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(path), spelled, package), lambda k: k != "")))
 
 
 def language(path: Column) -> Column:

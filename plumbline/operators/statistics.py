@@ -312,12 +312,20 @@ def drift_direction(points: DataFrame) -> DataFrame:
 
 
 def drift_rate(runs: DataFrame) -> DataFrame:
-    """Change of divergences and absences per commit between a project's first and last row."""
-    total = F.col("divergences") + F.col("absences")
+    """Change of divergences and absences per commit between a project's first and last measured row, NULL with fewer than two."""
+    total = F.coalesce("divergences", F.lit(0)) + F.coalesce("absences", F.lit(0))
     order = F.struct("commit_index", "gate_strategy")
-    out = runs.groupBy("project").agg(F.max_by(total, order).alias("last"), F.min_by(total, order).alias("first"), (F.max("commit_index") - F.min("commit_index")).alias("span"))
-    return out.select("project", rate(F.col("last") - F.col("first"), F.greatest(F.lit(1), F.col("span"))).alias("drift_rate"))
+    measured = F.col("divergences").isNotNull() | F.col("absences").isNotNull()
+    out = runs.groupBy("project").agg(
+        F.max_by(F.when(measured, total), F.when(measured, order)).alias("last"),
+        F.min_by(F.when(measured, total), F.when(measured, order)).alias("first"),
+        (F.max(F.when(measured, F.col("commit_index"))) - F.min(F.when(measured, F.col("commit_index")))).alias("span"),
+        count_if(measured).alias("points"),
+    )
+    slope = rate(F.col("last") - F.col("first"), F.greatest(F.lit(1), F.col("span")))
+    return out.select("project", F.when(F.col("points") >= 2, slope).alias("drift_rate"))
 
 
 def staleness_verdict(stale_commits: Column, code_files: Column) -> Column:
-    return F.when(stale_commits == 0, "current").when(code_files == 0, "unaffected").when(stale_commits < 30, "ageing").otherwise("stale")
+    """A diagram fewer than 30 commits behind is ageing, whatever has changed since."""
+    return F.when(stale_commits == 0, "current").when(stale_commits < 30, "ageing").when(code_files == 0, "unaffected").otherwise("stale")

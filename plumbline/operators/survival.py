@@ -6,26 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: States in which an element departs from its design.
-DEVIATING = ("absent", "divergent")
+DEVIATING = ("absent", "partial", "divergent")
 
 
 def observations(status: DataFrame) -> DataFrame:
-    """One row per element that conformed at its first commit: time of its first deviation, or of the last commit if there is none."""
+    """One row per element: whether it deviated at its first commit, else the commits from there to its first deviation (an event), or to its last commit if there is none."""
     bad = F.col("status").isin(*DEVIATING)
     out = status.groupBy("project", "element").agg(
-        F.min_by("status", "commit_index").alias("at_first"), F.min(F.when(bad, F.col("commit_index"))).alias("deviated"), F.max("commit_index").alias("last")
+        F.min_by("status", "commit_index").alias("at_first"), F.min(F.when(bad, F.col("commit_index"))).alias("deviated"), F.max("commit_index").alias("last"), F.min("commit_index").alias("start")
     )
-    return out.select("project", "element", F.col("at_first").isin(*DEVIATING).alias("at_freeze"), F.coalesce("deviated", "last").alias("time"), F.col("deviated").isNotNull().alias("event"))
+    time = (F.coalesce("deviated", "last") - F.col("start")).alias("time")
+    return out.select("project", "element", F.col("at_first").isin(*DEVIATING).alias("at_freeze"), time, F.col("deviated").isNotNull().alias("event"), "deviated", "last")
 
 
 def kaplan_meier(observed: DataFrame, *keys: str) -> DataFrame:
     """(keys, time, at_risk, events, survival) at event times; censored rows leave after the events of their time.
 
-    The windows run over distinct times, which a grouped aggregation has reduced the rows to.
+    The windows run over distinct times, which a grouped aggregation has reduced the rows to, each as a running sum.
     """
     times = observed.groupBy(*keys, "time").agg(F.sum(F.col("event").cast("bigint")).alias("events"), F.count("*").alias("leaving"))
     order = Window.partitionBy(*keys).orderBy("time")
-    times = times.withColumn("at_risk", F.sum("leaving").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    times = times.withColumn("at_risk", F.sum("leaving").over(Window.partitionBy(*keys).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)))
     survival = F.product(1 - F.col("events") / F.col("at_risk")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return times.withColumn("survival", survival).where("events > 0").select(*keys, "time", "at_risk", "events", "survival")
 
@@ -36,26 +37,35 @@ def km_quantile(curve: DataFrame, level: float, *keys: str) -> DataFrame:
 
 
 def element_survival(status: DataFrame, *keys: str) -> DataFrame:
-    """Per project (or pooled, without keys): elements at risk, deviating at the freeze, events, window, survival at the end, half-life."""
+    """Per project (or pooled, without keys): elements at risk, deviating at the freeze, events, commits of the window, half-life (or the
+    commit it lies beyond) and survival at the end, NULL where no element was at risk."""
     seen = observations(status)
     risk = seen.where("NOT at_freeze")
     sums = seen.groupBy(*keys).agg(
         F.sum((~F.col("at_freeze")).cast("bigint")).alias("at_risk"),
         F.sum(F.col("at_freeze").cast("bigint")).alias("deviating_at_freeze"),
         F.sum((~F.col("at_freeze") & F.col("event")).cast("bigint")).alias("events"),
-        F.max("time").alias("window"),
+        (F.max("last") + 1).alias("window"),
     )
     curve = kaplan_meier(risk, *keys)
     tail = curve.groupBy(*keys).agg(F.min("survival").alias("end"), F.min(F.when(F.col("survival") <= 0.5 + 1e-12, F.col("time"))).alias("half_life"))
     joined = sums.join(tail, list(keys), "left") if keys else sums.crossJoin(F.broadcast(tail))  # one row each
-    return joined.withColumn("survival_at_end", F.coalesce("end", F.lit(1.0))).drop("end")
+    beyond = F.when(F.col("half_life").isNull(), F.col("window") - 1)
+    return joined.withColumns({"survival_at_end": F.coalesce("end", F.when(F.col("at_risk") > 0, 1.0)), "censored_beyond": beyond}).drop("end")
+
+
+def first_deviations(status: DataFrame) -> DataFrame:
+    """(project, element, commit_index) of the first deviation of every element that conformed at its first commit."""
+    return observations(status).where("NOT at_freeze AND event").select("project", "element", F.col("deviated").alias("commit_index"))
 
 
 def recovery_horizons(served: DataFrame) -> DataFrame:
     """Each stale stretch once, at its onset: commits until what is served agrees again, NULL if it never does."""
     order = Window.partitionBy("project", "gate_strategy").orderBy("commit_index")
     before = F.coalesce(F.lag("diverges_from_oracle").over(order), F.lit(False))
-    good = F.min(F.when(~F.col("diverges_from_oracle"), F.col("commit_index"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # backwards, so that the next agreeing commit is a running value
+    back = Window.partitionBy("project", "gate_strategy").orderBy(F.desc("commit_index")).rowsBetween(Window.unboundedPreceding, -1)
+    good = F.last(F.when(~F.col("diverges_from_oracle"), F.col("commit_index")), ignorenulls=True).over(back)
     out = served.withColumns({"before": before, "good": good}).where("missed_change AND NOT before")
     return out.select("project", "gate_strategy", "commit_index", (F.col("good") - F.col("commit_index")).alias("horizon"))
 

@@ -68,9 +68,9 @@ horizons AS (SELECT project, gate_strategy, commit_index, good - commit_index AS
 _POINTS = _R + f""", pts AS (SELECT project, commit_index, divergences, absences, source_touched, conformance_changed FROM runs
   QUALIFY row_number() OVER (PARTITION BY project, commit_index ORDER BY {_RANK}, gate_strategy) = 1)
 """
-_OBS = cte("element_status") + """, obs AS (SELECT project, element, arg_min(status, commit_index) IN ('absent', 'divergent') AS at_freeze,
-  coalesce(min(commit_index) FILTER (status IN ('absent', 'divergent')), max(commit_index)) AS time,
-  count(*) FILTER (status IN ('absent', 'divergent')) > 0 AS event FROM element_status GROUP BY project, element)
+_OBS = cte("element_status") + """, obs AS (SELECT project, element, arg_min(status, commit_index) IN ('absent', 'partial', 'divergent') AS at_freeze,
+  coalesce(min(commit_index) FILTER (status IN ('absent', 'partial', 'divergent')), max(commit_index)) - min(commit_index) AS time, max(commit_index) AS last,
+  count(*) FILTER (status IN ('absent', 'partial', 'divergent')) > 0 AS event FROM element_status GROUP BY project, element)
 """
 
 
@@ -98,7 +98,7 @@ sums AS (SELECT l.project, diagram, count(DISTINCT commit_ord) AS stale_commits,
 stale AS (SELECT l.project, l.diagram, last_commit, coalesce(stale_commits, 0) AS stale_commits, coalesce(code, 0) AS code_files_changed_since, CAST(date_diff('day', last_changed, head_date) AS BIGINT) AS stale_days
   FROM lastc l LEFT JOIN sums s ON l.project = s.project AND l.diagram = s.diagram JOIN head h ON l.project = h.project)
 """
-_VERDICT = "CASE WHEN stale_commits = 0 THEN 'current' WHEN code_files_changed_since = 0 THEN 'unaffected' WHEN stale_commits < 30 THEN 'ageing' ELSE 'stale' END"
+_VERDICT = "CASE WHEN stale_commits = 0 THEN 'current' WHEN stale_commits < 30 THEN 'ageing' WHEN code_files_changed_since = 0 THEN 'unaffected' ELSE 'stale' END"
 _PATHS = cte("commit_files") + ", paths AS (SELECT DISTINCT path FROM commit_files)"
 _NODES = cte("snap_nodes", "snap_edges") + """, vn AS (SELECT DISTINCT project, version FROM snap_nodes), nx AS (SELECT project, version, lead(version) OVER (PARTITION BY project ORDER BY version) AS nxt FROM vn),
 oldn AS (SELECT n.project, nxt AS version, node, kind, signature FROM snap_nodes n JOIN nx USING (project, version) WHERE nxt IS NOT NULL),
@@ -252,16 +252,17 @@ s AS (SELECT project, count(*) AS points, arg_max(divergences, commit_index) - a
   greatest(1, max(commit_index) - min(commit_index)) AS span, count(*) FILTER (dd + da > 0) AS eroding, count(*) FILTER (dd + da < 0) AS repairing, count(*) FILTER (dd IS NOT NULL AND source_touched) AS touched FROM m GROUP BY project)
 SELECT project, points, nd AS net_divergences, na AS net_absences, span, eroding, repairing, touched, CASE WHEN nd = 0 AND na = 0 THEN 'stable' WHEN nd > 0 AND nd >= greatest(na, 0) THEN 'divergence-led' WHEN na > 0 THEN 'absence-led' ELSE 'converging' END AS label,
   round((nd + na) / CAST(span AS DOUBLE), 6) AS per_commit, round((nd + na) / CAST(nullif(touched, 0) AS DOUBLE), 6) AS per_touching FROM s WHERE points >= 2""",
-    "f05_drift_rate": _R + """SELECT project, round((max(divergences + absences) FILTER (commit_index = hi) - max(divergences + absences) FILTER (commit_index = lo)) / CAST(greatest(1, any_value(hi) - any_value(lo)) AS DOUBLE), 6) AS drift_rate
+    "f05_drift_rate": _R + """SELECT project, CASE WHEN count(*) >= 2 THEN round((max(divergences + absences) FILTER (commit_index = hi) - max(divergences + absences) FILTER (commit_index = lo)) / CAST(greatest(1, any_value(hi) - any_value(lo)) AS DOUBLE), 6) END AS drift_rate
 FROM (SELECT *, max(commit_index) OVER (PARTITION BY project) AS hi, min(commit_index) OVER (PARTITION BY project) AS lo FROM runs) GROUP BY project""",
     "f06_drift_series": _POINTS + "SELECT project, commit_index, divergences + absences AS drift FROM pts QUALIFY count(*) OVER (PARTITION BY project) >= 2",
     "f07_kaplan_meier": _OBS + _curve("project") + "SELECT project, time, at_risk, events, round(survival, 6) AS survival FROM curve",
     "f08_km_quantile": _OBS + _curve("project") + "SELECT project, min(time) FILTER (survival <= 0.8 + 1e-12) AS quantile FROM curve GROUP BY project",
-    "f09_element_survival": _OBS + _curve("project") + """, s AS (SELECT project, count(*) FILTER (NOT at_freeze) AS at_risk, count(*) FILTER (at_freeze) AS deviating_at_freeze, count(*) FILTER (NOT at_freeze AND event) AS events, max(time) AS "window" FROM obs GROUP BY project),
+    "f09_element_survival": _OBS + _curve("project") + """, s AS (SELECT project, count(*) FILTER (NOT at_freeze) AS at_risk, count(*) FILTER (at_freeze) AS deviating_at_freeze, count(*) FILTER (NOT at_freeze AND event) AS events, max(last) + 1 AS "window" FROM obs GROUP BY project),
 e AS (SELECT project, min(survival) AS e, min(time) FILTER (survival <= 0.5 + 1e-12) AS half_life FROM curve GROUP BY project)
-SELECT s.*, half_life, round(coalesce(e, 1.0), 6) AS survival_at_end FROM s LEFT JOIN e USING (project)""",
+SELECT s.*, half_life, round(coalesce(e, CASE WHEN at_risk > 0 THEN 1.0 END), 6) AS survival_at_end, CASE WHEN half_life IS NULL THEN "window" - 1 END AS censored_beyond FROM s LEFT JOIN e USING (project)""",
     "f10_pooled_survival": _OBS + _curve("") + """SELECT (SELECT count(*) FROM obs WHERE NOT at_freeze) AS at_risk, (SELECT count(*) FROM obs WHERE at_freeze) AS deviating_at_freeze, (SELECT count(*) FROM obs WHERE NOT at_freeze AND event) AS events,
-  (SELECT max(time) FROM obs) AS "window", min(time) FILTER (survival <= 0.5 + 1e-12) AS half_life, round(coalesce(min(survival), 1.0), 6) AS survival_at_end FROM curve""",
+  (SELECT max(last) + 1 FROM obs) AS "window", min(time) FILTER (survival <= 0.5 + 1e-12) AS half_life, round(coalesce(min(survival), CASE WHEN (SELECT count(*) FROM obs WHERE NOT at_freeze) > 0 THEN 1.0 END), 6) AS survival_at_end,
+  CASE WHEN min(time) FILTER (survival <= 0.5 + 1e-12) IS NULL THEN (SELECT max(last) FROM obs) END AS censored_beyond FROM curve""",
     "f11_recovery_horizons": _HORIZON + "SELECT * FROM horizons",
     "f12_median_horizon": _HORIZON + """, tot AS (SELECT gate_strategy, count(*) AS total, count(horizon) AS resolved, max(horizon) AS longest FROM horizons GROUP BY ALL),
 ev AS (SELECT gate_strategy, horizon, count(*) AS n FROM horizons WHERE horizon IS NOT NULL GROUP BY ALL),
@@ -274,9 +275,9 @@ SELECT gate_strategy, total, resolved, median, CASE WHEN median IS NULL THEN coa
 line AS (SELECT project, sha, CAST(0 AS BIGINT) AS depth FROM tips UNION ALL SELECT l.project, c.parent0, depth + 1 FROM line l JOIN commits c ON c.project = l.project AND c.sha = l.sha WHERE c.parent0 IS NOT NULL) SELECT * FROM line""",
     "c26_newest_plain_commits": cte("commits") + "SELECT project, sha, row_number() OVER (PARTITION BY project ORDER BY committed_at DESC, sha DESC) AS place FROM commits WHERE parent1 IS NULL QUALIFY place <= 25",
     "c27_diagram_staleness": _STALE + f"SELECT *, {_VERDICT} AS verdict FROM stale",
-    "g03_stale_diagrams": _STALE + f"SELECT project, diagram, stale_commits FROM stale WHERE {_VERDICT} IN ('ageing', 'stale')",
+    "g03_stale_diagrams": _STALE + f"SELECT project, diagram, stale_commits FROM stale WHERE {_VERDICT} = 'stale'",
     "g01_gate_order": _R + f"SELECT DISTINCT gate_strategy, CAST({_RANK} AS BIGINT) AS place FROM runs",
-    "b02_type_heads": "SELECT p_partkey, split_part(p_type, ' ', 1) AS head FROM part",
+    "b02_type_heads": "SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN 'Map' ELSE split_part(p_type, ' ', 1) END AS head FROM part",
     "b03_callee_split": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'self.' || split_part(p_name, ' ', 1) END AS receiver, CASE WHEN p_size % 2 = 0 THEN 'save' END AS name FROM part",
     "b18_module_keys": _PATHS + r""", s AS (SELECT path, str_split(regexp_replace(path, '\.[A-Za-z]+$', ''), '/') AS p FROM paths), k AS (SELECT path, path AS k FROM s UNION SELECT path, array_to_string(p[i:], '/') FROM s, range(1, 3) r(i) UNION SELECT path, array_to_string(p[i:], '.') FROM s, range(1, 3) r(i))
 SELECT path, string_agg(k, ',' ORDER BY k) AS keys FROM k GROUP BY path""",

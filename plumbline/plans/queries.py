@@ -528,7 +528,7 @@ def c27(spark, sf_dir):
 @query("g03_stale_diagrams")
 def g03(spark, sf_dir):
     found = history.diagram_staleness(load(spark, sf_dir, "commit_files"))
-    return found.where("verdict IN ('ageing', 'stale')").select("project", "diagram", "stale_commits").orderBy(F.desc("stale_commits"), "project")
+    return found.where("verdict = 'stale'").select("project", "diagram", "stale_commits").orderBy(F.desc("stale_commits"), "project")
 
 
 @query("g01_gate_order")

@@ -33,15 +33,21 @@ def test_exact_paired_test_stays_finite(spark):
 def test_type_heads_and_callees(spark):
     said = ["List[Order]", "Dict[str, Order]", "Order<T>", "'Order'", "Order | None", "int"]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "t string").select(fn.type_head(F.col("t"))).collect()]
-    assert got == ["Order", "Order", "Order", "Order", "Order", "int"]
-    calls = ["self.repo.save()", "a->b", "X::y", "f", "9x", "a." + "b" * 300]
+    assert got == ["Order", "Dict", "Order", "Order", "Order", "int"]
+    said = ["list[Order]", "Array<T>", "Map<String, Order>", ": Set<Order>", "Optional[List[Order]]", "List[A | B]", "  ", '"Order"', "Callable(x)"]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "t string").select(fn.type_head(F.col("t"))).collect()]
+    assert got == ["Order", "T", "Map", "Order", "List[Order", "A", None, "Order", "Callable"]
+    calls = ["self.repo.save()", "a->b", "X::y", "f", "9x", "a." + "b" * 300, "f(" + "x" * 300 + ")", "$this->save()", "f()"]
     got = [r[0] and tuple(r[0]) for r in spark.createDataFrame([(c,) for c in calls], "t string").select(fn.callee(F.col("t"))).collect()]
-    assert got == [("self.repo", "save"), ("a", "b"), ("X", "y"), ("", "f"), None, None]
+    assert got == [("self.repo", "save"), ("a", "b"), ("X", "y"), (None, "f"), None, None, (None, "f"), ("this", "save"), (None, "f")]
 
 
 def test_module_keys(spark):
     got = spark.createDataFrame([("a/b/__init__.py",)], "p string").select(fn.module_keys(F.col("p"))).first()[0]
-    assert got == sorted({"a/b/__init__.py", "a/b", "a.b", "b"})
+    assert got == sorted({"a/b/__init__.py", "a/b/__init__", "a.b.__init__", "b/__init__", "b.__init__", "__init__", "a/b", "a.b"})
+    said = ["'./lib/api.ts'", "../../x.py", "..\\y.js", "a.b", "m.mjs"]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "t string").select(fn.module_name(F.col("t"))).collect()]
+    assert got == ["lib/api", "x", "y", "a.b", "m"]
 
 
 def _graph(spark, names):
@@ -117,11 +123,40 @@ def test_supertypes(spark):
 
 
 def test_element_survival_example(spark):
-    said = {"A": ["conforming", "conforming", "divergent", "divergent"], "B": ["conforming", "absent", "absent", "absent"], "C": ["conforming"] * 4, "D": ["partial"] * 4, "E": ["absent"] * 4}
+    said = {"A": ["conforming", "conforming", "divergent", "divergent"], "B": ["conforming", "absent", "absent", "absent"], "C": ["conforming"] * 4, "D": ["partial"] * 4}
     data = [("p", e, i, s) for e, seq in said.items() for i, s in enumerate(seq)]
     out = survival.element_survival(spark.createDataFrame(data, "project string, element string, commit_index long, status string"), "project").first()
-    assert (out.at_risk, out.deviating_at_freeze, out.events) == (4, 1, 2)
-    assert out.survival_at_end == pytest.approx(0.5) and out.half_life == 2
+    assert (out.at_risk, out.deviating_at_freeze, out.events, out.window) == (3, 1, 2, 4)
+    assert out.survival_at_end == pytest.approx(1 / 3) and out.half_life == 2 and out.censored_beyond is None
+    frame = spark.createDataFrame(data, "project string, element string, commit_index long, status string")
+    assert {r.element: r.commit_index for r in survival.first_deviations(frame).collect()} == {"B": 1, "A": 2}
+    few = frame.where("element IN ('A', 'C')").unionByName(frame.where("element = 'C'").withColumn("element", F.lit("C2")))
+    out = survival.element_survival(few, "project").first()
+    assert out.half_life is None and out.censored_beyond == 3
+    late = frame.where("element = 'A'").withColumn("commit_index", F.col("commit_index") + 5)
+    assert survival.element_survival(late, "project").first().half_life == 2  # from the element's first commit
+    none = survival.element_survival(frame.where("element = 'D'"), "project").first()
+    assert none.at_risk == 0 and none.survival_at_end is None
+
+
+def test_drift_rate_needs_two_points(spark):
+    rows = [("p", 0, "always", 1, 1), ("q", 0, "always", 1, None), ("q", 2, "always", None, 4), ("q", 3, "always", None, None)]
+    runs = spark.createDataFrame(rows, "project string, commit_index long, gate_strategy string, divergences long, absences long")
+    assert {r.project: r.drift_rate for r in statistics.drift_rate(runs).collect()} == {"p": None, "q": 1.5}
+
+
+def test_horizons_equal_a_loop(spark):
+    import random
+
+    draw = random.Random(3)
+    data = [(p, "g", i, draw.random() < 0.5) for p in range(4) for i in range(40)]
+    served = spark.createDataFrame([(*d, d[3]) for d in data], "project long, gate_strategy string, commit_index long, diverges_from_oracle boolean, missed_change boolean")
+    want = set()
+    for p, _, i, bad in data:
+        mine = [d[3] for d in data if d[0] == p]
+        if bad and not (i and mine[i - 1]):
+            want.add((p, i, next((j - i for j in range(i + 1, 40) if not mine[j]), None)))
+    assert {(r.project, r.commit_index, r.horizon) for r in survival.recovery_horizons(served).collect()} == want
 
 
 def test_confusion_of_labelled_deviations(spark):
