@@ -105,7 +105,7 @@ def _pass(docs: DataFrame, items, window: int) -> DataFrame:
                     marks[s:e] = b"\x01" * (e - s)
                 n_words.append(len(words))
                 runs.append(_runs(marks))
-                found.append(sorted(ids.union(old_items)))
+                found.append(sorted(ids.union(old_items), key=lambda x: (x is not None, x or "")))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(x) for x in names), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],
                 [*names, "n_words", "hit_runs", "hit_items"],
@@ -120,7 +120,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     The benchmark is sized first. Up to ``pass_chars`` characters its tables are broadcast once; a
     larger one is dealt into blocks of about that size, and the documents go through one pass per
     block, each saved in the shared folder, so neither the driver nor a task ever holds more than one
-    block. A document is contaminated when it has a hit and 20 * n_hit >= n_words.
+    block. A document is contaminated when it has a hit and 20 * n_hit >= n_words. Items without an id are one item,
+    NULL, before all others in hit_items; rows that repeat an item_id add their windows to it.
     """
     spark: SparkSession = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")

@@ -84,8 +84,8 @@ def fit(x: Csr, label: np.ndarray, weight: np.ndarray, epochs: int = 6, rate: fl
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, epochs: int = 6):
-    """(weights, bias) learned from the labelled rows outside the held-out fold."""
-    known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & ~held_out())
+    """(weights, bias) learned from the labelled rows outside the held-out fold; a doc_id labelled both ways counts as 1."""
+    known = labels.where(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     totals = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     parts = [first_by_hash(known.where(F.col("quality") == q), per_class, 3 + q).withColumn("label", F.lit(q)) for q in (0, 1)]
     chosen = {r["doc_id"]: r["label"] for r in parts[0].union(parts[1]).collect()}
