@@ -119,7 +119,7 @@ def isomorphic(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges:
     differ = (F.col("a_n") != F.col("b_n")) | (F.col("a_e") != F.col("b_e")) | ~F.col("a_kinds").eqNullSafe(F.col("b_kinds"))
     verdict = _verified(old, new, old_edges, new_edges, rounds).select("project", "paired", "verified").distinct()
     out = both.join(verdict, "project", "left")
-    return out.select("project", F.when((F.col("a_n") > most) & ~(F.col("a_n") != F.col("b_n")), F.lit(None).cast("boolean")).when(differ | ~F.col("paired"), False).when(F.col("verified"), True).alias("isomorphic"))
+    return out.select("project", F.when((F.col("a_n") > most) & (F.col("a_n") == F.col("b_n")) & (F.col("a_e") == F.col("b_e")), F.lit(None).cast("boolean")).when(differ | ~F.col("paired"), False).when(F.col("verified"), True).alias("isomorphic"))
 
 
 def renames(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, rounds: int = 3) -> DataFrame:
