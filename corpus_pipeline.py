@@ -8,8 +8,9 @@
 5. packing: texts are tokenised and packed into sequences of 1024 tokens.
 
 The last stage gives a row per piece, the others the columns of documents. An empty table passes
-through all of them. ORACLE_SQL is None: classifiers, the random field and the packer are not
-expressible in SQL; the tests compare the stages with brute force.
+through all of them; null texts count as empty, rows that repeat a doc_id are judged each by its own text, and other
+columns are carried along. ORACLE_SQL is None: classifiers, the random field and the packer are not
+expressible in SQL; the tests compare the near-duplicate stage and the packer with brute force, and of the others columns and row counts.
 """
 
 from __future__ import annotations
