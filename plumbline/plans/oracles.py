@@ -294,8 +294,8 @@ i AS (SELECT *, list_filter([CASE WHEN d = 0 THEN 'no design' END, CASE WHEN c =
 SELECT project, CAST(committed_on AS VARCHAR) AS day, array_to_string(l, ',') AS issues, CASE WHEN len(l) = 0 THEN 50.0 END AS score FROM i""",
     "b25_output_coercion": """SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN CAST(least(100, p_size * 3) AS BIGINT) END AS score,
   CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_size % 2 = 0 THEN 'one' ELSE 'a,b' END AS gaps, p_partkey % 7 <> 0 AS readable FROM part""",
-    "c05_symbol_tables": "SELECT p_brand AS class, split_part(p_name, ' ', 1) AS method, min(p_partkey) AS method_id, count(*) AS candidates FROM part WHERE p_partkey BETWEEN 1 AND 400 GROUP BY ALL",
-    "c07_inherited_methods": """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size FROM part WHERE p_partkey BETWEEN 1 AND 400), m AS (SELECT k AS class, 'm' || CAST(p_size % 8 AS VARCHAR) AS name FROM p WHERE p_size % 4 = 0),
+    "c05_symbol_tables": "SELECT p_brand AS class, split_part(p_name, ' ', 1) AS method, min(p_partkey) AS method_id, count(*) AS candidates FROM part GROUP BY ALL",
+    "c07_inherited_methods": """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size FROM part), m AS (SELECT k AS class, 'm' || CAST(p_size % 8 AS VARCHAR) AS name FROM p WHERE p_size % 4 = 0),
 n AS (SELECT k AS c FROM p), l AS (SELECT c, c AS a, 0 AS d FROM n UNION ALL SELECT c, a // 2, d + 1 FROM l WHERE d < 4 AND a // 2 > 0 AND EXISTS (SELECT 1 FROM p WHERE p.k = l.a))
 SELECT l.c AS class, name, arg_min(m.class, d) AS method_id FROM l JOIN m ON m.class = l.a GROUP BY ALL""",
     "c08_import_bindings": _PATHS + """SELECT DISTINCT 'f' || CAST(project AS VARCHAR) AS file, replace(split_part(path, '/', 2), '.py', '') AS symbol, path AS target FROM commit_files WHERE path LIKE 'src/%'""",
