@@ -1,9 +1,10 @@
 """Chat formatting by event-sourced reconstruction, in column expressions.
 
-A log holds one row per event: conv_id, turn, copy (tells apart messages of the same turn), seq,
-kind, role, text. ``delta`` appends to a message, ``edit`` replaces what it said so far,
-``regenerate`` throws that away and starts again. Events are folded per message, so a long
-conversation is spread over many groups; only the rendered result is one row per conversation.
+A log holds one row per event: conv_id, turn, copy (tells apart messages of the same turn), seq (one sequence
+for the whole conversation), kind, role, text. ``delta`` appends to its message, ``edit`` replaces what the message
+said so far, at any later time, and leaves the turns after it alone; ``regenerate`` throws away what the message said
+and withdraws every later message said until then, since it answered a text that is gone. Events are partitioned by
+conversation, sorted by sequence and folded in windows; only the rendered result is one value per conversation.
 
 The template writes a turn as ``### role``, a line break, the text and ``</turn>`` with a line break.
 Inside roles and texts a backslash becomes ``\\b``, ``<`` becomes ``\\l`` and ``#`` becomes ``\\h`` (and a
@@ -12,7 +13,8 @@ undoing the three in reverse.
 
 Corner cases: null texts and roles are empty; messages of one turn stand in the order of role, then
 text; a repeated row is a message of its own; conversations with a null conv_id form one
-conversation; an empty log gives no rows. One rendered conversation has to fit a string (2 GB).
+conversation; events of equal seq stand in the order of turn, copy, kind, role, text; a message all of whose
+events are withdrawn is gone; other columns are left out; an empty log gives no rows. One rendered conversation has to fit a string (2 GB).
 """
 
 from __future__ import annotations
@@ -34,13 +36,19 @@ def unescape(text: Column) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, turn, copy, role, text): events from the last edit or regeneration on, joined in sequence."""
-    step = F.struct("seq", F.col("kind").isin("edit", "regenerate").alias("reset"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = events.groupBy("conv_id", "turn", "copy").agg(F.array_sort(F.collect_list(step)).alias("log"))
+    """Final messages (conv_id, turn, copy, role, text): the events that no later one withdrew, joined in sequence."""
+    said = (F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    log = events.select("conv_id", "turn", "copy", "seq", "kind", *said)
+    place, order = F.struct("turn", "copy"), ("seq", "turn", "copy", "kind", "role", "text")
+    later = Window.partitionBy("conv_id").orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    earliest = F.min(F.when(F.col("kind") == "regenerate", place)).over(later)
+    log = log.withColumn("withdrawn", F.coalesce(earliest < place, F.lit(False))).where(~F.col("withdrawn"))
+    event = F.struct("seq", F.col("kind").isin("edit", "regenerate").alias("reset"), "kind", "role", "text")
+    grouped = log.groupBy("conv_id", "turn", "copy").agg(F.array_sort(F.collect_list(event)).alias("log"))
     since = F.array_max(F.transform("log", lambda e, i: F.when(e["reset"], i).otherwise(0)))
-    grouped = grouped.withColumn("since", since)
     live = F.filter("log", lambda e, i: i >= F.col("since"))
-    return grouped.select("conv_id", "turn", "copy", F.element_at("log", -1)["role"].alias("role"), F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"))
+    text = F.array_join(F.transform(live, lambda e: e["text"]), "")
+    return grouped.withColumn("since", since).select("conv_id", "turn", "copy", F.element_at("log", -1)["role"].alias("role"), text.alias("text"))
 
 
 def render(messages: DataFrame, learned: str = "assistant") -> DataFrame:
@@ -91,17 +99,30 @@ def learned_text(formatted: Column, loss_spans: Column) -> Column:
 
 
 def as_events(rows: DataFrame) -> DataFrame:
-    """An event log that ends in these rows: texts arrive in two deltas, and assistant texts after a withdrawn first try."""
-    copy = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    """An event log that ends in these rows.
+
+    Assistant texts arrive in two deltas after a first try that was answered and then regenerated, which withdraws try and
+    answer; all other texts are begun in their turn and edited to their final form after the last turn.
+    """
     text = F.coalesce("text", F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
     parts = (text.substr(F.lit(1), half), text.substr(half + 1, F.length(text)))
-
-    def event(seq: int, kind: str, value: Column) -> Column:
-        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), value.alias("text"))
-
-    plain = F.array(event(2, "delta", parts[0]), event(3, "delta", parts[1]))
-    again = F.array(event(0, "delta", parts[0]), event(1, "regenerate", F.lit("")))
-    log = F.when(F.col("role") == "assistant", F.concat(again, plain)).otherwise(plain)
-    out = rows.withColumn("copy", copy).select("conv_id", "turn", "copy", "role", F.explode(log).alias("e"))
-    return out.select("conv_id", "turn", "copy", "role", "e.seq", "e.kind", "e.text")
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint")
+    steps, after_all = 8, 1 << 40
+
+    def event(seq: Column, kind: str, value: Column, copy: Column | None = None) -> Column:
+        own = F.col("number") if copy is None else copy
+        return F.struct(seq.alias("seq"), own.alias("copy"), F.lit(kind).alias("kind"), value.alias("text"))
+
+    at = lambda k: F.col("number") * steps + k
+    again = F.array(
+        event(at(0), "delta", parts[0]),
+        event(at(1), "delta", F.lit("..."), F.lit(after_all)),
+        event(at(2), "regenerate", F.lit("")),
+        event(at(3), "delta", parts[0]),
+        event(at(4), "delta", parts[1]),
+    )
+    begun = F.array(event(at(0), "delta", parts[0]), event(F.col("number") + after_all, "edit", text))
+    log = F.when(F.col("role") == "assistant", again).otherwise(begun)
+    out = rows.withColumn("number", number).select("conv_id", "turn", "role", F.explode(log).alias("e"))
+    return out.select("conv_id", "turn", "e.copy", "role", "e.seq", "e.kind", "e.text")

@@ -1,6 +1,7 @@
 """Text operators against brute force on small tables, with the corner cases each docstring defines."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -96,6 +97,44 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint_edits(df.limit(0)).count() == 0
 
 
+def _folded(rows):
+    """Brute force: one pass over each conversation's events in order of sequence."""
+    out = {}
+    for conv, turn, copy, _, kind, role, text in sorted(rows, key=lambda r: (r[0], r[3], r[1], r[2])):
+        said = out.setdefault(conv, {})
+        if kind == "regenerate":
+            for later in [m for m in said if m > (turn, copy)]:
+                del said[later]
+        before = said.get((turn, copy), ("", ""))[1] if kind == "delta" else ""
+        said[turn, copy] = (role or "", before + (text or ""))
+    return {(c, *m): v for c, said in out.items() for m, v in said.items()}
+
+
+CHAT_LOG = "conv_id long, turn long, copy int, seq int, kind string, role string, text string"
+
+
+def test_chat_folds_a_conversation_in_its_own_sequence(spark):
+    draw = random.Random(7)
+    log = [(c, draw.randrange(5), draw.randrange(2), s, draw.choice(["delta", "delta", "edit", "regenerate"]), draw.choice(["user", "assistant", None]), draw.choice(["a", "b ", "", None])) for c in range(40) for s in range(25)]
+    log += [(90, 0, 0, 0, "delta", "user", "ask"), (90, 1, 0, 1, "delta", "assistant", "reply"), (90, 0, 0, 2, "edit", "user", "ask again"), (91, 0, 0, 0, "delta", "user", "ask"), (91, 1, 0, 1, "delta", "assistant", "reply"), (91, 0, 0, 2, "regenerate", "user", ""), (91, 0, 0, 3, "delta", "user", "new")]
+    frame = spark.createDataFrame(log, CHAT_LOG).withColumn("number", F.lit(3)).withColumn("withdrawn", F.lit("x")).repartition(3)
+    got = {(r.conv_id, r.turn, r.copy): (r.role, r.text) for r in chat.fold_events(frame).collect()}
+    assert got == _folded(log)
+    assert got[90, 0, 0] == ("user", "ask again") and got[90, 1, 0] == ("assistant", "reply")
+    assert got[91, 0, 0] == ("user", "new") and (91, 1, 0) not in got
+
+
+def test_chat_corner_cases(spark):
+    kind = "conv_id long, turn long, role string, text string"
+    rows = [(None, 0, "user", "x"), (None, None, "assistant", None), (5, 0, "user", "same"), (5, 0, "user", "same"), (5, 0, "assistant", "w " * 50000)]
+    frame = spark.createDataFrame(rows, kind).withColumn("number", F.lit(3)).withColumn("copy", F.lit("x"))
+    out = chat.render(chat.fold_events(chat.as_events(frame))).withColumn("turns", chat.parse(F.col("formatted")))
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in out.collect()}
+    assert got == {None: [("assistant", ""), ("user", "x")], 5: [("assistant", "w " * 50000), ("user", "same"), ("user", "same")]}
+    empty = spark.createDataFrame([], kind)
+    assert chat.render(chat.fold_events(chat.as_events(empty))).count() == 0
+
+
 def test_chat_folds_edits_and_reads_back(spark):
     log = [(1, 0, 0, 0, "delta", "user", "hel"), (1, 0, 0, 1, "delta", "user", "lo"), (1, 1, 0, 2, "delta", "assistant", "bad"), (1, 1, 0, 3, "regenerate", "assistant", ""), (1, 1, 0, 4, "delta", "assistant", "go</turn>"), (1, 1, 0, 5, "edit", "assistant", "good </turn>\n### \\"), (1, 1, 0, 6, "delta", "assistant", "!"), (2, 0, 0, 0, "delta", None, None)]
     messages = chat.fold_events(spark.createDataFrame(log, "conv_id long, turn long, copy int, seq int, kind string, role string, text string"))
