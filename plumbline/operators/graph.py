@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import count_if
+from plumbline.sources import lineage
 
 #: Sizes beyond which isomorphism is not decided, and passes of layering.
 MOST_NODES, LAYER_PASSES = 400, 24
@@ -81,15 +82,22 @@ def impact(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, radius: int) ->
 
 
 def colours(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """Colour refinement that ignores names: a node's colour is its kind, then what its neighbours were, by direction and relation."""
+    """Colour refinement that ignores names: a node's colour is its kind, then what its neighbours were, by direction and relation.
+
+    Neighbours are counted per way and colour before they meet at their node, and meet there as two 64-bit hashes, so a
+    hub holds no list of its edges. Each round is checkpointed.
+    """
     keys = ["project", "version"]
     now = nodes.select(*keys, "node", F.sha2(F.coalesce("kind", F.lit("")), 256).alias("colour"))
     for _ in range(rounds):
         other = now.withColumnsRenamed({"node": "far", "colour": "c"})
         out = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("far"), F.concat(F.lit(">"), "relation").alias("way"))
         back = edges.select(*keys, F.col("dst").alias("node"), F.col("src").alias("far"), F.concat(F.lit("<"), "relation").alias("way"))
-        seen = out.unionByName(back).join(other, [*keys, "far"]).groupBy(*keys, "node").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("", "way", "c"))), "|").alias("around"))
-        now = now.join(seen, [*keys, "node"], "left").select(*keys, "node", F.sha2(F.concat_ws("/", "colour", F.coalesce("around", F.lit(""))), 256).alias("colour"))
+        seen = out.unionByName(back).join(other, [*keys, "far"]).groupBy(*keys, "node", "way", "c").agg(F.count("*").alias("k"))
+        marks = [F.bit_xor(F.xxhash64(F.lit(salt), "way", "c", "k")).cast("string") for salt in (1, 2)]
+        seen = seen.groupBy(*keys, "node").agg(F.concat_ws(":", *marks).alias("around"))
+        colour = F.sha2(F.concat_ws("/", "colour", F.coalesce("around", F.lit(""))), 256)
+        now = lineage.cut(now.join(seen, [*keys, "node"], "left").select(*keys, "node", colour.alias("colour")))
     return now
 
 
@@ -112,7 +120,9 @@ def isomorphic(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges:
     """(project, isomorphic): false when counts, kinds or colours differ, NULL beyond ``most`` nodes or when the mapping found is not verified, true when it is."""
 
     def sizes(n: DataFrame, e: DataFrame, name: str) -> DataFrame:
-        kinds = n.groupBy("project").agg(F.count("*").alias(f"{name}_n"), F.array_join(F.array_sort(F.collect_list("kind")), ",").alias(f"{name}_kinds"))
+        per_kind = n.groupBy("project", "kind").agg(F.count("*").alias("k"))
+        multiset = F.array_sort(F.collect_list(F.struct("kind", "k"))).alias(f"{name}_kinds")
+        kinds = per_kind.groupBy("project").agg(F.sum("k").alias(f"{name}_n"), multiset)
         return kinds.join(e.groupBy("project").agg(F.count("*").alias(f"{name}_e")), "project", "left")
 
     both = sizes(old, old_edges, "a").join(sizes(new, new_edges, "b"), "project", "full_outer").fillna(0, ["a_n", "a_e", "b_n", "b_e"])
@@ -139,11 +149,18 @@ def hubs(edges: DataFrame, most: int, *keys: str) -> DataFrame:
 
 
 def layers(edges: DataFrame, nodes: DataFrame, *keys: str, passes: int = LAYER_PASSES) -> DataFrame:
-    """Longest path from the sources, in synchronous passes, with gaps closed."""
-    now = nodes.select(*keys, "node").distinct().withColumn("layer", F.lit(0))
+    """Longest path from the sources, in synchronous passes that end when no layer rises or after ``passes``, with gaps closed.
+
+    Each pass is checkpointed, so the plan does not double; on cycles, which have no longest path, the passes are the bound.
+    """
+    now = nodes.select(*keys, "node").distinct().withColumns({"layer": F.lit(0), "rose": F.lit(True)})
     for _ in range(passes):
-        up = edges.join(now.withColumnRenamed("node", "src"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg((F.max("layer") + 1).alias("up"))
-        now = now.join(up, [*keys, "node"], "left").select(*keys, "node", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"))
+        rose = now.where("rose").select(*keys, F.col("node").alias("src"), "layer")
+        up = edges.join(rose, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg((F.max("layer") + 1).alias("up"))
+        higher = F.coalesce(F.col("up") > F.col("layer"), F.lit(False))
+        now = lineage.cut(now.join(up, [*keys, "node"], "left").select(*keys, "node", F.greatest("layer", "up").alias("layer"), higher.alias("rose")))
+        if now.where("rose").isEmpty():
+            break
     closed = F.dense_rank().over(Window.partitionBy(*keys).orderBy("layer")) - 1
     return now.select(*keys, "node", closed.cast("bigint").alias("layer"))
 

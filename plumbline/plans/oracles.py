@@ -160,8 +160,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY project, change ORDER BY node) A
 k AS (SELECT project, count(DISTINCT version) AS v FROM snap_nodes WHERE version IN (0, 3) GROUP BY project)
 SELECT k.project, v = 2 AS retained, CASE WHEN v = 2 THEN coalesce(string_agg(node, ',' ORDER BY node) FILTER (change = 'added' AND place <= 200), '') END AS added,
   CASE WHEN v = 2 THEN coalesce(string_agg(node, ',' ORDER BY node) FILTER (change = 'removed' AND place <= 200), '') END AS removed FROM k LEFT JOIN r USING (project) GROUP BY k.project, v""",
-    "c15_impact_set": cte("snap_nodes", "snap_edges") + """, seed AS (SELECT DISTINCT project, version, node FROM snap_nodes WHERE kind = 'class' AND signature = '7' AND version = 1),
-b AS (SELECT project, version, src AS a, dst AS z FROM snap_edges WHERE version = 1 UNION SELECT project, version, dst, src FROM snap_edges WHERE version = 1),
+    "c15_impact_set": cte("snap_nodes", "snap_edges") + """, seed AS (SELECT DISTINCT project, version, node FROM snap_nodes WHERE kind = 'class' AND signature = '7'),
+b AS (SELECT project, version, src AS a, dst AS z FROM snap_edges UNION SELECT project, version, dst, src FROM snap_edges),
 x AS (SELECT project, version, node, 0 AS hops FROM seed UNION ALL SELECT b.project, b.version, z, 1 FROM seed JOIN b ON b.project = seed.project AND b.version = seed.version AND b.a = seed.node)
 SELECT project, version, node, CAST(min(hops) AS BIGINT) AS hops FROM x GROUP BY ALL""",
     "c18_edit_distance": _NODES + """, n AS (SELECT project, version, count(*) FILTER (change = 'added') AS added_nodes, count(*) FILTER (change = 'removed') AS removed_nodes, count(*) FILTER (change = 'changed') AS changed_nodes FROM nd GROUP BY ALL),
@@ -181,8 +181,8 @@ SELECT a.project, a.model, b.model AS other, round(abs(a.score - b.score), 6) AS
   round(CAST(len(list_intersect(a.gaps, b.gaps)) AS DOUBLE) / nullif(len(list_distinct(list_concat(a.gaps, b.gaps))), 0), 6) AS overlap FROM r a JOIN r b ON a.project = b.project AND a.model < b.model""",
     "g05_hub_nodes": cte("snap_edges") + """, e AS (SELECT project, version, src AS node FROM snap_edges UNION ALL SELECT project, version, dst FROM snap_edges), d AS (SELECT project, version, node, count(*) AS degree FROM e GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY project, version ORDER BY degree DESC, node) AS place FROM d QUALIFY place <= 10""",
-    "g06_layers": cte("snap_nodes", "snap_edges") + """, t AS (SELECT DISTINCT project, dst FROM snap_edges WHERE version = 0), n AS (SELECT DISTINCT project, node FROM snap_nodes WHERE version = 0)
-SELECT n.project, n.node, CAST(CASE WHEN t.dst IS NULL THEN 0 ELSE 1 END AS BIGINT) AS layer FROM n LEFT JOIN t ON n.project = t.project AND n.node = t.dst""",
+    "g06_layers": cte("snap_nodes", "snap_edges") + """, t AS (SELECT DISTINCT project, version, dst FROM snap_edges), n AS (SELECT DISTINCT project, version, node FROM snap_nodes)
+SELECT n.project, n.version, n.node, CAST(CASE WHEN t.dst IS NULL THEN 0 ELSE 1 END AS BIGINT) AS layer FROM n LEFT JOIN t ON n.project = t.project AND n.version = t.version AND n.node = t.dst""",
     "d01_gate_decisions": _SNAP + "SELECT project, version, gate_strategy, fired, reason FROM decided",
     "d02_chained_previous": cte("doc_versions") + "SELECT project, version, lag(version) OVER (PARTITION BY project ORDER BY version) AS previous FROM doc_versions",
     "d03_reuse_bookkeeping": _SNAP + """SELECT project, version, gate_strategy, last_value(CASE WHEN fired THEN version END IGNORE NULLS) OVER (PARTITION BY project, gate_strategy ORDER BY version ROWS UNBOUNDED PRECEDING) AS served_version,
@@ -287,7 +287,7 @@ SELECT path, string_agg(k, ',' ORDER BY k) AS keys FROM k GROUP BY path""",
     "b01_field_normalisation": """SELECT l_orderkey AS class, 'f' || CAST(l_partkey % 3 AS VARCHAR) AS name, CASE WHEN l_tax > 0.04 THEN l_returnflag END AS type, CAST(l_linenumber AS BIGINT) AS pos FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY class, name ORDER BY type IS NULL, l_linenumber, type) = 1""",
     "b04_call_lists": cte("call_sites") + """, r AS (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY site, callee) AS k FROM call_sites)
-SELECT caller, count(*) AS kept, string_agg(DISTINCT callee, ',' ORDER BY callee) AS calls FROM r WHERE k <= 3 GROUP BY caller""",
+SELECT caller, count(*) AS kept, string_agg(DISTINCT callee, ',' ORDER BY callee) AS calls FROM r WHERE k <= 96 GROUP BY caller""",
     "b20_impact_scope": _PATHS + "SELECT path AS file_path FROM paths WHERE path IN (SELECT path FROM commit_files WHERE project = 1)",
     "b21_evaluability": cte("commit_files") + """, s AS (SELECT project, committed_on, count(*) FILTER (path LIKE '%.mdj') AS d, count(*) FILTER (path LIKE '%.py') AS c, count(*) FILTER (path LIKE '%.md') > 2 AS u FROM commit_files GROUP BY ALL),
 i AS (SELECT *, list_filter([CASE WHEN d = 0 THEN 'no design' END, CASE WHEN c = 0 THEN 'no classes in code' END, CASE WHEN u THEN 'unsupported languages' END], lambda x: x IS NOT NULL) AS l FROM s)
@@ -302,7 +302,7 @@ SELECT l.c AS class, name, arg_min(m.class, d) AS method_id FROM l JOIN m ON m.c
     "e18_controlled_tests": _R + f"""SELECT gate_strategy, kind, tp, fn, fp, tn, {_rate('tp', '(tp + fp)', 'precision')}, {_rate('tp', '(tp + fn)', 'recall')} FROM (
   SELECT gate_strategy, CASE WHEN source_touched THEN 'touched' ELSE 'untouched' END AS kind, {_COUNTS} FROM runs GROUP BY ALL)""",
     "a06_active_designs": cte("commit_files") + "SELECT project, arg_min(path, list_extract(str_split(path, '/'), -1)) AS path FROM commit_files GROUP BY project",
-    "a10_merged_results": _R + """, q AS (SELECT project, gate_strategy, commit_index, conformance_changed FROM runs WHERE project < 3 UNION ALL SELECT project, gate_strategy, commit_index, NULL FROM runs WHERE project = 3
+    "a10_merged_results": _R + """, q AS (SELECT project, gate_strategy, commit_index, conformance_changed FROM runs WHERE project <> 3 UNION ALL SELECT project, gate_strategy, commit_index, NULL FROM runs WHERE project = 3
   UNION ALL SELECT project, gate_strategy, commit_index, conformance_changed FROM runs WHERE project = 2 AND commit_index < 5)
 SELECT 'repeated' AS conflict, count(*) AS n FROM (SELECT 1 FROM q GROUP BY project, gate_strategy, commit_index HAVING count(*) > 1) HAVING count(*) > 0
 UNION ALL SELECT 'rows', count(*) FROM q""",

@@ -153,13 +153,12 @@ def c14(spark, sf_dir):
 
 
 def _seeds(spark, sf_dir):
-    return load(spark, sf_dir, "snap_nodes").where("kind = 'class' AND signature = '7' AND version = 1")
+    return load(spark, sf_dir, "snap_nodes").where("kind = 'class' AND signature = '7'")
 
 
 @query("c15_impact_set")
 def c15(spark, sf_dir):
-    nodes = load(spark, sf_dir, "snap_nodes").where("version = 1")
-    found = graph.impact(load(spark, sf_dir, "snap_edges").where("version = 1"), nodes, _seeds(spark, sf_dir), 1)
+    found = graph.impact(load(spark, sf_dir, "snap_edges"), load(spark, sf_dir, "snap_nodes"), _seeds(spark, sf_dir), 1)
     return tidy(found)
 
 
@@ -220,9 +219,7 @@ def g05(spark, sf_dir):
 
 @query("g06_layers")
 def g06(spark, sf_dir):
-    edges = load(spark, sf_dir, "snap_edges").where("version = 0")
-    nodes = load(spark, sf_dir, "snap_nodes").where("version = 0")
-    return graph.layers(edges, nodes, "project", passes=2)
+    return graph.layers(load(spark, sf_dir, "snap_edges"), load(spark, sf_dir, "snap_nodes"), "project", "version")
 
 
 def _snapshots(spark, sf_dir):
@@ -590,7 +587,7 @@ def b01(spark, sf_dir):
 @query("b04_call_lists")
 def b04(spark, sf_dir):
     sites = load(spark, sf_dir, "call_sites").groupBy("caller").agg(F.array_sort(F.collect_list(F.struct("site", "callee"))).alias("refs"))
-    kept, names = facts.cap_calls(F.transform("refs", lambda r: r["callee"]), 3)
+    kept, names = facts.cap_calls(F.transform("refs", lambda r: r["callee"]))
     return sites.select("caller", F.size(kept).cast("bigint").alias("kept"), F.array_join(names, ",").alias("calls"))
 
 
@@ -660,7 +657,7 @@ def a06(spark, sf_dir):
 @query("a10_merged_results")
 def a10(spark, sf_dir):
     runs = load(spark, sf_dir, "runs").select("project", "gate_strategy", "commit_index", "conformance_changed")
-    rows, conflicts = files.merge_results([runs.where("project < 3"), runs.where("project = 3").drop("conformance_changed"), runs.where("project = 2 AND commit_index < 5")])
+    rows, conflicts = files.merge_results([runs.where("project <> 3"), runs.where("project = 3").drop("conformance_changed"), runs.where("project = 2 AND commit_index < 5")])
     return conflicts.groupBy("conflict").agg(F.count("*").alias("n")).unionByName(rows.agg(F.count("*").alias("n")).withColumn("conflict", F.lit("rows")))
 
 

@@ -82,11 +82,13 @@ SELECT user_id % 5 AS project, concat('E', CAST(user_id AS STRING)) AS element,
     WHEN event_type = 'click' AND value > 180 THEN 'divergent' ELSE 'conforming' END AS status
 FROM events""",
     "call_sites": """
-SELECT l_orderkey AS caller, CAST(l_linenumber AS BIGINT) AS site, l_suppkey % 25 AS caller_file, p_name AS callee
+SELECT l_orderkey AS caller, CAST(l_linenumber AS BIGINT) AS site, l_suppkey % 25 AS caller_file,
+  CASE WHEN p_size > 40 THEN concat(p_name, ' ', CAST(p_partkey AS STRING)) ELSE p_name END AS callee
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "definitions": """
-SELECT CAST(p_partkey AS STRING) AS def_id, CAST(p_size AS BIGINT) AS def_file, p_name AS name
-FROM part WHERE p_partkey < 60 AND p_name NOT LIKE 'red %'""",
+SELECT CAST(p_partkey AS STRING) AS def_id, CAST(p_size AS BIGINT) AS def_file,
+  CASE WHEN p_size > 40 THEN concat(p_name, ' ', CAST(p_partkey AS STRING)) ELSE p_name END AS name
+FROM part WHERE p_name NOT LIKE 'red %'""",
     "doc_versions": """
 SELECT source AS project,
   CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS version, doc_id,
