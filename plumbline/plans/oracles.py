@@ -92,6 +92,26 @@ dec0 AS (SELECT project, version, previous, gate_strategy, CASE WHEN previous IS
   WHEN gate_strategy = 'content' THEN (CASE WHEN xm THEN 'content changed' ELSE 'content unchanged' END) WHEN NOT sm THEN 'structure unchanged' ELSE 'structure changed' END AS reason FROM moved, gates),
 decided AS (SELECT project, version, gate_strategy, reason NOT IN ('content unchanged', 'structure unchanged', 'same shape') AS fired, reason, previous FROM dec0)
 """
+
+
+def _decided(source: str, key: str, design: str, delta: str) -> str:
+    """CTEs h (what moved) and dec (reason and fired per policy) over one table of snapshots."""
+    moved = ", ".join(f"lag({c}) OVER w IS DISTINCT FROM {c} AS {n}" for c, n in ((design, "dm"), ("text_hash", "xm"), ("structure_hash", "sm")))
+    return f""", h AS (SELECT *, lag(version) OVER w AS previous, {moved} FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY version)),
+why AS (SELECT h.*, g AS gate_strategy, CASE WHEN previous IS NULL THEN 'first version' WHEN dm THEN 'design changed' WHEN g = 'always' THEN 'always'
+  WHEN g = 'content' THEN (CASE WHEN xm THEN 'content changed' ELSE 'content unchanged' END) WHEN NOT (sm OR {delta} > 0) THEN 'structure unchanged'
+  WHEN g = 'isomorphism' AND coalesce(isomorphic, false) THEN 'same shape' ELSE 'structure changed' END AS reason FROM h, (SELECT unnest(['always', 'content', 'structural', 'isomorphism']) AS g)),
+dec AS (SELECT *, reason NOT IN ('content unchanged', 'structure unchanged', 'same shape') AS fired FROM why)
+"""
+
+
+_REPLAY = cte("history") + _decided("history", "project", "design_hash", "delta_size") + """, sv AS (SELECT *, arg_max(divergences, version) FILTER (fired) OVER u AS sd, arg_max(absences, version) FILTER (fired) OVER u AS sa,
+  lag(divergences) OVER v AS bd, lag(absences) OVER v AS ba FROM dec
+  WINDOW u AS (PARTITION BY project, gate_strategy ORDER BY version ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY project, gate_strategy ORDER BY version)),
+rp AS (SELECT project, version, gate_strategy, fired, reason, concat_ws(',', CASE WHEN sd <> divergences THEN 'divergences' END, CASE WHEN sa <> absences THEN 'absences' END) AS differing_fields,
+  sd <> divergences OR sa <> absences AS diverges_from_oracle, (sd <> divergences OR sa <> absences) AND NOT fired AS missed_change,
+  CASE WHEN previous IS NOT NULL THEN bd <> divergences OR ba <> absences END AS conformance_changed, CASE WHEN previous IS NOT NULL THEN xm END AS source_touched FROM sv)
+"""
 _STALE = cte("commit_files") + """, lastc AS (SELECT project, path AS diagram, max(commit_ord) AS last_commit, max(committed_on) AS last_changed FROM commit_files WHERE path LIKE '%.mdj' GROUP BY ALL),
 head AS (SELECT project, max(committed_on) AS head_date FROM commit_files GROUP BY project),
 sums AS (SELECT l.project, diagram, count(DISTINCT commit_ord) AS stale_commits, count(DISTINCT CASE WHEN path LIKE '%.py' THEN path END) AS code FROM lastc l JOIN commit_files f ON l.project = f.project AND f.commit_ord > l.last_commit GROUP BY ALL),
@@ -188,6 +208,28 @@ SELECT n.project, n.version, n.node, CAST(CASE WHEN t.dst IS NULL THEN 0 ELSE 1
     "d03_reuse_bookkeeping": _SNAP + """SELECT project, version, gate_strategy, last_value(CASE WHEN fired THEN version END IGNORE NULLS) OVER (PARTITION BY project, gate_strategy ORDER BY version ROWS UNBOUNDED PRECEDING) AS served_version,
   CASE WHEN NOT fired THEN previous END AS reused_from FROM decided""",
     "d05_corpus_replay": _SNAP + "SELECT project, gate_strategy, count(*) AS runs, count(*) FILTER (fired) AS fired, count(DISTINCT reason) AS reasons FROM decided GROUP BY ALL",
+    "d01_all_policies": cte("history") + _decided("history", "project", "design_hash", "delta_size") + "SELECT project, version, gate_strategy, fired, reason FROM dec",
+    "d04_run_rows": _NODES + """, n AS (SELECT project, version, count(*) FILTER (change = 'added') AS an, count(*) FILTER (change = 'removed') AS rn, count(*) FILTER (change = 'changed') AS cn FROM nd GROUP BY ALL),
+e AS (SELECT project, version, count(*) FILTER (change = 'added') AS ae, count(*) FILTER (change = 'removed') AS re FROM ed GROUP BY ALL),
+al AS (SELECT project, version, count(DISTINCT node) AS all_nodes, count(*) AS tokens FROM snap_nodes GROUP BY ALL),
+tn AS (SELECT nd.project, nd.version, nd.node FROM nd WHERE change IN ('added', 'changed')),
+im AS (SELECT project, version, node FROM tn UNION SELECT t.project, t.version, x.dst FROM tn t JOIN pe x ON x.project = t.project AND x.version = t.version AND x.src = t.node
+  UNION SELECT t.project, t.version, x.src FROM tn t JOIN pe x ON x.project = t.project AND x.version = t.version AND x.dst = t.node),
+ti AS (SELECT project, version, count(*) AS k FROM im GROUP BY ALL),
+j AS (SELECT al.*, n.* EXCLUDE (project, version), ae, re, coalesce(an + rn + cn + coalesce(ae, 0) + coalesce(re, 0), 0) AS delta_size, coalesce(k, 0) AS k, CAST(NULL AS BOOLEAN) AS isomorphic,
+  't' AS text_hash, 's' AS structure_hash, CAST(CAST(floor(al.version / 4) AS BIGINT) AS VARCHAR) AS design_hash
+  FROM al LEFT JOIN n USING (project, version) LEFT JOIN e USING (project, version) LEFT JOIN ti USING (project, version))
+""" + _decided("j", "project", "design_hash", "delta_size") + """SELECT project, version, gate_strategy, fired AS gate_allowed_llm, CASE WHEN fired THEN 'invoke' ELSE 'reuse' END AS decision, reason,
+  CASE WHEN previous IS NULL THEN all_nodes ELSE coalesce(an, 0) END AS added_nodes, CASE WHEN previous IS NULL THEN 0 ELSE coalesce(rn, 0) END AS removed_nodes,
+  CASE WHEN previous IS NULL THEN 0 ELSE coalesce(cn, 0) END AS changed_nodes, CASE WHEN previous IS NULL THEN 0 ELSE coalesce(ae, 0) END AS added_edges, CASE WHEN previous IS NULL THEN 0 ELSE coalesce(re, 0) END AS removed_edges,
+  CASE WHEN reason IN ('first version', 'design changed', 'always') THEN all_nodes WHEN fired THEN k ELSE 0 END AS impact_nodes, CASE WHEN fired THEN tokens ELSE 0 END AS prompt_tokens,
+  CAST(1 AS BIGINT) AS impact_radius, 'none' AS provider FROM dec""",
+    "d05_oracle_replay": _REPLAY + "SELECT * FROM rp",
+    "d05_misses": _REPLAY + "SELECT project, gate_strategy, version, differing_fields, reason FROM rp WHERE missed_change",
+    "d07_labelled_deviations": cte("mutations") + _decided("mutations", "mutation", "''", "0") + """, f AS (SELECT mutation, max(divergences) FILTER (version = 0) AS d0, max(divergences) FILTER (version = 1) AS d1, max(absences) FILTER (version = 0) AS a0, max(absences) FILTER (version = 1) AS a1 FROM mutations GROUP BY mutation),
+g AS (SELECT mutation, concat_ws(';', CASE WHEN d0 IS DISTINCT FROM d1 THEN 'divergences' END, CASE WHEN a0 IS DISTINCT FROM a1 THEN 'absences' END) AS changed_fields FROM f)
+SELECT mutation, category, gate_strategy, fired AS gate_fired, changed_fields <> '' AS findings_changed, changed_fields, fired = expect_structural_change AS gate_correct_on_structure,
+  changed_fields <> '' AND NOT fired AS missed_change, changed_fields = '' AND fired AS wasted_reanalysis, reason FROM dec JOIN g USING (mutation) WHERE version = 1""",
     "d06_forced_run": _SNAP + "SELECT project, version, reason FROM decided WHERE gate_strategy = 'always'",
     "b07_project_roll_up": cte("doc_versions") + """SELECT project, sha256('[' || string_agg('{"path":"' || CAST(doc_id AS VARCHAR) || '","hash":"' || text_hash || '"}', ',' ORDER BY CAST(doc_id AS VARCHAR)) || ']') AS tree_hash FROM doc_versions GROUP BY project""",
     "b08_source_touched": cte("doc_versions") + "SELECT project, version, lag(text_hash) OVER (PARTITION BY project ORDER BY version) <> text_hash AS source_touched FROM doc_versions",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as fn
-from plumbline.operators import compare, facts, gate, graph, history, resolve, statistics, survival
+from plumbline.operators import compare, facts, gate, graph, history, replay, resolve, statistics, survival
 from plumbline.sources import files, lineage
 from plumbline.sources.bridge import load
 from plumbline.streaming import jobs
@@ -249,6 +249,36 @@ def d05(spark, sf_dir):
     return tidy(decisions.groupBy("project", "gate_strategy").agg(F.count("*").alias("runs"), fn.count_if(F.col("fired")).alias("fired"), F.countDistinct("reason").alias("reasons")))
 
 
+@query("d01_all_policies")
+def d01_all_policies(spark, sf_dir):
+    return gate.decide(load(spark, sf_dir, "history"))
+
+
+@query("d04_run_rows")
+def d04(spark, sf_dir):
+    nodes, edges = load(spark, sf_dir, "snap_nodes"), load(spark, sf_dir, "snap_edges")
+    snaps = nodes.groupBy("project", "version").agg(F.count("*").alias("tokens")).withColumns({"text_hash": F.lit("t"), "structure_hash": F.lit("s"), "design_hash": F.floor(F.col("version") / 4).cast("string")})
+    return tidy(replay.run_rows(snaps, nodes, edges, {"impact_radius": 1, "provider": "none"}))
+
+
+FINDINGS = ("divergences", "absences")
+
+
+@query("d05_oracle_replay")
+def d05_oracle(spark, sf_dir):
+    return replay.replay(load(spark, sf_dir, "history"), FINDINGS)
+
+
+@query("d05_misses")
+def d05_misses(spark, sf_dir):
+    return replay.misses(replay.replay(load(spark, sf_dir, "history"), FINDINGS))
+
+
+@query("d07_labelled_deviations")
+def d07(spark, sf_dir):
+    return replay.evaluate_mutations(load(spark, sf_dir, "mutations"), FINDINGS)
+
+
 @query("d06_forced_run")
 def d06(spark, sf_dir):
     return gate.decide(_snapshots(spark, sf_dir), ("always",)).where("fired").select("project", "version", "reason")

@@ -19,6 +19,8 @@ TABLES = {
     "commits": ("orders",),
     "commit_files": ("events",),
     "layer_evidence": ("lineitem", "part"),
+    "history": ("events",),
+    "mutations": ("part",),
 }
 
 SQL = {
@@ -106,6 +108,24 @@ SELECT user_id % 5 AS project, event_id AS commit_ord, CAST(ts AS DATE) AS commi
     WHEN event_type = 'view' THEN concat('docs/', CAST(user_id AS STRING), '.md')
     ELSE concat('src/', CAST(user_id AS STRING), '.py') END AS path
 FROM events""",
+    "history": """
+SELECT user_id % 5 AS project, CAST(row_number() OVER w - 1 AS BIGINT) AS version,
+  CAST(sum(CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END) OVER w AS STRING) AS text_hash,
+  CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS STRING) AS structure_hash,
+  CAST(sum(CASE WHEN event_type = 'signup' AND value > 45 THEN 1 ELSE 0 END) OVER w AS STRING) AS design_hash,
+  CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS delta_size,
+  CASE WHEN event_type = 'error' THEN user_id % 3 = 0 END AS isomorphic,
+  CAST(sum(CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS divergences,
+  CAST(sum(CASE WHEN event_type = 'purchase' AND value > 40 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS absences
+FROM events WINDOW w AS (PARTITION BY user_id % 5 ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
+    "mutations": """
+SELECT p_partkey AS mutation, p_brand AS category, CAST(v AS BIGINT) AS version, p_size % 3 = 0 AS expect_structural_change,
+  CAST(CASE WHEN v = 1 AND p_size % 7 > 0 THEN 1 ELSE 0 END AS STRING) AS text_hash,
+  CAST(CASE WHEN v = 1 AND p_size % 3 = 0 THEN 1 ELSE 0 END AS STRING) AS structure_hash,
+  p_size % 2 = 0 AS isomorphic,
+  CAST(CASE WHEN v = 1 AND p_size % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS divergences,
+  CAST(CASE WHEN v = 1 AND p_size % 4 = 0 THEN NULL ELSE 0 END AS BIGINT) AS absences
+FROM part CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1) t""",
     "layer_evidence": """
 SELECT DISTINCT concat('s', CAST(l_suppkey AS STRING), '/', lower(p_type)) AS file_path, lower(p_name) AS evidence
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
