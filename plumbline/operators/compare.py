@@ -35,6 +35,28 @@ def compare_members(design: DataFrame, code: DataFrame, *keys: str) -> DataFrame
     return both.where(~((F.col("state") == "extra") & (F.col("member_kind") == "method") & made))
 
 
+def project_code(classes: DataFrame, fields: DataFrame, methods: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Code facts in the shape of a design: elements (keys, element, element_type) and members (.., member, member_kind, type).
+
+    classes(class, kind), fields(class, name, type), methods(class, name, returns). All but interfaces are classes; a
+    field without a type is an Object, a method without one returns void. An empty type counts as none.
+    """
+    elements = classes.select(*keys, F.col("class").alias("element"), F.when(F.col("kind") == "interface", "interface").otherwise("class").alias("element_type"))
+    given = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other)).alias("type")
+    member = (*keys, F.col("class").alias("element"), F.col("name").alias("member"))
+    left = fields.select(*member, F.lit("attribute").alias("member_kind"), given("type", "Object"))
+    return elements, left.unionByName(methods.select(*member, F.lit("method").alias("member_kind"), given("returns", "void")))
+
+
+def relation_credits(relations: DataFrame, associations: DataFrame, *keys: str, score_associations: bool = True) -> DataFrame:
+    """(keys, credit) for the score: 1 or 0 per checked relation; 1, 0.5 or 0 per association by its evidence, if those are scored at all."""
+    out = relations.select(*keys, F.col("satisfied").cast("double").alias("credit"))
+    if not score_associations:
+        return out
+    worth = F.when(F.col("evidence") == "strong", 1.0).when(F.col("evidence") == "weak", 0.5).otherwise(0.0)
+    return out.unionByName(associations.select(*keys, worth.alias("credit")))
+
+
 def conformance_score(elements: DataFrame, members: DataFrame, *keys: str, relations: DataFrame | None = None) -> DataFrame:
     """Checks, passed checks and score in percent (0.0 without checks); relations(keys, credit) add one check each."""
     checks = elements.where("state <> 'extra'").select(*keys, (F.col("state") == "matched").cast("double").alias("credit"))
@@ -53,16 +75,41 @@ def reflexion_counts(elements: DataFrame, members: DataFrame, *keys: str) -> Dat
     )
 
 
-def finding_keys(elements: DataFrame, members: DataFrame, *keys: str) -> DataFrame:
-    """One string per finding, in the form kind:element[.member]."""
+def finding_keys(
+    elements: DataFrame, members: DataFrame, *keys: str, relations: DataFrame | None = None, associations: DataFrame | None = None, violations: DataFrame | None = None
+) -> DataFrame:
+    """One string per finding, in the form kind:element[.member].
+
+    Missing relations (satisfied is false), associations without evidence and layer violations (rule, file_path) are findings
+    as well, so a change of these alone moves the fingerprint.
+    """
+    arrow = F.concat(F.col("source"), F.lit(" --"), F.col("relation"), F.lit("--> "), F.col("target"))
+    more = []
+    if relations is not None:
+        more.append(relations.where("NOT satisfied").select(*keys, F.concat(F.lit("missing-relation:"), arrow).alias("finding")))
+    if associations is not None:
+        line = F.concat(F.lit("no-evidence:"), F.col("source"), F.lit(" --> "), F.col("target"))
+        more.append(associations.where("evidence = 'none'").select(*keys, line.alias("finding")))
+    if violations is not None:
+        more.append(violations.select(*keys, F.concat(F.lit("violation:"), F.col("rule"), F.lit("@"), F.col("file_path")).alias("finding")))
     first = elements.where("state <> 'matched'").select(*keys, F.concat_ws(":", "state", "element").alias("finding"))
     second = members.where("state <> 'matched'").select(*keys, F.concat(F.col("state"), F.lit("-"), F.col("member_kind"), F.lit(":"), F.col("element"), F.lit("."), F.col("member")).alias("finding"))
-    return first.unionByName(second)
+    out = first.unionByName(second)
+    for findings in more:
+        out = out.unionByName(findings)
+    return out
 
 
 def findings_fingerprint(findings: DataFrame, *keys: str) -> DataFrame:
-    """16 hexadecimal digits that tell sets of findings apart whatever their order."""
-    return findings.groupBy(*keys).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set("finding")), "\n"), 256), 1, 16).alias("fingerprint"))
+    """16 hexadecimal digits that tell sets of findings apart whatever their order.
+
+    Distinct findings are hashed in 4096 classes by their own hash and then the classes in order, so no task holds all findings of a key.
+    """
+    mark = F.sha2("finding", 256)
+    rows = findings.select(*keys, "finding").where("finding IS NOT NULL").distinct().withColumn("part", F.substring(mark, 1, 3))
+    parts = rows.groupBy(*keys, "part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("finding")), "\n"), 256).alias("digest"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda p: F.concat(p["part"], p["digest"])), "\n")
+    return parts.groupBy(*keys).agg(F.substring(F.sha2(whole, 256), 1, 16).alias("fingerprint"))
 
 
 def signature_differences(before: DataFrame, after: DataFrame, fields: tuple[str, ...], *keys: str) -> DataFrame:
@@ -94,14 +141,17 @@ def association_evidence(associations: DataFrame, fields: DataFrame, callables:
 
     fields(element, pos, name, type); callables(element, pos, kind in param/return/instantiation, ref_pos, type). Candidates carry
     the order in which evidence counts: a typed field; per method a parameter, the return type, an instantiation;
-    a field named like the target; a field name that begins with it. An absent source has none.
+    a field named like the target; a field name that begins with it. An absent source has none. Of a dotted type the last
+    part counts.
     """
+    last_part = F.substring_index("type", ".", -1)
+    fields, callables = fields.withColumn("type", last_part), callables.withColumn("type", F.when(F.col("kind") == "instantiation", F.col("type")).otherwise(last_part))
     base = associations.select(*keys, "source", "target").distinct()
     from_field = base.join(fields.withColumnRenamed("element", "source"), [*keys, "source"])
     low, want = F.lower("name"), F.lower("target")
 
     def rank(*x):
-        return F.struct(*(F.lit(v).cast("int").alias(f"k{i}") if isinstance(v, int) else v.cast("int").alias(f"k{i}") for i, v in enumerate(x)))
+        return F.struct(*((F.lit(v) if isinstance(v, int) else v).cast("bigint").alias(f"k{i}") for i, v in enumerate(x)))
 
     typed = from_field.where(F.col("type") == F.col("target")).select(*keys, "source", "target", rank(1, F.col("pos"), 0, 0).alias("rank"), F.lit("strong").alias("evidence"))
     named = from_field.where(low.isin(want, F.concat(want, F.lit("s")), F.concat(want, F.lit("_list")))).select(*keys, "source", "target", rank(3, F.col("pos"), 0, 0).alias("rank"), F.lit("weak").alias("evidence"))

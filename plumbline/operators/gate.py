@@ -59,9 +59,15 @@ def keep_newest(versions: DataFrame, most: int = 3) -> DataFrame:
 
 
 def roll_up(files: DataFrame, *keys: str) -> DataFrame:
-    """One hash per snapshot over its path-sorted (path, hash) pairs, whatever the order of rows."""
-    pairs = F.array_sort(F.collect_list(F.struct("path", "hash")))
-    return files.groupBy(*keys).agg(F.sha2(F.to_json(pairs), 256).alias("tree_hash"))
+    """One hash per snapshot over its (path, hash) pairs, whatever the order of rows.
+
+    Pairs are sorted and hashed in 4096 classes by the hash of their path, then the classes in order, so no task holds
+    all files of a snapshot. Null paths are empty.
+    """
+    rows = files.withColumn("part", F.substring(F.sha2(F.coalesce("path", F.lit("")), 256), 1, 3))
+    parts = rows.groupBy(*keys, "part").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("path", "hash")))), 256).alias("digest"))
+    whole = F.to_json(F.array_sort(F.collect_list(F.struct("part", "digest"))))
+    return parts.groupBy(*keys).agg(F.sha2(whole, 256).alias("tree_hash"))
 
 
 def touched(trees: DataFrame) -> DataFrame:

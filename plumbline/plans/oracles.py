@@ -94,6 +94,26 @@ decided AS (SELECT project, version, gate_strategy, reason NOT IN ('content unch
 """
 
 
+_EVID = cte("members", "associations", "code_fields", "code_callables", "snap_edges", "layer_evidence") + _ELEMENTS + """, cf AS (SELECT a.project, source, target, pos, lower(name) AS name, lower(target) AS want, split_part(type, '.', -1) = target AS typed
+  FROM associations a JOIN code_fields f ON a.project = f.project AND source = element),
+cand AS (SELECT project, source, target, 1 AS k0, pos AS k1, 0 AS k2, 0 AS k3, 'strong' AS ev FROM cf WHERE typed
+  UNION ALL SELECT project, source, target, 3, pos, 0, 0, 'weak' FROM cf WHERE name IN (want, want || 's', want || '_list')
+  UNION ALL SELECT project, source, target, 4, pos, 0, 0, 'weak' FROM cf WHERE starts_with(name, want)
+  UNION ALL SELECT a.project, source, target, 2, pos, CASE kind WHEN 'param' THEN 0 WHEN 'return' THEN 1 ELSE 2 END, ref_pos, CASE kind WHEN 'instantiation' THEN 'weak' ELSE 'strong' END
+  FROM associations a JOIN code_callables u ON a.project = u.project AND source = element AND type = target),
+best AS (SELECT project, source, target, ev FROM cand QUALIFY row_number() OVER (PARTITION BY project, source, target ORDER BY k0, k1, k2, k3) = 1),
+ev AS (SELECT a.project, a.source, a.target, CASE WHEN c.element IS NULL THEN 'none' ELSE coalesce(ev, 'none') END AS evidence
+  FROM associations a LEFT JOIN best USING (project, source, target) LEFT JOIN (SELECT DISTINCT project, element FROM members WHERE side = 'code') c ON c.project = a.project AND c.element = a.source),
+rl AS (SELECT d.project, d.src, d.dst, d.relation, max(x.relation IS NOT NULL) OR max(u.relation IS NOT NULL) AS satisfied FROM (SELECT * FROM snap_edges WHERE version = 0) d
+  LEFT JOIN (SELECT * FROM snap_edges WHERE version = 1 AND relation <> 'extends') x ON x.project = d.project AND x.src = d.src AND x.dst = d.dst AND x.relation = d.relation
+  LEFT JOIN (SELECT * FROM snap_edges WHERE version = 2 AND relation = 'extends') u ON u.project = d.project AND u.src = d.src AND u.dst = d.dst GROUP BY ALL)
+"""
+_PRINT = """, pt AS (SELECT project, left(sha256(finding), 3) AS part, sha256(string_agg(finding, chr(10) ORDER BY finding)) AS digest FROM f GROUP BY ALL)
+SELECT project, left(sha256(string_agg(part || digest, chr(10) ORDER BY part)), 16) AS fingerprint FROM pt GROUP BY project"""
+_OWN = """SELECT project, state || ':' || element AS finding FROM elements WHERE state <> 'matched'
+  UNION SELECT project, state || '-' || member_kind || ':' || element || '.' || member FROM mm WHERE state <> 'matched'"""
+
+
 def _decided(source: str, key: str, design: str, delta: str) -> str:
     """CTEs h (what moved) and dec (reason and fired per policy) over one table of snapshots."""
     moved = ", ".join(f"lag({c}) OVER w IS DISTINCT FROM {c} AS {n}" for c, n in ((design, "dm"), ("text_hash", "xm"), ("structure_hash", "sm")))
@@ -141,9 +161,18 @@ SQL = {
 SELECT project, count(*) AS checks_total, CAST(count(*) FILTER (state = 'matched') AS DOUBLE) AS checks_passed, round(100.0 * count(*) FILTER (state = 'matched') / count(*), 2) AS score
 FROM k WHERE state <> 'extra' GROUP BY project""",
     "b14_reflexion_counts": _M + f"SELECT project, {_REFLEX} FROM (SELECT project, state FROM elements UNION ALL SELECT project, state FROM mm) GROUP BY project",
-    "b15_findings_fingerprint": _M + """, f AS (SELECT project, state || ':' || element AS finding FROM elements WHERE state <> 'matched'
-  UNION SELECT project, state || '-' || member_kind || ':' || element || '.' || member FROM mm WHERE state <> 'matched')
-SELECT project, left(sha256(string_agg(finding, chr(10) ORDER BY finding)), 16) AS fingerprint FROM f GROUP BY project""",
+    "b15_findings_fingerprint": _M + f", f AS ({_OWN})" + _PRINT,
+    "b15_all_findings": _EVID + f""", lv AS (SELECT DISTINCT file_path FROM layer_evidence, (SELECT unnest(['widget', 'red', 'blue']) AS m) WHERE contains(file_path, 'economy') AND contains(evidence, m)),
+f AS ({_OWN} UNION SELECT project, 'missing-relation:' || src || ' --' || relation || '--> ' || dst FROM rl WHERE NOT satisfied
+  UNION SELECT project, 'no-evidence:' || source || ' --> ' || target FROM ev WHERE evidence = 'none' UNION SELECT length(file_path) % 5, 'violation:view-layer@' || file_path FROM lv)""" + _PRINT,
+    "c04_association_evidence": _EVID + "SELECT * FROM ev",
+    "e01_score_with_relations": _EVID + """, k AS (SELECT project, CAST(state = 'matched' AS DOUBLE) AS credit FROM elements WHERE state <> 'extra' UNION ALL SELECT project, CAST(state = 'matched' AS DOUBLE) FROM mm WHERE state <> 'extra'
+  UNION ALL SELECT project, CAST(satisfied AS DOUBLE) FROM rl UNION ALL SELECT project, CASE evidence WHEN 'strong' THEN 1.0 WHEN 'weak' THEN 0.5 ELSE 0.0 END FROM ev)
+SELECT project, count(*) AS checks_total, sum(credit) AS checks_passed, round(100 * sum(credit) / count(*), 2) AS score FROM k GROUP BY project""",
+    "b09_code_as_design": cte("code_fields", "code_callables") + """, el AS (SELECT DISTINCT project, element, CASE WHEN element LIKE '%7' THEN 'interface' ELSE 'class' END AS element_type FROM code_fields),
+mb AS (SELECT project, element, name AS member, 'attribute' AS member_kind, coalesce(nullif(type, ''), 'Object') AS type FROM code_fields
+  UNION SELECT project, element, 'm' || CAST(pos AS VARCHAR), 'method', CASE WHEN kind = 'return' THEN type ELSE 'void' END FROM code_callables WHERE kind <> 'param')
+SELECT mb.*, element_type FROM mb LEFT JOIN el USING (project, element)""",
     "b16_signature_difference": _M + f""", a AS (SELECT project, {_REFLEX} FROM (SELECT project, state FROM elements UNION ALL SELECT project, state FROM mm WHERE member_kind = 'attribute') GROUP BY project),
 b AS (SELECT project, {_REFLEX} FROM (SELECT project, state FROM elements UNION ALL SELECT project, state FROM mm) GROUP BY project)
 SELECT b.project, array_to_string(list_filter([CASE WHEN a.divergences <> b.divergences THEN 'divergences' END, CASE WHEN a.absences <> b.absences THEN 'absences' END,
@@ -231,7 +260,9 @@ g AS (SELECT mutation, concat_ws(';', CASE WHEN d0 IS DISTINCT FROM d1 THEN 'div
 SELECT mutation, category, gate_strategy, fired AS gate_fired, changed_fields <> '' AS findings_changed, changed_fields, fired = expect_structural_change AS gate_correct_on_structure,
   changed_fields <> '' AND NOT fired AS missed_change, changed_fields = '' AND fired AS wasted_reanalysis, reason FROM dec JOIN g USING (mutation) WHERE version = 1""",
     "d06_forced_run": _SNAP + "SELECT project, version, reason FROM decided WHERE gate_strategy = 'always'",
-    "b07_project_roll_up": cte("doc_versions") + """SELECT project, sha256('[' || string_agg('{"path":"' || CAST(doc_id AS VARCHAR) || '","hash":"' || text_hash || '"}', ',' ORDER BY CAST(doc_id AS VARCHAR)) || ']') AS tree_hash FROM doc_versions GROUP BY project""",
+    "b07_project_roll_up": cte("doc_versions") + """, pt AS (
+  SELECT project, left(sha256(CAST(doc_id AS VARCHAR)), 3) AS part, sha256('[' || string_agg('{"path":"' || CAST(doc_id AS VARCHAR) || '","hash":"' || text_hash || '"}', ',' ORDER BY CAST(doc_id AS VARCHAR)) || ']') AS digest FROM doc_versions GROUP BY ALL)
+SELECT project, sha256('[' || string_agg('{"part":"' || part || '","digest":"' || digest || '"}', ',' ORDER BY part) || ']') AS tree_hash FROM pt GROUP BY project""",
     "b08_source_touched": cte("doc_versions") + "SELECT project, version, lag(text_hash) OVER (PARTITION BY project ORDER BY version) <> text_hash AS source_touched FROM doc_versions",
     "b06_text_fingerprint": cte("doc_versions") + "SELECT doc_id, text_hash, structure_hash FROM doc_versions",
     "b22_token_estimate": _SNAP + """SELECT d.project, gate_strategy, CAST(sum(CASE WHEN fired THEN greatest(1, n_chars // 4) ELSE 0 END) AS BIGINT) AS tokens FROM decided d JOIN doc_versions v ON d.project = v.project AND d.version = v.version GROUP BY ALL""",

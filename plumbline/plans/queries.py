@@ -55,6 +55,41 @@ def e01(spark, sf_dir):
     return tidy(compare.conformance_score(*_compared(spark, sf_dir), "project"))
 
 
+def _evidence(spark, sf_dir):
+    fields, uses = load(spark, sf_dir, "code_fields"), load(spark, sf_dir, "code_callables")
+    elements = _sides(spark, sf_dir)[1].select("project", "element").distinct()
+    return compare.association_evidence(load(spark, sf_dir, "associations"), fields, uses, elements, "project")
+
+
+@query("c04_association_evidence")
+def c04(spark, sf_dir):
+    return _evidence(spark, sf_dir)
+
+
+@query("e01_score_with_relations")
+def e01_relations(spark, sf_dir):
+    credits = compare.relation_credits(c03(spark, sf_dir), _evidence(spark, sf_dir), "project")
+    return tidy(compare.conformance_score(*_compared(spark, sf_dir), "project", relations=credits))
+
+
+@query("b09_code_as_design")
+def b09(spark, sf_dir):
+    fields = load(spark, sf_dir, "code_fields").withColumnRenamed("element", "class")
+    uses = load(spark, sf_dir, "code_callables").where("kind <> 'param'").withColumn("name", F.concat(F.lit("m"), F.col("pos").cast("string")))
+    methods = uses.select("project", F.col("element").alias("class"), "name", F.when(F.col("kind") == "return", F.col("type")).alias("returns"))
+    classes = fields.select("project", "class").distinct().withColumn("kind", F.when(F.endswith("class", F.lit("7")), "interface").otherwise("enum"))
+    elements, members = compare.project_code(classes, fields, methods, "project")
+    return members.distinct().join(elements, ["project", "element"], "left")
+
+
+@query("b15_all_findings")
+def b15_all(spark, sf_dir):
+    elements, members = _compared(spark, sf_dir)
+    violations = c21(spark, sf_dir).withColumn("project", F.length("file_path") % 5)
+    keys = compare.finding_keys(elements, members, "project", relations=c03(spark, sf_dir), associations=_evidence(spark, sf_dir), violations=violations)
+    return compare.findings_fingerprint(keys, "project")
+
+
 @query("b14_reflexion_counts")
 def b14(spark, sf_dir):
     return compare.reflexion_counts(*_compared(spark, sf_dir), "project")

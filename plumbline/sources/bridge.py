@@ -21,6 +21,9 @@ TABLES = {
     "layer_evidence": ("lineitem", "part"),
     "history": ("events",),
     "mutations": ("part",),
+    "associations": ("lineitem",),
+    "code_fields": ("lineitem",),
+    "code_callables": ("lineitem",),
 }
 
 SQL = {
@@ -118,6 +121,20 @@ SELECT user_id % 5 AS project, CAST(row_number() OVER w - 1 AS BIGINT) AS versio
   CAST(sum(CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS divergences,
   CAST(sum(CASE WHEN event_type = 'purchase' AND value > 40 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS absences
 FROM events WINDOW w AS (PARTITION BY user_id % 5 ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
+    "associations": """
+SELECT DISTINCT l_suppkey % 5 AS project, concat('C', CAST(l_partkey AS STRING)) AS source, concat('S', CAST(l_suppkey AS STRING)) AS target
+FROM lineitem WHERE l_returnflag = 'A'""",
+    "code_fields": """
+SELECT l_suppkey % 5 AS project, concat('C', CAST(l_partkey AS STRING)) AS element, l_orderkey * 10 + l_linenumber AS pos,
+  CASE WHEN l_linenumber % 3 = 0 THEN concat('s', CAST(l_suppkey AS STRING), 's')
+    WHEN l_linenumber % 3 = 1 THEN concat('s', CAST(l_suppkey AS STRING), '_old') ELSE 'x' END AS name,
+  CASE WHEN l_tax < 0.02 THEN concat('pkg.S', CAST(l_suppkey AS STRING)) WHEN l_tax < 0.04 THEN '' END AS type
+FROM lineitem WHERE l_linestatus = 'O'""",
+    "code_callables": """
+SELECT l_suppkey % 5 AS project, concat('C', CAST(l_partkey AS STRING)) AS element, l_orderkey AS pos, CAST(l_linenumber AS BIGINT) AS ref_pos,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'param' WHEN l_linenumber % 3 = 1 THEN 'return' ELSE 'instantiation' END AS kind,
+  concat('S', CAST(l_suppkey AS STRING)) AS type
+FROM lineitem WHERE l_linestatus = 'O' AND l_tax > 0.06""",
     "mutations": """
 SELECT p_partkey AS mutation, p_brand AS category, CAST(v AS BIGINT) AS version, p_size % 3 = 0 AS expect_structural_change,
   CAST(CASE WHEN v = 1 AND p_size % 7 > 0 THEN 1 ELSE 0 END AS STRING) AS text_hash,
