@@ -57,62 +57,68 @@ def resolve_by_name(sites: DataFrame, definitions: DataFrame, *keys: str) -> Dat
     return out.withColumn("bucket", bucket).withColumn("target", F.when(F.col("bucket") == "same_file", F.col("local_id")).when(F.col("bucket") == "unique_global", F.col("def_id"))).drop("local_id", "def_id", "candidates")
 
 
-def resolve_calls(sites: DataFrame, classes: DataFrame, methods: DataFrame, fields: DataFrame, bases: DataFrame, functions: DataFrame, imports: DataFrame, *keys: str) -> DataFrame:
-    """The whole cascade for sites(site, file, class, receiver, name, instantiation, local_type).
-
-    classes(class, file), methods(class, name, method_id, pos), fields(class, field, type),
-    functions(file, name, function_id), imports(file, symbol, target). A receiver whose type is known but lacks the
-    method is external: it does not fall through to looser rules.
+def resolve_calls(
+    sites: DataFrame, classes: DataFrame, methods: DataFrame, fields: DataFrame, bases: DataFrame, functions: DataFrame, imports: DataFrame, *keys: str
+) -> DataFrame:
+    """(keys, site, bucket, target) by the whole cascade for sites(site, file, class, receiver, name, instantiation, local_type).
+
+    classes(class, file[, class_name]) where class identifies a class and class_name, if it is not the same, is what code
+    calls it; methods(class, name, method_id, pos), fields(class, field, type), bases(class, base, pos) with types and bases
+    by name, functions(file, name, function_id), imports(file, symbol, target). A type or base counts where one class has the
+    last part of its name. A receiver that is known but lacks the method is external and does not fall through to looser rules;
+    a bare call tries the own class, the file, the imports, then what is unique in the whole project.
     """
-    one_class = unique(classes, "class", "file", *keys).where("file IS NOT NULL").select(*keys, F.col("class").alias("known_class"))
-    of = inherited_methods(methods, bases, *keys)
-    field = fields.select(*keys, "class", F.col("field").alias("member"), F.col("type").alias("field_type"))
-    head = F.substring_index("receiver", ".", 1)
-    member = F.when(head.isin("self", "this") & F.contains("receiver", F.lit(".")), F.substring_index("receiver", ".", -1)).otherwise(F.col("receiver"))
-    rows = sites.withColumns({"member": member, "is_self": F.col("receiver").isin("self", "this", "super()")})
-    rows = rows.join(field, [*keys, "class", "member"], "left")
-    rows = rows.join(one_class.withColumnRenamed("known_class", "static_class"), [*(rows[k] == one_class[k] for k in keys), rows["receiver"] == F.col("static_class")], "left").select(rows["*"], "static_class")
-    rows = rows.join(one_class.withColumnRenamed("known_class", "made_class"), [*(rows[k] == one_class[k] for k in keys), rows["name"] == F.col("made_class")], "left").select(rows["*"], "made_class")
-    kind = (
-        F.when(F.col("instantiation") & F.col("made_class").isNotNull(), "instantiation")
-        .when(F.col("is_self"), "self")
-        .when(F.col("receiver").isNotNull() & F.col("field_type").isNotNull(), "field")
-        .when(F.col("receiver").isNotNull() & F.col("local_type").isNotNull(), "local")
-        .when(F.col("static_class").isNotNull(), "static")
-    )
-    holder = F.when(F.col("kind") == "self", F.col("class")).when(F.col("kind") == "field", F.col("field_type")).when(F.col("kind") == "local", F.col("local_type")).when(F.col("kind") == "static", F.col("static_class"))
-    rows = rows.withColumn("kind", kind).withColumn("holder", holder)
-    rows = rows.join(of.select(*keys, F.col("class").alias("holder"), "name", "method_id"), [*keys, "holder", "name"], "left")
-    symbol = F.coalesce("receiver", "name")
-    rows = rows.withColumn("symbol", symbol).join(imports.select(*keys, "file", "symbol", F.col("target").alias("import_file")), [*keys, "file", "symbol"], "left")
+    if "class_name" not in classes.columns:
+        classes = classes.withColumn("class_name", F.col("class"))
+    known = unique(classes, "class_name", "class", *keys).where("class IS NOT NULL").select(*keys, "class_name", "class")
+    last_part = lambda c: F.substring_index(c, ".", -1)
+
+    def find_class(rows: DataFrame, called: Column | str, found: str) -> DataFrame:
+        names = known.withColumnsRenamed({"class_name": "_called", "class": found})
+        return rows.withColumn("_called", last_part(called)).join(names, [*keys, "_called"], "left").drop("_called")
+
+    parents = find_class(bases, "base", "parent").where("parent IS NOT NULL AND parent <> class").select(*keys, "class", F.col("parent").alias("base"), "pos")
+    of = inherited_methods(methods, parents, *keys).select(*keys, F.col("class").alias("holder"), "name", "method_id")
+    typed = find_class(fields, "type", "field_class").select(*keys, "class", F.col("field").alias("member"), "field_class")
     local = functions.groupBy(*keys, "file", "name").agg(F.min("function_id").alias("local_function"))
-    rows = rows.join(local, [*keys, "file", "name"], "left")
-    rows = rows.join(local.withColumnsRenamed({"file": "import_file", "local_function": "imported_function"}), [*keys, "import_file", "name"], "left")
+    placed = classes.groupBy(*keys, "file", F.col("class_name").alias("name")).agg(F.min("class").alias("file_class"))
     anywhere = functions.select(*keys, "name", F.col("function_id").alias("id")).unionByName(methods.select(*keys, "name", F.col("method_id").alias("id")))
-    rows = rows.join(unique(anywhere, "name", "id", *keys), [*keys, "name"], "left")
-    held, bare = F.col("holder").isNotNull(), F.col("receiver").isNull()
-    bucket = (
-        F.when(F.col("kind") == "instantiation", "instantiation")
-        .when(held & F.col("method_id").isNotNull(), F.col("kind"))
-        .when(held, "external")
-        .when(~bare & F.col("imported_function").isNotNull(), "import")
-        .when(~bare, "external")
-        .when(F.col("local_function").isNotNull(), "same_file")
-        .when(F.col("made_class").isNotNull(), "instantiation")
-        .when(F.col("imported_function").isNotNull(), "import")
-        .when(F.col("id").isNotNull(), "unique_global")
-        .when(F.col("candidates") > 1, "ambiguous")
-        .otherwise("external")
-    )
 
-    def target(b: Column) -> Column:
-        found = {"instantiation": "made_class", "same_file": "local_function", "import": "imported_function", "unique_global": "id"}
-        out = F.when(b.isin("self", "field", "local", "static"), F.col("method_id"))
-        for name, column in found.items():
-            out = out.when(b == name, F.col(column))
-        return out
+    head = F.substring_index("receiver", ".", 1)
+    rest = F.when(F.contains("receiver", F.lit(".")), F.expr("substring(receiver, instr(receiver, '.') + 1)"))
+    rows = sites.withColumns({"head": head, "member": F.substring_index(rest, ".", 1), "symbol": F.coalesce(head, "name")})
+    rows = rows.join(typed, [*keys, "class", "member"], "left")
+    rows = find_class(find_class(find_class(rows, "local_type", "local_class"), "head", "static_class"), "name", "made_class")
+    made, bare, own = F.col("instantiation"), F.col("receiver").isNull(), F.col("head").isin("self", "this")
+    holder = F.when(made, None).when(bare | (own & F.col("member").isNull()), F.col("class")).when(own, F.col("field_class")).otherwise(F.coalesce("local_class", "static_class"))
+    rows = rows.withColumn("holder", holder).join(of, [*keys, "holder", "name"], "left")
+    rows = rows.join(imports.select(*keys, "file", "symbol", F.col("target").alias("import_file")), [*keys, "file", "symbol"], "left")
+    rows = rows.join(local, [*keys, "file", "name"], "left").join(placed, [*keys, "file", "name"], "left")
+    rows = rows.join(local.withColumnsRenamed({"file": "import_file", "local_function": "imported_function"}), [*keys, "import_file", "name"], "left")
+    rows = rows.join(placed.withColumnsRenamed({"file": "import_file", "file_class": "imported_class"}), [*keys, "import_file", "name"], "left")
+    rows = rows.join(unique(anywhere, "name", "id", *keys), [*keys, "name"], "left")
 
-    return rows.withColumn("bucket", bucket).select(*keys, "site", "bucket", target(F.col("bucket")).alias("target"))
+    has = lambda c: F.col(c).isNotNull()
+    pick = lambda bucket, c: F.struct(F.lit(bucket).alias("bucket"), (F.lit(None).cast("string") if c is None else F.col(c).cast("string")).alias("target"))
+    through = F.when(own & F.col("member").isNull(), pick("self", "method_id")).when(own, pick("field", "method_id")).when(has("local_class"), pick("local", "method_id")).otherwise(pick("static", "method_id"))
+    verdict = (
+        F.when(made, F.when(has("made_class"), pick("instantiation", "made_class")).otherwise(pick("external", None)))
+        .when(~bare & has("method_id"), through)
+        .when(~bare & (own | has("holder")), pick("external", None))
+        .when(~bare & has("imported_function"), pick("import", "imported_function"))
+        .when(~bare & has("imported_class"), pick("import", "imported_class"))
+        .when(~bare, pick("external", None))
+        .when(has("method_id"), pick("self", "method_id"))
+        .when(has("local_function"), pick("same_file", "local_function"))
+        .when(has("file_class"), pick("instantiation", "file_class"))
+        .when(has("imported_function"), pick("import", "imported_function"))
+        .when(has("imported_class"), pick("instantiation", "imported_class"))
+        .when(has("id"), pick("unique_global", "id"))
+        .when(F.col("candidates") > 1, pick("ambiguous", None))
+        .when(has("made_class"), pick("instantiation", "made_class"))
+        .otherwise(pick("external", None))
+    )
+    return rows.select(*keys, "site", verdict.alias("v")).select(*keys, "site", "v.bucket", "v.target")
 
 
 def call_edges(resolved: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
@@ -146,16 +152,26 @@ def split_supertypes(bases: DataFrame, interfaces: DataFrame, *keys: str) -> Dat
     return out.select(*keys, "class", F.when(F.size("e") > 0, F.get(names["e"], F.lit(0))).alias("extends"), names["i"].alias("implements"), F.slice(names["e"], 2, F.greatest(F.size("e"), F.lit(1))).alias("untyped_supertypes"))
 
 
-def implementation_graph(modules: DataFrame, classes: DataFrame, methods: DataFrame, supertypes: DataFrame, calls: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the code: modules contain classes, classes methods; inheritance; resolved calls. One edge per pair, the last kind wins."""
+def implementation_graph(
+    modules: DataFrame, classes: DataFrame, methods: DataFrame, supertypes: DataFrame, calls: DataFrame, *keys: str, functions: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the code: modules contain classes and functions, classes methods; inheritance; resolved calls.
+
+    One edge per ordered pair, the last kind wins: contains, inheritance, calls. Only nodes that exist have edges, and none to itself.
+    """
     nodes = modules.select(*keys, F.col("file").alias("node"), F.lit("module").alias("kind"))
     nodes = nodes.unionByName(classes.select(*keys, F.col("class").alias("node"), "kind")).unionByName(methods.select(*keys, F.col("method_id").alias("node"), F.lit("method").alias("kind")))
-    contains = classes.select(*keys, F.col("file").alias("src"), F.col("class").alias("dst"), F.lit("contains").alias("relation"), F.lit(1).alias("ord"))
-    contains = contains.unionByName(methods.select(*keys, F.col("class").alias("src"), F.col("method_id").alias("dst"), F.lit("contains").alias("relation"), F.lit(2).alias("ord")))
-    inherits = supertypes.select(*keys, F.col("class").alias("src"), F.col("base").alias("dst"), "relation", F.lit(3).alias("ord"))
-    called = calls.select(*keys, "src", "dst", "relation", F.lit(4).alias("ord"))
-    edges = contains.unionByName(inherits).unionByName(called).groupBy(*keys, "src", "dst").agg(F.max_by("relation", "ord").alias("relation"))
-    return nodes.distinct(), edges
+    edge = lambda t, src, dst, relation, ord: t.select(*keys, F.col(src).alias("src"), F.col(dst).alias("dst"), relation.alias("relation"), F.lit(ord).alias("ord"))
+    edges = edge(classes, "file", "class", F.lit("contains"), 1).unionByName(edge(methods, "class", "method_id", F.lit("contains"), 1))
+    if functions is not None:
+        nodes = nodes.unionByName(functions.select(*keys, F.col("function_id").alias("node"), F.lit("function").alias("kind")))
+        edges = edges.unionByName(edge(functions, "file", "function_id", F.lit("contains"), 1))
+    edges = edges.unionByName(edge(supertypes, "class", "base", F.col("relation"), 3)).unionByName(edge(calls, "src", "dst", F.col("relation"), 4))
+    one = edges.where("src <> dst").groupBy(*keys, "src", "dst").agg(F.max_by("relation", F.struct("ord", "relation")).alias("relation"))
+    nodes = nodes.distinct()
+    for end in ("src", "dst"):
+        one = one.join(nodes.select(*keys, F.col("node").alias(end)).distinct(), [*keys, end], "left_semi")
+    return nodes, one.select(*keys, "src", "dst", "relation")
 
 
 def design_graph(elements: DataFrame, relations: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:

@@ -94,6 +94,29 @@ decided AS (SELECT project, version, gate_strategy, reason NOT IN ('content unch
 """
 
 
+_CASCADE = cte("code_sites", "code_classes", "code_functions", "code_imports") + """, kn AS (SELECT class_name, min(class) AS id FROM code_classes GROUP BY class_name HAVING count(DISTINCT class) = 1),
+own AS (SELECT class, 'm' || CAST(size % 4 AS VARCHAR) AS name FROM code_classes), me AS (SELECT class, name, class || '::' || name AS method_id FROM own),
+ih AS (SELECT c.class, m.name, m.method_id FROM code_classes c JOIN kn ON kn.class_name = 'C' || CAST(k - 1 AS VARCHAR) JOIN me m ON m.class = kn.id WHERE k % 4 = 3 AND kn.id <> c.class),
+mo AS (SELECT * FROM me UNION ALL SELECT * FROM ih WHERE NOT EXISTS (SELECT 1 FROM me WHERE me.class = ih.class AND me.name = ih.name)),
+fc AS (SELECT class, id AS field_class FROM code_classes JOIN kn ON kn.class_name = 'C' || CAST(k // 2 AS VARCHAR)),
+fu AS (SELECT file, name, min(function_id) AS fid FROM code_functions GROUP BY ALL), pl AS (SELECT file, class_name AS name, min(class) AS cid FROM code_classes GROUP BY ALL),
+an AS (SELECT name, count(DISTINCT id) AS n, min(id) AS id FROM (SELECT name, function_id AS id FROM code_functions UNION ALL SELECT name, method_id FROM me) GROUP BY name),
+st AS (SELECT s.*, lc.id AS lcid, sc.id AS scid, mc.id AS mcid, fc.field_class FROM code_sites s LEFT JOIN kn lc ON lc.class_name = split_part(local_type, '.', -1)
+  LEFT JOIN kn sc ON sc.class_name = receiver LEFT JOIN kn mc ON mc.class_name = s.name LEFT JOIN fc ON fc.class = s.class AND receiver = 'this.f1'),
+ho AS (SELECT *, CASE WHEN instantiation THEN NULL WHEN receiver IS NULL OR receiver = 'self' THEN class WHEN receiver = 'this.f1' THEN field_class ELSE coalesce(lcid, scid) END AS holder FROM st),
+al AS (SELECT ho.*, mo.method_id, fu.fid, pl.cid, f2.fid AS ifid, p2.cid AS icid, an.n, an.id AS gid FROM ho LEFT JOIN mo ON mo.class = holder AND mo.name = ho.name
+  LEFT JOIN code_imports im ON im.file = ho.file AND im.symbol = coalesce(receiver, ho.name) LEFT JOIN fu ON fu.file = ho.file AND fu.name = ho.name LEFT JOIN pl ON pl.file = ho.file AND pl.name = ho.name
+  LEFT JOIN fu f2 ON f2.file = im.target AND f2.name = ho.name LEFT JOIN pl p2 ON p2.file = im.target AND p2.name = ho.name LEFT JOIN an ON an.name = ho.name),
+bk AS (SELECT *, CASE WHEN instantiation THEN (CASE WHEN mcid IS NOT NULL THEN 'instantiation' ELSE 'external' END)
+  WHEN receiver = 'self' THEN (CASE WHEN method_id IS NOT NULL THEN 'self' ELSE 'external' END) WHEN receiver = 'this.f1' THEN (CASE WHEN method_id IS NOT NULL THEN 'field' ELSE 'external' END)
+  WHEN receiver IS NOT NULL AND lcid IS NOT NULL THEN (CASE WHEN method_id IS NOT NULL THEN 'local' ELSE 'external' END)
+  WHEN receiver IS NOT NULL AND scid IS NOT NULL THEN (CASE WHEN method_id IS NOT NULL THEN 'static' ELSE 'external' END)
+  WHEN receiver IS NOT NULL THEN (CASE WHEN coalesce(ifid, icid) IS NOT NULL THEN 'import' ELSE 'external' END)
+  WHEN method_id IS NOT NULL THEN 'self' WHEN fid IS NOT NULL THEN 'same_file' WHEN cid IS NOT NULL THEN 'instantiation' WHEN ifid IS NOT NULL THEN 'import' WHEN icid IS NOT NULL THEN 'instantiation'
+  WHEN n = 1 THEN 'unique_global' WHEN n > 1 THEN 'ambiguous' WHEN mcid IS NOT NULL THEN 'instantiation' ELSE 'external' END AS bucket FROM al),
+cas AS (SELECT site, class, bucket, CASE WHEN bucket IN ('self', 'field', 'local', 'static') THEN method_id WHEN bucket = 'same_file' THEN fid WHEN bucket = 'unique_global' THEN gid
+  WHEN bucket = 'import' THEN coalesce(ifid, icid) WHEN bucket = 'instantiation' THEN (CASE WHEN instantiation THEN mcid ELSE coalesce(cid, icid, mcid) END) END AS target FROM bk)
+"""
 _EVID = cte("members", "associations", "code_fields", "code_callables", "snap_edges", "layer_evidence") + _ELEMENTS + """, cf AS (SELECT a.project, source, target, pos, lower(name) AS name, lower(target) AS want, split_part(type, '.', -1) = target AS typed
   FROM associations a JOIN code_fields f ON a.project = f.project AND source = element),
 cand AS (SELECT project, source, target, 1 AS k0, pos AS k1, 0 AS k2, 0 AS k3, 'strong' AS ev FROM cf WHERE typed
@@ -197,6 +220,16 @@ FROM snap_edges d WHERE d.version = 0""",
   count(*) FILTER (bucket = 'ambiguous') AS ambiguous, count(*) FILTER (bucket = 'external') AS external, count(*) AS sites,
   count(*) FILTER (bucket IN ('same_file', 'unique_global')) AS resolved, round(count(*) FILTER (bucket IN ('same_file', 'unique_global')) / CAST(count(*) AS DOUBLE), 6) AS rate
 FROM resolved GROUP BY caller_file""",
+    "c09_call_cascade": _CASCADE + "SELECT site, bucket, target FROM cas",
+    "e02_cascade_stats": _CASCADE + "SELECT " + ", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}" for b in ("instantiation", "self", "field", "local", "static", "import", "same_file", "unique_global", "ambiguous", "external")) + """,
+  count(*) AS sites, count(*) FILTER (bucket NOT IN ('ambiguous', 'external')) AS resolved, round(count(*) FILTER (bucket NOT IN ('ambiguous', 'external')) / CAST(count(*) AS DOUBLE), 6) AS rate FROM cas""",
+    "c11_implementation_graph": _CASCADE + """, nodes AS (SELECT DISTINCT 'file' || CAST(file AS VARCHAR) AS node, 'module' AS kind FROM (SELECT file FROM code_classes UNION SELECT file FROM code_functions)
+  UNION SELECT class, 'class' FROM code_classes UNION SELECT method_id, 'method' FROM me UNION SELECT function_id, 'function' FROM code_functions),
+ed AS (SELECT 'file' || CAST(file AS VARCHAR) AS src, class AS dst, 'contains' AS relation, 1 AS o FROM code_classes UNION ALL SELECT class, method_id, 'contains', 1 FROM me
+  UNION ALL SELECT 'file' || CAST(file AS VARCHAR), function_id, 'contains', 1 FROM code_functions UNION ALL SELECT class, 'K' || CAST(k - 1 AS VARCHAR), 'extends', 3 FROM code_classes WHERE k % 4 = 3
+  UNION ALL SELECT class, target, CASE WHEN bucket = 'instantiation' THEN 'instantiates' ELSE 'calls' END, 4 FROM cas WHERE class IS NOT NULL AND target IS NOT NULL),
+one AS (SELECT src, dst, relation FROM ed WHERE src <> dst AND src IN (SELECT node FROM nodes) AND dst IN (SELECT node FROM nodes) QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY o DESC, relation DESC) = 1)
+SELECT 'node' AS part, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', relation, count(*) FROM one GROUP BY relation""",
     "c12_design_graph_nodes": cte("snap_nodes", "snap_edges") + """, own AS (SELECT DISTINCT project, node, kind, 'uml' AS origin FROM snap_nodes WHERE version = 0 AND kind = 'class'),
 ends AS (SELECT project, src AS node FROM snap_edges WHERE version = 0 UNION SELECT project, dst FROM snap_edges WHERE version = 0)
 SELECT * FROM own UNION ALL SELECT project, node, 'class', 'uml-implied' FROM ends WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.project = ends.project AND own.node = ends.node)""",

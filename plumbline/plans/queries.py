@@ -160,6 +160,43 @@ def e02(spark, sf_dir):
     return tidy(out.select("caller_file", "same_file", "unique_global", "ambiguous", "external", "sites", "resolved", "rate"))
 
 
+def _code(spark, sf_dir):
+    classes = load(spark, sf_dir, "code_classes")
+    method = F.concat(F.lit("m"), (F.col("size") % 4).cast("string"))
+    methods = classes.select("class", method.alias("name"), F.concat("class", F.lit("::"), method).alias("method_id"), F.lit(0).alias("pos"))
+    fields = classes.select("class", F.lit("f1").alias("field"), F.concat(F.lit("a.C"), F.floor(F.col("k") / 2).cast("string")).alias("type"))
+    bases = classes.where("k % 4 = 3").select("class", F.concat(F.lit("C"), (F.col("k") - 1).cast("string")).alias("base"), F.lit(0).alias("pos"))
+    return classes.drop("k", "size"), methods, fields, bases, load(spark, sf_dir, "code_functions")
+
+
+def _cascade(spark, sf_dir):
+    return resolve.resolve_calls(load(spark, sf_dir, "code_sites"), *_code(spark, sf_dir), load(spark, sf_dir, "code_imports"))
+
+
+@query("c09_call_cascade")
+def c09_cascade(spark, sf_dir):
+    return _cascade(spark, sf_dir)
+
+
+@query("e02_cascade_stats")
+def e02_cascade(spark, sf_dir):
+    return tidy(resolve.resolution_stats(_cascade(spark, sf_dir)))
+
+
+@query("c11_implementation_graph")
+def c11_graph(spark, sf_dir):
+    classes, methods, _, bases, functions = _code(spark, sf_dir)
+    text = lambda t: t.withColumn("file", F.concat(F.lit("file"), F.col("file").cast("string")))
+    callers = load(spark, sf_dir, "code_sites").where("class IS NOT NULL").select("site", F.col("class").alias("caller")).distinct()
+    calls = _cascade(spark, sf_dir).join(callers, "site").where("target IS NOT NULL")
+    calls = calls.select(F.col("caller").alias("src"), F.col("target").alias("dst"), F.when(F.col("bucket") == "instantiation", "instantiates").otherwise("calls").alias("relation"))
+    supertypes = bases.select("class", F.concat(F.lit("K"), F.substring("base", 2, 20)).alias("base"), F.lit("extends").alias("relation"))
+    modules = text(classes.select("file").union(functions.select("file")).distinct())
+    nodes, edges = resolve.implementation_graph(modules, text(classes).withColumn("kind", F.lit("class")), methods, supertypes, calls, functions=text(functions))
+    kinds = nodes.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "kind", "n")
+    return kinds.unionByName(edges.groupBy(F.col("relation").alias("kind")).agg(F.count("*").alias("n")).withColumn("part", F.lit("edge")))
+
+
 @query("c12_design_graph_nodes")
 def c12(spark, sf_dir):
     edges = load(spark, sf_dir, "snap_edges").where("version = 0")

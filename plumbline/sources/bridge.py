@@ -22,6 +22,10 @@ TABLES = {
     "history": ("events",),
     "mutations": ("part",),
     "associations": ("lineitem",),
+    "code_sites": ("lineitem", "part"),
+    "code_classes": ("part",),
+    "code_functions": ("supplier",),
+    "code_imports": ("part",),
     "code_fields": ("lineitem",),
     "code_callables": ("lineitem",),
 }
@@ -121,6 +125,26 @@ SELECT user_id % 5 AS project, CAST(row_number() OVER w - 1 AS BIGINT) AS versio
   CAST(sum(CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS divergences,
   CAST(sum(CASE WHEN event_type = 'purchase' AND value > 40 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS absences
 FROM events WINDOW w AS (PARTITION BY user_id % 5 ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
+    "code_sites": """
+SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS site, CAST(p_size AS BIGINT) AS file,
+  CASE WHEN l_linenumber < 6 THEN concat('K', CAST(l_partkey AS STRING)) END AS class,
+  CASE (l_orderkey + l_linenumber) % 10 WHEN 1 THEN 'self' WHEN 2 THEN 'this.f1' WHEN 3 THEN 'x' WHEN 4 THEN concat('C', CAST(l_suppkey AS STRING)) WHEN 5 THEN 'mod1' END AS receiver,
+  CASE (l_orderkey + l_linenumber) % 10 WHEN 0 THEN concat('C', CAST(l_suppkey AS STRING)) WHEN 1 THEN concat('m', CAST(l_suppkey % 4 AS STRING))
+    WHEN 2 THEN 'm0' WHEN 3 THEN 'm1' WHEN 4 THEN 'm2' WHEN 7 THEN concat('g', CAST(l_suppkey AS STRING)) WHEN 8 THEN concat('C', CAST(l_suppkey AS STRING))
+    WHEN 9 THEN 'm3' ELSE concat('fn', CAST(l_suppkey % 30 AS STRING)) END AS name,
+  (l_orderkey + l_linenumber) % 10 = 0 AS instantiation,
+  CASE WHEN (l_orderkey + l_linenumber) % 10 = 3 THEN concat('pkg.C', CAST(l_suppkey AS STRING)) END AS local_type
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "code_classes": """
+SELECT concat('K', CAST(p_partkey AS STRING)) AS class, CAST(p_size AS BIGINT) AS file,
+  concat('C', CAST(CASE WHEN p_size > 40 THEN p_partkey % 3 ELSE p_partkey END AS STRING)) AS class_name, p_partkey AS k, CAST(p_size AS BIGINT) AS size
+FROM part""",
+    "code_functions": """
+SELECT s_suppkey % 50 AS file, concat('fn', CAST(s_suppkey % 30 AS STRING)) AS name, concat('F', CAST(s_suppkey AS STRING)) AS function_id FROM supplier
+UNION ALL SELECT s_suppkey % 50, concat('g', CAST(s_suppkey AS STRING)), concat('G', CAST(s_suppkey AS STRING)) FROM supplier""",
+    "code_imports": """
+SELECT DISTINCT CAST(p_size AS BIGINT) AS file, symbol, CAST((p_size + step) % 50 AS BIGINT) AS target
+FROM part CROSS JOIN (SELECT 'mod1' AS symbol, 1 AS step UNION ALL SELECT 'fn3', 7 UNION ALL SELECT 'C5', 2) t""",
     "associations": """
 SELECT DISTINCT l_suppkey % 5 AS project, concat('C', CAST(l_partkey AS STRING)) AS source, concat('S', CAST(l_suppkey AS STRING)) AS target
 FROM lineitem WHERE l_returnflag = 'A'""",

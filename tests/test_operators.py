@@ -111,7 +111,40 @@ def test_call_cascade_does_not_fall_through(spark):
     imports = spark.createDataFrame([], "file string, symbol string, target string")
     keyed = [t.withColumn("project", F.lit(1)) for t in (sites, classes, methods, fields, bases, functions, imports)]
     got = {r.site: (r.bucket, r.target) for r in resolve.resolve_calls(*keyed, "project").collect()}
-    assert got == {"s1": ("field", "Repo.save"), "s2": ("external", None), "s3": ("same_file", "f.helper"), "s4": ("self", "Base.m"), "s5": ("ambiguous", None), "s6": ("instantiation", "Repo")}
+    assert got == {"s1": ("field", "Repo.save"), "s2": ("external", None), "s3": ("same_file", "f.helper"), "s4": ("self", "Base.m"), "s5": ("self", "Base.twice"), "s6": ("instantiation", "Repo")}
+
+
+def test_call_cascade_bare_calls_imports_and_types_by_last_part(spark):
+    sites = [
+        ("own", "f", "A", None, "m", False, None), ("file class", "f", None, None, "B", False, None), ("imported class", "f", None, None, "Far", False, None),
+        ("module", "f", None, "mod.x", "go", False, None), ("module class", "f", None, "mod", "Far", False, None), ("two", "f", None, None, "two", False, None),
+        ("lone", "f", None, None, "Lone", False, None), ("local", "f", None, "v.x", "m", False, "pkg.A"), ("local lacks", "f", None, "v", "none", False, "pkg.A"),
+        ("static", "f", None, "A", "m", False, None), ("twins", "f", None, None, "Twin", True, None), ("nothing", "f", "A", "self", "gone", False, None), ("null", "f", None, None, None, None, None),
+    ]
+    sites = spark.createDataFrame(sites, "site string, file string, class string, receiver string, name string, instantiation boolean, local_type string")
+    classes = spark.createDataFrame([("A", "f", "A"), ("f/B", "f", "B"), ("Far", "g", "Far"), ("Lone", "h", "Lone"), ("t1", "h", "Twin"), ("t2", "i", "Twin")], "class string, file string, class_name string")
+    methods = spark.createDataFrame([("A", "m", "A.m", 0), ("f/B", "two", "B.two", 0)], "class string, name string, method_id string, pos int")
+    fields = spark.createDataFrame([], "class string, field string, type string")
+    bases = spark.createDataFrame([("A", "A", 0), ("A", "Twin", 1)], "class string, base string, pos int")
+    functions = spark.createDataFrame([("g", "go", "g.go"), ("h", "two", "h.two")], "file string, name string, function_id string")
+    imports = spark.createDataFrame([("f", "mod", "g"), ("f", "Far", "g")], "file string, symbol string, target string")
+    got = {r.site: (r.bucket, r.target) for r in resolve.resolve_calls(sites, classes, methods, fields, bases, functions, imports).collect()}
+    assert got == {
+        "own": ("self", "A.m"), "file class": ("instantiation", "f/B"), "imported class": ("instantiation", "Far"), "module": ("import", "g.go"), "module class": ("import", "Far"), "two": ("ambiguous", None),
+        "lone": ("instantiation", "Lone"), "local": ("local", "A.m"), "local lacks": ("external", None), "static": ("static", "A.m"), "twins": ("external", None), "nothing": ("external", None), "null": ("external", None),
+    }
+
+
+def test_implementation_graph(spark):
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    nodes, edges = resolve.implementation_graph(
+        frame([("f",)], "file string"), frame([("A", "f", "class"), ("I", "f", "interface")], "class string, file string, kind string"), frame([("A", "A.m"), ("A", "A.n")], "class string, method_id string"),
+        frame([("A", "I", "implements"), ("A", "Nowhere", "extends")], "class string, base string, relation string"),
+        frame([("A.m", "A.n", "calls"), ("A.m", "A.m", "calls"), ("A.m", "I", "instantiates"), ("A.m", "lost", "calls"), ("A", "I", "calls")], "src string, dst string, relation string"),
+        functions=frame([("f", "f.go")], "file string, function_id string"),
+    )
+    assert {tuple(r) for r in nodes.collect()} == {("f", "module"), ("A", "class"), ("I", "interface"), ("A.m", "method"), ("A.n", "method"), ("f.go", "function")}
+    assert {tuple(r) for r in edges.collect()} == {("f", "A", "contains"), ("f", "I", "contains"), ("A", "A.m", "contains"), ("A", "A.n", "contains"), ("f", "f.go", "contains"), ("A", "I", "calls"), ("A.m", "A.n", "calls"), ("A.m", "I", "instantiates")}
 
 
 def test_supertypes(spark):
