@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontamination, fingerprints, jaccard_join, licenses, packing, quality, secrets, suffix_dedup, toxicity
+from plumbline.llm import chat, conversation_repair, decontamination, fingerprints, jaccard_join, licenses, packing, quality, secrets, suffix_dedup, toxicity
+from plumbline.llm.conversation_sql import op12_sql
 from plumbline.llm.sampling import held_out
 
 
@@ -103,6 +104,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(rows), every=rows)
+
+
 OP7_SQL = r"""
 WITH folded AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -174,6 +180,7 @@ _QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op12_conversation_repair": op12_conversation_repair,
     "pipeline": pipeline,
 }
 OP5_SQL = r"""
@@ -197,6 +204,7 @@ _SQL = {
     "op2_license_scans": OP2_SQL,
     "op4_chat_formatting": OP4_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
+    "op12_conversation_repair": op12_sql(),
 }
 
 
