@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, conversation_repair, decontamination, fingerprints, jaccard_join, licenses, packing, quality, secrets, suffix_dedup, toxicity
+from plumbline.llm import chat, conversation_repair, decontamination, fingerprints, jaccard_join, lexical_search, licenses, packing, pii, pii_examples, quality, secrets, suffix_dedup, toxicity
 from plumbline.llm.conversation_sql import op12_sql
 from plumbline.llm.sampling import held_out
 
@@ -104,11 +104,28 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = pii.scan(docs, pii.train(pii_examples.labelled_table(spark))).select("doc_id", "spans")
+    counts = {f"n_{k}": secrets.count(F.col("spans"), k) for k in pii.BASE}
+    return spans.select(
+        "doc_id",
+        *(c.alias(n) for n, c in counts.items()),
+        F.sha2(secrets.joined(F.col("spans"), pii.BASE), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans"), pii.KINDS).alias("spans"),
+    )
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations")
     return conversation_repair.repair(conversation_repair.damage(rows), every=rows)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(_table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, _table(spark, sf_dir, "benchmark"))
+
+
 OP7_SQL = r"""
 WITH folded AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -180,7 +197,9 @@ _QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op11_pii": op11_pii,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": pipeline,
 }
 OP5_SQL = r"""
@@ -199,12 +218,35 @@ SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, leas
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.a GROUP BY d.doc_id
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+t AS (
+  SELECT r, term, count(*) AS tf FROM (
+    SELECT r, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d)
+  WHERE term <> '' GROUP BY ALL),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+n AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY r),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_n FROM n),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM t, c WHERE term IN (SELECT term FROM q) GROUP BY term, docs),
+s AS (
+  SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // all_n)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN t USING (term) JOIN n USING (r), c GROUP BY item_id, r),
+k AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM s JOIN d USING (r) WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
+"""
+
 _SQL = {
     "op5_ngram_jaccard_join": OP5_SQL,
     "op2_license_scans": OP2_SQL,
     "op4_chat_formatting": OP4_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op12_conversation_repair": op12_sql(),
+    "op13_lexical_search": OP13_SQL,
 }
 
 
