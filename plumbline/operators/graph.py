@@ -8,133 +8,100 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import count_if
+from plumbline.operators import shapes
+from plumbline.operators.shapes import MOST_NODES
 from plumbline.sources import lineage
 
-#: Sizes beyond which isomorphism is not decided, and passes of layering.
-MOST_NODES, LAYER_PASSES = 400, 24
+#: Fixed value: passes of layering.
+LAYER_PASSES = 24
 
 
-def _following(table: DataFrame, versions: DataFrame) -> DataFrame:
-    """Rows of each version standing as "old" under the number of the next saved version."""
-    after = F.lead("version").over(Window.partitionBy("project").orderBy("version"))
-    steps = versions.withColumn("next", after).where("next IS NOT NULL")
-    return table.join(steps, ["project", "version"]).drop("version").withColumnRenamed("next", "version")
+#: Attributes of a node whose change counts: as far as a table has them.
+TRACKED = ("kind", "signature")
 
 
-def diff_nodes(nodes: DataFrame, tracked: tuple[str, ...] = ("kind", "signature")) -> DataFrame:
+def tracked_in(nodes: DataFrame, tracked: tuple[str, ...]) -> list[str]:
+    return [c for c in tracked if c in nodes.columns]
+
+
+def _steps(rows: DataFrame, versions: DataFrame, *key: str) -> DataFrame:
+    """(project, version, key, change) of rows(project, version, key, digest) against the version saved before: one shuffle by key.
+
+    A row is seen from its key's rows before and after it: it was added where the version before had none, and is
+    removed in the next version where that has none.
+    """
+    order = Window.partitionBy("project").orderBy("version")
+    placed = versions.withColumns({"ord": F.row_number().over(order), "next": F.lead("version").over(order)})
+    line = Window.partitionBy("project", *key).orderBy("ord")
+    rows = rows.join(placed, ["project", "version"])
+    was, follows = F.lag("ord").over(line) == F.col("ord") - 1, F.lead("ord").over(line) == F.col("ord") + 1
+    rows = rows.withColumns({"was": F.coalesce(was, F.lit(False)), "same": F.lag("digest").over(line).eqNullSafe(F.col("digest")), "follows": F.coalesce(follows, F.lit(False))})
+    change = F.when(~F.col("was"), "added").when(F.col("same"), "unchanged").otherwise("changed")
+    here = F.when(F.col("ord") > 1, F.struct("version", change.alias("change")))
+    gone = F.when(~F.col("follows") & F.col("next").isNotNull(), F.struct(F.col("next").alias("version"), F.lit("removed").alias("change")))
+    return rows.select("project", *key, F.explode(F.array_compact(F.array(here, gone))).alias("step")).select("project", "step.version", *key, "step.change")
+
+
+def diff_nodes(nodes: DataFrame, tracked: tuple[str, ...] = TRACKED, versions: DataFrame | None = None) -> DataFrame:
     """(project, version, node, change) against the version before: added, removed, changed or unchanged, deep and NULL-safe."""
-    versions = nodes.select("project", "version").distinct()
-    digest = F.xxhash64(F.to_json(F.struct(*tracked), {"ignoreNullFields": "false"}))
-    now = nodes.select("project", "version", "node", digest.alias("new"))
-    first = versions.groupBy("project").agg(F.min("version").alias("first"))
-    old = _following(now.withColumnRenamed("new", "old"), versions)
-    now = now.join(F.broadcast(first), "project").where("version > first").drop("first")
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "unchanged").otherwise("changed")
-    return now.join(old, ["project", "version", "node"], "full_outer").select("project", "version", "node", change.alias("change"))
+    digest = F.xxhash64(F.to_json(F.struct(*tracked_in(nodes, tracked)), {"ignoreNullFields": "false"}))
+    rows = nodes.select("project", "version", "node", digest.alias("digest")).dropDuplicates(["project", "version", "node"])
+    versions = nodes.select("project", "version").distinct() if versions is None else versions.select("project", "version").distinct()
+    return _steps(rows, versions, "node")
 
 
 def diff_edges(edges: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """(project, version, src, dst, change): added or removed pairs; the relation does not matter."""
-    pairs = edges.select("project", "version", "src", "dst").distinct()
-    versions = pairs.select("project", "version").distinct() if versions is None else versions
-    first = versions.groupBy("project").agg(F.min("version").alias("first"))
-    old = _following(pairs, versions).withColumn("o", F.lit(1))
-    now = pairs.join(F.broadcast(first), "project").where("version > first").drop("first").withColumn("n", F.lit(1))
-    both = now.join(old, ["project", "version", "src", "dst"], "full_outer").where("o IS NULL OR n IS NULL")
-    return both.select("project", "version", "src", "dst", F.when(F.col("o").isNull(), "added").otherwise("removed").alias("change"))
-
-
-def delta_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per (project, version): the five delta sizes and their sum, the set-based edit distance."""
-    n = diff_nodes(nodes).groupBy("project", "version").agg(*(count_if(F.col("change") == c).alias(f"{c}_nodes") for c in ("added", "removed", "changed")))
-    e = diff_edges(edges).groupBy("project", "version").agg(*(count_if(F.col("change") == c).alias(f"{c}_edges") for c in ("added", "removed")))
-    names = ("added_nodes", "removed_nodes", "changed_nodes", "added_edges", "removed_edges")
-    out = n.join(e, ["project", "version"], "left").select("project", "version", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names))
-    return out.withColumn("edit_distance", reduce(lambda a, b: a + b, map(F.col, names)))
+    pairs = edges.select("project", "version", "src", "dst").distinct().withColumn("digest", F.lit(0))
+    versions = pairs.select("project", "version").distinct() if versions is None else versions.select("project", "version").distinct()
+    return _steps(pairs, versions, "src", "dst").where("change <> 'unchanged'")
 
 
-def diff_between(nodes: DataFrame, a: int, b: int, most: int = 200) -> DataFrame:
-    """Added and removed nodes of any two kept versions per project, lists capped for presentation; NULL lists if one is not kept."""
-    side = nodes.where(F.col("version").isin(a, b)).select("project", "version", "node")
-    kept = side.groupBy("project").agg(F.countDistinct("version").alias("versions"))
-    old, new = (side.where(F.col("version") == v).select("project", "node") for v in (a, b))
-    moved = new.join(old, ["project", "node"], "left_anti").withColumn("change", F.lit("added")).unionByName(old.join(new, ["project", "node"], "left_anti").withColumn("change", F.lit("removed")))
-    place = F.row_number().over(Window.partitionBy("project", "change").orderBy("node"))
-    lists = moved.withColumn("place", place).groupBy("project").agg(
-        *(F.array_join(F.array_sort(F.collect_list(F.when((F.col("change") == c) & (F.col("place") <= most), F.col("node")))), ",").alias(c) for c in ("added", "removed")),
-    )
-    out = kept.join(lists, "project", "left")
-    return out.select("project", (F.col("versions") == 2).alias("retained"), *(F.when(F.col("versions") == 2, F.coalesce(c, F.lit(""))).alias(c) for c in ("added", "removed")))
+def delta_counts(nodes: DataFrame, edges: DataFrame, versions: DataFrame | None = None, moved: DataFrame | None = None) -> DataFrame:
+    """Per (project, version): the five delta sizes and their sum, the set-based edit distance.
+
+    Edges are compared over ``versions``, by default those that have edges. ``moved`` is diff_nodes' result where it is at hand.
+    """
+    moved = diff_nodes(nodes, versions=versions) if moved is None else moved
+    n = moved.groupBy("project", "version").agg(*(count_if(F.col("change") == c).alias(f"{c}_nodes") for c in ("added", "removed", "changed")))
+    e = diff_edges(edges, versions).groupBy("project", "version").agg(*(count_if(F.col("change") == c).alias(f"{c}_edges") for c in ("added", "removed")))
+    names = ("added_nodes", "removed_nodes", "changed_nodes", "added_edges", "removed_edges")
+    both = n.join(e, ["project", "version"], "left" if versions is None else "full_outer")
+    out = both.select("project", "version", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names))
+    return out.withColumn("edit_distance", reduce(lambda a, b: a + b, map(F.col, names)))
 
 
 def impact(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     """(project, version, node, hops): seeds that exist and everything within ``radius`` undirected steps of them."""
     keys = ["project", "version"]
     both = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("to"))
-    both = both.unionByName(both.select(*keys, F.col("to").alias("node"), F.col("node").alias("to"))).distinct()
+    both = both.unionByName(both.select(*keys, F.col("to").alias("node"), F.col("node").alias("to")))
+    if radius > 1:
+        both = lineage.cut(both.distinct())
     reached = seeds.select(*keys, "node").distinct().join(nodes.select(*keys, "node").distinct(), [*keys, "node"]).withColumn("hops", F.lit(0))
-    front = reached
+    front = reached = lineage.cut(reached) if radius > 0 else reached
     for hop in range(1, radius + 1):
         step = front.join(both, [*keys, "node"]).select(*keys, F.col("to").alias("node")).distinct()
         front = step.join(reached, [*keys, "node"], "left_anti").withColumn("hops", F.lit(hop))
+        front = lineage.cut(front) if hop < radius else front
         reached = reached.unionByName(front)
     return reached
 
 
-def colours(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """Colour refinement that ignores names: a node's colour is its kind, then what its neighbours were, by direction and relation.
+def _pair(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two snapshots of each project as its versions 0 and 1."""
+    return old.withColumn("version", F.lit(0)).unionByName(new.withColumn("version", F.lit(1)))
 
-    Neighbours are counted per way and colour before they meet at their node, and meet there as two 64-bit hashes, so a
-    hub holds no list of its edges. Each round is checkpointed.
-    """
-    keys = ["project", "version"]
-    now = nodes.select(*keys, "node", F.sha2(F.coalesce("kind", F.lit("")), 256).alias("colour"))
-    for _ in range(rounds):
-        other = now.withColumnsRenamed({"node": "far", "colour": "c"})
-        out = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("far"), F.concat(F.lit(">"), "relation").alias("way"))
-        back = edges.select(*keys, F.col("dst").alias("node"), F.col("src").alias("far"), F.concat(F.lit("<"), "relation").alias("way"))
-        seen = out.unionByName(back).join(other, [*keys, "far"]).groupBy(*keys, "node", "way", "c").agg(F.count("*").alias("k"))
-        marks = [F.bit_xor(F.xxhash64(F.lit(salt), "way", "c", "k")).cast("string") for salt in (1, 2)]
-        seen = seen.groupBy(*keys, "node").agg(F.concat_ws(":", *marks).alias("around"))
-        colour = F.sha2(F.concat_ws("/", "colour", F.coalesce("around", F.lit(""))), 256)
-        now = lineage.cut(now.join(seen, [*keys, "node"], "left").select(*keys, "node", colour.alias("colour")))
-    return now
-
-
-def _verified(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, rounds: int) -> DataFrame:
-    """Node pairs (project, node, new_node) matched by colour and rank, and per project whether all edges map both ways."""
-    rank = F.row_number().over(Window.partitionBy("project", "colour").orderBy("node"))
-    a = colours(old.withColumn("version", F.lit(0)), old_edges.withColumn("version", F.lit(0)), rounds).withColumn("place", rank)
-    b = colours(new.withColumn("version", F.lit(0)), new_edges.withColumn("version", F.lit(0)), rounds).withColumn("place", rank).withColumnRenamed("node", "new_node")
-    pairs = a.join(b, ["project", "colour", "place"], "full_outer").select("project", "node", "new_node")
-    whole = pairs.groupBy("project").agg(F.bool_and(F.col("node").isNotNull() & F.col("new_node").isNotNull()).alias("paired"))
-    left, right = (pairs.select("project", F.col("node").alias(n), F.col("new_node").alias(f"new_{n}")) for n in ("src", "dst"))
-    mapped = old_edges.join(left, ["project", "src"]).join(right, ["project", "dst"]).select("project", F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), "relation")
-    real = new_edges.select("project", "src", "dst", "relation")
-    wrong = mapped.join(real, ["project", "src", "dst", "relation"], "left_anti").select("project").unionByName(real.join(mapped, ["project", "src", "dst", "relation"], "left_anti").select("project"))
-    ok = whole.join(wrong.distinct().withColumn("wrong", F.lit(True)), "project", "left").select("project", "paired", (F.col("paired") & F.col("wrong").isNull()).alias("verified"))
-    return pairs.join(ok, "project")
-
-
-def isomorphic(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, rounds: int = 3, most: int = MOST_NODES) -> DataFrame:
-    """(project, isomorphic): false when counts, kinds or colours differ, NULL beyond ``most`` nodes or when the mapping found is not verified, true when it is."""
-
-    def sizes(n: DataFrame, e: DataFrame, name: str) -> DataFrame:
-        per_kind = n.groupBy("project", "kind").agg(F.count("*").alias("k"))
-        multiset = F.array_sort(F.collect_list(F.struct("kind", "k"))).alias(f"{name}_kinds")
-        kinds = per_kind.groupBy("project").agg(F.sum("k").alias(f"{name}_n"), multiset)
-        return kinds.join(e.groupBy("project").agg(F.count("*").alias(f"{name}_e")), "project", "left")
-
-    both = sizes(old, old_edges, "a").join(sizes(new, new_edges, "b"), "project", "full_outer").fillna(0, ["a_n", "a_e", "b_n", "b_e"])
-    differ = (F.col("a_n") != F.col("b_n")) | (F.col("a_e") != F.col("b_e")) | ~F.col("a_kinds").eqNullSafe(F.col("b_kinds"))
-    verdict = _verified(old, new, old_edges, new_edges, rounds).select("project", "paired", "verified").distinct()
-    out = both.join(verdict, "project", "left")
-    return out.select("project", F.when((F.col("a_n") > most) & (F.col("a_n") == F.col("b_n")) & (F.col("a_e") == F.col("b_e")), F.lit(None).cast("boolean")).when(differ | ~F.col("paired"), False).when(F.col("verified"), True).alias("isomorphic"))
-
-
-def renames(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """(project, node, new_node) of nodes whose name changed, only where the whole mapping is verified edge by edge."""
-    return _verified(old, new, old_edges, new_edges, rounds).where("verified AND node <> new_node").select("project", "node", "new_node")
+
+def isomorphic(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, most: int = MOST_NODES) -> DataFrame:
+    """(project, isomorphic) of two snapshots of each project, names aside: NULL beyond ``most`` nodes where counts do not tell."""
+    versions = _pair(*(t.select("project").distinct() for t in (old.select("project").unionByName(new.select("project")),) * 2))
+    return shapes.same_as_before(_pair(old, new), _pair(old_edges, new_edges), most, versions=versions).select("project", "isomorphic")
+
+
+def renames(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """(project, node, new_node) of nodes whose name changed, only where the whole mapping carries every edge both ways."""
+    return shapes.renamed(_pair(old, new), _pair(old_edges, new_edges)).select("project", "node", "new_node")
 
 
 def degrees(edges: DataFrame, *keys: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import gate, graph
+from plumbline.sources import lineage
 
 #: Reasons after which everything counts as affected.
 WHOLE = ("first version", "design changed", "always")
@@ -13,9 +14,10 @@ WHOLE = ("first version", "design changed", "always")
 DELTAS = ("added_nodes", "removed_nodes", "changed_nodes", "added_edges", "removed_edges")
 
 
-def impact_sizes(nodes: DataFrame, edges: DataFrame, radius: int = 1) -> DataFrame:
+def impact_sizes(nodes: DataFrame, edges: DataFrame, radius: int = 1, moved: DataFrame | None = None) -> DataFrame:
     """(project, version, touched_impact, all_nodes): nodes within ``radius`` steps of what the step to a version touched, and all its nodes."""
-    touched = graph.diff_nodes(nodes).where("change <> 'unchanged'").select("project", "version", "node")
+    moved = graph.diff_nodes(nodes) if moved is None else moved
+    touched = moved.where("change <> 'unchanged'").select("project", "version", "node")
     reached = graph.impact(edges, nodes, touched, radius).groupBy("project", "version").agg(F.count("*").alias("touched_impact"))
     whole = nodes.groupBy("project", "version").agg(F.countDistinct("node").alias("all_nodes"))
     return whole.join(reached, ["project", "version"], "left").withColumn("touched_impact", F.coalesce("touched_impact", F.lit(0)))
@@ -26,10 +28,12 @@ def run_rows(snapshots: DataFrame, nodes: DataFrame, edges: DataFrame, settings:
 
     snapshots(project, version, text_hash, structure_hash[, design_hash, isomorphic, tokens]). A version without one
     before it has all its nodes as added. A reused run has no impact and spends no tokens. ``settings`` become columns.
+    The diff is worked out once, for the delta and for the impact.
     """
     keys = ["project", "version"]
-    sizes = impact_sizes(nodes, edges, radius)
-    counts = graph.delta_counts(nodes, edges).select(*keys, *DELTAS, F.col("edit_distance").alias("delta_size"))
+    moved = lineage.cut(graph.diff_nodes(nodes, versions=snapshots).where("change <> 'unchanged'"))
+    sizes = impact_sizes(nodes, edges, radius, moved)
+    counts = graph.delta_counts(nodes, edges, snapshots, moved).select(*keys, *DELTAS, F.col("edit_distance").alias("delta_size"))
     rows = snapshots.join(counts, keys, "left").join(sizes, keys, "left")
     decided = gate.decide(rows, strategies)
     extra = [F.col("tokens")] if "tokens" in snapshots.columns else [F.lit(None).cast("bigint").alias("tokens")]

@@ -177,6 +177,27 @@ ed AS (SELECT coalesce(n.project, o.project) AS project, coalesce(n.version, o.v
   CASE WHEN o.src IS NULL THEN 'added' ELSE 'removed' END AS change FROM newe n FULL JOIN olde o ON n.project = o.project AND n.version = o.version AND n.src = o.src AND n.dst = o.dst WHERE n.src IS NULL OR o.src IS NULL)
 """
 
+_SHAPE = """, w AS (SELECT project, version, list_sort(list(kind || CAST(size AS VARCHAR))) AS rings, sum(size) AS n FROM rings GROUP BY ALL),
+shape AS (SELECT project, version, CASE WHEN n <> lag(n) OVER p THEN false WHEN n <= 400 THEN rings = lag(rings) OVER p END AS isomorphic FROM w WINDOW p AS (PARTITION BY project ORDER BY version))
+"""
+
+_RUN_ROWS = (
+    _NODES + """, n AS (SELECT project, version, count(*) FILTER (change = 'added') AS an, count(*) FILTER (change = 'removed') AS rn, count(*) FILTER (change = 'changed') AS cn FROM nd GROUP BY ALL),
+e AS (SELECT project, version, count(*) FILTER (change = 'added') AS ae, count(*) FILTER (change = 'removed') AS re FROM ed GROUP BY ALL),
+al AS (SELECT project, version, count(DISTINCT node) AS all_nodes, count(*) AS tokens FROM snap_nodes GROUP BY ALL),
+tn AS (SELECT nd.project, nd.version, nd.node FROM nd WHERE change IN ('added', 'changed')),
+im AS (SELECT project, version, node FROM tn UNION SELECT t.project, t.version, x.dst FROM tn t JOIN pe x ON x.project = t.project AND x.version = t.version AND x.src = t.node
+  UNION SELECT t.project, t.version, x.src FROM tn t JOIN pe x ON x.project = t.project AND x.version = t.version AND x.dst = t.node),
+ti AS (SELECT project, version, count(*) AS k FROM im GROUP BY ALL),
+j AS (SELECT al.*, n.* EXCLUDE (project, version), ae, re, coalesce(an + rn + cn + coalesce(ae, 0) + coalesce(re, 0), 0) AS delta_size, coalesce(k, 0) AS k, CAST(NULL AS BOOLEAN) AS isomorphic,
+  't' AS text_hash, 's' AS structure_hash, CAST(CAST(floor(al.version / 4) AS BIGINT) AS VARCHAR) AS design_hash
+  FROM al LEFT JOIN n USING (project, version) LEFT JOIN e USING (project, version) LEFT JOIN ti USING (project, version))
+""" + _decided("j", "project", "design_hash", "delta_size") + """SELECT project, version, gate_strategy, fired AS gate_allowed_llm, CASE WHEN fired THEN 'invoke' ELSE 'reuse' END AS decision, reason,
+  CASE WHEN previous IS NULL THEN all_nodes ELSE coalesce(an, 0) END AS added_nodes, CASE WHEN previous IS NULL THEN 0 ELSE coalesce(rn, 0) END AS removed_nodes,
+  CASE WHEN previous IS NULL THEN 0 ELSE coalesce(cn, 0) END AS changed_nodes, CASE WHEN previous IS NULL THEN 0 ELSE coalesce(ae, 0) END AS added_edges, CASE WHEN previous IS NULL THEN 0 ELSE coalesce(re, 0) END AS removed_edges,
+  CASE WHEN reason IN ('first version', 'design changed', 'always') THEN all_nodes WHEN fired THEN k ELSE 0 END AS impact_nodes"""
+)
+
 SQL = {
     "c01_element_compare": _M + "SELECT * FROM elements",
     "c02_member_compare": _M + "SELECT * FROM mm",
@@ -236,12 +257,36 @@ SELECT * FROM own UNION ALL SELECT project, node, 'class', 'uml-implied' FROM en
     "c11_single_edges": cte("snap_edges") + "SELECT project, src, dst, arg_max(relation, version) AS relation FROM snap_edges GROUP BY project, src, dst",
     "c13_snapshot_node_diff": _NODES + "SELECT * FROM nd WHERE change <> 'unchanged'",
     "c13_snapshot_edge_diff": _NODES + "SELECT * FROM ed",
-    "c14_version_diff": cte("snap_nodes") + """, o AS (SELECT project, node FROM snap_nodes WHERE version = 0), n AS (SELECT project, node FROM snap_nodes WHERE version = 3),
-m AS (SELECT project, node, 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT project, node, 'removed' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)),
+    "c14_version_diff": cte("snap_nodes", "snap_edges") + """, o AS (SELECT * FROM snap_nodes WHERE version = 0), n AS (SELECT * FROM snap_nodes WHERE version = 3),
+m AS (SELECT coalesce(o.project, n.project) AS project, coalesce(o.node, n.node) AS node, CASE WHEN o.node IS NULL THEN 'added' WHEN n.node IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM o FULL JOIN n ON o.project = n.project AND o.node = n.node WHERE o.node IS NULL OR n.node IS NULL OR o.kind <> n.kind OR o.signature <> n.signature),
+p AS (SELECT DISTINCT project, version, src, dst FROM snap_edges),
+x AS (SELECT coalesce(a.project, b.project) AS project, a.src IS NULL AS is_new FROM (SELECT * FROM p WHERE version = 0) a FULL JOIN (SELECT * FROM p WHERE version = 3) b
+  ON a.project = b.project AND a.src = b.src AND a.dst = b.dst WHERE a.src IS NULL OR b.src IS NULL),
+xe AS (SELECT project, count(*) FILTER (is_new) AS ae, count(*) FILTER (NOT is_new) AS re FROM x GROUP BY project),
+s AS (SELECT project, version, 100 * CAST(count(*) FILTER (kind = 'class') AS DOUBLE) / count(*) AS score FROM snap_nodes GROUP BY ALL),
+k AS (SELECT project, max(score) FILTER (version = 0) AS score_from, max(score) FILTER (version = 3) AS score_to FROM s GROUP BY project),
 r AS (SELECT *, row_number() OVER (PARTITION BY project, change ORDER BY node) AS place FROM m),
-k AS (SELECT project, count(DISTINCT version) AS v FROM snap_nodes WHERE version IN (0, 3) GROUP BY project)
-SELECT k.project, v = 2 AS retained, CASE WHEN v = 2 THEN coalesce(string_agg(node, ',' ORDER BY node) FILTER (change = 'added' AND place <= 200), '') END AS added,
-  CASE WHEN v = 2 THEN coalesce(string_agg(node, ',' ORDER BY node) FILTER (change = 'removed' AND place <= 200), '') END AS removed FROM k LEFT JOIN r USING (project) GROUP BY k.project, v""",
+l AS (SELECT project, count(*) FILTER (change = 'added') AS an, count(*) FILTER (change = 'removed') AS rn, count(*) FILTER (change = 'changed') AS cn,
+  string_agg(node, ',' ORDER BY node) FILTER (change = 'added' AND place <= 200) AS la, string_agg(node, ',' ORDER BY node) FILTER (change = 'removed' AND place <= 200) AS lr,
+  string_agg(node, ',' ORDER BY node) FILTER (change = 'changed' AND place <= 200) AS lc FROM r GROUP BY project),
+q AS (SELECT k.*, score_from IS NOT NULL AND score_to IS NOT NULL AS retained, l.* EXCLUDE (project), ae, re FROM k LEFT JOIN l USING (project) LEFT JOIN xe USING (project))
+SELECT project, retained, CASE WHEN retained THEN coalesce(an, 0) END AS added_nodes, CASE WHEN retained THEN coalesce(rn, 0) END AS removed_nodes, CASE WHEN retained THEN coalesce(cn, 0) END AS changed_nodes,
+  CASE WHEN retained THEN coalesce(ae, 0) END AS added_edges, CASE WHEN retained THEN coalesce(re, 0) END AS removed_edges,
+  CASE WHEN retained THEN coalesce(la, '') END AS added, CASE WHEN retained THEN coalesce(lr, '') END AS removed, CASE WHEN retained THEN coalesce(lc, '') END AS changed,
+  CASE WHEN retained THEN round(score_from, 6) END AS score_from, CASE WHEN retained THEN round(score_to, 6) END AS score_to FROM q""",
+    "a12_snapshot_store": cte("snap_nodes", "snap_edges") + """, n AS (SELECT project, version, count(DISTINCT node) AS node_count, 100 * CAST(count(*) FILTER (kind = 'class') AS DOUBLE) / count(*) AS score FROM snap_nodes GROUP BY ALL),
+e AS (SELECT project, version, count(DISTINCT (src, dst)) AS edge_count FROM snap_edges GROUP BY ALL)
+SELECT project, row_number() OVER w AS version, nullif(row_number() OVER w - 1, 0) AS parent_version, node_count, coalesce(edge_count, 0) AS edge_count, round(score, 6) AS score
+FROM n LEFT JOIN e USING (project, version) WINDOW w AS (PARTITION BY project ORDER BY version)""",
+    "a12_stored_intervals": cte("snap_nodes") + """, v AS (SELECT project, version, row_number() OVER w AS ord, lead(version) OVER w AS next FROM (SELECT DISTINCT project, version FROM snap_nodes) t WINDOW w AS (PARTITION BY project ORDER BY version)),
+r AS (SELECT s.*, ord, next, lag(ord) OVER w AS o, lag(kind || '/' || signature) OVER w AS d FROM snap_nodes s JOIN v USING (project, version) WINDOW w AS (PARTITION BY project, node ORDER BY ord)),
+i AS (SELECT *, sum(CASE WHEN o = ord - 1 AND d = kind || '/' || signature THEN 0 ELSE 1 END) OVER (PARTITION BY project, node ORDER BY ord) AS run FROM r)
+SELECT project, node, min(version) AS valid_from, CASE WHEN bool_or(next IS NULL) THEN NULL ELSE max(next) END AS valid_to FROM i GROUP BY project, node, run""",
+    "c16_same_shape": cte("rings") + _SHAPE + "SELECT project, version, isomorphic FROM shape WHERE version > 0",
+    "c17_rename_recovery": "SELECT o_custkey AS project, CAST(1 AS BIGINT) AS version, 'O' || CAST(o_orderkey AS VARCHAR) AS node, 'N' || CAST(o_orderkey AS VARCHAR) AS new_node FROM orders WHERE o_orderkey % 3 = 0",
+    "d01_gate_on_shapes": cte("rings") + _SHAPE + """SELECT project, version, g AS gate_strategy, version = 0 OR g = 'structural' OR NOT isomorphic AS fired,
+  CASE WHEN version = 0 THEN 'first version' WHEN g = 'isomorphism' AND isomorphic THEN 'same shape' ELSE 'structure changed' END AS reason FROM shape, (SELECT unnest(['structural', 'isomorphism']) AS g)""",
     "c15_impact_set": cte("snap_nodes", "snap_edges") + """, seed AS (SELECT DISTINCT project, version, node FROM snap_nodes WHERE kind = 'class' AND signature = '7'),
 b AS (SELECT project, version, src AS a, dst AS z FROM snap_edges UNION SELECT project, version, dst, src FROM snap_edges),
 x AS (SELECT project, version, node, 0 AS hops FROM seed UNION ALL SELECT b.project, b.version, z, 1 FROM seed JOIN b ON b.project = seed.project AND b.version = seed.version AND b.a = seed.node)
@@ -271,21 +316,8 @@ SELECT n.project, n.version, n.node, CAST(CASE WHEN t.dst IS NULL THEN 0 ELSE 1
   CASE WHEN NOT fired THEN previous END AS reused_from FROM decided""",
     "d05_corpus_replay": _SNAP + "SELECT project, gate_strategy, count(*) AS runs, count(*) FILTER (fired) AS fired, count(DISTINCT reason) AS reasons FROM decided GROUP BY ALL",
     "d01_all_policies": cte("history") + _decided("history", "project", "design_hash", "delta_size") + "SELECT project, version, gate_strategy, fired, reason FROM dec",
-    "d04_run_rows": _NODES + """, n AS (SELECT project, version, count(*) FILTER (change = 'added') AS an, count(*) FILTER (change = 'removed') AS rn, count(*) FILTER (change = 'changed') AS cn FROM nd GROUP BY ALL),
-e AS (SELECT project, version, count(*) FILTER (change = 'added') AS ae, count(*) FILTER (change = 'removed') AS re FROM ed GROUP BY ALL),
-al AS (SELECT project, version, count(DISTINCT node) AS all_nodes, count(*) AS tokens FROM snap_nodes GROUP BY ALL),
-tn AS (SELECT nd.project, nd.version, nd.node FROM nd WHERE change IN ('added', 'changed')),
-im AS (SELECT project, version, node FROM tn UNION SELECT t.project, t.version, x.dst FROM tn t JOIN pe x ON x.project = t.project AND x.version = t.version AND x.src = t.node
-  UNION SELECT t.project, t.version, x.src FROM tn t JOIN pe x ON x.project = t.project AND x.version = t.version AND x.dst = t.node),
-ti AS (SELECT project, version, count(*) AS k FROM im GROUP BY ALL),
-j AS (SELECT al.*, n.* EXCLUDE (project, version), ae, re, coalesce(an + rn + cn + coalesce(ae, 0) + coalesce(re, 0), 0) AS delta_size, coalesce(k, 0) AS k, CAST(NULL AS BOOLEAN) AS isomorphic,
-  't' AS text_hash, 's' AS structure_hash, CAST(CAST(floor(al.version / 4) AS BIGINT) AS VARCHAR) AS design_hash
-  FROM al LEFT JOIN n USING (project, version) LEFT JOIN e USING (project, version) LEFT JOIN ti USING (project, version))
-""" + _decided("j", "project", "design_hash", "delta_size") + """SELECT project, version, gate_strategy, fired AS gate_allowed_llm, CASE WHEN fired THEN 'invoke' ELSE 'reuse' END AS decision, reason,
-  CASE WHEN previous IS NULL THEN all_nodes ELSE coalesce(an, 0) END AS added_nodes, CASE WHEN previous IS NULL THEN 0 ELSE coalesce(rn, 0) END AS removed_nodes,
-  CASE WHEN previous IS NULL THEN 0 ELSE coalesce(cn, 0) END AS changed_nodes, CASE WHEN previous IS NULL THEN 0 ELSE coalesce(ae, 0) END AS added_edges, CASE WHEN previous IS NULL THEN 0 ELSE coalesce(re, 0) END AS removed_edges,
-  CASE WHEN reason IN ('first version', 'design changed', 'always') THEN all_nodes WHEN fired THEN k ELSE 0 END AS impact_nodes, CASE WHEN fired THEN tokens ELSE 0 END AS prompt_tokens,
-  CAST(1 AS BIGINT) AS impact_radius, 'none' AS provider FROM dec""",
+    "d04_run_rows": _RUN_ROWS + """, CASE WHEN fired THEN tokens ELSE 0 END AS prompt_tokens, CAST(1 AS BIGINT) AS impact_radius, 'none' AS provider FROM dec""",
+    "i04_incremental_runs": _RUN_ROWS + " FROM dec",
     "d05_oracle_replay": _REPLAY + "SELECT * FROM rp",
     "d05_misses": _REPLAY + "SELECT project, gate_strategy, version, differing_fields, reason FROM rp WHERE missed_change",
     "d07_labelled_deviations": cte("mutations") + _decided("mutations", "mutation", "''", "0") + """, f AS (SELECT mutation, max(divergences) FILTER (version = 0) AS d0, max(divergences) FILTER (version = 1) AS d1, max(absences) FILTER (version = 0) AS a0, max(absences) FILTER (version = 1) AS a1 FROM mutations GROUP BY mutation),

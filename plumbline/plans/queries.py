@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as fn
-from plumbline.operators import compare, facts, gate, graph, history, replay, resolve, statistics, survival
+from plumbline.operators import compare, facts, gate, graph, history, replay, resolve, shapes, snapshots, statistics, survival
 from plumbline.sources import files, lineage
 from plumbline.sources.bridge import load
 from plumbline.streaming import jobs
@@ -219,9 +219,41 @@ def c13_edges(spark, sf_dir):
     return graph.diff_edges(load(spark, sf_dir, "snap_edges"))
 
 
+def _scored_versions(spark, sf_dir):
+    nodes = load(spark, sf_dir, "snap_nodes")
+    return nodes.groupBy("project", "version").agg((100 * fn.count_if(F.col("kind") == "class") / F.count("*")).alias("score"))
+
+
 @query("c14_version_diff")
 def c14(spark, sf_dir):
-    return graph.diff_between(load(spark, sf_dir, "snap_nodes"), 0, 3)
+    versions = _scored_versions(spark, sf_dir)
+    nodes, edges = snapshots.node_intervals(load(spark, sf_dir, "snap_nodes"), versions), snapshots.edge_intervals(load(spark, sf_dir, "snap_edges"), versions)
+    found = snapshots.diff(nodes, edges, versions, 0, 3)
+    return tidy(found.select("project", "retained", *replay.DELTAS, *(F.array_join(c, ",").alias(c) for c in ("added", "removed", "changed")), "score_from", "score_to"))
+
+
+def _whole_snapshots(spark, sf_dir):
+    tables = {"nodes": load(spark, sf_dir, "snap_nodes"), "edges": load(spark, sf_dir, "snap_edges")}
+    hashes = {"text_hash": F.lit("t"), "structure_hash": F.lit("s"), "design_hash": F.floor(F.col("version") / 4).cast("string")}
+    return tables | {"snapshots": _scored_versions(spark, sf_dir).withColumns(hashes)}
+
+
+def _store(spark):
+    return snapshots.SnapshotStore(spark, f"{lineage.folder(spark)}/{uuid.uuid4().hex}", buckets=8)
+
+
+@query("a12_snapshot_store")
+def a12(spark, sf_dir):
+    store, tables = _store(spark), {p: lineage.cut(t) for p, t in _whole_snapshots(spark, sf_dir).items()}
+    for batch, some in ((0, "version < 1"), (1, "version BETWEEN 1 AND 2"), (1, "version BETWEEN 1 AND 2"), (2, "version > 2")):  # run again, a batch adds nothing
+        store.append(*(tables[p].where(some) for p in ("nodes", "edges", "snapshots")), batch, number=True)
+    return tidy(store.versions().select("project", "version", "parent_version", "node_count", "edge_count", "score"))
+
+
+@query("a12_stored_intervals")
+def a12_intervals(spark, sf_dir):
+    versions = load(spark, sf_dir, "snap_nodes").select("project", "version").distinct()
+    return snapshots.node_intervals(load(spark, sf_dir, "snap_nodes"), versions).select("project", "node", "valid_from", "valid_to")
 
 
 def _seeds(spark, sf_dir):
@@ -236,19 +268,19 @@ def c15(spark, sf_dir):
 
 @query("c16_same_shape")
 def c16(spark, sf_dir):
-    nodes, edges = load(spark, sf_dir, "snap_nodes"), load(spark, sf_dir, "snap_edges")
-    pick = lambda t, v: t.where(f"version = {v}").drop("version")
-    return graph.isomorphic(pick(nodes, 0), pick(nodes, 1), pick(edges, 0), pick(edges, 1), most=10_000)
+    return shapes.same_as_before(load(spark, sf_dir, "ring_nodes"), load(spark, sf_dir, "ring_edges"))
 
 
 @query("c17_rename_recovery")
 def c17(spark, sf_dir):
-    nodes = load(spark, sf_dir, "snap_nodes").where("version = 0").drop("version")
-    edges = load(spark, sf_dir, "snap_edges").where("version = 0").drop("version")
-    # the same graph under other names in an order that keeps ties: every class P* becomes Q*
-    other = lambda c: F.when(F.startswith(c, F.lit("P")), F.concat(F.lit("Q"), F.substring(c, 2, 99))).otherwise(c)
-    new, new_edges = nodes.withColumn("node", other(F.col("node"))), edges.withColumn("dst", other(F.col("dst")))
-    return graph.renames(nodes, new, edges, new_edges, 2)
+    return shapes.renamed(load(spark, sf_dir, "chain_nodes"), load(spark, sf_dir, "chain_edges"))
+
+
+@query("d01_gate_on_shapes")
+def d01_shapes(spark, sf_dir):
+    nodes, edges = load(spark, sf_dir, "ring_nodes"), load(spark, sf_dir, "ring_edges")
+    named = nodes.groupBy("project", "version").agg(F.min("node").alias("structure_hash")).withColumns({"text_hash": F.col("structure_hash"), "design_hash": F.lit("d")})
+    return gate.decide(named.join(shapes.same_as_before(nodes, edges), ["project", "version"], "left"), ("structural", "isomorphism"))
 
 
 @query("c18_edit_distance")
@@ -794,6 +826,17 @@ def i01(spark, sf_dir):
     return _streamed(spark, sf_dir, "documents", build, "append")
 
 
+@query("i04_incremental_runs")
+def i04(spark, sf_dir):
+    store, where = _store(spark), f"{lineage.folder(spark)}/{uuid.uuid4().hex}"
+    rows = lineage.cut(jobs.as_rows(**_whole_snapshots(spark, sf_dir)))
+    for some in ("version < 0", "version BETWEEN -1 AND 0", "version IN (1, 2)", "version > 2"):  # -1 comes again, too late
+        rows.where(some).coalesce(1).write.mode("append").parquet(where)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    stream.writeStream.foreachBatch(jobs.into_store(store)).option("checkpointLocation", f"{where}-state").trigger(availableNow=True).start().awaitTermination()
+    return store.runs().select("project", "version", "gate_strategy", "gate_allowed_llm", "decision", "reason", *replay.DELTAS, "impact_nodes")
+
+
 @query("i02_streaming_metrics")
 def i02(spark, sf_dir):
     def build(events):

@@ -28,8 +28,22 @@ TABLES = {
     "code_imports": ("part",),
     "code_fields": ("lineitem",),
     "code_callables": ("lineitem",),
+    "rings": ("orders",),
+    "ring_nodes": ("orders",),
+    "ring_edges": ("orders",),
+    "chain_nodes": ("orders",),
+    "chain_edges": ("orders",),
 }
 
+#: Every order a directed ring of 3 to 6 classes in its customer's graph; version 1 renames them, version 2 of odd customers
+#: takes rings of one more or one less, which often leaves the counts as they were.
+_RINGS = """
+SELECT o_custkey AS project, version, o_orderkey AS ring, mark, CASE WHEN o_orderstatus = 'F' THEN 'class' ELSE 'interface' END AS kind,
+  3 + CASE WHEN version < 2 OR o_custkey % 2 = 0 THEN o_orderkey % 4 WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 + 1 ELSE o_orderkey % 4 - 1 END AS size
+FROM orders CROSS JOIN (SELECT CAST(0 AS BIGINT) AS version, 'R' AS mark UNION ALL SELECT 1, 'M' UNION ALL SELECT 2, 'Z') v"""
+_STEPS = "(SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) s"
+_IN_CHAIN = "(SELECT *, CAST(v AS BIGINT) AS version, concat(CASE WHEN v = 1 AND o_orderkey % 3 = 0 THEN 'N' ELSE 'O' END, CAST(o_orderkey AS STRING)) AS node FROM orders CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1) w) t"
+
 SQL = {
     "members": """
 SELECT DISTINCT side, project, element, member, member_kind FROM (
@@ -159,6 +173,16 @@ SELECT l_suppkey % 5 AS project, concat('C', CAST(l_partkey AS STRING)) AS eleme
   CASE WHEN l_linenumber % 3 = 0 THEN 'param' WHEN l_linenumber % 3 = 1 THEN 'return' ELSE 'instantiation' END AS kind,
   concat('S', CAST(l_suppkey AS STRING)) AS type
 FROM lineitem WHERE l_linestatus = 'O' AND l_tax > 0.06""",
+    "rings": _RINGS,
+    "ring_nodes": f"""
+SELECT project, version, concat(mark, CAST(ring AS STRING), '_', CAST(i AS STRING)) AS node, kind FROM ({_RINGS}) r CROSS JOIN {_STEPS} WHERE i < size""",
+    "ring_edges": f"""
+SELECT project, version, concat(mark, CAST(ring AS STRING), '_', CAST(i AS STRING)) AS src, concat(mark, CAST(ring AS STRING), '_', CAST((i + 1) % size AS STRING)) AS dst, 'calls' AS relation
+FROM ({_RINGS}) r CROSS JOIN {_STEPS} WHERE i < size""",
+    "chain_nodes": f"SELECT o_custkey AS project, version, node, o_orderstatus AS kind FROM {_IN_CHAIN}",
+    "chain_edges": f"""
+SELECT * FROM (SELECT o_custkey AS project, version, node AS src, lead(node) OVER (PARTITION BY o_custkey, version ORDER BY o_orderkey) AS dst, 'calls' AS relation FROM {_IN_CHAIN}) c
+WHERE dst IS NOT NULL""",
     "mutations": """
 SELECT p_partkey AS mutation, p_brand AS category, CAST(v AS BIGINT) AS version, p_size % 3 = 0 AS expect_structural_change,
   CAST(CASE WHEN v = 1 AND p_size % 7 > 0 THEN 1 ELSE 0 END AS STRING) AS text_hash,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from plumbline.functions.columns import count_if
-from plumbline.operators.graph import delta_counts
+from plumbline.operators.snapshots import SnapshotStore
+from plumbline.sources import lineage
 from plumbline.sources.files import changed_files
 
 DECISIONS = "project string, version long, gate_strategy string, fired boolean, late boolean"
@@ -56,14 +58,27 @@ def stream_changed_files(events: DataFrame) -> DataFrame:
     return changed_files(events)
 
 
-def diff_batches(read_graph: Callable[[], tuple[DataFrame, DataFrame]], path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: for the (project, version) rows of a batch, writes the delta sizes against the version before."""
+def as_rows(nodes: DataFrame, edges: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Whole snapshots as the rows of one stream: ``part`` tells what a row is of."""
+    tables = {"nodes": nodes, "edges": edges, "snapshots": snapshots}
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (t.withColumn("part", F.lit(p)) for p, t in tables.items()))
 
-    def write(batch: DataFrame, _: int) -> None:
-        nodes, edges = read_graph()
-        wanted = batch.select("project", "version").distinct()
-        mine = wanted.select("project").distinct()
-        found = delta_counts(nodes.join(mine, "project", "left_semi"), edges.join(mine, "project", "left_semi"))
-        found.join(wanted, ["project", "version"], "left_semi").write.mode("append").parquet(path)
+
+def into_store(store: SnapshotStore) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: adds a batch of ``as_rows`` to the store, with the run rows of its versions.
+
+    All rows of a version come in one batch. The work follows the batch and the buckets it touches; a batch that is
+    delivered again overwrites what it wrote.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = lineage.cut(batch)
+        parts = {p: batch.where(F.col("part") == p) for p in ("nodes", "edges", "snapshots")}
+        store.append(
+            parts["nodes"].select("project", "version", "node", "kind", "signature"),
+            parts["edges"].select("project", "version", "src", "dst", "relation"),
+            parts["snapshots"].select("project", "version", "text_hash", "structure_hash", "design_hash", "score"),
+            number,
+        )
 
     return write
