@@ -112,3 +112,20 @@ def node_id(kind: str, *parts: Column) -> Column:
 def tokens(length: Column) -> Column:
     """Estimated tokens of a payload of that many characters: a quarter, at least one."""
     return F.greatest(F.lit(1), F.floor(length / 4)).cast("bigint")
+
+
+def round2(x: Column) -> Column:
+    """x to two places as its binary value rounds, ties to even: 2.675, a little less than that in binary, gives 2.67.
+
+    100 x is worked out without error as a rounded product and what it lacks; that decides where the product alone lies on a half.
+    """
+    x = x.cast("double")
+    whole = 100 * x
+    c = F.lit(134217729.0) * x  # splits x into two parts of at most 26 bits
+    high = c - (c - x)
+    lacks = (x - high) * 100 - (whole - high * 100)
+    near = F.rint(whole)
+    half = F.abs(whole - near) == 0.5
+    up, down = F.ceil(whole).cast("double"), F.floor(whole).cast("double")
+    exact = F.when(half & (lacks > 0), up).when(half & (lacks < 0), down).otherwise(near) / 100
+    return F.when(F.abs(whole) < 2.0**52, exact).otherwise(x)

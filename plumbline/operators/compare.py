@@ -48,6 +48,11 @@ def project_code(classes: DataFrame, fields: DataFrame, methods: DataFrame, *key
     return elements, left.unionByName(methods.select(*member, F.lit("method").alias("member_kind"), given("returns", "void")))
 
 
+def _related(associations: DataFrame) -> DataFrame:
+    """Associations that do not say which relation they are count as plain associations."""
+    return associations if "relation" in associations.columns else associations.withColumn("relation", F.lit("association"))
+
+
 def relation_credits(relations: DataFrame, associations: DataFrame, *keys: str, score_associations: bool = True) -> DataFrame:
     """(keys, credit) for the score: 1 or 0 per checked relation; 1, 0.5 or 0 per association by its evidence, if those are scored at all."""
     out = relations.select(*keys, F.col("satisfied").cast("double").alias("credit"))
@@ -58,13 +63,13 @@ def relation_credits(relations: DataFrame, associations: DataFrame, *keys: str,
 
 
 def conformance_score(elements: DataFrame, members: DataFrame, *keys: str, relations: DataFrame | None = None) -> DataFrame:
-    """Checks, passed checks and score in percent (0.0 without checks); relations(keys, credit) add one check each."""
+    """Checks, passed checks and score in percent, not rounded (0.0 without checks); relations(keys, credit) add one check each."""
     checks = elements.where("state <> 'extra'").select(*keys, (F.col("state") == "matched").cast("double").alias("credit"))
     checks = checks.unionByName(members.where("state <> 'extra'").select(*keys, (F.col("state") == "matched").cast("double").alias("credit")))
     if relations is not None:
         checks = checks.unionByName(relations.select(*keys, "credit"))
     out = checks.groupBy(*keys).agg(F.count("*").alias("checks_total"), F.sum("credit").alias("checks_passed"))
-    return out.withColumn("score", F.coalesce(F.round(100 * F.try_divide("checks_passed", "checks_total"), 2), F.lit(0.0)))
+    return out.withColumn("score", F.coalesce(100 * F.try_divide("checks_passed", "checks_total"), F.lit(0.0)))
 
 
 def reflexion_counts(elements: DataFrame, members: DataFrame, *keys: str) -> DataFrame:
@@ -75,6 +80,25 @@ def reflexion_counts(elements: DataFrame, members: DataFrame, *keys: str) -> Dat
     )
 
 
+def reflexion_with_relations(elements: DataFrame, members: DataFrame, relations: DataFrame, associations: DataFrame, *keys: str, score_associations: bool = False) -> DataFrame:
+    """Divergences, absences and convergences with relations counted in, and the number of checks.
+
+    An absence is also a relation without a counterpart or an association without evidence. Convergences are the whole part
+    of the passed checks and, once more, all relations that are satisfied: an inheritance relation counts twice.
+    """
+    credits = relation_credits(relations, associations, *keys, score_associations=score_associations)
+    score = conformance_score(elements, members, *keys, relations=credits).select(*keys, "checks_total", "checks_passed")
+    rows = elements.select(*keys, "state").unionByName(members.select(*keys, "state"))
+    counts = rows.groupBy(*keys).agg(*(count_if(F.col("state") == s).alias(s) for s in ("extra", "missing")))
+    held = relations.select(*keys, "satisfied").unionByName(associations.select(*keys, (F.col("evidence") != "none").alias("satisfied")))
+    held = held.groupBy(*keys).agg(count_if(F.col("satisfied")).alias("held"), count_if(~F.col("satisfied")).alias("broken"))
+    out = score.join(counts, list(keys), "full_outer").join(held, list(keys), "full_outer").fillna(0)
+    return out.select(
+        *keys, F.col("extra").alias("divergences"), (F.col("missing") + F.col("broken")).alias("absences"),
+        (F.floor("checks_passed") + F.col("held")).alias("convergences"), F.col("checks_total").cast("bigint").alias("checks_total"),
+    )
+
+
 def finding_keys(
     elements: DataFrame, members: DataFrame, *keys: str, relations: DataFrame | None = None, associations: DataFrame | None = None, violations: DataFrame | None = None
 ) -> DataFrame:
@@ -88,8 +112,7 @@ def finding_keys(
     if relations is not None:
         more.append(relations.where("NOT satisfied").select(*keys, F.concat(F.lit("missing-relation:"), arrow).alias("finding")))
     if associations is not None:
-        line = F.concat(F.lit("no-evidence:"), F.col("source"), F.lit(" --> "), F.col("target"))
-        more.append(associations.where("evidence = 'none'").select(*keys, line.alias("finding")))
+        more.append(_related(associations).where("evidence = 'none'").select(*keys, F.concat(F.lit("no-evidence:"), arrow).alias("finding")))
     if violations is not None:
         more.append(violations.select(*keys, F.concat(F.lit("violation:"), F.col("rule"), F.lit("@"), F.col("file_path")).alias("finding")))
     first = elements.where("state <> 'matched'").select(*keys, F.concat_ws(":", "state", "element").alias("finding"))
@@ -137,7 +160,9 @@ def check_relations(design: DataFrame, code: DataFrame, untyped: DataFrame, *key
 
 
 def association_evidence(associations: DataFrame, fields: DataFrame, callables: DataFrame, elements: DataFrame, *keys: str) -> DataFrame:
-    """Best evidence for each designed association (source, target): strong, weak or none.
+    """Best evidence for each designed association (source, target, relation): strong, weak or none.
+
+    Every row of ``associations`` is a check of its own: an association and a dependency of the same pair are two, and so are repeated rows.
 
     fields(element, pos, name, type); callables(element, pos, kind in param/return/instantiation, ref_pos, type). Candidates carry
     the order in which evidence counts: a typed field; per method a parameter, the return type, an instantiation;
@@ -146,6 +171,7 @@ def association_evidence(associations: DataFrame, fields: DataFrame, callables:
     """
     last_part = F.substring_index("type", ".", -1)
     fields, callables = fields.withColumn("type", last_part), callables.withColumn("type", F.when(F.col("kind") == "instantiation", F.col("type")).otherwise(last_part))
+    given = _related(associations)
     base = associations.select(*keys, "source", "target").distinct()
     from_field = base.join(fields.withColumnRenamed("element", "source"), [*keys, "source"])
     low, want = F.lower("name"), F.lower("target")
@@ -161,8 +187,8 @@ def association_evidence(associations: DataFrame, fields: DataFrame, callables:
     used = uses.select(*keys, "source", "target", rank(2, F.col("pos"), kind, F.col("ref_pos")).alias("rank"), F.when(F.col("kind") == "instantiation", "weak").otherwise("strong").alias("evidence"))
     best = typed.unionByName(named).unionByName(begins).unionByName(used).groupBy(*keys, "source", "target").agg(F.min_by("evidence", "rank").alias("evidence"))
     present = elements.select(*keys, F.col("element").alias("source")).distinct().withColumn("here", F.lit(True))
-    out = base.join(best, [*keys, "source", "target"], "left").join(present, [*keys, "source"], "left")
-    return out.select(*keys, "source", "target", F.when(F.col("here"), F.coalesce("evidence", F.lit("none"))).otherwise("none").alias("evidence"))
+    out = given.join(best, [*keys, "source", "target"], "left").join(present, [*keys, "source"], "left")
+    return out.select(*keys, "source", "target", "relation", F.when(F.col("here"), F.coalesce("evidence", F.lit("none"))).otherwise("none").alias("evidence"))
 
 
 def layer_violations(evidence: DataFrame, rules: DataFrame, *keys: str) -> DataFrame:
@@ -173,15 +199,47 @@ def layer_violations(evidence: DataFrame, rules: DataFrame, *keys: str) -> DataF
     return found.groupBy(*keys, "rule", "file_path").agg(F.array_join(F.array_sort(F.collect_set("forbidden_marker")), ",").alias("markers"))
 
 
-def gap_sentences(elements: DataFrame, members: DataFrame, *keys: str) -> DataFrame:
-    """A sentence per finding."""
-    first = elements.where("state <> 'matched'").select(
-        *keys, F.when(F.col("state") == "missing", F.format_string("Class %s is designed but not implemented", "element")).otherwise(F.format_string("Class %s is implemented but not designed", "element")).alias("gap")
-    )
-    second = members.where("state <> 'matched'").select(
-        *keys,
-        F.when(F.col("state") == "missing", F.format_string("%s lacks the designed %s %s", "element", "member_kind", "member"))
-        .otherwise(F.format_string("%s has the undesigned %s %s", "element", "member_kind", "member"))
-        .alias("gap"),
-    )
-    return first.unionByName(second)
+#: The sentence of each finding and the advice that follows from some; %s are element and member, or the relation.
+SENTENCES = {
+    "missing": "Class '%s' appears in the UML design but not in the code.",
+    "extra": "Class '%s' exists in the code but not in the UML design.",
+    "relation": "Relationship not implemented: %s",
+    "association": "Association has no supporting evidence in the code: %s",
+    "method": "%s.%s() is designed but not implemented.",
+    "attribute": "%s.%s is designed but not implemented.",
+}
+ADVICE = {
+    "missing": "Implement the missing classes, or remove them from the diagram if the design moved on.",
+    "extra": "Add the undocumented classes to the UML model so the diagram stays authoritative.",
+    "association": "Give each modelled association a typed field or signature so it is visible in the code.",
+    None: "No structural divergence detected by the deterministic checker.",
+}
+
+
+def _gaps(elements: DataFrame, members: DataFrame, keys: tuple[str, ...], relations: DataFrame | None, associations: DataFrame | None) -> DataFrame:
+    """(keys, kind, gap) of every gap."""
+    arrow = F.concat(F.col("source"), F.lit(" --"), F.col("relation"), F.lit("--> "), F.col("target"))
+    state, kind = F.col("state"), F.col("member_kind")
+    named = F.when(state == "missing", F.format_string(SENTENCES["missing"], "element")).otherwise(F.format_string(SENTENCES["extra"], "element"))
+    out = elements.where("state <> 'matched'").select(*keys, state.alias("kind"), named.alias("gap"))
+    lacks = F.when(kind == "method", F.format_string(SENTENCES["method"], "element", "member")).otherwise(F.format_string(SENTENCES["attribute"], "element", "member"))
+    out = out.unionByName(members.where("state = 'missing'").select(*keys, kind.alias("kind"), lacks.alias("gap")))
+    if relations is not None:
+        out = out.unionByName(relations.where("NOT satisfied").select(*keys, F.lit("relation").alias("kind"), F.format_string(SENTENCES["relation"], arrow).alias("gap")))
+    if associations is not None:
+        out = out.unionByName(_related(associations).where("evidence = 'none'").select(*keys, F.lit("association").alias("kind"), F.format_string(SENTENCES["association"], arrow).alias("gap")))
+    return out
+
+
+def gap_sentences(elements: DataFrame, members: DataFrame, *keys: str, relations: DataFrame | None = None, associations: DataFrame | None = None) -> DataFrame:
+    """A sentence per gap: classes on one side only, designed members, relations and associations without a counterpart. Members beyond the design are none."""
+    return _gaps(elements, members, keys, relations, associations).select(*keys, "gap")
+
+
+def recommendations(elements: DataFrame, members: DataFrame, *keys: str, relations: DataFrame | None = None, associations: DataFrame | None = None) -> DataFrame:
+    """(keys, place, recommendation): what follows from the kinds of gaps there are, or one row that says there is nothing, for every key of elements."""
+    kinds = _gaps(elements, members, keys, relations, associations).where(F.col("kind").isin(*(k for k in ADVICE if k))).select(*keys, "kind").distinct()
+    told = F.coalesce(F.expr(f"map({', '.join(repr(k) + ', ' + str(i) for i, k in enumerate(k for k in ADVICE if k))})[kind]"), F.lit(len(ADVICE) - 1))
+    text = F.element_at(F.array(*(F.lit(v) for v in ADVICE.values())), F.col("place") + 1)
+    every = elements.select(*keys).distinct().join(kinds, list(keys), "left")
+    return every.select(*keys, told.cast("int").alias("place")).select(*keys, "place", text.alias("recommendation"))

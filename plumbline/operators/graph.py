@@ -109,23 +109,51 @@ def degrees(edges: DataFrame, *keys: str) -> DataFrame:
     return ends.groupBy(*keys, "node").agg(F.count("*").alias("degree"))
 
 
-def hubs(edges: DataFrame, most: int, *keys: str) -> DataFrame:
-    """The ``most`` nodes of highest degree per key, ties by id."""
+def hubs(nodes: DataFrame, edges: DataFrame, most: int, *keys: str) -> DataFrame:
+    """(keys, node, degree, place): at most ``most`` nodes per key, of highest degree, ties by id.
+
+    Classes, interfaces and modules only, or all nodes where a key has none of these; nodes without edges have degree 0.
+    """
+    shown = F.col("kind").isin("class", "interface", "module")
+    some = F.max(shown).over(Window.partitionBy(*keys))
+    pool = nodes.select(*keys, "node", "kind").withColumn("some", F.coalesce(some, F.lit(False))).where(shown | ~F.col("some")).select(*keys, "node").distinct()
+    ranked = pool.join(degrees(edges, *keys), [*keys, "node"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("degree"), "node"))
-    return degrees(edges, *keys).withColumn("place", place.cast("bigint")).where(F.col("place") <= most)
+    return ranked.withColumn("place", place.cast("bigint")).where(F.col("place") <= most)
+
+
+def induced(edges: DataFrame, kept: DataFrame, *keys: str) -> DataFrame:
+    """Edges both ends of which are kept."""
+    for end in ("src", "dst"):
+        edges = edges.join(kept.select(*keys, F.col("node").alias(end)).distinct(), [*keys, end], "left_semi")
+    return edges
+
+
+#: Names that tell a node's layer, in the order in which they are tried.
+LAYER_NAMES = (
+    "(controller|handler|resource|endpoint|router|view|api)$",
+    "(service|manager|usecase|use_case|facade|engine|processor)$",
+    "(repository|repo|dao|gateway|store|client|adapter)$",
+    "(model|entity|dto|record|schema|domain|type)$",
+)
 
 
 def layers(edges: DataFrame, nodes: DataFrame, *keys: str, passes: int = LAYER_PASSES) -> DataFrame:
-    """Longest path from the sources, in synchronous passes that end when no layer rises or after ``passes``, with gaps closed.
+    """Layer of every node, gaps closed: by the ending of its name (``label``, else ``node``), and never moved, or else the longest path to it.
 
-    Each pass is checkpointed, so the plan does not double; on cycles, which have no longest path, the passes are the bound.
+    Paths grow in synchronous passes that end when no layer rises or after ``passes``; a node told by its name passes its layer
+    on. Each pass is checkpointed, so the plan does not double; on cycles, which have no longest path, the passes are the bound.
     """
-    now = nodes.select(*keys, "node").distinct().withColumns({"layer": F.lit(0), "rose": F.lit(True)})
+    label = F.lower(F.col("label") if "label" in nodes.columns else F.col("node"))
+    told = F.coalesce(*(F.when(label.rlike(name), F.lit(k)) for k, name in enumerate(LAYER_NAMES)))
+    now = nodes.select(*keys, "node", told.alias("told")).groupBy(*keys, "node").agg(F.min("told").alias("told"))
+    now = now.withColumns({"pinned": F.col("told").isNotNull(), "layer": F.coalesce("told", F.lit(0)), "rose": F.lit(True)}).drop("told")
     for _ in range(passes):
         rose = now.where("rose").select(*keys, F.col("node").alias("src"), "layer")
         up = edges.join(rose, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg((F.max("layer") + 1).alias("up"))
-        higher = F.coalesce(F.col("up") > F.col("layer"), F.lit(False))
-        now = lineage.cut(now.join(up, [*keys, "node"], "left").select(*keys, "node", F.greatest("layer", "up").alias("layer"), higher.alias("rose")))
+        higher = F.coalesce((F.col("up") > F.col("layer")) & ~F.col("pinned"), F.lit(False))
+        layer = F.when(higher, F.col("up")).otherwise(F.col("layer"))
+        now = lineage.cut(now.join(up, [*keys, "node"], "left").select(*keys, "node", "pinned", layer.alias("layer"), higher.alias("rose")))
         if now.where("rose").isEmpty():
             break
     closed = F.dense_rank().over(Window.partitionBy(*keys).orderBy("layer")) - 1

@@ -41,14 +41,22 @@ def newest_plain(commits: DataFrame, most: int) -> DataFrame:
 
 
 def diagram_staleness(files: DataFrame, extension: str = "mdj") -> DataFrame:
-    """Per (project, design file): last commit touching it, commits and distinct code files since, days to the head, verdict."""
+    """Per (project, design file): last commit touching it, commits and distinct code files since, days to the head, verdict.
+
+    A code file has changed since if its own last touch is later. So commits, last touches and the designs' marks are swept
+    once, newest first, with running sums; no file meets a design.
+    """
     design = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)) == extension
     last = files.where(design).groupBy("project", "path").agg(F.max("commit_ord").alias("last_commit"), F.max("committed_on").alias("last_changed")).withColumnRenamed("path", "diagram")
     head = files.groupBy("project").agg(F.max("committed_on").alias("head_date"))
-    later = files.join(F.broadcast(last), "project").where("commit_ord > last_commit")  # a row per design file
     code = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(*CODE)
-    sums = later.groupBy("project", "diagram").agg(F.countDistinct("commit_ord").alias("stale_commits"), F.countDistinct(F.when(code, F.col("path"))).alias("code_files_changed_since"))
-    out = last.join(sums, ["project", "diagram"], "left").join(F.broadcast(head), "project")
+    commits = files.select("project", F.col("commit_ord").alias("ord")).distinct().withColumns({"commit": F.lit(1), "file": F.lit(0)})
+    touched = files.where(code).groupBy("project", "path").agg(F.max("commit_ord").alias("ord")).select("project", "ord", F.lit(0).alias("commit"), F.lit(1).alias("file"))
+    marks = last.select("project", "diagram", F.col("last_commit").alias("ord"))
+    line = marks.unionByName(commits.unionByName(touched).groupBy("project", "ord").agg(F.sum("commit").alias("commit"), F.sum("file").alias("file")), allowMissingColumns=True)
+    newer = Window.partitionBy("project").orderBy(F.desc("ord"), F.col("diagram").isNull())  # a mark before its own commit
+    sums = line.withColumns({"stale_commits": F.sum("commit").over(newer), "code_files_changed_since": F.sum("file").over(newer)}).where("diagram IS NOT NULL")
+    out = last.join(sums.select("project", "diagram", "stale_commits", "code_files_changed_since"), ["project", "diagram"], "left").join(head, "project")
     zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("stale_commits", "code_files_changed_since")}
     out = out.withColumns(zero).withColumn("stale_days", F.datediff("head_date", "last_changed").cast("bigint"))
     return out.withColumn("verdict", staleness_verdict(F.col("stale_commits"), F.col("code_files_changed_since")))

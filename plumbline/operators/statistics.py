@@ -16,27 +16,48 @@ def gate_rank(gate: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, GATE_ORDER)), gate).cast("int"), F.lit(0)) + F.when(gate.isin(*GATE_ORDER), 0).otherwise(99)
 
 
-def normalise_runs(rows: DataFrame) -> DataFrame:
-    """One typed shape for raw run rows given as strings: boolean words, numbers, aliases and defaults (row order: ``ord``)."""
+def normalise_runs(rows: DataFrame, default_project: str = "project") -> DataFrame:
+    """One typed shape of 26 columns for raw run rows given as strings: aliases, boolean words, numbers and defaults (row order: ``ord``).
 
-    def has(name: str) -> Column:
-        return F.nullif(F.trim(F.col(name)), F.lit("")) if name in rows.columns else F.lit(None).cast("string")
+    A run of a ledger has no commit: its place among the project's rows stands in. Whether it re-analysed is what the gate
+    allowed, or where that is absent (NULL, not empty) whether a model was called. Absent and empty optional values are NULL.
+    """
+
+    def raw(name: str) -> Column:
+        return (F.col(name) if name in rows.columns else F.lit(None)).cast("string")
+
+    def text(name: str, other: str | None = None) -> Column:
+        return F.coalesce(F.nullif(raw(name), F.lit("")), F.lit(other))
 
     def flag(value: Column) -> Column:
-        return F.when(value.isNotNull(), F.lower(value).isin("true", "1", "yes"))
+        return F.lower(F.trim(value)).isin("true", "1", "yes")
+
+    def maybe(name: str) -> Column:
+        return F.when(F.coalesce(raw(name), F.lit("")) != "", flag(raw(name)))
+
+    def number(name: str) -> Column:
+        return F.trim(raw(name)).try_cast("double")
 
-    order = Window.partitionBy("project").orderBy("ord")
-    place = F.row_number().over(order).cast("bigint")
+    rows = rows.withColumn("project", text("project", default_project))
+    place = F.row_number().over(Window.partitionBy("project").orderBy("ord")).cast("bigint")
+    amount = lambda name: F.coalesce(number(name), F.lit(0.0))
     return rows.select(
         "project",
-        F.coalesce(has("commit"), has("commit_hash"), F.concat(F.lit("run-"), place.cast("string"))).alias("commit"),
-        F.coalesce(has("commit_index").try_cast("bigint"), place - 1).alias("commit_index"),
-        F.coalesce(has("gate_strategy"), F.lit("structural")).alias("gate_strategy"),
-        F.coalesce(flag(has("gate_allowed_llm")), flag(has("llm_invoked")), F.lit(False)).alias("gate_allowed_llm"),
-        flag(has("missed_change")).alias("missed_change"),
-        flag(has("conformance_changed")).alias("conformance_changed"),
-        (F.coalesce(has("prompt_tokens").try_cast("double"), F.lit(0.0)) + F.coalesce(has("completion_tokens").try_cast("double"), F.lit(0.0))).cast("bigint").alias("tokens"),
-        has("latency_ms").try_cast("double").alias("latency_ms"),
+        F.coalesce(text("commit"), text("commit_hash"), F.concat(F.lit("run-"), place.cast("string"))).alias("commit"),
+        F.coalesce(F.trim(raw("commit_index")).try_cast("bigint"), place - 1).alias("commit_index"),
+        text("gate_strategy", "unknown").alias("gate_strategy"),
+        F.coalesce(flag(F.coalesce(raw("gate_allowed_llm"), raw("llm_invoked"))), F.lit(False)).alias("gate_allowed_llm"),
+        *(maybe(c).alias(c) for c in ("missed_change", "diverges_from_oracle", "conformance_changed")),
+        (amount("prompt_tokens") + amount("completion_tokens")).alias("tokens"),
+        amount("counterfactual_prompt_tokens").alias("counterfactual_tokens"),
+        maybe("source_touched").alias("source_touched"),
+        text("provenance", "").alias("provenance"),
+        *(amount(c).alias(c) for c in ("latency_ms", "changed_nodes")),
+        number("similarity_score").alias("similarity"),
+        *(number(c).alias(c) for c in ("divergences", "absences")),
+        *(raw(c).alias(c) for c in ("findings_hash", "model", "provider", "llm_mode")),
+        number("temperature").alias("temperature"),
+        *(raw(c).alias(c) for c in ("seed", "association_scoring", "impact_radius", "degraded")),
     )
 
 
@@ -70,34 +91,53 @@ def score_variance(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.when(F.count(value) >= 2, F.var_pop(value)).alias("variance"))
 
 
-def ledger_metrics(runs: DataFrame, price_in: float = 3.0, price_out: float = 15.0) -> DataFrame:
-    """Per project: runs, re-analyses, hit rate, tokens, what always running would have cost, savings and latencies."""
-    ran, used = F.col("gate_allowed_llm"), F.col("prompt_tokens") + F.col("completion_tokens")
-    mean = F.avg(F.when(ran, used))
+def ledger_metrics(runs: DataFrame, price_in: float = 5.0, price_out: float = 15.0) -> DataFrame:
+    """Per project: runs, re-analyses, model calls, hit rate, tokens, what always calling would have cost, savings and latencies.
+
+    What the gate allowed and whether a model was called (``llm_invoked``; where the column is absent, what was allowed) are
+    different facts: averages of a call are over calls, the hit rate is over what was allowed.
+    """
+    allowed = F.coalesce(F.col("gate_allowed_llm"), F.lit(False))
+    called = F.coalesce(F.col("llm_invoked"), F.lit(False)) if "llm_invoked" in runs.columns else allowed
+    score = F.col("similarity_score").cast("double") if "similarity_score" in runs.columns else F.lit(None).cast("double")
+    amount = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    mean = lambda c, when: F.coalesce(F.avg(F.when(when, amount(c))), F.lit(0.0))
     out = runs.groupBy("project").agg(
-        F.count("*").alias("runs"),
-        count_if(ran).alias("reanalyses"),
-        F.sum("prompt_tokens").alias("prompt_tokens"),
-        F.sum("completion_tokens").alias("completion_tokens"),
-        F.sum(used).alias("tokens"),
-        (F.coalesce(mean, F.lit(0.0)) * F.count("*")).alias("baseline_tokens"),
-        F.avg(F.when(ran, F.col("latency_ms"))).alias("latency_reanalysed"),
-        F.avg(F.when(~ran, F.col("latency_ms"))).alias("latency_reused"),
+        F.count("*").alias("total_runs"),
+        count_if(allowed).alias("reanalyses"),
+        count_if(called).alias("llm_calls"),
+        count_if(~allowed).alias("cached_runs"),
+        *(F.sum(amount(c)).cast("bigint").alias(c) for c in ("prompt_tokens", "completion_tokens")),
+        *((mean(c, called) * F.count("*")).alias(f"baseline_{c}") for c in ("prompt_tokens", "completion_tokens")),
+        mean("latency_ms", called).alias("mean_latency_ms_llm"),
+        mean("latency_ms", ~allowed).alias("mean_latency_ms_cached"),
+        F.count(score).alias("scored_runs"),
+        F.when(F.count(score) >= 2, F.var_pop(score)).alias("score_variance"),
     )
-    reused = F.col("runs") - F.col("reanalyses")
-    slower = F.greatest(F.lit(0.0), F.col("latency_reanalysed") - F.coalesce("latency_reused", F.lit(0.0)))
-    return out.withColumns(
+    cost = lambda a, b: (F.col(a) * price_in + F.col(b) * price_out) / 1e6
+    total = F.col("prompt_tokens") + F.col("completion_tokens")
+    base = F.floor(F.col("baseline_prompt_tokens") + F.col("baseline_completion_tokens")).cast("bigint")
+    actual, always = cost("prompt_tokens", "completion_tokens"), cost("baseline_prompt_tokens", "baseline_completion_tokens")
+    slower = F.col("mean_latency_ms_llm") - F.col("mean_latency_ms_cached")
+    out = out.withColumns(
         {
-            "hit_rate": rate(reused, F.col("runs")),
-            "saved_tokens": F.greatest(F.lit(0.0), F.col("baseline_tokens") - F.col("tokens")),
-            "cost": (F.col("prompt_tokens") * price_in + F.col("completion_tokens") * price_out) / 1e6,
-            "latency_saved": F.coalesce(reused * slower, F.lit(0.0)),
+            "cache_hit_rate": rate(F.col("cached_runs"), F.col("total_runs")),
+            "total_tokens": total,
+            "baseline_total_tokens": base,
+            "tokens_saved": F.greatest(F.lit(0).cast("bigint"), base - total),
+            "actual_cost_usd": actual,
+            "baseline_cost_usd": always,
+            "cost_saved_usd": F.greatest(F.lit(0.0), always - actual),
+            "latency_saved_ms": F.greatest(F.lit(0.0), slower * F.col("cached_runs")),
         }
     )
+    return out.drop("baseline_prompt_tokens", "baseline_completion_tokens")
 
 
 def by_strategy(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("gate_strategy").agg(F.count("*").alias("runs"), count_if(F.col("gate_allowed_llm")).alias("reanalyses"))
+    called = F.col("llm_invoked") if "llm_invoked" in runs.columns else F.col("gate_allowed_llm")
+    gate = F.coalesce("gate_strategy", F.lit("unknown")).alias("gate_strategy")
+    return runs.groupBy(gate).agg(F.count("*").alias("runs"), count_if(F.col("gate_allowed_llm")).alias("reanalyses"), count_if(called).alias("llm_calls"))
 
 
 def study_table(runs: DataFrame) -> DataFrame:
@@ -200,6 +240,12 @@ def confusion(rows: DataFrame, *keys: str) -> DataFrame:
     return out.withColumns({"precision": rate(F.col("tp"), F.col("tp") + F.col("fp")), "recall": rate(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
+def confused_ids(rows: DataFrame, id_: str, *keys: str) -> DataFrame:
+    """(keys, outcome, id): what a gate missed (changed, not fired) and what it fired on for nothing (wasted), a row each."""
+    outcome = F.when(~F.col("fired") & F.col("changed"), "missed").when(F.col("fired") & ~F.col("changed"), "wasted")
+    return rows.select(*keys, outcome.alias("outcome"), F.col(id_).alias("id")).where("outcome IS NOT NULL")
+
+
 def replay_summary(runs: DataFrame) -> DataFrame:
     """Per gate: reuse and miss rate, mean latency, and re-analyses as a share of those of ``always``."""
     out = runs.groupBy("gate_strategy").agg(
@@ -327,5 +373,5 @@ def drift_rate(runs: DataFrame) -> DataFrame:
 
 
 def staleness_verdict(stale_commits: Column, code_files: Column) -> Column:
-    """A diagram fewer than 30 commits behind is ageing, whatever has changed since."""
-    return F.when(stale_commits == 0, "current").when(stale_commits < 30, "ageing").when(code_files == 0, "unaffected").otherwise("stale")
+    """A diagram fewer than 30 commits behind is recent, whatever has changed since; only a stale one with changed sources is a candidate."""
+    return F.when(stale_commits == 0, "current").when(stale_commits < 30, "recent").when(code_files == 0, "unaffected").otherwise("candidate")

@@ -124,8 +124,8 @@ cand AS (SELECT project, source, target, 1 AS k0, pos AS k1, 0 AS k2, 0 AS k3, '
   UNION ALL SELECT project, source, target, 4, pos, 0, 0, 'weak' FROM cf WHERE starts_with(name, want)
   UNION ALL SELECT a.project, source, target, 2, pos, CASE kind WHEN 'param' THEN 0 WHEN 'return' THEN 1 ELSE 2 END, ref_pos, CASE kind WHEN 'instantiation' THEN 'weak' ELSE 'strong' END
   FROM associations a JOIN code_callables u ON a.project = u.project AND source = element AND type = target),
-best AS (SELECT project, source, target, ev FROM cand QUALIFY row_number() OVER (PARTITION BY project, source, target ORDER BY k0, k1, k2, k3) = 1),
-ev AS (SELECT a.project, a.source, a.target, CASE WHEN c.element IS NULL THEN 'none' ELSE coalesce(ev, 'none') END AS evidence
+best AS (SELECT DISTINCT project, source, target, ev FROM cand QUALIFY row_number() OVER (PARTITION BY project, source, target ORDER BY k0, k1, k2, k3) = 1),
+ev AS (SELECT a.project, a.source, a.target, a.relation, CASE WHEN c.element IS NULL THEN 'none' ELSE coalesce(ev, 'none') END AS evidence
   FROM associations a LEFT JOIN best USING (project, source, target) LEFT JOIN (SELECT DISTINCT project, element FROM members WHERE side = 'code') c ON c.project = a.project AND c.element = a.source),
 rl AS (SELECT d.project, d.src, d.dst, d.relation, max(x.relation IS NOT NULL) OR max(u.relation IS NOT NULL) AS satisfied FROM (SELECT * FROM snap_edges WHERE version = 0) d
   LEFT JOIN (SELECT * FROM snap_edges WHERE version = 1 AND relation <> 'extends') x ON x.project = d.project AND x.src = d.src AND x.dst = d.dst AND x.relation = d.relation
@@ -161,7 +161,7 @@ sums AS (SELECT l.project, diagram, count(DISTINCT commit_ord) AS stale_commits,
 stale AS (SELECT l.project, l.diagram, last_commit, coalesce(stale_commits, 0) AS stale_commits, coalesce(code, 0) AS code_files_changed_since, CAST(date_diff('day', last_changed, head_date) AS BIGINT) AS stale_days
   FROM lastc l LEFT JOIN sums s ON l.project = s.project AND l.diagram = s.diagram JOIN head h ON l.project = h.project)
 """
-_VERDICT = "CASE WHEN stale_commits = 0 THEN 'current' WHEN stale_commits < 30 THEN 'ageing' WHEN code_files_changed_since = 0 THEN 'unaffected' ELSE 'stale' END"
+_VERDICT = "CASE WHEN stale_commits = 0 THEN 'current' WHEN stale_commits < 30 THEN 'recent' WHEN code_files_changed_since = 0 THEN 'unaffected' ELSE 'candidate' END"
 _PATHS = cte("commit_files") + ", paths AS (SELECT DISTINCT path FROM commit_files)"
 _NODES = cte("snap_nodes", "snap_edges") + """, vn AS (SELECT DISTINCT project, version FROM snap_nodes), nx AS (SELECT project, version, lead(version) OVER (PARTITION BY project ORDER BY version) AS nxt FROM vn),
 oldn AS (SELECT n.project, nxt AS version, node, kind, signature FROM snap_nodes n JOIN nx USING (project, version) WHERE nxt IS NOT NULL),
@@ -177,6 +177,12 @@ ed AS (SELECT coalesce(n.project, o.project) AS project, coalesce(n.version, o.v
   CASE WHEN o.src IS NULL THEN 'added' ELSE 'removed' END AS change FROM newe n FULL JOIN olde o ON n.project = o.project AND n.version = o.version AND n.src = o.src AND n.dst = o.dst WHERE n.src IS NULL OR o.src IS NULL)
 """
 
+_CALLED = _R + """, r AS (SELECT *, gate_allowed_llm AND commit_index % 4 <> 0 AS called, CASE WHEN gate_allowed_llm AND commit_index % 4 <> 0 THEN CAST(100 - divergences % 40 AS DOUBLE) END AS score FROM runs)
+"""
+_HUBS = cte("snap_nodes", "snap_edges") + """, e AS (SELECT project, version, src AS node FROM snap_edges UNION ALL SELECT project, version, dst FROM snap_edges), d AS (SELECT project, version, node, count(*) AS k FROM e GROUP BY ALL),
+n AS (SELECT DISTINCT project, version, node FROM snap_nodes WHERE kind IN ('class', 'interface', 'module')),
+h AS (SELECT n.*, coalesce(k, 0) AS degree, row_number() OVER (PARTITION BY project, version ORDER BY coalesce(k, 0) DESC, node) AS place FROM n LEFT JOIN d USING (project, version, node))
+"""
 _SHAPE = """, w AS (SELECT project, version, list_sort(list(kind || CAST(size AS VARCHAR))) AS rings, sum(size) AS n FROM rings GROUP BY ALL),
 shape AS (SELECT project, version, CASE WHEN n <> lag(n) OVER p THEN false WHEN n <= 400 THEN rings = lag(rings) OVER p END AS isomorphic FROM w WINDOW p AS (PARTITION BY project ORDER BY version))
 """
@@ -202,17 +208,17 @@ SQL = {
     "c01_element_compare": _M + "SELECT * FROM elements",
     "c02_member_compare": _M + "SELECT * FROM mm",
     "e01_conformance_score": _M + """, k AS (SELECT project, state FROM elements UNION ALL SELECT project, state FROM mm)
-SELECT project, count(*) AS checks_total, CAST(count(*) FILTER (state = 'matched') AS DOUBLE) AS checks_passed, round(100.0 * count(*) FILTER (state = 'matched') / count(*), 2) AS score
+SELECT project, count(*) AS checks_total, CAST(count(*) FILTER (state = 'matched') AS DOUBLE) AS checks_passed, CAST(printf('%.2f', 100 * (CAST(count(*) FILTER (state = 'matched') AS DOUBLE) / count(*))) AS DOUBLE) AS score
 FROM k WHERE state <> 'extra' GROUP BY project""",
     "b14_reflexion_counts": _M + f"SELECT project, {_REFLEX} FROM (SELECT project, state FROM elements UNION ALL SELECT project, state FROM mm) GROUP BY project",
     "b15_findings_fingerprint": _M + f", f AS ({_OWN})" + _PRINT,
     "b15_all_findings": _EVID + f""", lv AS (SELECT DISTINCT file_path FROM layer_evidence, (SELECT unnest(['widget', 'red', 'blue']) AS m) WHERE contains(file_path, 'economy') AND contains(evidence, m)),
 f AS ({_OWN} UNION SELECT project, 'missing-relation:' || src || ' --' || relation || '--> ' || dst FROM rl WHERE NOT satisfied
-  UNION SELECT project, 'no-evidence:' || source || ' --> ' || target FROM ev WHERE evidence = 'none' UNION SELECT length(file_path) % 5, 'violation:view-layer@' || file_path FROM lv)""" + _PRINT,
+  UNION SELECT project, 'no-evidence:' || source || ' --' || relation || '--> ' || target FROM ev WHERE evidence = 'none' UNION SELECT length(file_path) % 5, 'violation:view-layer@' || file_path FROM lv)""" + _PRINT,
     "c04_association_evidence": _EVID + "SELECT * FROM ev",
     "e01_score_with_relations": _EVID + """, k AS (SELECT project, CAST(state = 'matched' AS DOUBLE) AS credit FROM elements WHERE state <> 'extra' UNION ALL SELECT project, CAST(state = 'matched' AS DOUBLE) FROM mm WHERE state <> 'extra'
   UNION ALL SELECT project, CAST(satisfied AS DOUBLE) FROM rl UNION ALL SELECT project, CASE evidence WHEN 'strong' THEN 1.0 WHEN 'weak' THEN 0.5 ELSE 0.0 END FROM ev)
-SELECT project, count(*) AS checks_total, sum(credit) AS checks_passed, round(100 * sum(credit) / count(*), 2) AS score FROM k GROUP BY project""",
+SELECT project, count(*) AS checks_total, sum(credit) AS checks_passed, CAST(printf('%.2f', 100 * (sum(credit) / count(*))) AS DOUBLE) AS score FROM k GROUP BY project""",
     "b09_code_as_design": cte("code_fields", "code_callables") + """, el AS (SELECT DISTINCT project, element, CASE WHEN element LIKE '%7' THEN 'interface' ELSE 'class' END AS element_type FROM code_fields),
 mb AS (SELECT project, element, name AS member, 'attribute' AS member_kind, coalesce(nullif(type, ''), 'Object') AS type FROM code_fields
   UNION SELECT project, element, 'm' || CAST(pos AS VARCHAR), 'method', CASE WHEN kind = 'return' THEN type ELSE 'void' END FROM code_callables WHERE kind <> 'param')
@@ -224,8 +230,23 @@ SELECT b.project, array_to_string(list_filter([CASE WHEN a.divergences <> b.dive
     "b17_element_status": _M + """, s AS (SELECT project, element, count(*) FILTER (state = 'missing') AS m, count(*) FILTER (state = 'extra') AS x FROM mm GROUP BY ALL)
 SELECT e.project, e.element, CASE WHEN state = 'missing' THEN 'absent' WHEN m > 0 THEN 'partial' WHEN x > 0 THEN 'divergent' ELSE 'conforming' END AS status
 FROM elements e LEFT JOIN s USING (project, element) WHERE state <> 'extra'""",
-    "b24_gap_sentences": _M + """SELECT project, 'Class ' || element || CASE WHEN state = 'missing' THEN ' is designed but not implemented' ELSE ' is implemented but not designed' END AS gap FROM elements WHERE state <> 'matched'
-UNION ALL SELECT project, element || CASE WHEN state = 'missing' THEN ' lacks the designed ' ELSE ' has the undesigned ' END || member_kind || ' ' || member FROM mm WHERE state <> 'matched'""",
+    "b24_gap_sentences": _EVID + """SELECT project, 'Class ''' || element || CASE WHEN state = 'missing' THEN ''' appears in the UML design but not in the code.' ELSE ''' exists in the code but not in the UML design.' END AS gap FROM elements WHERE state <> 'matched'
+UNION ALL SELECT project, element || '.' || member || CASE member_kind WHEN 'method' THEN '()' ELSE '' END || ' is designed but not implemented.' FROM mm WHERE state = 'missing'
+UNION ALL SELECT project, 'Relationship not implemented: ' || src || ' --' || relation || '--> ' || dst FROM rl WHERE NOT satisfied
+UNION ALL SELECT project, 'Association has no supporting evidence in the code: ' || source || ' --' || relation || '--> ' || target FROM ev WHERE evidence = 'none'""",
+    "b24_recommendations": _EVID + """, k AS (SELECT DISTINCT project, CASE state WHEN 'missing' THEN 0 ELSE 1 END AS place FROM elements WHERE state <> 'matched' AND project <> 2
+  UNION SELECT DISTINCT project, 2 FROM ev WHERE evidence = 'none' AND project < 2),
+a AS (SELECT DISTINCT project FROM elements)
+SELECT a.project, CAST(coalesce(place, 3) AS BIGINT) AS place, ['Implement the missing classes, or remove them from the diagram if the design moved on.', 'Add the undocumented classes to the UML model so the diagram stays authoritative.',
+  'Give each modelled association a typed field or signature so it is visible in the code.', 'No structural divergence detected by the deterministic checker.'][coalesce(place, 3) + 1] AS recommendation FROM a LEFT JOIN k USING (project)""",
+    "b14_reflexion_with_relations": _EVID + """, cr AS (SELECT project, CAST(state = 'matched' AS DOUBLE) AS credit FROM elements WHERE state <> 'extra' UNION ALL SELECT project, CAST(state = 'matched' AS DOUBLE) FROM mm WHERE state <> 'extra'
+  UNION ALL SELECT project, CAST(satisfied AS DOUBLE) FROM rl UNION ALL SELECT project, CASE evidence WHEN 'strong' THEN 1.0 WHEN 'weak' THEN 0.5 ELSE 0.0 END FROM ev),
+p AS (SELECT project, count(*) AS checks_total, CAST(floor(sum(credit)) AS BIGINT) AS passed FROM cr GROUP BY project),
+m AS (SELECT project, count(*) FILTER (state = 'extra') AS x, count(*) FILTER (state = 'missing') AS o FROM (SELECT project, state FROM elements UNION ALL SELECT project, state FROM mm) GROUP BY project),
+h AS (SELECT project, count(*) FILTER (ok) AS held, count(*) FILTER (NOT ok) AS broken FROM (SELECT project, satisfied AS ok FROM rl UNION ALL SELECT project, evidence <> 'none' FROM ev) GROUP BY project)
+SELECT project, x AS divergences, o + broken AS absences, passed + held AS convergences, checks_total FROM p JOIN m USING (project) JOIN h USING (project)""",
+    "h01_round2": """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, CAST(printf('%.2f', CAST(l_quantity AS DOUBLE) / 8) AS DOUBLE) AS halves,
+  CAST(printf('%.2f', CAST(l_extendedprice AS DOUBLE) / 1000) AS DOUBLE) AS thousands FROM lineitem""",
     "g08_member_sets": cte("members") + """, d AS (SELECT project, element, member FROM members WHERE side = 'design'), c AS (SELECT project, element, member FROM members WHERE side = 'code')
 SELECT project, 'missing' AS part, count(*) AS n FROM (SELECT * FROM d EXCEPT ALL SELECT * FROM c) GROUP BY project UNION ALL
 SELECT project, 'extra', count(*) FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM d) GROUP BY project UNION ALL
@@ -250,7 +271,7 @@ ed AS (SELECT 'file' || CAST(file AS VARCHAR) AS src, class AS dst, 'contains' A
   UNION ALL SELECT 'file' || CAST(file AS VARCHAR), function_id, 'contains', 1 FROM code_functions UNION ALL SELECT class, 'K' || CAST(k - 1 AS VARCHAR), 'extends', 3 FROM code_classes WHERE k % 4 = 3
   UNION ALL SELECT class, target, CASE WHEN bucket = 'instantiation' THEN 'instantiates' ELSE 'calls' END, 4 FROM cas WHERE class IS NOT NULL AND target IS NOT NULL),
 one AS (SELECT src, dst, relation FROM ed WHERE src <> dst AND src IN (SELECT node FROM nodes) AND dst IN (SELECT node FROM nodes) QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY o DESC, relation DESC) = 1)
-SELECT 'node' AS part, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', relation, count(*) FROM one GROUP BY relation""",
+SELECT 'node' AS part, kind, node AS src, CAST(NULL AS VARCHAR) AS dst FROM nodes UNION ALL SELECT 'edge', relation, src, dst FROM one""",
     "c12_design_graph_nodes": cte("snap_nodes", "snap_edges") + """, own AS (SELECT DISTINCT project, node, kind, 'uml' AS origin FROM snap_nodes WHERE version = 0 AND kind = 'class'),
 ends AS (SELECT project, src AS node FROM snap_edges WHERE version = 0 UNION SELECT project, dst FROM snap_edges WHERE version = 0)
 SELECT * FROM own UNION ALL SELECT project, node, 'class', 'uml-implied' FROM ends WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.project = ends.project AND own.node = ends.node)""",
@@ -306,10 +327,12 @@ SELECT 'view-layer' AS rule, file_path, string_agg(DISTINCT m, ',' ORDER BY m) A
     "c25_model_agreement": """WITH r AS (SELECT CAST(p_size AS BIGINT) AS project, p_brand AS model, avg(p_retailprice) AS score, list(DISTINCT p_type) AS gaps FROM part GROUP BY ALL)
 SELECT a.project, a.model, b.model AS other, round(abs(a.score - b.score), 6) AS score_gap,
   round(CAST(len(list_intersect(a.gaps, b.gaps)) AS DOUBLE) / nullif(len(list_distinct(list_concat(a.gaps, b.gaps))), 0), 6) AS overlap FROM r a JOIN r b ON a.project = b.project AND a.model < b.model""",
-    "g05_hub_nodes": cte("snap_edges") + """, e AS (SELECT project, version, src AS node FROM snap_edges UNION ALL SELECT project, version, dst FROM snap_edges), d AS (SELECT project, version, node, count(*) AS degree FROM e GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY project, version ORDER BY degree DESC, node) AS place FROM d QUALIFY place <= 10""",
-    "g06_layers": cte("snap_nodes", "snap_edges") + """, t AS (SELECT DISTINCT project, version, dst FROM snap_edges), n AS (SELECT DISTINCT project, version, node FROM snap_nodes)
-SELECT n.project, n.version, n.node, CAST(CASE WHEN t.dst IS NULL THEN 0 ELSE 1 END AS BIGINT) AS layer FROM n LEFT JOIN t ON n.project = t.project AND n.version = t.version AND n.node = t.dst""",
+    "g05_hub_nodes": _HUBS + "SELECT project, version, node, degree, place FROM h WHERE place <= 10",
+    "g05_induced_edges": _HUBS + "SELECT s.* FROM snap_edges s JOIN h a ON a.project = s.project AND a.version = s.version AND a.node = s.src JOIN h b ON b.project = s.project AND b.version = s.version AND b.node = s.dst WHERE a.place <= 60 AND b.place <= 60",
+    "g06_layers": cte("snap_nodes", "snap_edges") + """, n AS (SELECT DISTINCT project, version, node, CASE WHEN node LIKE '%7' THEN 2 WHEN node LIKE '%3' THEN 0 END AS told FROM snap_nodes),
+t AS (SELECT e.project, e.version, dst AS node, max(coalesce(told, 0)) + 1 AS up FROM snap_edges e JOIN n ON n.project = e.project AND n.version = e.version AND n.node = e.src GROUP BY ALL),
+l AS (SELECT n.project, n.version, n.node, coalesce(told, up, 0) AS layer FROM n LEFT JOIN t USING (project, version, node))
+SELECT project, version, node, CAST(dense_rank() OVER (PARTITION BY project, version ORDER BY layer) - 1 AS BIGINT) AS layer FROM l""",
     "d01_gate_decisions": _SNAP + "SELECT project, version, gate_strategy, fired, reason FROM decided",
     "d02_chained_previous": cte("doc_versions") + "SELECT project, version, lag(version) OVER (PARTITION BY project ORDER BY version) AS previous FROM doc_versions",
     "d03_reuse_bookkeeping": _SNAP + """SELECT project, version, gate_strategy, last_value(CASE WHEN fired THEN version END IGNORE NULLS) OVER (PARTITION BY project, gate_strategy ORDER BY version ROWS UNBOUNDED PRECEDING) AS served_version,
@@ -336,15 +359,21 @@ SELECT project, sha256('[' || string_agg('{"part":"' || part || '","digest":"' |
     "f13_version_ring": cte("doc_versions") + "SELECT project, version, doc_id FROM doc_versions QUALIFY row_number() OVER (PARTITION BY project ORDER BY version DESC) <= 3",
     "g02_latest_versions": cte("doc_versions") + "SELECT project, max(version) AS latest, arg_max(doc_id, version) AS doc_id FROM doc_versions GROUP BY project",
     "e23_project_overview": cte("doc_versions") + "SELECT project, count(*) AS versions, max(version) AS latest, arg_max(n_chars, version) AS latest_size, CAST(sum(n_chars) AS BIGINT) AS total_size FROM doc_versions GROUP BY project",
-    "b13_run_normalisation": _R + """SELECT project, commit_id AS commit, commit_index, gate_strategy, gate_allowed_llm, CASE WHEN source_touched THEN missed_change END AS missed_change,
-  CAST(NULL AS BOOLEAN) AS conformance_changed, prompt_tokens + completion_tokens AS tokens, CAST(NULL AS DOUBLE) AS latency_ms FROM runs""",
-    "e03_ledger_metrics": _R + """, a AS (SELECT project, count(*) AS runs, count(*) FILTER (gate_allowed_llm) AS reanalyses, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
-  CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, coalesce(avg(prompt_tokens + completion_tokens) FILTER (gate_allowed_llm), 0) * count(*) AS bt,
-  avg(latency_ms) FILTER (gate_allowed_llm) AS la, avg(latency_ms) FILTER (NOT gate_allowed_llm) AS lu FROM runs GROUP BY project)
-SELECT project, runs, reanalyses, prompt_tokens, completion_tokens, tokens, round(bt, 6) AS baseline_tokens, round(la, 6) AS latency_reanalysed, round(lu, 6) AS latency_reused,
-  round((runs - reanalyses) / CAST(runs AS DOUBLE), 6) AS hit_rate, round(greatest(0.0, bt - tokens), 6) AS saved_tokens, round((prompt_tokens * 3.0 + completion_tokens * 15.0) / 1e6, 6) AS cost,
-  round(coalesce((runs - reanalyses) * greatest(0.0, la - coalesce(lu, 0.0)), 0.0), 6) AS latency_saved FROM a""",
-    "e04_by_strategy": _R + "SELECT gate_strategy, count(*) AS runs, count(*) FILTER (gate_allowed_llm) AS reanalyses FROM runs GROUP BY gate_strategy",
+    "b13_run_normalisation": _R + """SELECT CAST(project AS VARCHAR) AS project, commit_id AS commit, commit_index, CASE gate_strategy WHEN 'isomorphism' THEN 'unknown' ELSE gate_strategy END AS gate_strategy, gate_allowed_llm,
+  CASE WHEN source_touched THEN missed_change END AS missed_change, CAST(NULL AS BOOLEAN) AS diverges_from_oracle, CAST(NULL AS BOOLEAN) AS conformance_changed, CAST(prompt_tokens + completion_tokens AS DOUBLE) AS tokens,
+  0.0::DOUBLE AS counterfactual_tokens, CAST(NULL AS BOOLEAN) AS source_touched, '' AS provenance, 0.0::DOUBLE AS latency_ms, 0.0::DOUBLE AS changed_nodes, CAST(NULL AS DOUBLE) AS similarity,
+  CASE WHEN commit_index > 0 THEN CAST(divergences AS DOUBLE) END AS divergences, CAST(NULL AS DOUBLE) AS absences, findings_hash, CAST(NULL AS VARCHAR) AS model, CAST(NULL AS VARCHAR) AS provider,
+  CAST(NULL AS VARCHAR) AS llm_mode, 0.5::DOUBLE AS temperature, '7' AS seed, CAST(NULL AS VARCHAR) AS association_scoring, CAST(NULL AS VARCHAR) AS impact_radius, CAST(NULL AS VARCHAR) AS degraded FROM runs""",
+    "e03_ledger_metrics": _CALLED + """, a AS (SELECT project, count(*) AS n, count(*) FILTER (gate_allowed_llm) AS ra, count(*) FILTER (called) AS lc, CAST(sum(prompt_tokens) AS BIGINT) AS p, CAST(sum(completion_tokens) AS BIGINT) AS c,
+  coalesce(avg(prompt_tokens) FILTER (called), 0) * count(*) AS bp, coalesce(avg(completion_tokens) FILTER (called), 0) * count(*) AS bc, coalesce(avg(latency_ms) FILTER (called), 0) AS ml,
+  coalesce(avg(latency_ms) FILTER (NOT gate_allowed_llm), 0) AS mc, count(score) AS s, CASE WHEN count(score) >= 2 THEN var_pop(score) END AS v FROM r GROUP BY project)
+SELECT project, n AS total_runs, ra AS reanalyses, lc AS llm_calls, n - ra AS cached_runs, p AS prompt_tokens, c AS completion_tokens, round(ml, 6) AS mean_latency_ms_llm, round(mc, 6) AS mean_latency_ms_cached,
+  s AS scored_runs, round(v, 6) AS score_variance, round((n - ra) / CAST(n AS DOUBLE), 6) AS cache_hit_rate, p + c AS total_tokens, CAST(floor(bp + bc) AS BIGINT) AS baseline_total_tokens,
+  greatest(0, CAST(floor(bp + bc) AS BIGINT) - p - c) AS tokens_saved, round((p * 5.0 + c * 15.0) / 1e6, 6) AS actual_cost_usd, round((bp * 5.0 + bc * 15.0) / 1e6, 6) AS baseline_cost_usd,
+  round(greatest(0.0, (bp * 5.0 + bc * 15.0) / 1e6 - (p * 5.0 + c * 15.0) / 1e6), 6) AS cost_saved_usd, round(greatest(0.0, (ml - mc) * (n - ra)), 6) AS latency_saved_ms FROM a""",
+    "e04_by_strategy": _CALLED + "SELECT gate_strategy, count(*) AS runs, count(*) FILTER (gate_allowed_llm) AS reanalyses, count(*) FILTER (called) AS llm_calls FROM r GROUP BY gate_strategy",
+    "e17_confused_commits": _R + """SELECT gate_strategy, CASE WHEN gate_allowed_llm THEN 'wasted' ELSE 'missed' END AS outcome, commit_id AS id FROM runs
+WHERE gate_allowed_llm <> conformance_changed""",
     "e05_score_variance": _R + "SELECT project, round(CASE WHEN count(latency_ms) >= 2 THEN var_pop(latency_ms) END, 6) AS variance FROM runs GROUP BY project",
     "e06_describe_latency": _R + """SELECT gate_strategy, count(latency_ms) AS n, round(quantile_cont(latency_ms, 0.5), 6) AS median, round(avg(latency_ms), 6) AS mean, round(min(latency_ms), 6) AS min,
   round(max(latency_ms), 6) AS max, round(sum(latency_ms), 6) AS total FROM runs GROUP BY gate_strategy""",
@@ -413,7 +442,7 @@ SELECT gate_strategy, total, resolved, median, CASE WHEN median IS NULL THEN coa
 line AS (SELECT project, sha, CAST(0 AS BIGINT) AS depth FROM tips UNION ALL SELECT l.project, c.parent0, depth + 1 FROM line l JOIN commits c ON c.project = l.project AND c.sha = l.sha WHERE c.parent0 IS NOT NULL) SELECT * FROM line""",
     "c26_newest_plain_commits": cte("commits") + "SELECT project, sha, row_number() OVER (PARTITION BY project ORDER BY committed_at DESC, sha DESC) AS place FROM commits WHERE parent1 IS NULL QUALIFY place <= 25",
     "c27_diagram_staleness": _STALE + f"SELECT *, {_VERDICT} AS verdict FROM stale",
-    "g03_stale_diagrams": _STALE + f"SELECT project, diagram, stale_commits FROM stale WHERE {_VERDICT} = 'stale'",
+    "g03_stale_diagrams": _STALE + f"SELECT project, diagram, stale_commits FROM stale WHERE {_VERDICT} = 'candidate'",
     "g01_gate_order": _R + f"SELECT DISTINCT gate_strategy, CAST({_RANK} AS BIGINT) AS place FROM runs",
     "b02_type_heads": "SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN 'Map' ELSE split_part(p_type, ' ', 1) END AS head FROM part",
     "b03_callee_split": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'self.' || split_part(p_name, ' ', 1) END AS receiver, CASE WHEN p_size % 2 = 0 THEN 'save' END AS name FROM part",

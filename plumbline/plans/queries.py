@@ -52,7 +52,7 @@ def c02(spark, sf_dir):
 
 @query("e01_conformance_score")
 def e01(spark, sf_dir):
-    return tidy(compare.conformance_score(*_compared(spark, sf_dir), "project"))
+    return tidy(compare.conformance_score(*_compared(spark, sf_dir), "project").withColumn("score", fn.round2(F.col("score"))))
 
 
 def _evidence(spark, sf_dir):
@@ -69,7 +69,14 @@ def c04(spark, sf_dir):
 @query("e01_score_with_relations")
 def e01_relations(spark, sf_dir):
     credits = compare.relation_credits(c03(spark, sf_dir), _evidence(spark, sf_dir), "project")
-    return tidy(compare.conformance_score(*_compared(spark, sf_dir), "project", relations=credits))
+    return tidy(compare.conformance_score(*_compared(spark, sf_dir), "project", relations=credits).withColumn("score", fn.round2(F.col("score"))))
+
+
+@query("h01_round2")
+def h01(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity").cast("double") / 8).alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    values = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", fn.round2(F.col("x")).alias("halves"), fn.round2(F.col("y") / 1000).alias("thousands"))
+    return tidy(values)
 
 
 @query("b09_code_as_design")
@@ -95,6 +102,11 @@ def b14(spark, sf_dir):
     return compare.reflexion_counts(*_compared(spark, sf_dir), "project")
 
 
+@query("b14_reflexion_with_relations")
+def b14_relations(spark, sf_dir):
+    return tidy(compare.reflexion_with_relations(*_compared(spark, sf_dir), c03(spark, sf_dir), _evidence(spark, sf_dir), "project", score_associations=True))
+
+
 @query("b15_findings_fingerprint")
 def b15(spark, sf_dir):
     return compare.findings_fingerprint(compare.finding_keys(*_compared(spark, sf_dir), "project"), "project")
@@ -114,7 +126,15 @@ def b17(spark, sf_dir):
 
 @query("b24_gap_sentences")
 def b24(spark, sf_dir):
-    return compare.gap_sentences(*_compared(spark, sf_dir), "project")
+    return compare.gap_sentences(*_compared(spark, sf_dir), "project", relations=c03(spark, sf_dir), associations=_evidence(spark, sf_dir))
+
+
+@query("b24_recommendations")
+def b24_advice(spark, sf_dir):
+    elements, members = _compared(spark, sf_dir)
+    known = elements.withColumn("state", F.when(F.col("project") == 2, "matched").otherwise(F.col("state")))  # one project without gaps of classes
+    associations = _evidence(spark, sf_dir).where("project < 2")
+    return tidy(compare.recommendations(known, members, "project", associations=associations))
 
 
 @query("g08_member_sets")
@@ -193,8 +213,8 @@ def c11_graph(spark, sf_dir):
     supertypes = bases.select("class", F.concat(F.lit("K"), F.substring("base", 2, 20)).alias("base"), F.lit("extends").alias("relation"))
     modules = text(classes.select("file").union(functions.select("file")).distinct())
     nodes, edges = resolve.implementation_graph(modules, text(classes).withColumn("kind", F.lit("class")), methods, supertypes, calls, functions=text(functions))
-    kinds = nodes.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "kind", "n")
-    return kinds.unionByName(edges.groupBy(F.col("relation").alias("kind")).agg(F.count("*").alias("n")).withColumn("part", F.lit("edge")))
+    out = nodes.select(F.lit("node").alias("part"), "kind", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"))
+    return out.unionByName(edges.select(F.lit("edge").alias("part"), F.col("relation").alias("kind"), "src", "dst"))
 
 
 @query("c12_design_graph_nodes")
@@ -318,12 +338,20 @@ def c25(spark, sf_dir):
 
 @query("g05_hub_nodes")
 def g05(spark, sf_dir):
-    return graph.hubs(load(spark, sf_dir, "snap_edges"), 10, "project", "version")
+    return graph.hubs(load(spark, sf_dir, "snap_nodes"), load(spark, sf_dir, "snap_edges"), 10, "project", "version")
+
+
+@query("g05_induced_edges")
+def g05_edges(spark, sf_dir):
+    edges = load(spark, sf_dir, "snap_edges")
+    return graph.induced(edges, graph.hubs(load(spark, sf_dir, "snap_nodes"), edges, 60, "project", "version"), "project", "version")
 
 
 @query("g06_layers")
 def g06(spark, sf_dir):
-    return graph.layers(load(spark, sf_dir, "snap_edges"), load(spark, sf_dir, "snap_nodes"), "project", "version")
+    ending = F.when(F.endswith("node", F.lit("7")), "Repository").when(F.endswith("node", F.lit("3")), "Controller").otherwise("")
+    nodes = load(spark, sf_dir, "snap_nodes").withColumn("label", F.concat("node", ending))
+    return graph.layers(load(spark, sf_dir, "snap_edges"), nodes, "project", "version")
 
 
 def _snapshots(spark, sf_dir):
@@ -442,23 +470,31 @@ def e23(spark, sf_dir):
 @query("b13_run_normalisation")
 def b13(spark, sf_dir):
     runs = load(spark, sf_dir, "runs")
+    runs = runs.withColumn("fired_first", F.col("commit_index") == 0).withColumn("gate_strategy", F.when(F.col("gate_strategy") == "isomorphism", "").otherwise(F.col("gate_strategy")))
     words = F.when(F.col("gate_allowed_llm"), F.lit(" Yes ")).otherwise(F.lit("0"))
     raw = runs.select(
         "project", F.col("commit_id").alias("commit_hash"), F.lit("").alias("commit"), F.col("commit_index").cast("string").alias("commit_index"), "gate_strategy", words.alias("llm_invoked"),
         F.when(F.col("source_touched"), F.col("missed_change").cast("string")).alias("missed_change"), F.lit("maybe").alias("latency_ms"),
         F.col("prompt_tokens").cast("string").alias("prompt_tokens"), F.col("completion_tokens").cast("string").alias("completion_tokens"), F.col("commit_index").alias("ord"),
+        F.when(F.col("fired_first"), F.lit("")).otherwise(F.col("divergences").cast("string")).alias("divergences"), "findings_hash", F.lit(" 0.5 ").alias("temperature"), F.lit("7").alias("seed"),
     )
-    return statistics.normalise_runs(raw)
+    return tidy(statistics.normalise_runs(raw))
+
+
+def _called(spark, sf_dir):
+    """Run rows in which a model is called for three of four runs that were allowed."""
+    called = F.col("gate_allowed_llm") & (F.col("commit_index") % 4 != 0)
+    return load(spark, sf_dir, "runs").withColumns({"llm_invoked": called, "similarity_score": F.when(called, 100 - F.col("divergences") % 40).cast("double")})
 
 
 @query("e03_ledger_metrics")
 def e03(spark, sf_dir):
-    return tidy(statistics.ledger_metrics(load(spark, sf_dir, "runs")))
+    return tidy(statistics.ledger_metrics(_called(spark, sf_dir)))
 
 
 @query("e04_by_strategy")
 def e04(spark, sf_dir):
-    return statistics.by_strategy(load(spark, sf_dir, "runs"))
+    return statistics.by_strategy(_called(spark, sf_dir))
 
 
 @query("e05_score_variance")
@@ -526,6 +562,12 @@ def e17(spark, sf_dir):
     return tidy(statistics.confusion(runs, "gate_strategy"))
 
 
+@query("e17_confused_commits")
+def e17_ids(spark, sf_dir):
+    runs = load(spark, sf_dir, "runs").withColumns({"fired": F.col("gate_allowed_llm"), "changed": F.col("conformance_changed")})
+    return statistics.confused_ids(runs, "commit_id", "gate_strategy")
+
+
 @query("e19_replay_summary")
 def e19(spark, sf_dir):
     return tidy(statistics.replay_summary(load(spark, sf_dir, "runs")))
@@ -659,7 +701,7 @@ def c27(spark, sf_dir):
 @query("g03_stale_diagrams")
 def g03(spark, sf_dir):
     found = history.diagram_staleness(load(spark, sf_dir, "commit_files"))
-    return found.where("verdict = 'stale'").select("project", "diagram", "stale_commits").orderBy(F.desc("stale_commits"), "project")
+    return found.where("verdict = 'candidate'").select("project", "diagram", "stale_commits").orderBy(F.desc("stale_commits"), "project", "diagram")
 
 
 @query("g01_gate_order")

@@ -125,7 +125,7 @@ SELECT o_custkey % 5 AS project, o_orderkey AS sha, o_orderdate AS committed_at,
 FROM orders""",
     "commit_files": """
 SELECT user_id % 5 AS project, event_id AS commit_ord, CAST(ts AS DATE) AS committed_on,
-  CASE WHEN event_type = 'signup' AND value > 40 THEN 'model/design.mdj'
+  CASE WHEN event_type = 'signup' AND user_id % 10 = 3 THEN concat('model/', CAST(user_id AS STRING), '.mdj') WHEN event_type = 'signup' AND value > 40 THEN 'model/design.mdj'
     WHEN event_type = 'view' THEN concat('docs/', CAST(user_id AS STRING), '.md')
     ELSE concat('src/', CAST(user_id AS STRING), '.py') END AS path
 FROM events""",
@@ -160,7 +160,8 @@ UNION ALL SELECT s_suppkey % 50, concat('g', CAST(s_suppkey AS STRING)), concat(
 SELECT DISTINCT CAST(p_size AS BIGINT) AS file, symbol, CAST((p_size + step) % 50 AS BIGINT) AS target
 FROM part CROSS JOIN (SELECT 'mod1' AS symbol, 1 AS step UNION ALL SELECT 'fn3', 7 UNION ALL SELECT 'C5', 2) t""",
     "associations": """
-SELECT DISTINCT l_suppkey % 5 AS project, concat('C', CAST(l_partkey AS STRING)) AS source, concat('S', CAST(l_suppkey AS STRING)) AS target
+SELECT DISTINCT l_suppkey % 5 AS project, concat('C', CAST(l_partkey AS STRING)) AS source, concat('S', CAST(l_suppkey AS STRING)) AS target,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'association' ELSE 'dependency' END AS relation
 FROM lineitem WHERE l_returnflag = 'A'""",
     "code_fields": """
 SELECT l_suppkey % 5 AS project, concat('C', CAST(l_partkey AS STRING)) AS element, l_orderkey * 10 + l_linenumber AS pos,

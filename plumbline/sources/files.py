@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import language
 
 #: Folders that hold no project code, and the size beyond which a file is skipped.
-SKIPPED = ("node_modules", "venv", "__pycache__", "dist", "build", "target", "vendor", "site-packages")
+SKIPPED = ("node_modules", "venv", "__pycache__", "dist", "build", "target", "vendor", "site-packages", "coverage", "bin", "obj")
 MOST_BYTES = 2 * 1024 * 1024
 
 _CALL = "struct<name:string,receiver:string,instantiation:boolean>"
@@ -261,7 +261,7 @@ def design_relations(nodes: DataFrame) -> DataFrame:
     rel = nodes.where(F.col("type").isin(*RELATIONS)).select("doc", source.alias("s"), target.alias("t"), F.try_element_at(kinds, F.col("type")).alias("relation"))
     name = nodes.select("doc", "node_id", "name")
     out = rel.join(name.withColumnsRenamed({"node_id": "s", "name": "source"}), ["doc", "s"]).join(name.withColumnsRenamed({"node_id": "t", "name": "target"}), ["doc", "t"])
-    return out.where("source IS NOT NULL AND target IS NOT NULL").select("doc", "source", "target", "relation").distinct()
+    return out.where("source IS NOT NULL AND target IS NOT NULL").select("doc", "source", "target", "relation")
 
 
 def read_ledger(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame:
@@ -284,11 +284,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Projects of a corpus manifest with defaults; keys that start with $ are comments."""
-    fields = "name string, source string, uml string, commits bigint, branch string, subdirectory string, provenance string"
-    doc = spark.read.schema(f"projects array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path)
-    out = doc.select(F.inline("projects")).where("NOT startswith(coalesce(name, ''), '$')")
-    return out.withColumns({"commits": F.coalesce("commits", F.lit(50)), "branch": F.coalesce("branch", F.lit("HEAD")), "subdirectory": F.coalesce("subdirectory", F.lit("")), "provenance": F.coalesce("provenance", F.lit("unknown"))})
+    """Projects of a corpus manifest, an object with ``projects`` or a list of them, with defaults; other keys, such as comments that begin with $, are ignored."""
+    kinds = {c: "string" for c in ("name", "source", "uml", "branch", "subdirectory", "notes", "start", "provenance")} | {"commits": "bigint"}
+    project = f"struct<{','.join(f'{k}:{v}' for k, v in kinds.items())}>"
+    text = spark.read.text(path, wholetext=True).select(F.col("value"))
+    listed = F.startswith(F.ltrim("value", F.lit(" \t\r\n")), F.lit("["))
+    given = F.when(listed, F.from_json("value", f"array<{project}>")).otherwise(F.from_json("value", f"projects array<{project}>")["projects"])
+    out = text.select(F.inline(given)).where("name IS NOT NULL")
+    return out.withColumns({"commits": F.coalesce("commits", F.lit(30)), "notes": F.coalesce("notes", F.lit("")), "provenance": F.coalesce("provenance", F.lit(""))})
 
 
 def merge_results(parts: list[DataFrame], oracle: tuple[str, ...] = ("conformance_changed",)) -> tuple[DataFrame, DataFrame]:

@@ -80,9 +80,11 @@ def test_ledger_round_trip_and_merge(spark, tmp_path):
 
 
 def test_manifest_and_push_events(spark, tmp_path):
-    (tmp_path / "c.json").write_text(json.dumps({"$about": 1, "projects": [{"name": "a", "source": "s"}, {"name": "$skip"}]}))
+    (tmp_path / "c.json").write_text(json.dumps({"$about": 1, "projects": [{"name": "a", "source": "s"}, {"name": "b", "commits": 7, "start": "abc", "branch": "dev", "$note": "x"}]}))
+    (tmp_path / "list.json").write_text(json.dumps([{"name": "c", "source": "s", "provenance": "found"}]))
     got = files.read_manifest(spark, str(tmp_path / "c.json")).collect()
-    assert [(r.name, r.commits, r.branch) for r in got] == [("a", 50, "HEAD")]
+    assert [(r.name, r.commits, r.branch, r.start, r.provenance, r.uml, r.notes) for r in got] == [("a", 30, None, None, "", None, ""), ("b", 7, "dev", "abc", "", None, "")]
+    assert [(r.name, r.commits, r.provenance) for r in files.read_manifest(spark, str(tmp_path / "list.json")).collect()] == [("c", 30, "found")]
     kind = "event string, project string, commits array<struct<added:array<string>,modified:array<string>,removed:array<string>>>"
     events = spark.createDataFrame([("push", "p", [(["a"], ["b"], []), (["a"], [], ["c"])]), ("ping", "p", [(["z"], [], [])])], kind)
     assert sorted(r.path for r in files.changed_files(events).collect()) == ["a", "b", "c"]
