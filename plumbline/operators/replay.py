@@ -18,16 +18,28 @@ def impact_sizes(nodes: DataFrame, edges: DataFrame, radius: int = 1, moved: Dat
     """(project, version, touched_impact, all_nodes): nodes within ``radius`` steps of what the step to a version touched, and all its nodes."""
     moved = graph.diff_nodes(nodes) if moved is None else moved
     touched = moved.where("change <> 'unchanged'").select("project", "version", "node")
-    reached = graph.impact(edges, nodes, touched, radius).groupBy("project", "version").agg(F.count("*").alias("touched_impact"))
-    whole = nodes.groupBy("project", "version").agg(F.countDistinct("node").alias("all_nodes"))
-    return whole.join(reached, ["project", "version"], "left").withColumn("touched_impact", F.coalesce("touched_impact", F.lit(0)))
+    keys, sized = ["project", "version"], "tokens" in nodes.columns
+    near = graph.impact(edges, nodes, touched, radius)
+    near = near.join(nodes.select(*keys, "node", "tokens"), [*keys, "node"]) if sized else near
+    amount = lambda name: [F.sum("tokens").alias(name)] if sized else []
+    reached = near.groupBy(*keys).agg(F.count("*").alias("touched_impact"), *amount("touched_tokens"))
+    whole = nodes.groupBy(*keys).agg(F.countDistinct("node").alias("all_nodes"), *amount("all_tokens"))
+    return whole.join(reached, keys, "left").fillna(0, ["touched_impact", *(["touched_tokens"] if sized else [])])
 
 
-def run_rows(snapshots: DataFrame, nodes: DataFrame, edges: DataFrame, settings: dict | None = None, radius: int = 1, strategies: tuple[str, ...] = gate.STRATEGIES) -> DataFrame:
+ANALYSIS = ("convergences", "divergences", "absences", "findings_hash", "score", "call_resolution_rate", "ambiguous_calls")
+
+
+def run_rows(
+    snapshots: DataFrame, nodes: DataFrame, edges: DataFrame, settings: dict | None = None, radius: int = 1, strategies: tuple[str, ...] = gate.STRATEGIES, analysis: DataFrame | None = None
+) -> DataFrame:
     """One row per (project, version, gate_strategy): decision, sizes of the delta and of the impact, tokens and settings.
 
     snapshots(project, version, text_hash, structure_hash[, design_hash, isomorphic, tokens]). A version without one
     before it has all its nodes as added. A reused run has no impact and spends no tokens. ``settings`` become columns.
+    Where nodes have ``tokens``, ``counterfactual_prompt_tokens`` is what a run would have sent: nothing if reused, the nodes
+    of its impact, or all nodes where everything counts as affected or nothing was touched. ``analysis`` adds those of
+    ``ANALYSIS`` that it has, by project and version: reflexion counts, fingerprint, score, call resolution.
     The diff is worked out once, for the delta and for the impact.
     """
     keys = ["project", "version"]
@@ -43,6 +55,14 @@ def run_rows(snapshots: DataFrame, nodes: DataFrame, edges: DataFrame, settings:
     none = F.lit(0).cast("bigint")
     deltas = [F.when(first, F.col("all_nodes") if c == "added_nodes" else none).otherwise(F.coalesce(c, none)).alias(c) for c in DELTAS]
     fixed = [F.lit(v).alias(k) for k, v in (settings or {}).items()]
+    if "all_tokens" in sizes.columns:
+        part = F.when(F.col("reason").isin(*WHOLE) | (F.col("touched_impact") == 0), F.col("all_tokens")).otherwise(F.col("touched_tokens"))
+        out = out.join(rows.select(*keys, "all_tokens", "touched_tokens"), keys)
+        fixed.append(F.when(F.col("fired"), part).otherwise(none).cast("bigint").alias("counterfactual_prompt_tokens"))
+    if analysis is not None:
+        more = [c for c in ANALYSIS if c in analysis.columns]
+        out = out.join(analysis.select(*keys, *more), keys, "left")
+        fixed += [F.col(c) for c in more]
     return out.select(
         *keys, "gate_strategy", F.col("fired").alias("gate_allowed_llm"), F.when(F.col("fired"), "invoke").otherwise("reuse").alias("decision"), "reason",
         *deltas, F.coalesce(affected, none).alias("impact_nodes"), F.when(F.col("fired"), F.col("tokens")).otherwise(none).alias("prompt_tokens"), *fixed,

@@ -183,6 +183,22 @@ _HUBS = cte("snap_nodes", "snap_edges") + """, e AS (SELECT project, version, sr
 n AS (SELECT DISTINCT project, version, node FROM snap_nodes WHERE kind IN ('class', 'interface', 'module')),
 h AS (SELECT n.*, coalesce(k, 0) AS degree, row_number() OVER (PARTITION BY project, version ORDER BY coalesce(k, 0) DESC, node) AS place FROM n LEFT JOIN d USING (project, version, node))
 """
+_FOUND = cte("members", "code_history") + """, dm AS (SELECT DISTINCT project, element, member_kind, member FROM members WHERE side = 'design'), de AS (SELECT DISTINCT project, element FROM dm),
+vs AS (SELECT DISTINCT project, version FROM code_history), ce AS (SELECT DISTINCT project, version, element FROM code_history),
+fd AS (SELECT v.project, v.version, 'missing_class' AS kind, element, NULL AS mk, NULL AS m FROM vs v JOIN de USING (project) WHERE NOT EXISTS (SELECT 1 FROM ce WHERE ce.project = v.project AND ce.version = v.version AND ce.element = de.element)
+  UNION ALL SELECT project, version, 'extra_class', element, NULL, NULL FROM ce WHERE NOT EXISTS (SELECT 1 FROM de WHERE de.project = ce.project AND de.element = ce.element)
+  UNION ALL SELECT ce.project, ce.version, 'missing_member', dm.element, member_kind, member FROM ce JOIN dm ON dm.project = ce.project AND dm.element = ce.element
+    WHERE NOT EXISTS (SELECT 1 FROM code_history c WHERE c.project = ce.project AND c.version = ce.version AND c.element = dm.element AND c.member_kind = dm.member_kind AND c.member = dm.member)
+  UNION ALL SELECT c.project, c.version, 'extra_member', c.element, c.member_kind, c.member FROM code_history c JOIN de ON de.project = c.project AND de.element = c.element
+    WHERE NOT EXISTS (SELECT 1 FROM dm WHERE dm.project = c.project AND dm.element = c.element AND dm.member_kind = c.member_kind AND dm.member = c.member)),
+ck AS (SELECT v.project, v.version, (SELECT count(*) FROM de WHERE de.project = v.project) + (SELECT count(*) FROM dm JOIN ce ON ce.project = dm.project AND ce.element = dm.element WHERE ce.project = v.project AND ce.version = v.version) AS checks_total FROM vs v),
+fc AS (SELECT project, version, count(*) FILTER (kind = 'missing_class') AS n_missing_class, count(*) FILTER (kind = 'extra_class') AS n_extra_class, count(*) FILTER (kind = 'missing_member') AS n_missing_member,
+  count(*) FILTER (kind = 'extra_member') AS n_extra_member, md5(string_agg(element, ',' ORDER BY element) FILTER (kind = 'missing_class')) AS h1, md5(string_agg(element, ',' ORDER BY element) FILTER (kind = 'extra_class')) AS h2,
+  md5(string_agg(kind || element || mk || m, ',' ORDER BY kind, element, mk, m) FILTER (kind IN ('missing_member', 'extra_member'))) AS h3 FROM fd GROUP BY ALL),
+pv AS (SELECT ck.project, ck.version, coalesce(n_missing_class, 0) AS n_missing_class, coalesce(n_extra_class, 0) AS n_extra_class, coalesce(n_missing_member, 0) AS n_missing_member, coalesce(n_extra_member, 0) AS n_extra_member,
+  checks_total, checks_total - coalesce(n_missing_class, 0) - coalesce(n_missing_member, 0) AS checks_passed, h1, h2, h3 FROM ck LEFT JOIN fc USING (project, version)),
+an AS (SELECT *, 100 * (checks_passed / CAST(checks_total AS DOUBLE)) AS score, checks_passed AS convergences, n_extra_class + n_extra_member AS divergences, n_missing_class + n_missing_member AS absences FROM pv)
+"""
 _SHAPE = """, w AS (SELECT project, version, list_sort(list(kind || CAST(size AS VARCHAR))) AS rings, sum(size) AS n FROM rings GROUP BY ALL),
 shape AS (SELECT project, version, CASE WHEN n <> lag(n) OVER p THEN false WHEN n <= 400 THEN rings = lag(rings) OVER p END AS isomorphic FROM w WINDOW p AS (PARTITION BY project ORDER BY version))
 """
@@ -343,6 +359,26 @@ SELECT project, version, node, CAST(dense_rank() OVER (PARTITION BY project, ver
     "i04_incremental_runs": _RUN_ROWS + " FROM dec",
     "d05_oracle_replay": _REPLAY + "SELECT * FROM rp",
     "d05_misses": _REPLAY + "SELECT project, gate_strategy, version, differing_fields, reason FROM rp WHERE missed_change",
+    "d05_findings_by_delta": _FOUND + "SELECT * EXCLUDE (h1, h2, h3) REPLACE (round(score, 6) AS score) FROM an",
+    "d05_element_statuses": _FOUND + """SELECT v.project, v.version, de.element, CASE WHEN count(*) FILTER (kind = 'missing_class') > 0 THEN 'absent' WHEN count(*) FILTER (kind = 'missing_member') > 0 THEN 'partial'
+  WHEN count(*) FILTER (kind = 'extra_member') > 0 THEN 'divergent' ELSE 'conforming' END AS status
+FROM vs v JOIN de USING (project) LEFT JOIN fd ON fd.project = v.project AND fd.version = v.version AND fd.element = de.element GROUP BY ALL""",
+    "d05_replay_from_facts": _FOUND + """, sn AS (SELECT an.*, CASE WHEN version % 3 = 0 THEN 'same' ELSE CAST(ms AS VARCHAR) END AS structure_hash, CAST(al AS VARCHAR) AS text_hash, 'd' AS design_hash, 0 AS delta_size, CAST(NULL AS BOOLEAN) AS isomorphic,
+  {'a': h1, 'b': h2, 'c': h3, 'd': score} AS truth FROM an JOIN (SELECT project, version, count(*) FILTER (member_kind = 'method') AS ms, count(*) AS al FROM code_history GROUP BY ALL) USING (project, version))
+""" + _decided("sn", "project", "design_hash", "delta_size") + """, sv AS (SELECT *, arg_max(truth, version) FILTER (fired) OVER (PARTITION BY project, gate_strategy ORDER BY version ROWS UNBOUNDED PRECEDING) AS served,
+  lag(truth) OVER (PARTITION BY project, gate_strategy ORDER BY version) AS was FROM dec),
+df AS (SELECT *, concat_ws(',', CASE WHEN truth.a IS DISTINCT FROM served.a THEN 'missing_classes' END, CASE WHEN truth.b IS DISTINCT FROM served.b THEN 'extra_classes' END,
+  CASE WHEN truth.c IS DISTINCT FROM served.c THEN 'element_differences' END, CASE WHEN truth.d IS DISTINCT FROM served.d THEN 'score' END) AS differing_fields FROM sv)
+SELECT project, version, gate_strategy, fired, reason, differing_fields, differing_fields <> '' AS diverges_from_oracle, differing_fields <> '' AND NOT fired AS missed_change,
+  CASE WHEN previous IS NOT NULL THEN was IS DISTINCT FROM truth END AS conformance_changed, CASE WHEN previous IS NOT NULL THEN xm END AS source_touched FROM df""",
+    "d04_rows_with_analysis": "WITH base AS (" + _RUN_ROWS + """, fired, k FROM dec), tk AS (""" + _NODES.replace("WITH ", "WITH ", 1) + """, tn AS (SELECT project, version, node FROM nd WHERE change IN ('added', 'changed')),
+im AS (SELECT project, version, node FROM tn UNION SELECT t.project, t.version, x.dst FROM tn t JOIN pe x ON x.project = t.project AND x.version = t.version AND x.src = t.node
+  UNION SELECT t.project, t.version, x.src FROM tn t JOIN pe x ON x.project = t.project AND x.version = t.version AND x.dst = t.node)
+SELECT a.project, a.version, CAST(a.s AS BIGINT) AS all_tokens, CAST(coalesce(b.s, 0) AS BIGINT) AS touched FROM (SELECT project, version, sum(length(node)) AS s FROM snap_nodes GROUP BY ALL) a
+  LEFT JOIN (SELECT project, version, sum(length(node)) AS s FROM im GROUP BY ALL) b USING (project, version)),
+ana AS (""" + _FOUND + """SELECT project, version - 3 AS version, convergences, divergences, absences, round(score, 6) AS score FROM an)
+SELECT base.* EXCLUDE (fired, k), CASE WHEN NOT fired THEN 0 WHEN reason IN ('first version', 'design changed', 'always') OR k = 0 THEN all_tokens ELSE touched END AS counterfactual_prompt_tokens,
+  convergences, divergences, absences, score FROM base JOIN tk USING (project, version) LEFT JOIN ana USING (project, version)""",
     "d07_labelled_deviations": cte("mutations") + _decided("mutations", "mutation", "''", "0") + """, f AS (SELECT mutation, max(divergences) FILTER (version = 0) AS d0, max(divergences) FILTER (version = 1) AS d1, max(absences) FILTER (version = 0) AS a0, max(absences) FILTER (version = 1) AS a1 FROM mutations GROUP BY mutation),
 g AS (SELECT mutation, concat_ws(';', CASE WHEN d0 IS DISTINCT FROM d1 THEN 'divergences' END, CASE WHEN a0 IS DISTINCT FROM a1 THEN 'absences' END) AS changed_fields FROM f)
 SELECT mutation, category, gate_strategy, fired AS gate_fired, changed_fields <> '' AS findings_changed, changed_fields, fired = expect_structural_change AS gate_correct_on_structure,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as fn
-from plumbline.operators import compare, facts, gate, graph, history, replay, resolve, shapes, snapshots, statistics, survival
+from plumbline.operators import compare, facts, findings, gate, graph, history, replay, resolve, shapes, snapshots, statistics, survival
 from plumbline.sources import files, lineage
 from plumbline.sources.bridge import load
 from plumbline.streaming import jobs
@@ -401,6 +401,44 @@ def d05_oracle(spark, sf_dir):
     return replay.replay(load(spark, sf_dir, "history"), FINDINGS)
 
 
+def _history(spark, sf_dir):
+    design = load(spark, sf_dir, "members").where("side = 'design'").select("project", "element", "member_kind", "member")
+    code = load(spark, sf_dir, "code_history")
+    versions = code.select("project", "version").distinct()
+    return design, code, versions, lineage.cut(findings.over_versions(design, code, versions))
+
+
+@query("d05_findings_by_delta")
+def d05_delta(spark, sf_dir):
+    design, code, versions, found = _history(spark, sf_dir)
+    return tidy(findings.per_version(found, design, code, versions).drop("missing_classes", "extra_classes", "element_differences"))
+
+
+@query("d05_element_statuses")
+def d05_statuses(spark, sf_dir):
+    design, _, versions, found = _history(spark, sf_dir)
+    return findings.statuses(found, design, versions)
+
+
+@query("d05_replay_from_facts")
+def d05_facts(spark, sf_dir):
+    design, code, versions, found = _history(spark, sf_dir)
+    truth = findings.per_version(found, design, code, versions)
+    seen = code.groupBy("project", "version").agg(F.count_if(F.col("member_kind") == "method").cast("string").alias("structure_hash"), F.count("*").cast("string").alias("text_hash"))
+    some = truth.join(seen, ["project", "version"]).withColumn("structure_hash", F.when(F.col("version") % 3 == 0, F.lit("same")).otherwise(F.col("structure_hash")))
+    return replay.replay(some.withColumn("design_hash", F.lit("d")), findings.FIELDS)
+
+
+@query("d04_rows_with_analysis")
+def d04_analysis(spark, sf_dir):
+    nodes, edges = load(spark, sf_dir, "snap_nodes"), load(spark, sf_dir, "snap_edges")
+    nodes = nodes.withColumn("tokens", F.length("node"))
+    design, code, versions, found = _history(spark, sf_dir)
+    truth = findings.per_version(found, design, code, versions).withColumn("version", F.col("version") - 3)
+    snaps = nodes.select("project", "version").distinct().withColumns({"text_hash": F.lit("t"), "structure_hash": F.lit("s"), "design_hash": F.floor(F.col("version") / 4).cast("string")})
+    return tidy(replay.run_rows(snaps, nodes, edges, analysis=truth).drop("prompt_tokens"))
+
+
 @query("d05_misses")
 def d05_misses(spark, sf_dir):
     return replay.misses(replay.replay(load(spark, sf_dir, "history"), FINDINGS))

@@ -28,6 +28,7 @@ TABLES = {
     "code_imports": ("part",),
     "code_fields": ("lineitem",),
     "code_callables": ("lineitem",),
+    "code_history": ("lineitem", "orders"),
     "rings": ("orders",),
     "ring_nodes": ("orders",),
     "ring_edges": ("orders",),
@@ -174,6 +175,10 @@ SELECT l_suppkey % 5 AS project, concat('C', CAST(l_partkey AS STRING)) AS eleme
   CASE WHEN l_linenumber % 3 = 0 THEN 'param' WHEN l_linenumber % 3 = 1 THEN 'return' ELSE 'instantiation' END AS kind,
   concat('S', CAST(l_suppkey AS STRING)) AS type
 FROM lineitem WHERE l_linestatus = 'O' AND l_tax > 0.06""",
+    "code_history": """
+SELECT DISTINCT l_suppkey % 5 AS project, CAST(year(o_orderdate) - 1992 AS BIGINT) AS version, concat('C', CAST(l_partkey AS STRING)) AS element,
+  CASE WHEN l_tax < 0.04 THEN 'attribute' ELSE 'method' END AS member_kind, concat(CASE WHEN l_tax < 0.04 THEN 'attr' ELSE 'op' END, CAST(l_linenumber AS STRING)) AS member
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "rings": _RINGS,
     "ring_nodes": f"""
 SELECT project, version, concat(mark, CAST(ring AS STRING), '_', CAST(i AS STRING)) AS node, kind FROM ({_RINGS}) r CROSS JOIN {_STEPS} WHERE i < size""",
