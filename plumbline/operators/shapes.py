@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,29 +178,37 @@ def canonical(nodes: DataFrame, edges: DataFrame, most: int = MOST_NODES, branch
     """
     keys = ["project", "version"]
     named = nodes.select(*keys, "node", F.xxhash64(F.coalesce("kind", F.lit(""))).alias("kind")).distinct()
-    small = named.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") <= most).select(*keys)
-    named = named.join(small, keys, "left_semi")
-    ways = edges.select(*keys, "src", "dst", F.xxhash64(F.coalesce("relation", F.lit(""))).alias("way")).distinct().join(small, keys, "left_semi")
+    sizes = named.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") <= most).select(*keys)
+    lists = lambda t, *c: t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*c))).alias("rows"))
+    mine = lists(named.join(sizes, keys, "left_semi"), "node", "kind").withColumnRenamed("rows", "nodes")
+    ways = edges.select(*keys, "src", "dst", F.xxhash64(F.coalesce("relation", F.lit(""))).alias("way")).distinct().join(sizes, keys, "left_semi")
+    graphs = mine.join(lists(ways, "src", "dst", "way").withColumnRenamed("rows", "edges"), keys, "left")
+    graphs = graphs.select(
+        *keys, F.col("nodes.node").alias("node"), F.col("nodes.kind").alias("kind"), *(F.col(f"edges.{c}").alias(c) for c in ("src", "dst", "way"))
+    ).repartition(*keys)
     shapes = Shapes(branches)  # each worker has its own, for as many graphs as it is given
 
-    def work(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.sort_values("node", ignore_index=True)
-        number = pd.Series(n.index, index=n["node"])
-        src, dst = number.reindex(e["src"]).to_numpy(), number.reindex(e["dst"]).to_numpy()
-        have = ~(pd.isna(src) | pd.isna(dst))
-        e, src, dst = e[have], src[have].astype(np.int64), dst[have].astype(np.int64)
-        order = np.lexsort((dst, src))
-        found = shapes.form(n["kind"].to_numpy().view(_U), src[order], dst[order], e["way"].to_numpy()[order].view(_U))
-        out = n[["project", "version", "node"]]
-        if found is None or not len(n):
-            return out.assign(place=None, shape=None)
-        place = np.empty(len(n), np.int64)
-        place[found[1]] = np.arange(len(n))
-        return out.assign(place=place, shape=f"{found[0]:016x}")
+    def work(batches):
+        for batch in batches:
+            places, forms = [], []
+            for names, kinds, src, dst, way in zip(*(batch.column(c).to_pylist() for c in ("node", "kind", "src", "dst", "way")), strict=True):
+                number = {n: i for i, n in enumerate(names)}
+                found = [(number[a], number[b], w) for a, b, w in zip(src or (), dst or (), way or (), strict=True) if a in number and b in number]
+                ends = np.array(found, np.int64).reshape(-1, 3)
+                form = shapes.form(np.array(kinds, np.int64).view(_U), ends[:, 0].copy(), ends[:, 1].copy(), ends[:, 2].copy().view(_U))
+                place = None
+                if form is not None:
+                    place = np.empty(len(names), np.int64)
+                    place[form[1]] = np.arange(len(names))
+                places.append(place)
+                forms.append(None if form is None else f"{form[0]:016x}")
+            parts = [batch.column(c) for c in ("project", "version", "node")]
+            yield pa.RecordBatch.from_arrays([*parts, pa.array(places, pa.list_(pa.int64())), pa.array(forms, pa.string())], ["project", "version", "node", "places", "shape"])
 
     kinds = dict(nodes.dtypes)
-    schema = f"project {kinds['project']}, version {kinds['version']}, node {kinds['node']}, place bigint, shape string"
-    return named.groupBy(*keys).cogroup(ways.groupBy(*keys)).applyInPandas(work, schema)
+    out = graphs.mapInArrow(work, f"project {kinds['project']}, version {kinds['version']}, node array<{kinds['node']}>, places array<bigint>, shape string")
+    each = out.select(*keys, "shape", "places", F.posexplode("node").alias("at", "node"))
+    return each.select(*keys, "node", F.get("places", "at").alias("place"), "shape")
 
 
 def measured(nodes: DataFrame, edges: DataFrame, most: int = MOST_NODES, branches: int = MOST_BRANCHES, versions: DataFrame | None = None) -> DataFrame:

@@ -179,6 +179,11 @@ ed AS (SELECT coalesce(n.project, o.project) AS project, coalesce(n.version, o.v
 
 _CALLED = _R + """, r AS (SELECT *, gate_allowed_llm AND commit_index % 4 <> 0 AS called, CASE WHEN gate_allowed_llm AND commit_index % 4 <> 0 THEN CAST(100 - divergences % 40 AS DOUBLE) END AS score FROM runs)
 """
+_TREE = cte("commit_files") + """, o AS (SELECT project, path, max(commit_ord % 1000) AS size FROM commit_files GROUP BY ALL),
+p AS (SELECT project, string_split(path, '/') AS a, size FROM o), q AS (SELECT project, array_to_string(a[1:n], '/') AS path, size FROM p, LATERAL (SELECT unnest(range(1, len(a))) AS n) r),
+b AS (SELECT project, path, 'blob' AS type, size, CAST(1 AS BIGINT) AS files FROM o UNION ALL SELECT project, path, 'tree', CAST(sum(size) AS BIGINT), count(*) FROM q GROUP BY project, path),
+t AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY len(string_split(path, '/')), type = 'blob', path) AS place FROM b)
+"""
 _HUBS = cte("snap_nodes", "snap_edges") + """, e AS (SELECT project, version, src AS node FROM snap_edges UNION ALL SELECT project, version, dst FROM snap_edges), d AS (SELECT project, version, node, count(*) AS k FROM e GROUP BY ALL),
 n AS (SELECT DISTINCT project, version, node FROM snap_nodes WHERE kind IN ('class', 'interface', 'module')),
 h AS (SELECT n.*, coalesce(k, 0) AS degree, row_number() OVER (PARTITION BY project, version ORDER BY coalesce(k, 0) DESC, node) AS place FROM n LEFT JOIN d USING (project, version, node))
@@ -379,6 +384,23 @@ SELECT a.project, a.version, CAST(a.s AS BIGINT) AS all_tokens, CAST(coalesce(b.
 ana AS (""" + _FOUND + """SELECT project, version - 3 AS version, convergences, divergences, absences, round(score, 6) AS score FROM an)
 SELECT base.* EXCLUDE (fired, k), CASE WHEN NOT fired THEN 0 WHEN reason IN ('first version', 'design changed', 'always') OR k = 0 THEN all_tokens ELSE touched END AS counterfactual_prompt_tokens,
   convergences, divergences, absences, score FROM base JOIN tk USING (project, version) LEFT JOIN ana USING (project, version)""",
+    "d03_relabelled_gaps": cte("renamed_nodes") + """SELECT a.project, 'isomorphism' AS gate_strategy, b.version, CAST(0 AS BIGINT) AS served_version, a.node, 'lacks a method' AS gap, b.node AS name
+FROM renamed_nodes a JOIN renamed_nodes b ON a.project = b.project AND a.ring = b.ring WHERE a.version = 0 AND b.version > 0 AND a.ring % 5 = 0""",
+    "b25_scores": "SELECT p_partkey, p_partkey % 11 <> 0 AS readable, CASE WHEN p_partkey % 11 <> 0 THEN CAST(least(100, CASE WHEN p_size % 3 = 0 THEN p_size * 3 ELSE p_size END) AS BIGINT) END AS score FROM part",
+    "b25_texts": """SELECT p_partkey, CAST(place AS BIGINT) AS place, text, field FROM part, (SELECT unnest([0, 1]) AS place), (SELECT unnest(['gaps', 'recommendations']) AS field),
+  LATERAL (SELECT CASE WHEN field = 'gaps' THEN (CASE WHEN p_size % 2 = 0 THEN (CASE WHEN place = 0 THEN 'one' END) ELSE ['a', 'b'][place + 1] END) WHEN p_size % 4 <> 0 THEN ['r', '7'][place + 1] END AS text) t
+WHERE p_partkey % 11 <> 0 AND text IS NOT NULL""",
+    "b25_tests": "SELECT p_partkey, CAST(0 AS BIGINT) AS place, 'unknown' AS target_file, 'f' AS framework, 'x = 1' AS code FROM part WHERE p_partkey % 11 <> 0",
+    "b25_graph_edges": """SELECT p_partkey, CAST(0 AS BIGINT) AS place, 'A' AS source, 'B' || CAST(p_size % 7 AS VARCHAR) AS target, 'depends_on' AS relation FROM part WHERE p_partkey % 11 <> 0
+UNION ALL SELECT p_partkey, 1, 'C', 'A', 'calls' FROM part WHERE p_partkey % 11 <> 0""",
+    "b25_graph_nodes": """SELECT p_partkey, 'A' AS id, 'unknown' AS type FROM part WHERE p_partkey % 11 <> 0 UNION ALL SELECT p_partkey, 'B' || CAST(p_size AS VARCHAR), 'class' FROM part WHERE p_partkey % 11 <> 0
+UNION ALL SELECT p_partkey, 'C', 'inferred' FROM part WHERE p_partkey % 11 <> 0 UNION ALL SELECT p_partkey, 'B' || CAST(p_size % 7 AS VARCHAR), 'inferred' FROM part WHERE p_partkey % 11 <> 0 AND p_size % 7 <> p_size""",
+    "a14_file_tree": _TREE + "SELECT * FROM t WHERE place <= 200",
+    "a14_totals": _TREE + "SELECT project, count(*) FILTER (type = 'blob') AS files, count(*) FILTER (type = 'tree') AS directories, CAST(sum(size) FILTER (type = 'blob') AS BIGINT) AS bytes FROM t GROUP BY project",
+    "e23_overview_with_files": _TREE.replace("WITH ", "WITH " + cte("snap_nodes")[5:] + ", ", 1) + """, v AS (SELECT project, version, 100 * CAST(count(*) FILTER (kind = 'class') AS DOUBLE) / count(*) AS score FROM snap_nodes GROUP BY ALL),
+k AS (SELECT project, count(*) AS versions, max(version) AS latest_version, round(arg_max(score, version), 6) AS latest_score, 'v' || CAST(max(version) AS VARCHAR) AS last_analysed FROM v GROUP BY project),
+f AS (SELECT project, count(*) FILTER (type = 'blob') AS files, count(*) FILTER (type = 'tree') AS directories, CAST(sum(size) FILTER (type = 'blob') AS BIGINT) AS bytes, count(*) FILTER (path LIKE '%.mdj') > 0 AS d FROM t WHERE project <> 3 GROUP BY project)
+SELECT project, coalesce(versions, 0) AS versions, latest_version, latest_score, last_analysed, coalesce(files, 0) AS files, coalesce(directories, 0) AS directories, coalesce(bytes, 0) AS bytes, coalesce(d, false) AS has_design FROM k FULL JOIN f USING (project)""",
     "d07_labelled_deviations": cte("mutations") + _decided("mutations", "mutation", "''", "0") + """, f AS (SELECT mutation, max(divergences) FILTER (version = 0) AS d0, max(divergences) FILTER (version = 1) AS d1, max(absences) FILTER (version = 0) AS a0, max(absences) FILTER (version = 1) AS a1 FROM mutations GROUP BY mutation),
 g AS (SELECT mutation, concat_ws(';', CASE WHEN d0 IS DISTINCT FROM d1 THEN 'divergences' END, CASE WHEN a0 IS DISTINCT FROM a1 THEN 'absences' END) AS changed_fields FROM f)
 SELECT mutation, category, gate_strategy, fired AS gate_fired, changed_fields <> '' AS findings_changed, changed_fields, fired = expect_structural_change AS gate_correct_on_structure,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as fn
-from plumbline.operators import compare, facts, findings, gate, graph, history, replay, resolve, shapes, snapshots, statistics, survival
+from plumbline.operators import compare, facts, findings, gate, graph, history, relabel, replay, resolve, responses, shapes, snapshots, statistics, survival
 from plumbline.sources import files, lineage
 from plumbline.sources.bridge import load
 from plumbline.streaming import jobs
@@ -375,6 +375,15 @@ def d03(spark, sf_dir):
     return gate.reuse(gate.decide(_snapshots(spark, sf_dir))).select("project", "version", "gate_strategy", "served_version", "reused_from")
 
 
+@query("d03_relabelled_gaps")
+def d03_relabelled(spark, sf_dir):
+    nodes, edges = load(spark, sf_dir, "renamed_nodes"), load(spark, sf_dir, "renamed_edges")
+    snaps = nodes.groupBy("project", "version").agg(F.max("node").alias("structure_hash")).withColumns({"text_hash": F.col("structure_hash"), "design_hash": F.lit("d"), "delta_size": F.lit(1)})
+    reused = gate.reuse(gate.decide(snaps.join(shapes.same_as_before(nodes, edges), ["project", "version"], "left"), ("structural", "isomorphism")))
+    gaps = nodes.where("ring % 5 = 0").select("project", "version", "node", F.lit("lacks a method").alias("gap"))
+    return relabel.carried(reused, shapes.renamed(nodes, edges), gaps, snaps)
+
+
 @query("d05_corpus_replay")
 def d05(spark, sf_dir):
     decisions = gate.decide(_snapshots(spark, sf_dir))
@@ -830,6 +839,58 @@ def b25(spark, sf_dir):
     return facts.coerce_outputs(parts.select("p_partkey", said.alias("response"))).select("p_partkey", "score", "gaps", "readable")
 
 
+def _responses(spark, sf_dir):
+    return responses.read(load(spark, sf_dir, "responses"))
+
+
+@query("b25_scores")
+def b25_scores(spark, sf_dir):
+    return responses.scores(_responses(spark, sf_dir), "p_partkey")
+
+
+@query("b25_texts")
+def b25_texts(spark, sf_dir):
+    read = _responses(spark, sf_dir)
+    each = [responses.texts(read, "p_partkey", f).withColumn("field", F.lit(f)) for f in ("gaps", "recommendations")]
+    return tidy(each[0].unionByName(each[1]))
+
+
+@query("b25_tests")
+def b25_tests(spark, sf_dir):
+    return tidy(responses.tests(_responses(spark, sf_dir), "p_partkey"))
+
+
+@query("b25_graph_edges")
+def b25_edges(spark, sf_dir):
+    return tidy(responses.edges(_responses(spark, sf_dir), "p_partkey"))
+
+
+@query("b25_graph_nodes")
+def b25_nodes(spark, sf_dir):
+    return responses.nodes(_responses(spark, sf_dir), "p_partkey")
+
+
+def _sized_files(spark, sf_dir):
+    return load(spark, sf_dir, "commit_files").select("project", "path", (F.col("commit_ord") % 1000).alias("size"))
+
+
+@query("a14_file_tree")
+def a14(spark, sf_dir):
+    return files.tree(_sized_files(spark, sf_dir), "project", most=200)
+
+
+@query("a14_totals")
+def a14_totals(spark, sf_dir):
+    return files.totals(_sized_files(spark, sf_dir), "project")
+
+
+@query("e23_overview_with_files")
+def e23_files(spark, sf_dir):
+    versions = _scored_versions(spark, sf_dir).withColumn("created_at", F.concat(F.lit("v"), F.col("version").cast("string")))
+    kept = _sized_files(spark, sf_dir).where("project <> 3")
+    return tidy(files.overview(versions, kept, kept.where("path LIKE '%.mdj'"), "project"))
+
+
 def _bases(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     return parts.select(F.col("p_partkey").alias("class"), F.floor(F.col("p_partkey") / 2).alias("base"), F.lit(0).alias("pos")).where("base > 0"), parts

@@ -29,6 +29,9 @@ TABLES = {
     "code_fields": ("lineitem",),
     "code_callables": ("lineitem",),
     "code_history": ("lineitem", "orders"),
+    "renamed_nodes": ("orders",),
+    "renamed_edges": ("orders",),
+    "responses": ("part",),
     "rings": ("orders",),
     "ring_nodes": ("orders",),
     "ring_edges": ("orders",),
@@ -43,6 +46,8 @@ SELECT o_custkey AS project, version, o_orderkey AS ring, mark, CASE WHEN o_orde
   3 + CASE WHEN version < 2 OR o_custkey % 2 = 0 THEN o_orderkey % 4 WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 + 1 ELSE o_orderkey % 4 - 1 END AS size
 FROM orders CROSS JOIN (SELECT CAST(0 AS BIGINT) AS version, 'R' AS mark UNION ALL SELECT 1, 'M' UNION ALL SELECT 2, 'Z') v"""
 _STEPS = "(SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) s"
+_TIMES = " + ".join(f"CASE WHEN v >= {u} AND (o_orderkey + {u}) % 3 = 0 THEN 1 ELSE 0 END" for u in (1, 2, 3, 4, 5))
+_RENAMED = f"(SELECT o_custkey, o_orderkey AS ring, CAST(v AS BIGINT) AS version, concat('O', CAST(o_orderkey AS STRING), '_', CAST({_TIMES} AS STRING)) AS node FROM orders CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) w) t"
 _IN_CHAIN = "(SELECT *, CAST(v AS BIGINT) AS version, concat(CASE WHEN v = 1 AND o_orderkey % 3 = 0 THEN 'N' ELSE 'O' END, CAST(o_orderkey AS STRING)) AS node FROM orders CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1) w) t"
 
 SQL = {
@@ -179,6 +184,18 @@ FROM lineitem WHERE l_linestatus = 'O' AND l_tax > 0.06""",
 SELECT DISTINCT l_suppkey % 5 AS project, CAST(year(o_orderdate) - 1992 AS BIGINT) AS version, concat('C', CAST(l_partkey AS STRING)) AS element,
   CASE WHEN l_tax < 0.04 THEN 'attribute' ELSE 'method' END AS member_kind, concat(CASE WHEN l_tax < 0.04 THEN 'attr' ELSE 'op' END, CAST(l_linenumber AS STRING)) AS member
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "renamed_nodes": f"SELECT o_custkey AS project, version, ring, node, 'class' AS kind FROM {_RENAMED}",
+    "renamed_edges": f"""
+SELECT * FROM (SELECT o_custkey AS project, version, node AS src, lead(node) OVER (PARTITION BY o_custkey, version ORDER BY ring) AS dst, 'calls' AS relation FROM {_RENAMED}) c
+WHERE dst IS NOT NULL""",
+    "responses": """
+SELECT p_partkey, concat(CASE p_partkey % 5 WHEN 0 THEN 'Sure: ' WHEN 1 THEN concat('```json', chr(10)) ELSE '' END,
+  CASE WHEN p_partkey % 11 = 0 THEN '{"similarity_score": ' ELSE concat('{"similarity_score": ', CASE WHEN p_size % 3 = 0 THEN concat('"', CAST(p_size * 3 AS STRING), '"') ELSE CAST(p_size AS STRING) END,
+    ', "gaps": ', CASE WHEN p_size % 2 = 0 THEN '"one"' ELSE '["a", "b"]' END, ', "recommendations": ', CASE WHEN p_size % 4 = 0 THEN 'null' ELSE '["r", 7]' END,
+    ', "unit_tests": [{"code": "x = 1", "framework": "f"}, {"target_file": "t.py"}], "semantic_graph": {"nodes": ["A", {"id": "B', CAST(p_size AS STRING), '", "type": "class"}, {"type": "class"}], "edges": [{"source": "A", "target": "B',
+    CAST(p_size % 7 AS STRING), '"}, {"source": "C", "target": "A", "relation": "calls"}, {"source": "C"}, "no"]}}') END,
+  CASE p_partkey % 5 WHEN 0 THEN ' Bye.' WHEN 1 THEN concat(chr(10), '```') ELSE '' END) AS response
+FROM part""",
     "rings": _RINGS,
     "ring_nodes": f"""
 SELECT project, version, concat(mark, CAST(ring AS STRING), '_', CAST(i AS STRING)) AS node, kind FROM ({_RINGS}) r CROSS JOIN {_STEPS} WHERE i < size""",

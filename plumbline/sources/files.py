@@ -47,9 +47,48 @@ def unsupported_extensions(spark: SparkSession, path: str, known: tuple[str, ...
 
 
 def file_inventory(spark: SparkSession, path: str, most: int = 5000) -> DataFrame:
-    """path, depth and size of the first files by depth, then path: metadata columns only."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    return files.withColumn("depth", F.size(F.split("path", "/"))).orderBy("depth", "path").limit(most)
+    """``tree`` of the files under a path, from metadata columns only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"))
+    inside = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + "/" + path.lstrip("/").rstrip("/") + "/", "")
+    return tree(files.select(F.lit(0).alias("project"), inside.alias("path"), "size"), "project", most=most).drop("project")
+
+
+def tree(files: DataFrame, *keys: str, most: int = 5000) -> DataFrame:
+    """(keys, path, type, size, files, place) of files(keys, path, size) and of the folders they lie in.
+
+    Every file adds to all folders above it, with partial sums before the shuffle. Order: depth, folders before files,
+    path; at most ``most`` entries a key.
+    """
+    one = files.groupBy(*keys, "path").agg(F.max("size").alias("size"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    folders = one.where(F.contains("path", F.lit("/"))).select(*keys, F.explode(above).alias("path"), "size").where("path <> ''")
+    folders = folders.groupBy(*keys, "path").agg(F.lit("tree").alias("type"), F.sum("size").alias("size"), F.count("*").alias("files"))
+    both = one.select(*keys, "path", F.lit("blob").alias("type"), F.col("size").cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("files")).unionByName(folders)
+    order = (F.size(F.split("path", "/")), F.col("type") == "blob", F.col("path"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    return both.withColumn("place", place).where(F.col("place") <= most)
+
+
+def totals(files: DataFrame, *keys: str) -> DataFrame:
+    """(keys, files, directories, bytes)."""
+    whole = tree(files, *keys, most=2**31 - 1)
+    blob = F.col("type") == "blob"
+    return whole.groupBy(*keys).agg(F.count_if(blob).alias("files"), F.count_if(~blob).alias("directories"), F.sum(F.when(blob, F.col("size")).otherwise(0)).cast("bigint").alias("bytes"))
+
+
+def overview(versions: DataFrame, files: DataFrame, designs: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: versions kept, the latest with its score and time, files, and whether there is a design.
+
+    versions(keys, version, score, created_at), files(keys, path, size), designs(keys, path).
+    """
+    latest = F.max_by(F.struct("score", "created_at"), "version")
+    kept = versions.groupBy(*keys).agg(F.count("*").alias("versions"), F.max("version").alias("latest_version"), latest.alias("latest"))
+    out = kept.join(totals(files, *keys), list(keys), "full_outer").join(designs.select(*keys).distinct().withColumn("has_design", F.lit(True)), list(keys), "left")
+    return out.select(
+        *keys, F.coalesce("versions", F.lit(0)).cast("bigint").alias("versions"), "latest_version", F.col("latest.score").alias("latest_score"), F.col("latest.created_at").alias("last_analysed"),
+        *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("files", "directories", "bytes")), F.coalesce("has_design", F.lit(False)).alias("has_design"),
+    )
 
 
 def _callable_facts(node: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) -> dict:

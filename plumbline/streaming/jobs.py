@@ -8,7 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from plumbline.functions.columns import count_if
 from plumbline.operators.snapshots import SnapshotStore
@@ -18,29 +18,69 @@ from plumbline.sources.files import changed_files
 DECISIONS = "project string, version long, gate_strategy string, fired boolean, late boolean"
 
 
-def stream_gate(snapshots: DataFrame) -> DataFrame:
-    """Decisions for a stream of (project, version, text_hash, structure_hash, design_hash).
+_HASHES = "text string, structure string, design string"
 
-    The state per project is the last version with its hashes. A row whose version is not above it changes nothing and
-    comes out marked late, as the latest saved version is what the gate compares with.
+
+class GateProcessor(StatefulProcessor):
+    """The gate of one project: its last version, and the versions of a batch until their turn comes, both in the state store.
+
+    Rows of a batch go to the store as they come, so that a backlog is held there and not in the worker; the versions are then
+    taken in order, one at a time. A version that is not above the last one changes nothing and is marked late.
     """
 
-    def step(key, frames, state):
-        last = state.get if state.exists else None
+    def __init__(self, ttl_ms: int | None = None, rows: int = 5000):
+        self.ttl, self.rows = ttl_ms, rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", f"version long, {_HASHES}", self.ttl)
+        self.waiting = handle.getMapState("waiting", "version long", _HASHES, self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get() if self.last.exists() else None
+        late, due = [], set()
+        for frame in rows:
+            for version, *hashes in frame[["version", "text_hash", "structure_hash", "design_hash"]].itertuples(index=False, name=None):
+                if version in due or (last is not None and version <= last[0]):
+                    late.append((key[0], int(version), "late", False, True))
+                else:
+                    due.add(int(version))
+                    self.waiting.updateValue((int(version),), tuple(None if h is None else str(h) for h in hashes))
+            if late:
+                yield _decisions(late)
+                late = []
         out = []
-        for row in pd.concat(list(frames)).sort_values("version").itertuples():
-            if last is not None and row.version <= last[0]:
-                out.append((key[0], row.version, "late", False, True))
-                continue
-            forced = last is None or row.design_hash != last[3]
-            for gate, fired in (("always", True), ("content", forced or row.text_hash != last[1]), ("structural", forced or row.structure_hash != last[2])):
-                out.append((key[0], row.version, gate, bool(fired), False))
-            last = (int(row.version), row.text_hash, row.structure_hash, row.design_hash)
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=["project", "version", "gate_strategy", "fired", "late"])
-
-    return snapshots.groupBy("project").applyInPandasWithState(step, DECISIONS, "version long, text string, structure string, design string", "append", GroupStateTimeout.NoTimeout)
+        for version in sorted(due):
+            now = (version, *self.waiting.getValue((version,)))
+            self.waiting.removeKey((version,))
+            forced = last is None or now[3] != last[3]
+            for gate, fired in (("always", True), ("content", forced or now[1] != last[1]), ("structural", forced or now[2] != last[2])):
+                out.append((key[0], version, gate, bool(fired), False))
+            last = now
+            if len(out) >= self.rows:
+                yield _decisions(out)
+                out = []
+        if due:
+            self.last.update(last)
+        if out:
+            yield _decisions(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _decisions(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["project", "version", "gate_strategy", "fired", "late"])
+
+
+def stream_gate(snapshots: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Decisions for a stream of (project, version, text_hash, structure_hash, design_hash); state lies in the RocksDB store.
+
+    With ``ttl_ms``, a project that has been silent for so long is forgotten: its next version counts as the first.
+    """
+    snapshots.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = snapshots.select(F.col("project").cast("string").alias("project"), F.col("version").cast("bigint").alias("version"), "text_hash", "structure_hash", "design_hash")
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return keyed.groupBy("project").transformWithStateInPandas(statefulProcessor=GateProcessor(ttl_ms), outputStructType=DECISIONS, outputMode="Append", timeMode=mode)
 
 
 def stream_metrics(runs: DataFrame) -> DataFrame:
