@@ -3,17 +3,14 @@
 Tokens are runs of characters that secrets are made of. Each is tagged begin, inside or outside from
 its shape, its neighbours, what stands between it and the word before, and features of the whole
 file; the best tagging is found by Viterbi. The field is trained in numpy, by maximum likelihood
-with forward and backward sums, on what the patterns mark in a sample of documents. Spans of the
+with forward and backward sums, on a labelled table of secrets of many kinds in sentences and of things that only look like
+secrets (``secret_examples``), and on what the patterns mark in a sample of documents, where half of the marked windows are
+shown without the word before the secret, so that its own shape has to tell. Spans of the
 patterns always stay; tagged spans that touch none of them are added under the kind ``crf``.
 
-Most tokens can be nothing but outside: where the outside score leads by more than any change of the
-neighbouring transitions could return, the chain may be cut there without changing the best path.
-Viterbi then runs over the short stretches between the cuts, many of them at a time.
-
-Sample bounds (training only; scanning covers whole texts): ``sample`` documents by hash, ``windows``
-token windows. Corner cases: null and empty texts have no spans; a training sample without any
-pattern match gives a field that adds nothing; repeated rows are scanned each for itself; other
-columns pass through.
+Sample bounds (training only; scanning covers whole texts, in time proportional to their length): ``sample`` documents by hash,
+``windows`` token windows. Corner cases: null and empty texts have no spans; repeated rows are scanned each for itself, a null
+doc_id like any other; other columns pass through, but a column named spans is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import crf, secret_examples
 from plumbline.llm import textbytes as tb
 from plumbline.llm.sampling import first_by_hash
 
@@ -41,10 +39,9 @@ _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[[*range(48, 58), *range(97, 103)]] = True
 _CLASS = np.full(256, 8, np.uint8)  # 1 lower, 2 upper, 4 digit, 8 sign, 16 beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 4, 16
-_SIZES = (64, 64, 44, 16, 2048, 2048, 8, 16)
+_SIZES = (64, 64, 44, 16, 2048, 2048, 8, 16, 2048, 4096, 4096, 512, 1)
 _FIRST = np.concatenate([[0], np.cumsum(_SIZES)])
 OUT, BEGIN, INSIDE = 0, 1, 2
-_NEVER = -1e4
 
 
 def base_spans(text: str, maybe_hex: bool = True) -> list[tuple[int, int, int, int]]:
@@ -61,7 +58,7 @@ def base_spans(text: str, maybe_hex: bool = True) -> list[tuple[int, int, int, i
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray):
-    """(starts, ends, row, feature numbers [token, 8]) of a run of rows."""
+    """(starts, ends, row, feature numbers [token, slot]) of a run of rows."""
     starts, ends = tb.spans(_TOKEN[buf], offs)
     row = tb.rows_of(starts, offs)
     if not len(starts):
@@ -89,6 +86,8 @@ def tokens(buf: np.ndarray, offs: np.ndarray):
     same[1:] = row[1:] == row[:-1]
     before = np.zeros(len(starts), np.int32)
     before[1:] = np.where(same[1:], code[:-1], 0)
+    second = np.zeros(len(starts), np.int32)
+    second[2:] = np.where(same[2:] & same[1:-1], code[:-2], 0)
     after = np.zeros(len(starts), np.int32)
     after[:-1] = np.where(same[1:], code[1:], 0)
     gap_from = np.where(same, np.concatenate([[0], ends[:-1]]), offs[row])
@@ -101,17 +100,18 @@ def tokens(buf: np.ndarray, offs: np.ndarray):
     marked = count(buf == ord("="))
     file_code = share + 8 * ((marked[offs[1:]] - marked[offs[:-1]]) > 0)
     long_class = np.digitize(length, (8, 16, 24))
+    shape = (seen + 32 * all_hex).astype(np.int32)
+    turned = np.minimum(turns[ends] - turns[np.minimum(starts + 1, ends)], 15)
+    upper = count((kind == 2))
+    cased = np.minimum(7, np.where(length > 0, 8 * (upper[ends] - upper[starts]) // np.maximum(length, 1), 0))
     columns = (
-        np.minimum(length, 63),
-        (seen + 32 * all_hex).astype(np.int32),
-        10 * digits // length + 11 * long_class,
-        np.minimum(turns[ends] - turns[np.minimum(starts + 1, ends)], 15),
-        before,
-        after,
-        between,
-        file_code[row],
-    )
-    return starts, ends, row, (np.stack(columns, 1) + _FIRST[:-1]).astype(np.int32)
+        np.minimum(length, 63), shape, 10 * digits // length + 11 * long_class, turned, before, after, between, file_code[row], second,
+        shape * 64 + np.minimum(length, 63), shape * 64 + 4 * turned + long_class, (8 * between + cased) * 4 + long_class + 256 * (before == 0), 0,
+    )
+    out = np.empty((len(starts), len(columns)), np.int32)
+    for k, x in enumerate(columns):
+        np.add(x, _FIRST[k], out=out[:, k], casting="unsafe")
+    return starts, ends, row, out
 
 
 def code_points(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -121,101 +121,7 @@ def code_points(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-class Field:
-    """Emission weights [feature, 3] and transitions [3, 3] (from outside straight to inside never happens)."""
-
-    def __init__(self):
-        self.emission = np.zeros((int(_FIRST[-1]), 3))
-        self.step = np.zeros((3, 3))
-        self.step[OUT, INSIDE] = _NEVER
-
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(features), 3))
-        for k in range(features.shape[1]):
-            out += self.emission[features[:, k]]
-        return out
-
-    def fit(self, features: np.ndarray, mask: np.ndarray, label: np.ndarray, steps: int = 80, rate: float = 0.3, decay: float = 1e-4) -> Field:
-        """Gradient ascent on the log likelihood; arrays are [window, position(, feature)]."""
-        n, width = mask.shape
-        flat = features.reshape(n * width, -1)
-        total = max(1, int(mask.sum()))
-        square, square_step = np.zeros_like(self.emission), np.zeros((3, 3))
-        onehot = np.eye(3)[label] * mask[..., None]
-        start = np.concatenate([np.zeros((n, 1), int), label[:, :-1]], 1)  # before a window stands outside
-        seen_step = np.zeros((3, 3))
-        np.add.at(seen_step, (start[mask], label[mask]), 1)
-        for _ in range(steps):
-            e = self.scores(flat).reshape(n, width, 3)
-            fwd, bwd = np.empty((n, width, 3)), np.zeros((n, width, 3))
-            fwd[:, 0] = e[:, 0] + self.step[OUT]
-            for t in range(1, width):
-                z = fwd[:, t - 1, :, None] + self.step
-                fwd[:, t] = np.where(mask[:, t, None], np.logaddexp.reduce(z, axis=1) + e[:, t], fwd[:, t - 1])
-            for t in range(width - 2, -1, -1):
-                z = self.step + (e[:, t + 1] + bwd[:, t + 1])[:, None, :]
-                bwd[:, t] = np.where(mask[:, t + 1, None], np.logaddexp.reduce(z, axis=2), 0)
-            norm = np.logaddexp.reduce(fwd[:, -1], axis=1)
-            p = np.exp(fwd + bwd - norm[:, None, None]) * mask[..., None]
-            want_step = np.zeros((3, 3))
-            want_step[OUT] += p[:, 0].sum(0)
-            for t in range(1, width):
-                z = fwd[:, t - 1, :, None] + self.step + (e[:, t] + bwd[:, t])[:, None, :] - norm[:, None, None]
-                want_step += (np.exp(np.minimum(z, 0)) * mask[:, t, None, None]).sum(0)
-            miss = (onehot - p).reshape(n * width, 3)
-            g = np.stack([sum(np.bincount(flat[:, k], miss[:, y], len(self.emission)) for k in range(flat.shape[1])) for y in range(3)], 1)
-            g = g / total - decay * self.emission / 10
-            square += g**2
-            self.emission += rate * g / (np.sqrt(square) + 1e-8) * (g != 0)
-            gs = (seen_step - want_step) / total
-            square_step += gs**2
-            change = rate * gs / (np.sqrt(square_step) + 1e-8)
-            change[OUT, INSIDE] = 0
-            self.step += change
-        return self
-
-    def tag(self, features: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """The best label of every token; rows are sequences of their own."""
-        label = np.zeros(len(row), np.int8)
-        if not len(row) or not self.emission.any():
-            return label
-        e = self.scores(features)
-        free = self.step[self.step > _NEVER / 2]
-        bound = 3 * (free.max() - free.min()) + np.abs(e[:, INSIDE] - e[:, BEGIN]).max()
-        open_ = np.flatnonzero(e[:, OUT] - np.maximum(e[:, BEGIN], e[:, INSIDE]) <= bound)
-        if not len(open_):
-            return label
-        new = np.ones(len(open_), bool)
-        new[1:] = (np.diff(open_) > 1) | (row[open_[1:]] != row[open_[:-1]])
-        first = open_[new]
-        size = np.diff(np.append(np.flatnonzero(new), len(open_)))
-        order = np.argsort(-size, kind="stable")
-        first, size = first[order], size[order]
-        end = first + size
-        more = (end < len(row)) & (row[np.minimum(end, len(row) - 1)] == row[end - 1])  # outside follows
-        best = e[first] + self.step[OUT]
-        back: list[np.ndarray] = []
-        final = np.empty((len(first), 3))
-        live = len(first)
-        for t in range(1, int(size[0]) + 1):
-            keep = int(np.searchsorted(-size, -t, "left"))  # stretches longer than t
-            final[keep:live] = best[keep:live]
-            if not keep:
-                break
-            z = best[:keep, :, None] + self.step
-            back.append(z.argmax(1).astype(np.int8))
-            best = z.max(1) + e[first[:keep] + t]
-            live = keep
-        last = (final + np.where(more[:, None], self.step[:, OUT], 0)).argmax(1)
-        for t in range(int(size[0]) - 1, -1, -1):
-            keep = int(np.searchsorted(-size, -t, "left"))
-            label[first[:keep] + t] = last[:keep]
-            if t:
-                last[:keep] = back[t - 1][np.arange(keep), last[:keep]]
-        return label
-
-
-WIDTH = 16
+WIDTH = 24
 
 
 def training_windows(docs: DataFrame, per_doc: int = 8) -> DataFrame:
@@ -252,37 +158,60 @@ def training_windows(docs: DataFrame, per_doc: int = 8) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "priority int, features binary, labels binary")
 
 
-def train(docs: DataFrame, sample: int = 12_000, windows: int = 6_000) -> Field:
+def _constructed(rows: list[tuple[str, list[tuple[int, int]]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) of labelled sentences."""
+    out = []
+    for text, spans in rows:
+        buf = np.frombuffer(text.encode(), np.uint8)
+        offs = np.array([0, len(buf)])
+        starts, ends, _, feats = tokens(buf, offs)
+        points = code_points(buf, offs)
+        label = np.zeros(len(starts), np.int64)
+        for s, e in spans:
+            inside = np.flatnonzero((points[starts] < e) & (points[ends] > s))
+            label[inside], label[inside[:1]] = INSIDE, BEGIN
+        if len(starts):
+            out.append((feats, label))
+    return out
+
+
+def train(docs: DataFrame, sample: int = 12_000, windows: int = 3_000, labelled=None, caution: float = 0.5) -> crf.Chain:
+    """A field from labelled sentences, by default ``secret_examples``, and windows of a sample of documents.
+
+    ``caution`` is added to the score of outside when tagging: the labelled table has far more secrets than texts have.
+    """
     ids = F.broadcast(first_by_hash(docs, sample, 5))  # at most ``sample`` ids
     found = training_windows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
     rows = found.orderBy("priority", F.xxhash64("features", "labels"), "features").limit(windows).collect()
-    field = Field()
-    if not any(r["priority"] == 0 for r in rows):
-        return field
-    feats = np.zeros((len(rows), WIDTH, len(_SIZES)), np.int32)
-    label, mask = np.zeros((len(rows), WIDTH), int), np.zeros((len(rows), WIDTH), bool)
+    chains = _constructed(secret_examples.examples() if labelled is None else labelled)
     for i, r in enumerate(rows):
-        y = np.frombuffer(r["labels"], np.int8)
-        label[i, : len(y)], mask[i, : len(y)] = y, True
-        feats[i, : len(y)] = np.frombuffer(r["features"], "<i4").reshape(len(y), -1)
-    for i in range(len(rows)):  # a window may start inside a span
-        if label[i, 0] == INSIDE:
-            label[i, 0] = BEGIN
-    return field.fit(feats, mask, label)
+        y = np.frombuffer(r["labels"], np.int8).astype(np.int64)
+        feats = np.frombuffer(r["features"], "<i4").reshape(len(y), -1).copy()
+        if y[0] == INSIDE:  # a window may start inside a span
+            y[0] = BEGIN
+        if i % 2:
+            for slot in (4, 8):
+                feats[y == BEGIN, slot] = _FIRST[slot]
+        chains.append((feats, y))
+    chain = crf.Chain(int(_FIRST[-1]), 3)
+    if any(y.any() for _, y in chains):
+        chain.fit(*crf.windows(chains, WIDTH))
+        chain.emission[-1, OUT] += caution  # of the slot that every token has
+    return chain
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,value_start:bigint>>"
 _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_start", pa.int64())]))
 
 
-def scan(docs: DataFrame, field: Field) -> DataFrame:
+def scan(docs: DataFrame, field: crf.Chain) -> DataFrame:
     """docs plus ``spans``, sorted by start, then kind; positions are code points, ends exclusive."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kept = [f for f in docs.schema.fields if f.name != "spans"]
     names = [f.name for f in kept]
 
     def run(batches):
-        crf = shared.value
+        chain = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -290,11 +219,12 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
             texts = batch.column("text")
             for start, end, buf, offs in tb.runs(texts):
                 starts, ends, row, feats = tokens(buf, offs)
-                label = crf.tag(feats, row)
+                label = chain.tag(feats, row)
                 hs, he = tb.spans(_HEX_BYTE[buf], offs)
                 hexed = set(tb.rows_of(hs[he - hs >= 24], offs).tolist())
                 tagged: dict[int, list[tuple[int, int]]] = {}
-                begins = np.flatnonzero(label == BEGIN)
+                prior = np.where(np.append(True, row[1:] != row[:-1]), OUT, np.append(OUT, label[:-1]))[: len(label)]
+                begins = np.flatnonzero((label == BEGIN) | ((label == INSIDE) & (prior == OUT)))
                 if len(begins):
                     points = code_points(buf, offs)
                     for b in begins:
