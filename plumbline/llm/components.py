@@ -8,6 +8,8 @@ node with very many neighbours is no hot key.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,12 @@ def _mapped(edges: DataFrame, parents: DataFrame | None) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def merged(named: DataFrame | None, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of all nodes in edges(u, v), a saved table, or named(node, root), the components found before; others are their own roots."""
+def merged(named: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Until no edge is left (in each round the highest node of a component goes, at least): (node, root) of all nodes in edges(u, v), a saved table, or named(node, root), the components found before; others are their own roots."""
     tops = []
     n = edges.count()
     now = saved(_mapped(edges, None if named is None else _told(named)), n)
-    for number in range(rounds):
+    for number in count():
         if not (n := now.count()):
             break
         rank = lambda c: F.xxhash64(c, F.lit(number)) if number else F.col(c)

@@ -85,7 +85,7 @@ def _terms(buf: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 def query_terms(text: str | None) -> set[str]:
     raw = np.frombuffer((text or "").encode(), np.uint8)
-    return set(_FOLD[raw].tobytes().decode().split())
+    return {w.decode() for w in _FOLD[raw].tobytes().split()}
 
 
 def _index_blocks(batches: Iterator[pa.RecordBatch]):

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
-    if (have := spark.sparkContext.getCheckpointDir()) is not None:
-        return have
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="spark-checkpoints-")
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext.getCheckpointDir()
+    """The folder in spark.checkpoint.dir, which all executors share; without one an error on a cluster, and a folder of our own in local mode."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="spark-checkpoints-")  # one machine, one process
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 #: Rows in a task, about, where a table is small beside what it was made of; tasks at least.
