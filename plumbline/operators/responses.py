@@ -54,8 +54,8 @@ def _each(responses: DataFrame, key: str, path: str, within: str = "$") -> DataF
 def scores(responses: DataFrame, key: str, path: str = "$.similarity_score") -> DataFrame:
     """(key, readable, score): rounded half to even and kept in 0..100; 0 where a readable response has no number."""
     number = F.coalesce(F.try_variant_get(F.col("payload"), path, "double"), F.try_variant_get(F.col("payload"), path, "string").try_cast("double"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.rint(F.nanvl(number, F.lit(0.0)))))
-    return responses.select(key, "readable", F.when(F.col("readable"), F.coalesce(score, F.lit(0.0))).cast("bigint").alias("score"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.rint(F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0)))))
+    return responses.select(key, "readable", F.when(F.col("readable"), score).cast("bigint").alias("score"))
 
 
 def texts(responses: DataFrame, key: str, field: str) -> DataFrame:

@@ -157,10 +157,10 @@ def baseline(gates: DataFrame) -> DataFrame:
     return gates.agg(F.min_by("gate_strategy", order).alias("baseline_gate"), F.min_by("tokens", order).alias("baseline_tokens"))
 
 
-def gate_counts(runs: DataFrame, *keys: str) -> DataFrame:
-    """The sums all gate tables are made of, one shuffle for any grouping."""
+def gate_sums() -> list[Column]:
+    """The sums all gate tables are made of."""
     ran, changed = F.col("gate_allowed_llm"), F.col("conformance_changed")
-    return runs.groupBy(*keys, "gate_strategy").agg(
+    return [
         F.count("*").alias("runs"),
         count_if(ran).alias("reanalysed"),
         count_if(~ran).alias("skipped"),
@@ -172,12 +172,21 @@ def gate_counts(runs: DataFrame, *keys: str) -> DataFrame:
         count_if(~changed & ~ran).alias("tn"),
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"),
         F.percentile("latency_ms", 0.5).alias("median_latency_ms"),
-    )
+    ]
+
+
+def gate_counts(runs: DataFrame, *keys: str) -> DataFrame:
+    """``gate_sums`` per gate, one shuffle for any grouping."""
+    return runs.groupBy(*keys, "gate_strategy").agg(*gate_sums())
 
 
 def gate_table(runs: DataFrame) -> DataFrame:
     """Skip and miss rates, recall and specificity with intervals, and tokens against the baseline, per gate."""
-    counts = gate_counts(runs)
+    return gate_rates(gate_counts(runs))
+
+
+def gate_rates(counts: DataFrame) -> DataFrame:
+    """``gate_table`` from the sums per gate."""
     out = counts.crossJoin(F.broadcast(baseline(counts)))  # one row
     pairs = {
         "skip": (F.col("skipped"), F.col("runs")),

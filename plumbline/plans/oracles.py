@@ -531,6 +531,20 @@ SELECT l.c AS class, name, arg_min(m.class, d) AS method_id FROM l JOIN m ON m.c
   UNION ALL SELECT project, gate_strategy, commit_index, conformance_changed FROM runs WHERE project = 2 AND commit_index < 5)
 SELECT 'repeated' AS conflict, count(*) AS n FROM (SELECT 1 FROM q GROUP BY project, gate_strategy, commit_index HAVING count(*) > 1) HAVING count(*) > 0
 UNION ALL SELECT 'rows', count(*) FROM q""",
+    "a13_report_tables": _GATES.replace("WITH ", "WITH ", 1) + """, pt AS (SELECT project, commit_index FROM runs GROUP BY ALL),
+n AS (SELECT count(DISTINCT gate_strategy) AS g, count(DISTINCT project) AS p, count(*) AS r FROM runs)
+SELECT 'table1-what-was-studied' AS "table", CAST(5 AS BIGINT) AS rows UNION ALL SELECT 'table2-gate-performance', g FROM n UNION ALL SELECT 'table3-per-project', p FROM n
+UNION ALL SELECT 'table3b-per-project-per-gate', g * p FROM n UNION ALL SELECT 'table4-controlled-test', g FROM n UNION ALL SELECT 'study-configuration', 1 UNION ALL SELECT 'comparison-mcnemar', 1
+UNION ALL SELECT 'figure3-pareto', count(*) FROM g WHERE tp + fn > 0 UNION ALL SELECT 'figure2-drift', count(*) FROM pt WHERE project IN (SELECT project FROM pt GROUP BY project HAVING count(*) >= 2)
+UNION ALL SELECT 'raw-runs', r FROM n""",
+    "a13_report_projects": _GATE_ROWS + f""", q AS (SELECT gate_strategy AS gate FROM t WHERE gate_strategy <> baseline_gate AND checked > 0 ORDER BY missed > 0, skip_rate DESC, {_RANK} LIMIT 1),
+x AS (SELECT project, gate_strategy, {_COUNTS}, count(DISTINCT commit_id) AS commits FROM runs GROUP BY ALL),
+k AS (SELECT project, string_agg(gate_strategy, ' > ' ORDER BY skipped / CAST(runs AS DOUBLE) DESC, {_RANK}) AS gate_ranking FROM x GROUP BY project),
+d AS (SELECT project, (arg_max(divergences + absences, commit_index) - arg_min(divergences + absences, commit_index)) / CAST(greatest(1, max(commit_index) - min(commit_index)) AS DOUBLE) AS drift, count(*) AS c FROM runs GROUP BY project),
+m AS (SELECT project, quantile_cont(CASE WHEN gate_allowed_llm AND commit_index % 4 <> 0 THEN CAST(100 - divergences % 40 AS DOUBLE) END, 0.5) AS ms FROM runs, q WHERE gate_strategy = gate GROUP BY project)
+SELECT x.project, gate, commits, x.runs, x.skipped, round(x.skipped / CAST(x.runs AS DOUBLE), 6) AS skip_rate, x.missed, a.tokens - x.tokens AS tokens_saved, round(drift, 6) AS drift_per_commit, round(ms, 6) AS median_similarity,
+  split_part(gate_ranking, ' > ', 1) AS best_gate, gate_ranking
+FROM x JOIN q ON x.gate_strategy = gate JOIN (SELECT project, tokens FROM x WHERE gate_strategy = 'always') a USING (project) JOIN k USING (project) JOIN d USING (project) JOIN m USING (project)""",
     "a15_changed_files": cte("commit_files") + "SELECT DISTINCT project, path FROM commit_files WHERE path LIKE 'src/%' OR path LIKE 'docs/%'",
     "i01_streaming_gate": """WITH s AS (SELECT source AS project, doc_id AS version, sha256(text) AS x, sha256(replace(replace(text, chr(10), ''), ' ', '')) AS t FROM documents),
 m AS (SELECT project, version, lag(x) OVER w IS DISTINCT FROM x AS xm, lag(t) OVER w IS DISTINCT FROM t AS tm FROM s WINDOW w AS (PARTITION BY project ORDER BY version))

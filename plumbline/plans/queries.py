@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as fn
-from plumbline.operators import compare, facts, findings, gate, graph, history, relabel, replay, resolve, responses, shapes, snapshots, statistics, survival
+from plumbline.operators import compare, facts, findings, gate, graph, history, relabel, replay, report, resolve, responses, shapes, snapshots, statistics, survival
 from plumbline.sources import files, lineage
 from plumbline.sources.bridge import load
 from plumbline.streaming import jobs
@@ -936,6 +937,21 @@ def a10(spark, sf_dir):
     return conflicts.groupBy("conflict").agg(F.count("*").alias("n")).unionByName(rows.agg(F.count("*").alias("n")).withColumn("conflict", F.lit("rows")))
 
 
+@query("a13_report_tables")
+def a13(spark, sf_dir):
+    where = f"{lineage.folder(spark)}/{uuid.uuid4().hex}"
+    made = report.tables(_called(spark, sf_dir).withColumn("seed", F.lit("7")))
+    files.write_report(made, where)
+    rows = [files.read_csv(spark, f"{where}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name in made]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("a13_report_projects")
+def a13_projects(spark, sf_dir):
+    made = report.tables(_called(spark, sf_dir))["table3-per-project"]
+    return tidy(made)
+
+
 @query("a15_changed_files")
 def a15(spark, sf_dir):
     each = load(spark, sf_dir, "commit_files").groupBy("project", "committed_on").agg(F.collect_set("path").alias("paths"))
