@@ -171,6 +171,35 @@ def ground(inferred: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, "node", F.coalesce(hit, F.concat(F.lit("llm::"), F.col("node"))).alias("grounded_as"), hit.isNotNull().alias("grounded"))
 
 
+def merge_inferred(edges: DataFrame, inferred: DataFrame, grounding: DataFrame, *keys: str) -> DataFrame:
+    """Known edges, and inferred edges(source, target, relation) between what their ends are grounded as (node, grounded_as).
+
+    An edge that is known is marked confirmed and keeps its relation; the others come from the model, one a pair. Edges of a
+    node to itself and those with an end that was never inferred are dropped.
+    """
+    for end, alias in (("source", "src"), ("target", "dst")):
+        inferred = inferred.join(grounding.select(*keys, F.col("node").alias(end), F.col("grounded_as").alias(alias)).distinct(), [*keys, end])
+    new = inferred.where("src <> dst").groupBy(*keys, "src", "dst").agg(F.min("relation").alias("said"))
+    known = edges.groupBy(*keys, "src", "dst").agg(F.min("relation").alias("relation"))
+    both = known.join(new, [*keys, "src", "dst"], "full_outer")
+    origin = F.when(F.col("relation").isNull(), "model").otherwise("code")
+    return both.select(*keys, "src", "dst", F.coalesce("relation", "said").alias("relation"), origin.alias("origin"), (F.col("relation").isNotNull() & F.col("said").isNotNull()).alias("confirmed"))
+
+
+def grounded_ratio(grounding: DataFrame, *keys: str) -> DataFrame:
+    """(keys, inferred, grounded, ratio)."""
+    out = grounding.groupBy(*keys).agg(F.count("*").alias("inferred"), count_if(F.col("grounded")).alias("grounded"))
+    return out.withColumn("ratio", F.try_divide("grounded", "inferred"))
+
+
+def annotate_edges(edges: DataFrame, designed: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
+    """Edges of the code, and designed edges(src, dst, relation) between nodes that are there, where the code has no edge of that pair."""
+    pair = [*keys, "src", "dst"]
+    own = edges.select(*pair, "relation", F.lit("code").alias("origin"))
+    more = induced(designed.select(*pair, "relation").dropDuplicates(pair), nodes, *keys).join(edges.select(*pair), pair, "left_anti")
+    return own.unionByName(more.select(*pair, F.coalesce("relation", F.lit("designed")).alias("relation"), F.lit("uml").alias("origin")))
+
+
 def annotate(nodes: DataFrame, status: DataFrame, *keys: str) -> DataFrame:
     """Conformance of each node: classes and interfaces by status, undocumented without one, others not applicable; designed nodes that are absent are added."""
     design = status.select(*keys, F.col("element").alias("name"), "status")
@@ -188,8 +217,9 @@ def one_edge(edges: DataFrame, *keys: str) -> DataFrame:
 
 
 def agreement(reports: DataFrame, *keys: str) -> DataFrame:
-    """All pairs of models (ord, model, score, gaps): score difference and gap-set overlap, NULL if both have no gaps."""
-    other = reports.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("ord", "model", "score", "gaps")))
+    """All pairs of models (ord, model, score, gaps[, nodes]): score difference, gap-set overlap (NULL if both have no gaps) and difference of node counts."""
+    reports = reports if "nodes" in reports.columns else reports.withColumn("nodes", F.lit(None).cast("bigint"))
+    other = reports.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("ord", "model", "score", "gaps", "nodes")))
     pairs = reports.join(other, list(keys)).where("ord < o_ord")
     union: Column = F.size(F.array_union("gaps", "o_gaps"))
-    return pairs.select(*keys, "model", F.col("o_model").alias("other"), F.abs(F.col("score") - F.col("o_score")).alias("score_gap"), F.try_divide(F.size(F.array_intersect("gaps", "o_gaps")), F.nullif(union, F.lit(0))).alias("overlap"))
+    return pairs.select(*keys, "model", F.col("o_model").alias("other"), F.abs(F.col("score") - F.col("o_score")).alias("score_gap"), F.try_divide(F.size(F.array_intersect("gaps", "o_gaps")), F.nullif(union, F.lit(0))).alias("overlap"), F.abs(F.col("nodes") - F.col("o_nodes")).alias("node_gap"))

@@ -14,7 +14,6 @@ TABLES = (
     "table1-what-was-studied", "table2-gate-performance", "table3-per-project", "table3b-per-project-per-gate", "table4-controlled-test",
     "study-configuration", "comparison-mcnemar", "figure3-pareto", "figure2-drift", "raw-runs",
 )
-SETTINGS = ("model", "provider", "llm_mode", "temperature", "seed", "association_scoring", "impact_radius")
 
 
 def counted(runs: DataFrame) -> DataFrame:
@@ -77,7 +76,7 @@ def tables(runs: DataFrame, deviations: DataFrame | None = None, left: str = "st
         projects,
         cells,
         controlled,
-        statistics.configuration(runs, *(s for s in SETTINGS if s in runs.columns)) if any(s in runs.columns for s in SETTINGS) else runs.sparkSession.createDataFrame([], "setting string, found string, consistent boolean"),
+        statistics.study_settings(runs),
         statistics.paired_test(statistics.pair_gates(runs, left, right)).select(F.lit(left).alias("left_gate"), F.lit(right).alias("right_gate"), "*"),
         statistics.dominance(gates),
         points.join(enough, "project", "left_semi").select("project", "commit_index", "divergences", "absences"),

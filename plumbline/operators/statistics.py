@@ -240,6 +240,21 @@ def configuration(runs: DataFrame, *settings: str) -> DataFrame:
     return out.select("setting", F.array_join("found", ",").alias("found"), (F.size("found") <= 1).alias("consistent"))
 
 
+#: The settings that a study states.
+SETTINGS = ("llm_mode", "provider", "model", "temperature", "seed", "impact_radius", "association_scoring")
+
+
+def study_settings(runs: DataFrame) -> DataFrame:
+    """(setting, found, consistent) of the settings that runs have a value for, and ``degraded`` with the number of runs that fell back, if any did."""
+    have = [s for s in SETTINGS if s in runs.columns]
+    out = configuration(runs, *have).where("found <> ''") if have else runs.sparkSession.createDataFrame([], "setting string, found string, consistent boolean")
+    if "degraded" not in runs.columns:
+        return out
+    fell = F.coalesce(F.lower(F.col("degraded").cast("string")), F.lit("")).isin("true", "1", "yes")
+    count = runs.agg(count_if(fell).alias("n")).where("n > 0").select(F.lit("degraded").alias("setting"), F.col("n").cast("string").alias("found"), F.lit(False).alias("consistent"))
+    return out.unionByName(count)
+
+
 def confusion(rows: DataFrame, *keys: str) -> DataFrame:
     """rows(fired, changed): the four counts, precision and recall (NULL where nothing was measured)."""
     fired, changed = F.col("fired"), F.col("changed")
@@ -256,13 +271,14 @@ def confused_ids(rows: DataFrame, id_: str, *keys: str) -> DataFrame:
 
 
 def replay_summary(runs: DataFrame) -> DataFrame:
-    """Per gate: reuse and miss rate, mean latency, and re-analyses as a share of those of ``always``."""
+    """Per gate: reuse and miss rate, mean latency, mean impact of the runs that re-analysed, and re-analyses as a share of those of ``always``."""
     out = runs.groupBy("gate_strategy").agg(
         F.count("*").alias("runs"),
         count_if(F.col("gate_allowed_llm")).alias("reanalyses"),
         rate(count_if(~F.col("gate_allowed_llm")), F.count("*")).alias("reuse_rate"),
         rate(count_if(F.col("missed_change")), F.count("missed_change")).alias("miss_rate"),
         F.avg("latency_ms").alias("mean_latency_ms"),
+        F.avg(F.when(F.col("gate_allowed_llm"), F.col("impact_nodes")) if "impact_nodes" in runs.columns else F.lit(None).cast("double")).alias("mean_impact_nodes"),
     )
     every = out.where("gate_strategy = 'always'").agg(F.max("reanalyses").alias("always"))
     return out.crossJoin(F.broadcast(every)).withColumn("share_of_always", rate(F.col("reanalyses"), F.col("always"))).drop("always")

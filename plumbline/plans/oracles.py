@@ -179,6 +179,9 @@ ed AS (SELECT coalesce(n.project, o.project) AS project, coalesce(n.version, o.v
 
 _CALLED = _R + """, r AS (SELECT *, gate_allowed_llm AND commit_index % 4 <> 0 AS called, CASE WHEN gate_allowed_llm AND commit_index % 4 <> 0 THEN CAST(100 - divergences % 40 AS DOUBLE) END AS score FROM runs)
 """
+_GROUND = cte("snap_nodes", "snap_edges") + """, n AS (SELECT DISTINCT project, node FROM snap_nodes WHERE version = 0), s AS (SELECT project, 'x/' || src AS node, src AS leaf FROM snap_edges WHERE version = 1 UNION SELECT project, dst, dst FROM snap_edges WHERE version = 1),
+gr AS (SELECT s.project, s.node, CASE WHEN n.node IS NOT NULL THEN n.node ELSE 'llm::' || s.node END AS g FROM s LEFT JOIN n ON n.project = s.project AND n.node = s.leaf)
+"""
 _TREE = cte("commit_files") + """, o AS (SELECT project, path, max(commit_ord % 1000) AS size FROM commit_files GROUP BY ALL),
 p AS (SELECT project, string_split(path, '/') AS a, size FROM o), q AS (SELECT project, array_to_string(a[1:n], '/') AS path, size FROM p, LATERAL (SELECT unnest(range(1, len(a))) AS n) r),
 b AS (SELECT project, path, 'blob' AS type, size, CAST(1 AS BIGINT) AS files FROM o UNION ALL SELECT project, path, 'tree', CAST(sum(size) AS BIGINT), count(*) FROM q GROUP BY project, path),
@@ -345,9 +348,9 @@ SELECT project, CASE WHEN state = 'missing' THEN 'uml::' || element ELSE element
 SELECT 'class::x/' || callee AS node, coalesce(hit, 'llm::class::x/' || callee) AS grounded_as, hit IS NOT NULL AS grounded FROM n LEFT JOIN k ON callee = name""",
     "c21_layer_rules": cte("layer_evidence") + """, r AS (SELECT unnest(['widget', 'red', 'blue']) AS m)
 SELECT 'view-layer' AS rule, file_path, string_agg(DISTINCT m, ',' ORDER BY m) AS markers FROM layer_evidence, r WHERE contains(file_path, 'economy') AND contains(evidence, m) GROUP BY file_path""",
-    "c25_model_agreement": """WITH r AS (SELECT CAST(p_size AS BIGINT) AS project, p_brand AS model, avg(p_retailprice) AS score, list(DISTINCT p_type) AS gaps FROM part GROUP BY ALL)
+    "c25_model_agreement": """WITH r AS (SELECT CAST(p_size AS BIGINT) AS project, p_brand AS model, avg(p_retailprice) AS score, list(DISTINCT p_type) AS gaps, count(*) AS nodes FROM part GROUP BY ALL)
 SELECT a.project, a.model, b.model AS other, round(abs(a.score - b.score), 6) AS score_gap,
-  round(CAST(len(list_intersect(a.gaps, b.gaps)) AS DOUBLE) / nullif(len(list_distinct(list_concat(a.gaps, b.gaps))), 0), 6) AS overlap FROM r a JOIN r b ON a.project = b.project AND a.model < b.model""",
+  round(CAST(len(list_intersect(a.gaps, b.gaps)) AS DOUBLE) / nullif(len(list_distinct(list_concat(a.gaps, b.gaps))), 0), 6) AS overlap, abs(a.nodes - b.nodes) AS node_gap FROM r a JOIN r b ON a.project = b.project AND a.model < b.model""",
     "g05_hub_nodes": _HUBS + "SELECT project, version, node, degree, place FROM h WHERE place <= 10",
     "g05_induced_edges": _HUBS + "SELECT s.* FROM snap_edges s JOIN h a ON a.project = s.project AND a.version = s.version AND a.node = s.src JOIN h b ON b.project = s.project AND b.version = s.version AND b.node = s.dst WHERE a.place <= 60 AND b.place <= 60",
     "g06_layers": cte("snap_nodes", "snap_edges") + """, n AS (SELECT DISTINCT project, version, node, CASE WHEN node LIKE '%7' THEN 2 WHEN node LIKE '%3' THEN 0 END AS told FROM snap_nodes),
@@ -453,9 +456,19 @@ cells AS (SELECT * FROM (SELECT DISTINCT project FROM q), (SELECT DISTINCT gate_
 SELECT project, gate_strategy, coalesce(runs, 0) AS runs, coalesce(skipped, 0) AS skipped, coalesce(missed, 0) AS missed, {_rate('skipped', 'runs', 'skip_rate')} FROM cells LEFT JOIN g USING (project, gate_strategy)""",
     "e16_configuration": _R + """, l AS (SELECT DISTINCT 'gate_strategy' AS setting, gate_strategy AS v FROM runs UNION SELECT 'completion_tokens', CAST(completion_tokens AS VARCHAR) FROM runs UNION SELECT 'project', CAST(project AS VARCHAR) FROM runs)
 SELECT setting, string_agg(v, ',' ORDER BY v) AS found, count(*) <= 1 AS consistent FROM l GROUP BY setting""",
+    "e16_study_settings": _R + """SELECT 'llm_mode' AS setting, 'offline' AS found, true AS consistent UNION ALL SELECT 'model', string_agg(DISTINCT CASE WHEN project = 4 THEN 'm2' ELSE 'm1' END, ',' ORDER BY CASE WHEN project = 4 THEN 'm2' ELSE 'm1' END), false FROM runs
+UNION ALL SELECT 'temperature', '0.0', true UNION ALL SELECT 'seed', '7', true FROM runs GROUP BY ALL HAVING bool_or(commit_index > 5) UNION ALL SELECT 'degraded', CAST(count(*) AS VARCHAR), false FROM runs WHERE latency_ms > 400 HAVING count(*) > 0""",
+    "c19_annotated_edges": cte("snap_nodes", "snap_edges") + """, n AS (SELECT project, node FROM snap_nodes WHERE version = 2), c AS (SELECT * FROM snap_edges WHERE version = 2),
+d AS (SELECT e.* FROM snap_edges e JOIN n a ON a.project = e.project AND a.node = e.src JOIN n b ON b.project = e.project AND b.node = e.dst WHERE version = 1)
+SELECT project, src, dst, relation, 'code' AS origin FROM c UNION ALL SELECT project, src, dst, relation, 'uml' FROM d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.project = d.project AND c.src = d.src AND c.dst = d.dst)""",
+    "c20_merged_edges": _GROUND + """, i AS (SELECT DISTINCT e.project, a.g AS src, b.g AS dst FROM snap_edges e JOIN gr a ON a.project = e.project AND a.node = 'x/' || e.src JOIN gr b ON b.project = e.project AND b.node = e.dst WHERE version = 1 AND a.g <> b.g)
+SELECT coalesce(k.project, i.project) AS project, coalesce(k.src, i.src) AS src, coalesce(k.dst, i.dst) AS dst, coalesce(k.relation, 'uses') AS relation, CASE WHEN k.src IS NULL THEN 'model' ELSE 'code' END AS origin,
+  k.src IS NOT NULL AND i.src IS NOT NULL AS confirmed FROM (SELECT project, src, dst, relation FROM snap_edges WHERE version = 0) k FULL JOIN i ON k.project = i.project AND k.src = i.src AND k.dst = i.dst""",
+    "c20_grounded_ratio": _GROUND + "SELECT project, count(*) AS inferred, count(*) FILTER (g NOT LIKE 'llm::%') AS grounded, round(count(*) FILTER (g NOT LIKE 'llm::%') / CAST(count(*) AS DOUBLE), 6) AS ratio FROM gr GROUP BY project",
     "e17_confusion_matrix": _GATES + f"SELECT gate_strategy, tp, fn, fp, tn, {_rate('tp', '(tp + fp)', 'precision')}, {_rate('tp', '(tp + fn)', 'recall')} FROM g",
     "e19_replay_summary": _R + """, s AS (SELECT gate_strategy, count(*) AS runs, count(*) FILTER (gate_allowed_llm) AS reanalyses, round(count(*) FILTER (NOT gate_allowed_llm) / CAST(count(*) AS DOUBLE), 6) AS reuse_rate,
-  round(count(*) FILTER (missed_change) / CAST(count(missed_change) AS DOUBLE), 6) AS miss_rate, round(avg(latency_ms), 6) AS mean_latency_ms FROM runs GROUP BY gate_strategy)
+  round(count(*) FILTER (missed_change) / CAST(count(missed_change) AS DOUBLE), 6) AS miss_rate, round(avg(latency_ms), 6) AS mean_latency_ms,
+  round(avg(commit_index % 50) FILTER (gate_allowed_llm), 6) AS mean_impact_nodes FROM runs GROUP BY gate_strategy)
 SELECT *, round(reanalyses / CAST((SELECT max(reanalyses) FROM s WHERE gate_strategy = 'always') AS DOUBLE), 6) AS share_of_always FROM s""",
     "e20_spread": _R + "SELECT project, gate_strategy, round(avg(latency_ms), 6) AS mean, round(coalesce(stddev_samp(latency_ms), 0.0), 6) AS stdev, round(min(latency_ms), 6) AS min, round(max(latency_ms), 6) AS max, round(max(latency_ms) - min(latency_ms), 6) AS range FROM runs GROUP BY ALL",
     "e21_corpus_totals": _R + f""", o AS (SELECT project, commit_index, bool_or(source_touched) AS t, bool_or(conformance_changed) AS c FROM runs GROUP BY ALL), j AS (SELECT *, commit_index > min(commit_index) OVER (PARTITION BY project) AS later FROM o),

@@ -316,6 +316,31 @@ def c19(spark, sf_dir):
     return graph.annotate(nodes, compare.element_status(elements, members, "project"), "project")
 
 
+@query("c19_annotated_edges")
+def c19_edges(spark, sf_dir):
+    edges, nodes = load(spark, sf_dir, "snap_edges"), load(spark, sf_dir, "snap_nodes")
+    now, planned = (edges.where(f"version = {v}").drop("version") for v in (2, 1))
+    return graph.annotate_edges(now, planned, nodes.where("version = 2").select("project", "node"), "project")
+
+
+def _inferred(spark, sf_dir):
+    edges = load(spark, sf_dir, "snap_edges")
+    said = edges.where("version = 1").select("project", F.concat(F.lit("x/"), "src").alias("source"), F.col("dst").alias("target"), F.lit("uses").alias("relation"))
+    names = said.select("project", F.col("source").alias("node")).union(said.select("project", "target")).distinct().withColumn("name", F.col("node"))
+    known = load(spark, sf_dir, "snap_nodes").where("version = 0").select("project", "node", F.col("node").alias("name"), F.lit(0).alias("node_order")).distinct()
+    return edges.where("version = 0").drop("version"), said, graph.ground(names, known, "project")
+
+
+@query("c20_merged_edges")
+def c20_edges(spark, sf_dir):
+    return graph.merge_inferred(*_inferred(spark, sf_dir), "project")
+
+
+@query("c20_grounded_ratio")
+def c20_ratio(spark, sf_dir):
+    return tidy(graph.grounded_ratio(_inferred(spark, sf_dir)[2], "project"))
+
+
 @query("c20_grounding")
 def c20(spark, sf_dir):
     sites = load(spark, sf_dir, "call_sites").select(F.col("callee").alias("name")).distinct().withColumn("node", F.concat(F.lit("class::x/"), "name"))
@@ -333,7 +358,9 @@ def c21(spark, sf_dir):
 @query("c25_model_agreement")
 def c25(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    reports = parts.groupBy(F.col("p_size").cast("bigint").alias("project"), F.col("p_brand").alias("model")).agg(F.avg("p_retailprice").alias("score"), F.array_sort(F.collect_set("p_type")).alias("gaps"))
+    reports = parts.groupBy(F.col("p_size").cast("bigint").alias("project"), F.col("p_brand").alias("model")).agg(
+        F.avg("p_retailprice").alias("score"), F.array_sort(F.collect_set("p_type")).alias("gaps"), F.count("*").alias("nodes")
+    )
     return tidy(graph.agreement(reports.withColumn("ord", F.col("model")), "project"))
 
 
@@ -604,6 +631,14 @@ def e16(spark, sf_dir):
     return statistics.configuration(load(spark, sf_dir, "runs"), "gate_strategy", "completion_tokens", "project")
 
 
+@query("e16_study_settings")
+def e16_settings(spark, sf_dir):
+    runs = load(spark, sf_dir, "runs").withColumns(
+        {"llm_mode": F.lit("offline"), "provider": F.lit(""), "model": F.when(F.col("project") == 4, "m2").otherwise("m1"), "temperature": F.lit(0.0), "seed": F.when(F.col("commit_index") > 5, "7"), "degraded": F.col("latency_ms") > 400}
+    )
+    return statistics.study_settings(runs)
+
+
 @query("e17_confusion_matrix")
 def e17(spark, sf_dir):
     runs = load(spark, sf_dir, "runs").withColumns({"fired": F.col("gate_allowed_llm"), "changed": F.col("conformance_changed")})
@@ -618,7 +653,7 @@ def e17_ids(spark, sf_dir):
 
 @query("e19_replay_summary")
 def e19(spark, sf_dir):
-    return tidy(statistics.replay_summary(load(spark, sf_dir, "runs")))
+    return tidy(statistics.replay_summary(load(spark, sf_dir, "runs").withColumn("impact_nodes", F.col("commit_index") % 50)))
 
 
 @query("e20_spread")

@@ -297,10 +297,51 @@ def design_relations(nodes: DataFrame) -> DataFrame:
     kinds = F.create_map(*(F.lit(x) for kv in RELATIONS.items() for x in kv))
     source = F.coalesce(F.get_json_object("raw", "$.source['$ref']"), "end1")
     target = F.coalesce(F.get_json_object("raw", "$.target['$ref']"), "end2")
-    rel = nodes.where(F.col("type").isin(*RELATIONS)).select("doc", source.alias("s"), target.alias("t"), F.try_element_at(kinds, F.col("type")).alias("relation"))
+    rel = nodes.where(F.col("type").isin(*RELATIONS)).select("doc", "pos", source.alias("s"), target.alias("t"), F.try_element_at(kinds, F.col("type")).alias("relation"))
     name = nodes.select("doc", "node_id", "name")
     out = rel.join(name.withColumnsRenamed({"node_id": "s", "name": "source"}), ["doc", "s"]).join(name.withColumnsRenamed({"node_id": "t", "name": "target"}), ["doc", "t"])
-    return out.where("source IS NOT NULL AND target IS NOT NULL").select("doc", "source", "target", "relation")
+    return out.where("source IS NOT NULL AND target IS NOT NULL").select("doc", "source", "target", "relation", "pos")
+
+
+def fold_relations(elements: DataFrame, relations: DataFrame) -> DataFrame:
+    """Elements with ``extends``, the target of their first generalization, and ``implements``, the distinct targets of their realizations in order."""
+    first = relations.where("relation = 'generalization'").groupBy("doc", F.col("source").alias("element")).agg(F.min_by("target", "pos").alias("extends"))
+    each = relations.where("relation = 'realization'").groupBy("doc", F.col("source").alias("element"), "target").agg(F.min("pos").alias("pos"))
+    listed = each.groupBy("doc", "element").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda x: x["target"]).alias("implements"))
+    out = elements.join(first, ["doc", "element"], "left").join(listed, ["doc", "element"], "left")
+    return out.withColumn("implements", F.coalesce("implements", F.array().cast("array<string>")))
+
+
+def design_warnings(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc, warning, name) of documents(doc, text): malformed, no elements, and elements left out as unnamed or as a name's second."""
+    kinds = nodes.where(F.col("type").isin(*ELEMENTS)).withColumn("blank", F.trim(F.coalesce("name", F.lit(""))) == "")
+    none = F.lit(None).cast("string").alias("name")
+    bad = documents.where(F.try_parse_json("text").isNull()).select("doc", F.lit("malformed").alias("warning"), none)
+    fine = documents.where(F.try_parse_json("text").isNotNull()).select("doc")
+    empty = fine.join(kinds.where("NOT blank"), "doc", "left_anti").select("doc", F.lit("no elements").alias("warning"), none)
+    unnamed = kinds.where("blank").select("doc", F.lit("unnamed element").alias("warning"), none)
+    place = F.row_number().over(Window.partitionBy("doc", "name").orderBy("pos"))
+    twice = kinds.where("NOT blank").withColumn("k", place).where("k > 1").select("doc", F.lit("repeated name").alias("warning"), "name")
+    return bad.unionByName(empty).unionByName(unnamed).unionByName(twice)
+
+
+def design_status(projects: DataFrame, designs: DataFrame) -> DataFrame:
+    """(project, status, design_hash) of every project: its active design's hash, or the words none and error where there is none or it cannot be read."""
+    name = F.substring_index("path", "/", -1)
+    first = designs.groupBy("project").agg(F.min_by(F.struct("status", "design_hash"), name).alias("d"))
+    status = F.when(F.col("d").isNull(), "none").when(F.col("d.status") == "ok", "ok").otherwise("error")
+    out = projects.select("project").distinct().join(first, "project", "left").withColumn("status", status)
+    return out.select("project", "status", F.when(F.col("status") == "ok", F.col("d.design_hash")).otherwise(F.col("status")).alias("design_hash"))
+
+
+def screen_designs(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc, elements, members, relations, unsuitable) of every document: one without a named element is unsuitable for a study."""
+    counts = [t.groupBy("doc").agg(F.count("*").alias(n)) for t, n in ((design_elements(nodes), "elements"), (design_members(nodes), "members"), (design_relations(nodes), "relations"))]
+    out = documents.select("doc").distinct()
+    for table in counts:
+        out = out.join(table, "doc", "left")
+    out = out.fillna(0)
+    return out.withColumn("unsuitable", F.col("elements") == 0)
 
 
 def read_ledger(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame:
