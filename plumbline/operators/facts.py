@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import node_id
+from plumbline.functions.columns import node_id, round2, tokens
 
 
 def normalise_fields(fields: DataFrame, *keys: str) -> DataFrame:
@@ -52,3 +52,41 @@ def coerce_outputs(raw: DataFrame) -> DataFrame:
 
 def file_nodes(files: DataFrame, *keys: str) -> DataFrame:
     return files.select(*keys, node_id("module", F.col("file_path")).alias("node"))
+
+
+def _json_chars(n: Column, chars: Column) -> Column:
+    """Characters of {"files":[...]} around n records of so many characters together."""
+    return F.lit(12) + F.coalesce(chars, F.lit(0)) + F.greatest(n - 1, F.lit(0))
+
+
+def payload_tokens(decisions: DataFrame, records: DataFrame, impact: DataFrame, *keys: str) -> DataFrame:
+    """decisions plus scoped and tokens: the estimated size of what an analysis would have been sent.
+
+    decisions(keys, previous, fired); records(keys, file_path, record) are fact records; impact(keys, node) are ids
+    kind::path::name. With a version before and an impact set, only records of files in the set are sent, all of them otherwise
+    (a content change that reaches no element has no impact). Nothing is sent on reuse. Sizes are summed, no payload is built.
+    """
+    sized = records.select(*keys, "file_path", F.length(F.to_json("record")).alias("chars"))
+    touched = impact.select(*keys, F.get(F.split("node", "::"), F.lit(1)).alias("file_path")).distinct().withColumn("hit", F.lit(True))
+    some = impact.select(*keys).distinct().withColumn("reached", F.lit(True))
+    hit = F.col("hit").isNotNull()
+    sizes = sized.join(touched, [*keys, "file_path"], "left").groupBy(*keys).agg(
+        _json_chars(F.count("*"), F.sum("chars")).alias("whole"), _json_chars(F.count_if(hit), F.sum(F.when(hit, F.col("chars")))).alias("part")
+    )
+    out = decisions.join(sizes, list(keys), "left").join(some, list(keys), "left")
+    scoped = F.col("previous").isNotNull() & F.col("reached").isNotNull()
+    chars = F.coalesce(F.when(scoped, F.col("part")).otherwise(F.col("whole")), F.lit(12))
+    sent = F.when(F.col("fired"), tokens(chars)).otherwise(F.lit(0)).cast("bigint")
+    return out.select(*decisions.columns, (F.col("fired") & scoped).alias("scoped"), sent.alias("tokens"))
+
+
+def representation_saving(sources: DataFrame, records: DataFrame, *keys: str) -> DataFrame:
+    """(keys, files, raw_tokens, fact_tokens, saving) of sources(keys, chars), one row a file, and their records(keys, record).
+
+    The texts count as joined by line breaks, the records as one document; saving is in percent to two places, and
+    negative where the records are longer than the texts.
+    """
+    raw = sources.groupBy(*keys).agg(tokens(F.sum(F.coalesce("chars", F.lit(0))) + F.count("*") - 1).alias("raw_tokens"))
+    said = records.groupBy(*keys).agg(F.count("*").alias("files"), tokens(_json_chars(F.count("*"), F.sum(F.length(F.to_json("record"))))).alias("fact_tokens"))
+    out = raw.join(said, list(keys), "left").withColumns({"files": F.coalesce("files", F.lit(0).cast("bigint")), "fact_tokens": F.coalesce("fact_tokens", F.lit(3).cast("bigint"))})
+    return out.select(*keys, "files", "raw_tokens", "fact_tokens", round2((1 - F.col("fact_tokens") / F.col("raw_tokens")) * 100).alias("saving"))

@@ -37,25 +37,17 @@ def tables(runs: DataFrame, deviations: DataFrame | None = None, left: str = "st
 
     runs are typed run rows (project, commit_id, commit_index, gate_strategy, gate_allowed_llm, labels, tokens, latency, counts);
     deviations(gate_strategy, fired, changed) are labelled before-and-after pairs. Runs and the sums by gate are written once and
-    every table is made from these; the per-project table is for the recommended gate, or for all runs' first gate without one.
+    every table is made from these; the per-project table is for the recommended gate, and over all of a project's runs without one.
     """
     runs = lineage.cut(runs)
     sums = lineage.cut(counted(runs))
     pooled = sums.where("pooled").drop("pooled", "project", "commits")
     gates = lineage.cut(statistics.gate_rates(pooled))
-    chosen = statistics.recommend(gates).first()["recommended"] or gates.orderBy(statistics.gate_rank(F.col("gate_strategy")), "gate_strategy").first()["gate_strategy"]
+    chosen = statistics.recommend(gates).first()["recommended"]
     each = sums.where("NOT pooled").drop("pooled")
     always = each.where("gate_strategy = 'always'").select("project", F.col("tokens").alias("always_tokens"))
-    order = F.struct((-F.col("skipped") / F.col("runs")).alias("s"), statistics.gate_rank(F.col("gate_strategy")).alias("o"), F.col("gate_strategy").alias("g"))
-    ranking = each.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["g"]), " > ").alias("gate_ranking"))
-    similarity = F.percentile(F.col("similarity_score"), 0.5) if "similarity_score" in runs.columns else F.lit(None).cast("double")
-    median = runs.where(F.col("gate_strategy") == chosen).groupBy("project").agg(F.first(F.lit(1)).alias("one"), similarity.alias("median_similarity")).drop("one")
-    mine = each.where(F.col("gate_strategy") == chosen).join(always, "project", "left").join(ranking, "project").join(statistics.drift_rate(runs), "project", "left").join(median, "project", "left")
+    projects = statistics.project_report(each, statistics.project_wholes(runs), chosen).drop("enough_runs")
     saved = (F.col("always_tokens") - F.col("tokens")).alias("tokens_saved")
-    projects = mine.select(
-        "project", F.lit(chosen).alias("gate"), "commits", "runs", "skipped", rate(F.col("skipped"), F.col("runs")).alias("skip_rate"), "missed", saved, F.col("drift_rate").alias("drift_per_commit"),
-        "median_similarity", F.substring_index("gate_ranking", " > ", 1).alias("best_gate"), "gate_ranking",
-    )
     grid = runs.select("project").distinct().crossJoin(F.broadcast(pooled.select("gate_strategy")))  # a handful of gates
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("runs", "skipped", "missed", "tokens")]
     cells = grid.join(each, ["project", "gate_strategy"], "left").join(always, "project", "left").select(

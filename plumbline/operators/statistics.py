@@ -226,6 +226,43 @@ def project_table(runs: DataFrame, gate: str) -> DataFrame:
     return mine.join(every, "project", "left").join(commits, "project").join(ranked, "project").withColumn("saved_tokens", F.col("always_tokens") - F.col("tokens"))
 
 
+def project_wholes(runs: DataFrame) -> DataFrame:
+    """Per project over the runs of all gates: commits, drift per commit and median similarity (NULL where none was measured)."""
+    similarity = F.percentile("similarity_score", 0.5) if "similarity_score" in runs.columns else F.lit(None).cast("double")
+    each = runs.groupBy("project").agg(F.countDistinct("commit_id").alias("commits"), similarity.alias("median_similarity"))
+    return each.join(drift_rate(runs).withColumnRenamed("drift_rate", "drift_per_commit"), "project")
+
+
+def project_report(counts: DataFrame, wholes: DataFrame, gate: str | None) -> DataFrame:
+    """One row per project for the gate asked for, and all gates from the one that skips most to the one that skips least.
+
+    counts are ``gate_counts`` per project, wholes ``project_wholes``. A project that never ran the gate is reported over all its
+    runs. Missed is NULL where no run was checked, tokens saved where the project has no ``always`` runs. The ranking names every
+    gate of the study, one that a project lacks last.
+    """
+    mine = F.coalesce(F.col("gate_strategy") == F.lit(gate), F.lit(False))
+    parts = ("runs", "skipped", "checked", "missed", "tokens")
+    sums = [F.coalesce(F.sum(F.when(mine, F.col(c))), F.sum(c)).alias(c) for c in parts]
+    skips = F.map_from_entries(F.collect_list(F.struct("gate_strategy", (F.col("skipped") / F.col("runs")).alias("rate"))))
+    always = F.sum(F.when(F.col("gate_strategy") == "always", F.col("tokens")))
+    each = counts.groupBy("project").agg(*sums, skips.alias("skips"), always.alias("always_tokens"))
+    gates = counts.agg(F.collect_set("gate_strategy").alias("gates"))  # one row: a handful of names
+    order = F.transform("gates", lambda g: F.struct((-F.coalesce(F.try_element_at("skips", g), F.lit(-1.0))).alias("s"), gate_rank(g).alias("o"), g.alias("g")))
+    ranking = F.transform(F.array_sort(order), lambda x: x["g"])
+    return each.crossJoin(F.broadcast(gates)).join(wholes, "project").select(
+        "project", F.lit(gate).cast("string").alias("gate"), "commits", "runs", "skipped", rate(F.col("skipped"), F.col("runs")).alias("skip_rate"),
+        F.when(F.col("checked") > 0, F.col("missed")).alias("missed"), (F.col("always_tokens") - F.col("tokens")).alias("tokens_saved"), "drift_per_commit", "median_similarity",
+        F.get(ranking, F.lit(0)).alias("best_gate"), F.array_join(ranking, " > ").alias("gate_ranking"), (F.col("runs") >= 10).alias("enough_runs"),
+    )
+
+
+def project_agreement(report: DataFrame) -> DataFrame:
+    """One row of a ``project_report``: whether every project ranks the gates alike (false without projects), lowest and highest skip rate."""
+    return report.agg(
+        (F.countDistinct("gate_ranking") == 1).alias("consistent_ranking"), F.min("skip_rate").alias("lowest_skip_rate"), F.max("skip_rate").alias("highest_skip_rate"), F.count("*").alias("projects")
+    )
+
+
 def project_gate_cells(runs: DataFrame) -> DataFrame:
     """A row for every project and gate, zero or NULL where there are no runs."""
     cells = runs.select("project").distinct().crossJoin(F.broadcast(runs.select("gate_strategy").distinct()))  # a handful of gates

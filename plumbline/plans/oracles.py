@@ -47,6 +47,19 @@ _COUNTS = """count(*) AS runs, count(*) FILTER (gate_allowed_llm) AS reanalysed,
   quantile_cont(latency_ms, 0.5) AS median_latency_ms"""
 _R = cte("runs")
 _RANK = "(CASE gate_strategy WHEN 'always' THEN 1 WHEN 'content' THEN 2 WHEN 'structural' THEN 3 WHEN 'isomorphism' THEN 4 ELSE 99 END)"
+#: Runs of which one project lacks a gate, one was never checked and one has no always runs; rep is one row per project for structural, over all runs where it is lacking.
+_UNEVEN = _R + f""", u AS (SELECT * REPLACE (CASE WHEN project <> 2 THEN missed_change END AS missed_change), gate_allowed_llm AND commit_index % 4 <> 0 AS called FROM runs
+  WHERE NOT (project = 1 AND gate_strategy = 'structural') AND NOT (project = 3 AND gate_strategy = 'always')),
+foc AS (SELECT project, count(*) AS runs, count(*) FILTER (NOT gate_allowed_llm) AS skipped, count(missed_change) AS checked, count(*) FILTER (missed_change) AS missed, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens
+  FROM u WHERE gate_strategy = 'structural' OR project = 1 GROUP BY project),
+al AS (SELECT project, CAST(sum(prompt_tokens + completion_tokens) FILTER (gate_strategy = 'always') AS BIGINT) AS always, count(DISTINCT commit_id) AS commits,
+  quantile_cont(CASE WHEN called THEN CAST(100 - divergences % 40 AS DOUBLE) END, 0.5) AS ms,
+  (arg_max(divergences + absences, commit_index) - arg_min(divergences + absences, commit_index)) / CAST(greatest(1, max(commit_index) - min(commit_index)) AS DOUBLE) AS drift FROM u GROUP BY project),
+pg AS (SELECT p.project, gate_strategy, coalesce(s, -1) AS s FROM (SELECT DISTINCT project FROM u) p CROSS JOIN (SELECT DISTINCT gate_strategy FROM u) g
+  LEFT JOIN (SELECT project, gate_strategy, count(*) FILTER (NOT gate_allowed_llm) / CAST(count(*) AS DOUBLE) AS s FROM u GROUP BY ALL) USING (project, gate_strategy)),
+rk AS (SELECT project, string_agg(gate_strategy, ' > ' ORDER BY s DESC, {_RANK}) AS gate_ranking FROM pg GROUP BY project),
+rep AS (SELECT * FROM foc JOIN al USING (project) JOIN rk USING (project))
+"""
 _GATES = _R + f", g AS (SELECT gate_strategy, {_COUNTS} FROM runs GROUP BY gate_strategy), b AS (SELECT gate_strategy AS baseline_gate, tokens AS baseline_tokens FROM g WHERE gate_strategy = 'always')"
 _GATE_ROWS = (
     _GATES
@@ -417,6 +430,14 @@ SELECT project, sha256('[' || string_agg('{"part":"' || part || '","digest":"' |
     "b22_token_estimate": _SNAP + """SELECT d.project, gate_strategy, CAST(sum(CASE WHEN fired THEN greatest(1, n_chars // 4) ELSE 0 END) AS BIGINT) AS tokens FROM decided d JOIN doc_versions v ON d.project = v.project AND d.version = v.version GROUP BY ALL""",
     "b23_representation_saving": """SELECT source, raw AS raw_tokens, facts AS fact_tokens, round(100 * (1 - facts / CAST(greatest(raw, 1) AS DOUBLE)), 6) AS saving FROM (
   SELECT source, CAST(sum(greatest(1, n_chars // 4)) AS BIGINT) AS raw, CAST(sum(greatest(1, length(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) // 4)) AS BIGINT) AS facts FROM documents GROUP BY source)""",
+    "b22_payload_tokens": cte("snap_nodes") + """, f AS (SELECT project, version, 'f' || signature AS file_path, length(to_json(struct_pack(file_path := 'f' || signature, classes := list_sort(list(node))))) AS chars FROM snap_nodes GROUP BY project, version, signature),
+s AS (SELECT project, version, 12 + sum(chars) + count(*) - 1 AS whole, 12 + coalesce(sum(chars) FILTER (file_path = 'f7'), 0) AS part, bool_or(file_path = 'f7') AND version % 2 = 0 AS reached FROM f GROUP BY project, version)
+SELECT project, version, lag(version) OVER w AS previous, version % 3 <> 0 AS fired, version % 3 <> 0 AND reached AND lag(version) OVER w IS NOT NULL AS scoped,
+  CAST(CASE WHEN version % 3 = 0 THEN 0 ELSE greatest(1, (CASE WHEN reached AND lag(version) OVER w IS NOT NULL THEN part ELSE whole END) // 4) END AS BIGINT) AS tokens
+FROM s WINDOW w AS (PARTITION BY project ORDER BY version)""",
+    "b23_fact_tokens": """SELECT source, count(*) AS files, CAST(sum(length(t)) + count(*) - 1 AS BIGINT) // 4 AS raw_tokens, CAST(12 + sum(length(to_json(struct_pack(file_path := doc_id, names := names)))) + count(*) - 1 AS BIGINT) // 4 AS fact_tokens,
+  round((1 - fact_tokens / CAST(raw_tokens AS DOUBLE)) * 100, 2) AS saving
+FROM (SELECT source, doc_id, coalesce(text, '') AS t, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+'))) AS names FROM documents) GROUP BY source""",
     "f13_version_ring": cte("doc_versions") + "SELECT project, version, doc_id FROM doc_versions QUALIFY row_number() OVER (PARTITION BY project ORDER BY version DESC) <= 3",
     "g02_latest_versions": cte("doc_versions") + "SELECT project, max(version) AS latest, arg_max(doc_id, version) AS doc_id FROM doc_versions GROUP BY project",
     "e23_project_overview": cte("doc_versions") + "SELECT project, count(*) AS versions, max(version) AS latest, arg_max(n_chars, version) AS latest_size, CAST(sum(n_chars) AS BIGINT) AS total_size FROM doc_versions GROUP BY project",
@@ -451,6 +472,10 @@ SELECT *, round(CASE WHEN discordant = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT su
     "e14_project_table": _R + f""", g AS (SELECT project, gate_strategy, {_COUNTS} FROM runs GROUP BY ALL), k AS (SELECT project, string_agg(gate_strategy, '>' ORDER BY skipped / CAST(runs AS DOUBLE) DESC, {_RANK}) AS ranking FROM g GROUP BY project)
 SELECT m.project, m.runs, m.skipped, m.missed, m.tokens, {_rate('m.skipped', 'm.runs', 'skip_rate')}, a.tokens AS always_tokens, c.commits, ranking, a.tokens - m.tokens AS saved_tokens
 FROM g m JOIN g a ON a.project = m.project AND a.gate_strategy = 'always' JOIN (SELECT project, count(DISTINCT commit_id) AS commits FROM runs GROUP BY project) c ON c.project = m.project JOIN k ON k.project = m.project WHERE m.gate_strategy = 'structural'""",
+    "e14_project_report": _UNEVEN + """SELECT project, 'structural' AS gate, commits, runs, skipped, round(skipped / CAST(runs AS DOUBLE), 6) AS skip_rate, CASE WHEN checked > 0 THEN missed END AS missed, always - tokens AS tokens_saved,
+  round(drift, 6) AS drift_per_commit, round(ms, 6) AS median_similarity, split_part(gate_ranking, ' > ', 1) AS best_gate, gate_ranking, runs >= 10 AS enough_runs FROM rep""",
+    "e14_project_agreement": _UNEVEN + """SELECT count(DISTINCT gate_ranking) = 1 AS consistent_ranking, round(min(skipped / CAST(runs AS DOUBLE)), 6) AS lowest_skip_rate, round(max(skipped / CAST(runs AS DOUBLE)), 6) AS highest_skip_rate, count(*) AS projects FROM rep""",
+    "a10_merged_elements": cte("element_status") + "SELECT project, element, commit_index, CASE WHEN commit_index < 6 THEN status ELSE upper(status) END AS status FROM element_status",
     "e15_project_gate_cells": _R + f""", q AS (SELECT * FROM runs WHERE NOT (project = 1 AND gate_strategy = 'content')), g AS (SELECT project, gate_strategy, {_COUNTS} FROM q GROUP BY ALL),
 cells AS (SELECT * FROM (SELECT DISTINCT project FROM q), (SELECT DISTINCT gate_strategy FROM q))
 SELECT project, gate_strategy, coalesce(runs, 0) AS runs, coalesce(skipped, 0) AS skipped, coalesce(missed, 0) AS missed, {_rate('skipped', 'runs', 'skip_rate')} FROM cells LEFT JOIN g USING (project, gate_strategy)""",
@@ -554,7 +579,7 @@ UNION ALL SELECT 'raw-runs', r FROM n""",
 x AS (SELECT project, gate_strategy, {_COUNTS}, count(DISTINCT commit_id) AS commits FROM runs GROUP BY ALL),
 k AS (SELECT project, string_agg(gate_strategy, ' > ' ORDER BY skipped / CAST(runs AS DOUBLE) DESC, {_RANK}) AS gate_ranking FROM x GROUP BY project),
 d AS (SELECT project, (arg_max(divergences + absences, commit_index) - arg_min(divergences + absences, commit_index)) / CAST(greatest(1, max(commit_index) - min(commit_index)) AS DOUBLE) AS drift, count(*) AS c FROM runs GROUP BY project),
-m AS (SELECT project, quantile_cont(CASE WHEN gate_allowed_llm AND commit_index % 4 <> 0 THEN CAST(100 - divergences % 40 AS DOUBLE) END, 0.5) AS ms FROM runs, q WHERE gate_strategy = gate GROUP BY project)
+m AS (SELECT project, quantile_cont(CASE WHEN gate_allowed_llm AND commit_index % 4 <> 0 THEN CAST(100 - divergences % 40 AS DOUBLE) END, 0.5) AS ms FROM runs GROUP BY project)
 SELECT x.project, gate, commits, x.runs, x.skipped, round(x.skipped / CAST(x.runs AS DOUBLE), 6) AS skip_rate, x.missed, a.tokens - x.tokens AS tokens_saved, round(drift, 6) AS drift_per_commit, round(ms, 6) AS median_similarity,
   split_part(gate_ranking, ' > ', 1) AS best_gate, gate_ranking
 FROM x JOIN q ON x.gate_strategy = gate JOIN (SELECT project, tokens FROM x WHERE gate_strategy = 'always') a USING (project) JOIN k USING (project) JOIN d USING (project) JOIN m USING (project)""",

@@ -526,6 +526,25 @@ def b23(spark, sf_dir):
     return tidy(out.withColumn("saving", 100 * (1 - F.col("fact_tokens") / F.greatest(F.col("raw_tokens"), F.lit(1)))))
 
 
+@query("b22_payload_tokens")
+def b22_payload(spark, sf_dir):
+    nodes = load(spark, sf_dir, "snap_nodes").withColumn("file_path", F.concat(F.lit("f"), "signature"))
+    records = nodes.groupBy("project", "version", "file_path").agg(F.array_sort(F.collect_list("node")).alias("classes"))
+    records = records.select("project", "version", "file_path", F.struct("file_path", "classes").alias("record"))
+    impact = nodes.where("version % 2 = 0 AND signature = '7'").select("project", "version", F.concat_ws("::", F.lit("class"), "file_path", "node").alias("node"))
+    before = F.lag("version").over(Window.partitionBy("project").orderBy("version"))
+    decisions = nodes.select("project", "version").distinct().select("project", "version", before.alias("previous"), (F.col("version") % 3 != 0).alias("fired"))
+    return facts.payload_tokens(decisions, records, impact, "project", "version")
+
+
+@query("b23_fact_tokens")
+def b23_facts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    names = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))))
+    records = docs.select("source", F.struct(F.col("doc_id").alias("file_path"), names.alias("names")).alias("record"))
+    return tidy(facts.representation_saving(docs.select("source", F.length("text").alias("chars")), records, "source"))
+
+
 @query("f13_version_ring")
 def f13(spark, sf_dir):
     return gate.keep_newest(load(spark, sf_dir, "doc_versions").select("project", "version", "doc_id"))
@@ -621,6 +640,23 @@ def e14(spark, sf_dir):
     return tidy(statistics.project_table(load(spark, sf_dir, "runs"), "structural"))
 
 
+def _uneven(spark, sf_dir):
+    """Runs of which one project lacks a gate, one was never checked and one has no ``always`` runs."""
+    runs = _called(spark, sf_dir).where("NOT (project = 1 AND gate_strategy = 'structural') AND NOT (project = 3 AND gate_strategy = 'always')")
+    return runs.withColumn("missed_change", F.when(F.col("project") != 2, F.col("missed_change")))
+
+
+@query("e14_project_report")
+def e14_report(spark, sf_dir):
+    runs = _uneven(spark, sf_dir)
+    return tidy(statistics.project_report(statistics.gate_counts(runs, "project"), statistics.project_wholes(runs), "structural"))
+
+
+@query("e14_project_agreement")
+def e14_agreement(spark, sf_dir):
+    return tidy(statistics.project_agreement(e14_report(spark, sf_dir)))
+
+
 @query("e15_project_gate_cells")
 def e15(spark, sf_dir):
     return tidy(statistics.project_gate_cells(load(spark, sf_dir, "runs").where("NOT (project = 1 AND gate_strategy = 'content')")))
@@ -972,6 +1008,13 @@ def a10(spark, sf_dir):
     return conflicts.groupBy("conflict").agg(F.count("*").alias("n")).unionByName(rows.agg(F.count("*").alias("n")).withColumn("conflict", F.lit("rows")))
 
 
+@query("a10_merged_elements")
+def a10_elements(spark, sf_dir):
+    rows = load(spark, sf_dir, "element_status")
+    early, late = rows.where("commit_index < 6"), rows.where("commit_index > 3")
+    return tidy(files.merge_elements([early, late.withColumn("status", F.upper("status"))]))
+
+
 @query("a13_report_tables")
 def a13(spark, sf_dir):
     where = f"{lineage.folder(spark)}/{uuid.uuid4().hex}"

@@ -91,11 +91,19 @@ def overview(versions: DataFrame, files: DataFrame, designs: DataFrame, *keys: s
     )
 
 
+def _own(node: ast.AST) -> Iterator[ast.AST]:
+    """The nodes of a declaration in source order, without those of declarations inside it."""
+    for child in ast.iter_child_nodes(node):
+        if not isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            yield child
+            yield from _own(child)
+
+
 def _callable_facts(node: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) -> dict:
     args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
     args = args[1:] if owner and args and args[0].arg in ("self", "cls") else args
     refs, local = [], {}
-    for x in ast.walk(node):
+    for x in _own(node):
         if isinstance(x, ast.Call):
             said = ast.unparse(x.func)
             receiver, _, name = said.rpartition(".")
@@ -103,9 +111,11 @@ def _callable_facts(node: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | N
                 refs.append({"name": name, "receiver": receiver or None, "instantiation": name[:1].isupper()})
         elif isinstance(x, ast.Assign) and isinstance(x.value, ast.Call) and isinstance(x.targets[0], ast.Name) and isinstance(x.value.func, ast.Name):
             if x.value.func.id[:1].isupper():
-                local[x.targets[0].id] = x.value.func.id
+                local.setdefault(x.targets[0].id, x.value.func.id)
         elif isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name):
-            local[x.target.id] = ast.unparse(x.annotation)
+            said = ast.unparse(x.annotation)
+            if said[:1].isupper():
+                local.setdefault(x.target.id, said)
     return {
         "name": node.name,
         "owner": owner,
@@ -113,7 +123,7 @@ def _callable_facts(node: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | N
         "param_types": [ast.unparse(a.annotation) if a.annotation else "Object" for a in args],
         "param_names": [a.arg for a in args],
         "returns": ast.unparse(node.returns) if node.returns else "void",
-        "calls": sorted({r["name"] for r in refs}),
+        "calls": sorted({r["name"] for r in refs[:96]}),
         "call_refs": refs[:96],
         "local_types": local,
     }
@@ -384,6 +394,16 @@ def merge_results(parts: list[DataFrame], oracle: tuple[str, ...] = ("conformanc
     return rows, twice.unionByName(differ)
 
 
+def merge_elements(parts: list[DataFrame]) -> DataFrame:
+    """Element rows of partial results, one per project, commit and element: the one of the first part that has it, its least row there."""
+    rows = parts[0].withColumn("part", F.lit(0))
+    for i, part in enumerate(parts[1:], 1):
+        rows = rows.unionByName(part.withColumn("part", F.lit(i)), allowMissingColumns=True)
+    keys = ("project", "commit_index", "element")
+    others = [c for c in rows.columns if c not in (*keys, "part")]
+    return rows.groupBy(*keys).agg(F.min(F.struct("part", *others)).alias("row")).select(*keys, *(F.col("row")[c].alias(c) for c in others))
+
+
 def changed_files(events: DataFrame) -> DataFrame:
     """(project, path) that push events (event, project, commits[added, modified, removed]) touch, distinct; other events are ignored."""
     each = events.where("event = 'push'").select("project", F.explode("commits").alias("c"))
