@@ -13,6 +13,7 @@ carry the name of a result column, in which case the result replaces them.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,45 +34,101 @@ def item_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-class WuManber:
-    """Shift tables and buckets for word windows, grouped by window length."""
+class _Windows:
+    """Shift table and buckets for the windows of items that share a window length, as numpy arrays.
+
+    A block is the last two words of a window position (the only one of one-word windows) as one number. ``keys`` are the blocks
+    in order, ``shift`` how far a search may jump on each. Windows lie in buckets by their last block, inside a bucket by a hash
+    of their words: ``order`` is both in one number, ``starts`` where each begins in ``words``, ``owner`` whose it is.
+    """
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], size: int, base: int):
+        self.size, self.block, self.base = size, min(2, size), base
+        self.words = np.concatenate([w for _, w in items])
+        lengths = np.array([len(w) for _, w in items])
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(len(self.words)) - np.repeat(first, lengths)
+        owner = np.repeat(np.array([i for i, _ in items]), lengths)
+        ends = np.flatnonzero(place >= self.block - 1)
+        keys = self.blocks(self.words)[ends - self.block + 1]
+        self.keys, rank = np.unique(keys, return_inverse=True)
+        self.shift = np.full(len(self.keys), size, np.int32)
+        np.minimum.at(self.shift, rank, np.maximum(0, size - 1 - place[ends]).astype(np.int32))
+        whole = place[ends] >= size - 1
+        starts = ends[whole] - size + 1
+        order = self.ordered(rank[whole].reshape(-1), self.words, starts)
+        by = np.argsort(order, kind="stable")
+        self.order, self.starts, self.owner = order[by], starts[by], owner[starts[by]]
+
+    def blocks(self, ids: np.ndarray) -> np.ndarray:
+        return ids[:-1] * self.base + ids[1:] if self.block == 2 else ids
+
+    def ordered(self, rank: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        mixed = np.zeros(len(starts), np.uint64)
+        for i in range(self.size):
+            mixed = (mixed ^ ids[starts + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        return (rank.astype(np.uint64) << np.uint64(40)) | (mixed & np.uint64(0xFFFFFFFFFF))
+
+    def occurrences(self, ids: np.ndarray) -> tuple[np.ndarray, set[int]]:
+        """Where windows begin in a text, and the owners of these windows."""
+        n, found = len(ids), set()
+        if n < self.size:
+            return np.empty(0, np.int64), found
+        keys = self.blocks(ids)
+        rank = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        jumps = np.where(self.keys[rank] == keys, self.shift[rank], self.size - self.block + 1).tolist()
+        at, back, stops = self.size - 1, self.block - 1, []
+        while at < n:
+            jump = jumps[at - back]
+            if jump:
+                at += jump
+            else:
+                stops.append(at)
+                at += 1
+        if not stops:
+            return np.empty(0, np.int64), found
+        ends = np.array(stops)
+        starts = ends - self.size + 1
+        want = self.ordered(rank[ends - back], ids, starts)
+        low = np.searchsorted(self.order, want)
+        likely = self.order[np.minimum(low, len(self.order) - 1)] == want
+        hits = []
+        for start, k, w in zip(starts[likely].tolist(), low[likely].tolist(), want[likely], strict=True):
+            text = ids[start : start + self.size]
+            while k < len(self.order) and self.order[k] == w:
+                if np.array_equal(self.words[self.starts[k] : self.starts[k] + self.size], text):
+                    found.add(int(self.owner[k]))
+                    hits.append(start)
+                k += 1
+        return np.array(hits, np.int64), found
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        owners: dict[int, dict[tuple, set[str]]] = {}
+
+class WuManber:
+    """The windows of (item, text) pairs, grouped by window length, over numbered words. Made once on the driver from one block of
+    items and broadcast: about 60 bytes a benchmark word, and its distinct words once."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        self.number: dict[bytes, int] = {}
+        self.names: list[str | None] = []
+        sizes: dict[int, list[tuple[int, np.ndarray]]] = {}
+        names: dict[str | None, int] = {}
         for item, text in items:
-            w = item_words(text)
-            size = min(window, len(w))
-            for i in range(len(w) - size + 1 if size else 0):
-                owners.setdefault(size, {}).setdefault(tuple(w[i : i + size]), set()).add(item)
-        self.groups = []
-        for size, found in sorted(owners.items()):
-            block = min(2, size)
-            shift: dict = {}
-            bucket: dict = {}
-            for pattern, ids in found.items():
-                for end in range(block, size + 1):
-                    key = pattern[end - block : end]
-                    shift[key] = min(shift.get(key, size), size - end)
-                bucket.setdefault(pattern[size - block :], []).append((list(pattern), frozenset(ids)))
-            self.groups.append((size, block, shift, bucket))
-
-    def scan(self, words: list[bytes]) -> tuple[bytearray, set[str]]:
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in item_words(text)], np.int64)
+            if len(ids):
+                sizes.setdefault(min(window, len(ids)), []).append((names.setdefault(item, len(names)), ids))
+        self.names = list(names)
+        self.groups = [_Windows(found, size, len(self.number) + 1) for size, found in sorted(sizes.items())]
+
+    def scan(self, words: list[bytes]) -> tuple[bytearray, set[str | None]]:
         """A mark for every word inside an occurrence, and the items whose windows occur."""
-        marks, items, n = bytearray(len(words)), set(), len(words)
-        for size, block, shift, bucket in self.groups:
-            far, at = size - block + 1, size - 1
-            while at < n:
-                key = (words[at - 1], words[at]) if block == 2 else (words[at],)
-                jump = shift.get(key, far)
-                if jump:
-                    at += jump
-                    continue
-                first = at - size + 1
-                for pattern, ids in bucket[key]:
-                    if words[first] == pattern[0] and words[first : at + 1] == pattern:
-                        marks[first : at + 1] = b"\x01" * size
-                        items |= ids
-                at += 1
+        ids = np.fromiter((self.number.get(w, 0) for w in words), np.int64, len(words))
+        marks, items = bytearray(len(words)), set()
+        for group in self.groups:
+            starts, owners = group.occurrences(ids)
+            for start in starts.tolist():
+                marks[start : start + group.size] = b"\x01" * group.size
+            items.update(self.names[i] for i in owners)
         return marks, items
 
 
@@ -86,13 +143,13 @@ def _runs(marks: bytearray) -> list[int]:
     return out
 
 
-def _pass(docs: DataFrame, items, window: int) -> DataFrame:
+def _pass(docs: DataFrame, tables) -> DataFrame:
     """Adds what one block of items hits to hit_runs and hit_items."""
     names = [x for x in docs.columns if x not in ("n_words", "hit_runs", "hit_items")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
 
     def scan(batches):
-        tables = WuManber(items.value, window)
+        search = tables.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -100,7 +157,7 @@ def _pass(docs: DataFrame, items, window: int) -> DataFrame:
             had = batch.column("hit_runs").to_pylist(), batch.column("hit_items").to_pylist()
             for text, old_runs, old_items in zip(batch.column("text"), *had, strict=True):
                 words = item_words(text.as_py())
-                marks, ids = tables.scan(words)
+                marks, ids = search.scan(words)
                 for s, e in zip(old_runs[::2], old_runs[1::2], strict=True):
                     marks[s:e] = b"\x01" * (e - s)
                 n_words.append(len(words))
@@ -131,8 +188,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     out = out.withColumns({"hit_runs": F.array().cast("array<bigint>"), "hit_items": F.array().cast("array<string>")})
     for block in range(blocks):
         mine = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        items = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in mine.toLocalIterator()])
-        out = _pass(out, items, window)
+        tables = WuManber([(r["item"], r["text"]) for r in mine.toLocalIterator()], window)
+        out = _pass(out, spark.sparkContext.broadcast(tables))
         if blocks > 1:
             out = saved(out)
     hit = F.aggregate(
