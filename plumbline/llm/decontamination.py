@@ -13,6 +13,8 @@ carry the name of a result column, in which case the result replaces them.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +39,15 @@ def item_words(text: str | None) -> list[bytes]:
 class _Windows:
     """Shift table and buckets for the windows of items that share a window length, as numpy arrays.
 
-    A block is the last two words of a window position (the only one of one-word windows) as one number. ``keys`` are the blocks
-    in order, ``shift`` how far a search may jump on each. Windows lie in buckets by their last block, inside a bucket by a hash
+    A block is the last two words of a window position (the only one of one-word windows) as one number, ``keys`` are the blocks
+    in order. ``shift`` says for a hash of a block how far a search may jump: the least of the blocks that share it. Windows lie in buckets by their last block, inside a bucket by a hash
     of their words: ``order`` is both in one number, ``starts`` where each begins in ``words``, ``owner`` whose it is.
     """
 
     def __init__(self, items: list[tuple[int, np.ndarray]], size: int, base: int):
         self.size, self.block, self.base = size, min(2, size), base
+        self.span = np.arange(size)
+        self.factors = np.cumprod(np.full(size, 0x9E3779B97F4A7C15, np.uint64))
         self.words = np.concatenate([w for _, w in items])
         lengths = np.array([len(w) for _, w in items])
         first = np.cumsum(lengths) - lengths
@@ -52,8 +56,9 @@ class _Windows:
         ends = np.flatnonzero(place >= self.block - 1)
         keys = self.blocks(self.words)[ends - self.block + 1]
         self.keys, rank = np.unique(keys, return_inverse=True)
-        self.shift = np.full(len(self.keys), size, np.int32)
-        np.minimum.at(self.shift, rank, np.maximum(0, size - 1 - place[ends]).astype(np.int32))
+        self.bits = np.uint64(64 - min(24, 2 + len(self.keys).bit_length()))
+        self.shift = np.full(1 << (64 - int(self.bits)), size - self.block + 1, np.min_scalar_type(size))
+        np.minimum.at(self.shift, self.hashed(keys), np.maximum(0, size - 1 - place[ends]).astype(self.shift.dtype))
         whole = place[ends] >= size - 1
         starts = ends[whole] - size + 1
         order = self.ordered(rank[whole].reshape(-1), self.words, starts)
@@ -63,12 +68,15 @@ class _Windows:
     def blocks(self, ids: np.ndarray) -> np.ndarray:
         return ids[:-1] * self.base + ids[1:] if self.block == 2 else ids
 
+    def hashed(self, keys: np.ndarray) -> np.ndarray:
+        return keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.bits
+
     def ordered(self, rank: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        mixed = np.zeros(len(starts), np.uint64)
-        for i in range(self.size):
-            mixed = (mixed ^ ids[starts + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-        return (rank.astype(np.uint64) << np.uint64(40)) | (mixed & np.uint64(0xFFFFFFFFFF))
+        mixed = np.empty(len(starts), np.uint64)
+        for at in range(0, len(starts), 65536):
+            some = ids[starts[at : at + 65536, None] + self.span].astype(np.uint64)
+            mixed[at : at + 65536] = (some * self.factors).sum(axis=1)
+        return (rank.astype(np.uint64) << np.uint64(40)) | (mixed >> np.uint64(24))
 
     def occurrences(self, ids: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """Where windows begin in a text, and the owners of these windows."""
@@ -76,8 +84,7 @@ class _Windows:
         if n < self.size:
             return np.empty(0, np.int64), found
         keys = self.blocks(ids)
-        rank = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        jumps = np.where(self.keys[rank] == keys, self.shift[rank], self.size - self.block + 1).tolist()
+        jumps = self.shift[self.hashed(keys)].tobytes() if self.shift.dtype == np.uint8 else self.shift[self.hashed(keys)].tolist()
         at, back, stops = self.size - 1, self.block - 1, []
         while at < n:
             jump = jumps[at - back]
@@ -86,11 +93,13 @@ class _Windows:
             else:
                 stops.append(at)
                 at += 1
-        if not stops:
+        ends = np.array(stops, np.int64)
+        rank = np.minimum(np.searchsorted(self.keys, keys[ends - back]), len(self.keys) - 1)
+        same = self.keys[rank] == keys[ends - back]
+        if not same.any():
             return np.empty(0, np.int64), found
-        ends = np.array(stops)
-        starts = ends - self.size + 1
-        want = self.ordered(rank[ends - back], ids, starts)
+        starts = ends[same] - self.size + 1
+        want = self.ordered(rank[same], ids, starts)
         low = np.searchsorted(self.order, want)
         likely = self.order[np.minimum(low, len(self.order) - 1)] == want
         hits = []
@@ -122,7 +131,7 @@ class WuManber:
 
     def scan(self, words: list[bytes]) -> tuple[bytearray, set[str | None]]:
         """A mark for every word inside an occurrence, and the items whose windows occur."""
-        ids = np.fromiter((self.number.get(w, 0) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
         marks, items = bytearray(len(words)), set()
         for group in self.groups:
             starts, owners = group.occurrences(ids)
