@@ -472,7 +472,7 @@ SELECT *, round(CASE WHEN discordant = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT su
     "e14_project_table": _R + f""", g AS (SELECT project, gate_strategy, {_COUNTS} FROM runs GROUP BY ALL), k AS (SELECT project, string_agg(gate_strategy, '>' ORDER BY skipped / CAST(runs AS DOUBLE) DESC, {_RANK}) AS ranking FROM g GROUP BY project)
 SELECT m.project, m.runs, m.skipped, m.missed, m.tokens, {_rate('m.skipped', 'm.runs', 'skip_rate')}, a.tokens AS always_tokens, c.commits, ranking, a.tokens - m.tokens AS saved_tokens
 FROM g m JOIN g a ON a.project = m.project AND a.gate_strategy = 'always' JOIN (SELECT project, count(DISTINCT commit_id) AS commits FROM runs GROUP BY project) c ON c.project = m.project JOIN k ON k.project = m.project WHERE m.gate_strategy = 'structural'""",
-    "e14_project_report": _UNEVEN + """SELECT project, 'structural' AS gate, commits, runs, skipped, round(skipped / CAST(runs AS DOUBLE), 6) AS skip_rate, CASE WHEN checked > 0 THEN missed END AS missed, always - tokens AS tokens_saved,
+    "e14_project_report": _UNEVEN + """SELECT project, 'structural' AS gate, commits, runs, skipped, round(skipped / CAST(runs AS DOUBLE), 6) AS skip_rate, CASE WHEN checked > 0 THEN missed END AS missed, CAST(always - tokens AS DOUBLE) AS tokens_saved,
   round(drift, 6) AS drift_per_commit, round(ms, 6) AS median_similarity, split_part(gate_ranking, ' > ', 1) AS best_gate, gate_ranking, runs >= 10 AS enough_runs FROM rep""",
     "e14_project_agreement": _UNEVEN + """SELECT count(DISTINCT gate_ranking) = 1 AS consistent_ranking, round(min(skipped / CAST(runs AS DOUBLE)), 6) AS lowest_skip_rate, round(max(skipped / CAST(runs AS DOUBLE)), 6) AS highest_skip_rate, count(*) AS projects FROM rep""",
     "a10_merged_elements": cte("element_status") + "SELECT project, element, commit_index, CASE WHEN commit_index < 6 THEN status ELSE upper(status) END AS status FROM element_status",
