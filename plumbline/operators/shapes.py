@@ -1,6 +1,7 @@
 """The shape of a graph, names aside: canonical forms by refinement and individualisation, and what follows from them.
 
-Colours start from node kinds and are refined by the colours of the neighbours, by direction and relation, until their
+A graph is taken apart into its components, and the components are brought into canonical form one by one; those that were
+seen before are looked up. Colours start from node kinds and are refined by the colours of the neighbours, by direction and relation, until their
 number stands still. A node that has a colour to itself is settled, and its edges are told by the colours of the
 others; without the settled nodes the rest falls into components, which are brought into canonical form one by one. A
 component all of whose nodes are tied is split by giving one node of its smallest class a colour of its own, for
@@ -18,9 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources import lineage
+
 #: Fixed value: a shape is not decided beyond so many nodes.
 MOST_NODES = 400
 #: Refinements after which a graph's form is given up (NULL).
@@ -147,16 +151,7 @@ def _components(nodes: np.ndarray, src, dst, relation, n: int) -> Iterator[tuple
     inside[nodes] = True
     kept = inside[src] & inside[dst]
     src, dst, relation = src[kept], dst[kept], relation[kept]
-    label = np.arange(n)
-    while len(src):
-        low = np.minimum(label[src], label[dst])
-        new = label.copy()
-        np.minimum.at(new, src, low)
-        np.minimum.at(new, dst, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    label = _labels(n, src, dst)
     of = label[nodes]
     order = np.argsort(of, kind="stable")
     cuts = np.flatnonzero(np.diff(of[order])) + 1
@@ -170,56 +165,146 @@ def _components(nodes: np.ndarray, src, dst, relation, n: int) -> Iterator[tuple
         yield mine, place[src[edges]], place[dst[edges]], relation[edges]
 
 
-def canonical(nodes: DataFrame, edges: DataFrame, most: int = MOST_NODES, branches: int = MOST_BRANCHES) -> DataFrame:
-    """(project, version, node, place, shape): each node's place in the canonical order of its graph, and the graph's form.
+def _numbered(batch: pa.RecordBatch) -> tuple:
+    """(names, their graph, kind, src, dst, way, graphs with an edge to no node, with a node named twice): the graphs of a batch as one, nodes in a row."""
+    lists = {c: batch.column(c) for c in ("node", "kind", "src", "dst", "way")}
+    sizes = {c: pc.fill_null(pc.list_value_length(lists[c]), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "src")}
+    flat = {c: v.flatten() for c, v in lists.items()}
+    graph, edge_graph = (np.repeat(np.arange(batch.num_rows), sizes[c]) for c in ("node", "src"))
+    coded = pa.concat_arrays([flat["node"], flat["src"].cast(flat["node"].type), flat["dst"].cast(flat["node"].type)]).dictionary_encode(null_encoding="encode")
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n, m = len(graph), len(edge_graph)
+    wide = len(coded.dictionary) + 1
+    mine = graph * wide + codes[:n]
+    by = np.argsort(mine, kind="stable")
+    line = mine[by]
+    twice = np.zeros(batch.num_rows, bool)
+    twice[graph[by[1:][line[1:] == line[:-1]]]] = True
+    loose = np.zeros(batch.num_rows, bool)
+    ends, whole = [], np.ones(m, bool)
+    for codes_of in (codes[n : n + m], codes[n + m :]):
+        key = edge_graph * wide + codes_of
+        at = np.searchsorted(line, key, "right") - 1
+        there = (at >= 0) & (line[at] == key) if n else np.zeros(m, bool)
+        ends.append(by[at] if n else at)
+        whole &= there
+    loose[edge_graph[~whole]] = True
+    kind, way = (flat[c].to_numpy(zero_copy_only=False).astype(np.int64).view(_U) for c in ("kind", "way"))
+    src, dst, way = ends[0][whole], ends[1][whole], way[whole]
+    order = np.lexsort((way, dst, src))
+    src, dst, way = src[order], dst[order], way[order]
+    new = np.append(True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1]) | (way[1:] != way[:-1]))[: len(src)]
+    return flat["node"], graph, kind, src[new], dst[new], way[new], loose, twice
+
+
+def _labels(n: int, src, dst) -> np.ndarray:
+    """The least node of each node's weakly connected part."""
+    label = np.arange(n)
+    while len(src):
+        low = np.minimum(label[src], label[dst])
+        new = label.copy()
+        np.minimum.at(new, src, low)
+        np.minimum.at(new, dst, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _batch_forms(shapes: Shapes, rows: int, graph, kind, src, dst, way) -> tuple[list, list]:
+    """(form, nodes in canonical order) of every graph of a batch: parts are found for all graphs at once, and parts seen before are looked up."""
+    label = _labels(len(graph), src, dst)
+    nodes = np.argsort(label, kind="stable")  # part by part, and so graph by graph
+    starts = np.flatnonzero(np.append(True, label[nodes][1:] != label[nodes][:-1]))[: len(nodes)]
+    stops = np.append(starts[1:], len(nodes))
+    part = np.empty(len(nodes), np.int64)
+    part[nodes] = np.repeat(np.arange(len(starts)), stops - starts)
+    local = np.empty(len(nodes), np.int64)
+    local[nodes] = np.arange(len(nodes)) - np.repeat(starts, stops - starts)
+    by = np.lexsort((way, local[dst], local[src], part[src]))
+    cuts = np.searchsorted(part[src][by], np.arange(len(starts) + 1))
+    s, d, w = local[src][by], local[dst][by], _mix(way[by] + _U(1))
+    colour = _mix(kind[nodes])
+    first = np.searchsorted(graph[nodes[starts]], np.arange(rows + 1))
+    forms, orders = [], []
+    for g in range(rows):
+        shapes.left = shapes.branches
+        found = []
+        try:
+            for p in range(first[g], first[g + 1]):
+                a, b, i, j = starts[p], stops[p], cuts[p], cuts[p + 1]
+                form, order = shapes._form(colour[a:b], s[i:j], d[i:j], w[i:j])
+                found.append((form, nodes[a:b][order]))
+        except _Undecided:
+            forms.append(None)
+            orders.append(None)
+            continue
+        found.sort(key=lambda x: x[0])
+        forms.append(_digest(np.array([f for f, _ in found], _U)))
+        orders.append(np.concatenate([o for _, o in found]))
+    return forms, orders
+
 
-    Graphs of more than ``most`` nodes are left out; where the branches run out, place and shape are NULL. Null kinds and
-    relations are values of their own; repeated rows count once; edges that end at no node of the snapshot are ignored.
+def _graphs(named: DataFrame, ways: DataFrame, sizes: DataFrame, branches: int, names: bool) -> DataFrame:
+    """(project, version, shape[, node, ends, loose]) of the graphs in ``sizes``, from distinct (node, kind) and distinct (src, dst, relation).
+
+    ``node`` lists a graph's nodes in canonical order, ``ends`` its edges by the places of their ends, and ``loose`` tells of an edge that ends at no node.
     """
     keys = ["project", "version"]
-    named = nodes.select(*keys, "node", F.xxhash64(F.coalesce("kind", F.lit(""))).alias("kind")).distinct()
-    sizes = named.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") <= most).select(*keys)
-    lists = lambda t, *c: t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*c))).alias("rows"))
-    mine = lists(named.join(sizes, keys, "left_semi"), "node", "kind").withColumnRenamed("rows", "nodes")
-    ways = edges.select(*keys, "src", "dst", F.xxhash64(F.coalesce("relation", F.lit(""))).alias("way")).distinct().join(sizes, keys, "left_semi")
-    graphs = mine.join(lists(ways, "src", "dst", "way").withColumnRenamed("rows", "edges"), keys, "left")
-    graphs = graphs.select(
-        *keys, F.col("nodes.node").alias("node"), F.col("nodes.kind").alias("kind"), *(F.col(f"edges.{c}").alias(c) for c in ("src", "dst", "way"))
-    ).repartition(*keys)
+    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in the graphs and not in their bytes
+    hashed = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
+    lists = lambda t, *c: t.join(sizes, keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*c))).alias("rows"))
+    mine = lists(named, "node", hashed("kind").alias("kind")).withColumnRenamed("rows", "nodes")
+    graphs = mine.join(lists(ways, "src", "dst", hashed("relation").alias("way")).withColumnRenamed("rows", "edges"), keys, "left")
+    graphs = graphs.select(*keys, F.col("nodes.node").alias("node"), F.col("nodes.kind").alias("kind"), *(F.col(f"edges.{c}").alias(c) for c in ("src", "dst", "way"))).repartition(parts, *keys)
     shapes = Shapes(branches)  # each worker has its own, for as many graphs as it is given
 
     def work(batches):
         for batch in batches:
-            places, forms = [], []
-            for names, kinds, src, dst, way in zip(*(batch.column(c).to_pylist() for c in ("node", "kind", "src", "dst", "way")), strict=True):
-                number = {n: i for i, n in enumerate(names)}
-                found = [(number[a], number[b], w) for a, b, w in zip(src or (), dst or (), way or (), strict=True) if a in number and b in number]
-                ends = np.array(found, np.int64).reshape(-1, 3)
-                form = shapes.form(np.array(kinds, np.int64).view(_U), ends[:, 0].copy(), ends[:, 1].copy(), ends[:, 2].copy().view(_U))
-                place = None
-                if form is not None:
-                    place = np.empty(len(names), np.int64)
-                    place[form[1]] = np.arange(len(names))
-                places.append(place)
-                forms.append(None if form is None else f"{form[0]:016x}")
-            parts = [batch.column(c) for c in ("project", "version", "node")]
-            yield pa.RecordBatch.from_arrays([*parts, pa.array(places, pa.list_(pa.int64())), pa.array(forms, pa.string())], ["project", "version", "node", "places", "shape"])
-
-    kinds = dict(nodes.dtypes)
-    out = graphs.mapInArrow(work, f"project {kinds['project']}, version {kinds['version']}, node array<{kinds['node']}>, places array<bigint>, shape string")
-    each = out.select(*keys, "shape", "places", F.posexplode("node").alias("at", "node"))
-    return each.select(*keys, "node", F.get("places", "at").alias("place"), "shape")
-
-
-def measured(nodes: DataFrame, edges: DataFrame, most: int = MOST_NODES, branches: int = MOST_BRANCHES, versions: DataFrame | None = None) -> DataFrame:
-    """(project, version, n_nodes, n_edges, kinds, shape) of every snapshot; ``versions`` names snapshots that may be empty."""
+            rows = batch.num_rows
+            if not rows:
+                continue
+            flat, graph, kind, src, dst, way, loose, twice = _numbered(batch)
+            forms, orders = _batch_forms(shapes, rows, graph, kind, src, dst, way)
+            out = [batch.column("project"), batch.column("version"), pa.array([None if f is None else f"{f:016x}" for f in forms], pa.string())]
+            if names:
+                own = np.split(np.arange(len(graph)), np.cumsum(np.bincount(graph, minlength=rows))[:-1])
+                orders = [o if f is None else x for f, x, o in zip(forms, orders, own, strict=True)]
+                order = np.concatenate(orders)
+                sizes = np.array([len(o) for o in orders])
+                offsets = np.append(0, np.cumsum(sizes))
+                place = np.empty(len(graph), np.int64)
+                place[order] = np.arange(len(order)) - np.repeat(offsets[:-1], sizes)
+                ends = np.stack([(place[src] << 32) | place[dst], way.view(np.int64)], axis=1)
+                by = np.lexsort((ends[:, 1], ends[:, 0], graph[src]))
+                cuts = np.searchsorted(graph[src][by], np.arange(rows + 1))
+                ends = ends[by]
+                said = [None if forms[g] is None or (twice[g] and cuts[g] < cuts[g + 1]) else ends[cuts[g] : cuts[g + 1]].tobytes() for g in range(rows)]
+                out += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.take(pa.array(order))), pa.array(said, pa.binary()), pa.array(loose)]
+            yield pa.RecordBatch.from_arrays(out, ["project", "version", "shape", "node", "ends", "loose"][: len(out)])
+
+    kinds = dict(named.dtypes)
+    more = f", node array<{kinds['node']}>, ends binary, loose boolean" if names else ""
+    return graphs.mapInArrow(work, f"project {kinds['project']}, version {kinds['version']}, shape string{more}")
+
+
+def measured(nodes: DataFrame, edges: DataFrame, most: int = MOST_NODES, branches: int = MOST_BRANCHES, versions: DataFrame | None = None, names: bool = False) -> DataFrame:
+    """(project, version, n_nodes, n_edges, kinds, shape) of every snapshot; ``versions`` names snapshots that may be empty.
+
+    Graphs of more than ``most`` nodes have no shape (NULL), nor have those where the branches run out. Null kinds and relations are values
+    of their own; repeated rows count once; edges that end at no node of the snapshot have no part in its shape. With ``names``, also what
+    ``renamed`` needs: ``node``, the nodes in canonical order, ``ends``, the edges by places, and ``loose``.
+    """
     keys = ["project", "version"]
-    each = (nodes.select(*keys) if versions is None else versions.select(*keys)).distinct()
-    kind = nodes.select(*keys, "node", F.coalesce("kind", F.lit("")).alias("kind")).distinct().groupBy(*keys, "kind").agg(F.count("*").alias("k"))
-    kinds = kind.groupBy(*keys).agg(F.sum("k").alias("n_nodes"), F.array_sort(F.collect_list(F.struct("kind", "k"))).cast("string").alias("kinds"))
-    pairs = edges.select(*keys, "src", "dst", "relation").distinct().groupBy(*keys).agg(F.count("*").alias("n_edges"))
-    shape = canonical(nodes, edges, most, branches).groupBy(*keys).agg(F.max("shape").alias("shape"))
-    out = each.join(kinds, keys, "left").join(pairs, keys, "left").join(shape, keys, "left")
+    named = nodes.select(*keys, "node", F.coalesce("kind", F.lit("")).alias("kind")).distinct()
+    ways = edges.select(*keys, "src", "dst", "relation").distinct()
+    kinds = named.groupBy(*keys, "kind").agg(F.count("*").alias("k"))
+    kinds = kinds.groupBy(*keys).agg(F.sum("k").alias("n_nodes"), F.array_sort(F.collect_list(F.struct("kind", "k"))).cast("string").alias("kinds"))
+    pairs = ways.groupBy(*keys).agg(F.count("*").alias("n_edges"))
+    shape = _graphs(named, ways, kinds.where(F.col("n_nodes") <= most).select(*keys), branches, names)
+    each = kinds if versions is None else versions.select(*keys).distinct().join(kinds, keys, "left")
+    out = each.join(pairs, keys, "left").join(shape, keys, "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_nodes", "n_edges")})
 
 
@@ -233,30 +318,28 @@ def alike(a: str, b: str, most: int = MOST_NODES):
     )
 
 
-def same_as_before(nodes: DataFrame, edges: DataFrame, most: int = MOST_NODES, branches: int = MOST_BRANCHES, versions: DataFrame | None = None) -> DataFrame:
-    """(project, version, isomorphic) against the version before; the first of a project has none and is left out."""
+def same_as_before(
+    nodes: DataFrame, edges: DataFrame, most: int = MOST_NODES, branches: int = MOST_BRANCHES, versions: DataFrame | None = None, found: DataFrame | None = None
+) -> DataFrame:
+    """(project, version, isomorphic) against the version before; the first of a project has none and is left out. ``found`` is ``measured``'s result where it is at hand."""
     now = F.struct("n_nodes", "n_edges", "kinds", "shape")
-    rows = measured(nodes, edges, most, branches, versions).select("project", "version", now.alias("now"))
+    rows = (measured(nodes, edges, most, branches, versions) if found is None else found).select("project", "version", now.alias("now"))
     before = F.lag("now").over(Window.partitionBy("project").orderBy("version"))
     rows = rows.withColumn("before", before).where("before IS NOT NULL")
     return rows.select("project", "version", alike("before", "now", most).alias("isomorphic"))
 
 
-def renamed(nodes: DataFrame, edges: DataFrame, most: int = MOST_NODES, branches: int = MOST_BRANCHES) -> DataFrame:
+def renamed(nodes: DataFrame, edges: DataFrame, most: int = MOST_NODES, branches: int = MOST_BRANCHES, found: DataFrame | None = None) -> DataFrame:
     """(project, version, node, new_node): nodes of the version before whose name changed, where both are isomorphic.
 
-    Nodes are matched by their places in the canonical orders, and a mapping is used only if it carries all edges both ways.
+    Nodes are matched by their places in the canonical orders, and a mapping is used only if it carries all edges both ways: if the edges,
+    by the places of their ends, are the same. ``found`` is ``measured``'s result with names where it is at hand.
     """
     keys = ["project", "version"]
-    placed = canonical(nodes, edges, most, branches).where("shape IS NOT NULL")
+    found = lineage.cut(measured(nodes, edges, most, branches, names=True)) if found is None else found
     order = Window.partitionBy("project").orderBy("version")
-    steps = nodes.select(*keys).distinct().withColumn("next", F.lead("version").over(order)).where("next IS NOT NULL")
-    old = placed.join(steps, keys).select("project", F.col("next").alias("version"), F.col("version").alias("old_version"), "place", "shape", "node")
-    pairs = old.join(placed.withColumnRenamed("node", "new_node"), [*keys, "place", "shape"])
-    ends = [pairs.select(*keys, F.col("node").alias(n), F.col("new_node").alias(f"new_{n}")) for n in ("src", "dst")]
-    ways = edges.select(*keys, "src", "dst", F.coalesce("relation", F.lit("")).alias("relation")).distinct()
-    before = ways.join(steps, keys).select("project", F.col("next").alias("version"), "src", "dst", "relation")
-    mapped = before.join(ends[0], [*keys, "src"]).join(ends[1], [*keys, "dst"]).select(*keys, F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), "relation")
-    both = mapped.withColumn("side", F.lit(1)).unionByName(ways.withColumn("side", F.lit(-1)))
-    wrong = both.groupBy(*keys, "src", "dst", "relation").agg(F.sum("side").alias("side")).where("side <> 0").select(*keys).distinct()
-    return pairs.where("node <> new_node").join(wrong, keys, "left_anti").select(*keys, "node", "new_node")
+    steps = found.select(*keys, "shape").withColumns({"old_version": F.lag("version").over(order), "old_shape": F.lag("shape").over(order)}).where("shape = old_shape").select(*keys, "old_version")
+    old = found.select("project", F.col("version").alias("old_version"), F.col("node").alias("old_node"), F.col("ends").alias("old_ends"))
+    pairs = found.where("NOT loose").select(*keys, "node", "ends").join(steps, keys).join(old, ["project", "old_version"]).where("ends = old_ends")
+    each = pairs.select(*keys, F.explode(F.arrays_zip(F.col("old_node").alias("node"), F.col("node").alias("new_node"))).alias("n"))
+    return each.select(*keys, "n.*").toDF(*keys, "node", "new_node").where("node <> new_node")

@@ -407,9 +407,10 @@ def d03(spark, sf_dir):
 def d03_relabelled(spark, sf_dir):
     nodes, edges = load(spark, sf_dir, "renamed_nodes"), load(spark, sf_dir, "renamed_edges")
     snaps = nodes.groupBy("project", "version").agg(F.max("node").alias("structure_hash")).withColumns({"text_hash": F.col("structure_hash"), "design_hash": F.lit("d"), "delta_size": F.lit(1)})
-    reused = gate.reuse(gate.decide(snaps.join(shapes.same_as_before(nodes, edges), ["project", "version"], "left"), ("structural", "isomorphism")))
+    found = lineage.cut(shapes.measured(nodes, edges, names=True))
+    reused = gate.reuse(gate.decide(snaps.join(shapes.same_as_before(nodes, edges, found=found), ["project", "version"], "left"), ("structural", "isomorphism")))
     gaps = nodes.where("ring % 5 = 0").select("project", "version", "node", F.lit("lacks a method").alias("gap"))
-    return relabel.carried(reused, shapes.renamed(nodes, edges), gaps, snaps)
+    return relabel.carried(reused, shapes.renamed(nodes, edges, found=found), gaps, snaps)
 
 
 @query("d05_corpus_replay")
