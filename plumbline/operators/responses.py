@@ -14,6 +14,7 @@ UNKNOWN, INFERRED, DEPENDS = "unknown", "inferred", "depends_on"
 
 def read(raw: DataFrame, response: str = "response") -> DataFrame:
     """raw plus ``payload`` (VARIANT) and ``readable``: fences and what stands around the outermost braces are dropped; what is no object is not readable."""
+    raw = raw.repartition(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # parsing is far more work than a file's bytes tell
     text = F.trim(F.col(response), F.lit(" \t\r\n"))
     fenced = F.when(F.startswith(text, F.lit("```")), F.get(F.split(text, "```"), F.lit(1)))
     inner = F.regexp_replace(F.coalesce(fenced, text), r"^\s*(?i:json)", "")
