@@ -31,7 +31,7 @@ def _steps(rows: DataFrame, versions: DataFrame, *key: str) -> DataFrame:
     removed in the next version where that has none.
     """
     order = Window.partitionBy("project").orderBy("version")
-    placed = versions.withColumns({"ord": F.row_number().over(order), "next": F.lead("version").over(order)})
+    placed = lineage.cut(versions.withColumns({"ord": F.row_number().over(order), "next": F.lead("version").over(order)}))  # its size is known then: a small one is broadcast
     line = Window.partitionBy("project", *key).orderBy("ord")
     rows = rows.join(placed, ["project", "version"])
     was, follows = F.lag("ord").over(line) == F.col("ord") - 1, F.lead("ord").over(line) == F.col("ord") + 1
@@ -74,8 +74,8 @@ def delta_counts(nodes: DataFrame, edges: DataFrame, versions: DataFrame | None
 def impact(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     """(project, version, node, hops): seeds that exist and everything within ``radius`` undirected steps of them."""
     keys = ["project", "version"]
-    both = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("to"))
-    both = both.unionByName(both.select(*keys, F.col("to").alias("node"), F.col("node").alias("to")))
+    ways = (F.struct(F.col(a).alias("node"), F.col(b).alias("to")) for a, b in (("src", "dst"), ("dst", "src")))
+    both = edges.select(*keys, F.explode(F.array(*ways)).alias("way")).select(*keys, "way.*")  # one reading of the edges
     if radius > 1:
         both = lineage.cut(both.distinct())
     reached = seeds.select(*keys, "node").distinct().join(nodes.select(*keys, "node").distinct(), [*keys, "node"]).withColumn("hops", F.lit(0))
@@ -105,7 +105,7 @@ def renames(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: Dat
 
 
 def degrees(edges: DataFrame, *keys: str) -> DataFrame:
-    ends = edges.select(*keys, F.col("src").alias("node")).unionByName(edges.select(*keys, F.col("dst").alias("node")))
+    ends = edges.select(*keys, F.explode(F.array("src", "dst")).alias("node"))
     return ends.groupBy(*keys, "node").agg(F.count("*").alias("degree"))
 
 
@@ -115,8 +115,8 @@ def hubs(nodes: DataFrame, edges: DataFrame, most: int, *keys: str) -> DataFrame
     Classes, interfaces and modules only, or all nodes where a key has none of these; nodes without edges have degree 0.
     """
     shown = F.col("kind").isin("class", "interface", "module")
-    some = F.max(shown).over(Window.partitionBy(*keys))
-    pool = nodes.select(*keys, "node", "kind").withColumn("some", F.coalesce(some, F.lit(False))).where(shown | ~F.col("some")).select(*keys, "node").distinct()
+    some = lineage.cut(nodes.where(shown).select(*keys).distinct().withColumn("some", F.lit(True)))  # one row a key
+    pool = nodes.select(*keys, "node", "kind").join(some, list(keys), "left").where(shown | F.col("some").isNull()).select(*keys, "node").distinct()
     ranked = pool.join(degrees(edges, *keys), [*keys, "node"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("degree"), "node"))
     return ranked.withColumn("place", place.cast("bigint")).where(F.col("place") <= most)
@@ -124,6 +124,7 @@ def hubs(nodes: DataFrame, edges: DataFrame, most: int, *keys: str) -> DataFrame
 
 def induced(edges: DataFrame, kept: DataFrame, *keys: str) -> DataFrame:
     """Edges both ends of which are kept."""
+    kept = lineage.cut(kept.select(*keys, "node"))
     for end in ("src", "dst"):
         edges = edges.join(kept.select(*keys, F.col("node").alias(end)).distinct(), [*keys, end], "left_semi")
     return edges
@@ -144,6 +145,7 @@ def layers(edges: DataFrame, nodes: DataFrame, *keys: str, passes: int = LAYER_P
     Paths grow in synchronous passes that end when no layer rises or after ``passes``; a node told by its name passes its layer
     on. Each pass is checkpointed, so the plan does not double; on cycles, which have no longest path, the passes are the bound.
     """
+    edges = lineage.cut(edges.select(*keys, "src", "dst"))
     label = F.lower(F.col("label") if "label" in nodes.columns else F.col("node"))
     told = F.coalesce(*(F.when(label.rlike(name), F.lit(k)) for k, name in enumerate(LAYER_NAMES)))
     now = nodes.select(*keys, "node", told.alias("told")).groupBy(*keys, "node").agg(F.min("told").alias("told"))
