@@ -20,8 +20,8 @@ def mainline(commits: DataFrame, tips: DataFrame, longest: int | None = None) ->
     Distances double: after k rounds every commit knows its ancestor 2^k steps up, and every commit within 2^k
     steps of the tip is known, so a line of n commits takes log2(n) rounds of equi joins.
     """
-    longest = commits.count() if longest is None else longest
-    jump = commits.select("project", F.col("sha").alias("at"), F.col("parent0").alias("up")).where("up IS NOT NULL")
+    jump = cut(commits.select("project", F.col("sha").alias("at"), F.col("parent0").alias("up")).where("up IS NOT NULL"))
+    longest = jump.count() + 1 if longest is None else longest
     found = tips.select("project", "sha", F.lit(0).cast("bigint").alias("depth"))
     for k in range(max(1, math.ceil(math.log2(max(longest, 2)) + 1))):
         step = jump.withColumnRenamed("at", "sha")
