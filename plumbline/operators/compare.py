@@ -179,13 +179,14 @@ def association_evidence(associations: DataFrame, fields: DataFrame, callables:
     def rank(*x):
         return F.struct(*((F.lit(v) if isinstance(v, int) else v).cast("bigint").alias(f"k{i}") for i, v in enumerate(x)))
 
-    typed = from_field.where(F.col("type") == F.col("target")).select(*keys, "source", "target", rank(1, F.col("pos"), 0, 0).alias("rank"), F.lit("strong").alias("evidence"))
-    named = from_field.where(low.isin(want, F.concat(want, F.lit("s")), F.concat(want, F.lit("_list")))).select(*keys, "source", "target", rank(3, F.col("pos"), 0, 0).alias("rank"), F.lit("weak").alias("evidence"))
-    begins = from_field.where(F.startswith(low, want)).select(*keys, "source", "target", rank(4, F.col("pos"), 0, 0).alias("rank"), F.lit("weak").alias("evidence"))
+    named = low.isin(want, F.concat(want, F.lit("s")), F.concat(want, F.lit("_list")))
+    place = F.when(F.col("type") == F.col("target"), 1).when(named, 3).when(F.startswith(low, want), 4)  # a field counts by the best it gives
+    fielded = from_field.withColumn("k", place).where("k IS NOT NULL")
+    fielded = fielded.select(*keys, "source", "target", rank(F.col("k"), F.col("pos"), 0, 0).alias("rank"), F.when(F.col("k") == 1, "strong").otherwise("weak").alias("evidence"))
     uses = base.join(callables.withColumnRenamed("element", "source"), [*keys, "source"]).where(F.col("type") == F.col("target"))
     kind = F.when(F.col("kind") == "param", 0).when(F.col("kind") == "return", 1).otherwise(2)
     used = uses.select(*keys, "source", "target", rank(2, F.col("pos"), kind, F.col("ref_pos")).alias("rank"), F.when(F.col("kind") == "instantiation", "weak").otherwise("strong").alias("evidence"))
-    best = typed.unionByName(named).unionByName(begins).unionByName(used).groupBy(*keys, "source", "target").agg(F.min_by("evidence", "rank").alias("evidence"))
+    best = fielded.unionByName(used).groupBy(*keys, "source", "target").agg(F.min_by("evidence", "rank").alias("evidence"))
     present = elements.select(*keys, F.col("element").alias("source")).distinct().withColumn("here", F.lit(True))
     out = given.join(best, [*keys, "source", "target"], "left").join(present, [*keys, "source"], "left")
     return out.select(*keys, "source", "target", "relation", F.when(F.col("here"), F.coalesce("evidence", F.lit("none"))).otherwise("none").alias("evidence"))
