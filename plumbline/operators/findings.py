@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import compare, snapshots
+from plumbline.sources import lineage
 
 KINDS = ("missing_class", "extra_class", "missing_member", "extra_member")
 #: Fields of a version's findings that a replay compares.
@@ -46,8 +47,8 @@ def over_versions(design: DataFrame, code: DataFrame, versions: DataFrame) -> Da
     that the element is there. ``versions`` lists (project, version), empty ones too.
     """
     none = F.lit(0).cast("bigint").alias("digest")
-    there = snapshots.intervals(code.select("project", "version", *_E, none), versions, *_E).drop("digest")
-    members = snapshots.intervals(code.where("member IS NOT NULL").select("project", "version", *_M, none), versions, *_M).drop("digest")
+    there = lineage.cut(snapshots.intervals(code.select("project", "version", *_E, none), versions, *_E).drop("digest"))
+    members = lineage.cut(snapshots.intervals(code.where("member IS NOT NULL").select("project", "version", *_M, none), versions, *_M).drop("digest"))
     wanted, listed = design.select("project", *_E).distinct(), design.where("member IS NOT NULL").select("project", *_M).distinct()
     first = versions.groupBy("project").agg(F.min("version").alias("version"))
     blank = [F.lit(None).cast("string").alias(c) for c in ("member_kind", "member")]

@@ -40,13 +40,13 @@ def run_rows(
     Where nodes have ``tokens``, ``counterfactual_prompt_tokens`` is what a run would have sent: nothing if reused, the nodes
     of its impact, or all nodes where everything counts as affected or nothing was touched. ``analysis`` adds those of
     ``ANALYSIS`` that it has, by project and version: reflexion counts, fingerprint, score, call resolution.
-    The diff is worked out once, for the delta and for the impact.
+    The diff is worked out once, for the delta and for the impact. Nodes and edges are read several times: give tables, not what is yet to be derived.
     """
     keys = ["project", "version"]
     moved = lineage.cut(graph.diff_nodes(nodes, versions=snapshots).where("change <> 'unchanged'"))
     sizes = impact_sizes(nodes, edges, radius, moved)
     counts = graph.delta_counts(nodes, edges, snapshots, moved).select(*keys, *DELTAS, F.col("edit_distance").alias("delta_size"))
-    rows = snapshots.join(counts, keys, "left").join(sizes, keys, "left")
+    rows = lineage.cut(snapshots.join(counts, keys, "left").join(sizes, keys, "left"))  # one row a version, read several times
     decided = gate.decide(rows, strategies)
     extra = [F.col("tokens")] if "tokens" in snapshots.columns else [F.lit(None).cast("bigint").alias("tokens")]
     out = decided.join(rows.select(*keys, *DELTAS, "touched_impact", "all_nodes", *extra), keys)

@@ -35,7 +35,7 @@ def intervals(rows: DataFrame, versions: DataFrame, *key: str) -> DataFrame:
     ``versions`` lists every version of a project, empty ones too. ``since`` is what a row that goes on from an earlier interval is valid from.
     """
     order = Window.partitionBy("project").orderBy("version")
-    placed = versions.select(*KEYS).distinct().withColumns({"ord": F.row_number().over(order), "next": F.lead("version").over(order)})
+    placed = lineage.cut(versions.select(*KEYS).distinct().withColumns({"ord": F.row_number().over(order), "next": F.lead("version").over(order)}))  # its size is known then: a small one is broadcast
     since = F.coalesce("since", "version") if "since" in rows.columns else F.col("version")
     rows = rows.select(*KEYS, *key, "digest", since.alias("since")).dropDuplicates([*KEYS, *key]).join(placed, list(KEYS))
     line = Window.partitionBy("project", *key).orderBy("ord")
@@ -163,7 +163,7 @@ class SnapshotStore:
         runs = replay.run_rows(every["snapshots"], every["nodes"], every["edges"], radius=self.radius, strategies=self.strategies)
         runs = lineage.cut(runs.join(stored, list(KEYS), "left_semi"))
         versions = every["snapshots"].select(*KEYS)
-        found = {"nodes": node_intervals(every["nodes"], versions), "edges": edge_intervals(every["edges"], versions)}
+        found = {p: lineage.cut(t) for p, t in (("nodes", node_intervals(every["nodes"], versions)), ("edges", edge_intervals(every["edges"], versions)))}
         for part, key in (("nodes", NODE), ("edges", EDGE)):
             self._write(found[part].where("valid_to IS NOT NULL"), f"closed_{part}", batch)
             now = versions.groupBy("project").agg(F.max("version").alias("version"))

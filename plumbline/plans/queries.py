@@ -240,23 +240,23 @@ def c13_edges(spark, sf_dir):
     return graph.diff_edges(load(spark, sf_dir, "snap_edges"))
 
 
-def _scored_versions(spark, sf_dir):
-    nodes = load(spark, sf_dir, "snap_nodes")
+def _scored_versions(nodes):
     return nodes.groupBy("project", "version").agg((100 * fn.count_if(F.col("kind") == "class") / F.count("*")).alias("score"))
 
 
 @query("c14_version_diff")
 def c14(spark, sf_dir):
-    versions = _scored_versions(spark, sf_dir)
-    nodes, edges = snapshots.node_intervals(load(spark, sf_dir, "snap_nodes"), versions), snapshots.edge_intervals(load(spark, sf_dir, "snap_edges"), versions)
+    kept = lineage.cut(load(spark, sf_dir, "snap_nodes"))
+    versions = lineage.cut(_scored_versions(kept))
+    nodes, edges = snapshots.node_intervals(kept, versions), snapshots.edge_intervals(load(spark, sf_dir, "snap_edges"), versions)
     found = snapshots.diff(nodes, edges, versions, 0, 3)
     return tidy(found.select("project", "retained", *replay.DELTAS, *(F.array_join(c, ",").alias(c) for c in ("added", "removed", "changed")), "score_from", "score_to"))
 
 
 def _whole_snapshots(spark, sf_dir):
-    tables = {"nodes": load(spark, sf_dir, "snap_nodes"), "edges": load(spark, sf_dir, "snap_edges")}
+    tables = {"nodes": lineage.cut(load(spark, sf_dir, "snap_nodes")), "edges": lineage.cut(load(spark, sf_dir, "snap_edges"))}
     hashes = {"text_hash": F.lit("t"), "structure_hash": F.lit("s"), "design_hash": F.floor(F.col("version") / 4).cast("string")}
-    return tables | {"snapshots": _scored_versions(spark, sf_dir).withColumns(hashes)}
+    return tables | {"snapshots": lineage.cut(_scored_versions(tables["nodes"]).withColumns(hashes))}
 
 
 def _store(spark):
@@ -265,7 +265,7 @@ def _store(spark):
 
 @query("a12_snapshot_store")
 def a12(spark, sf_dir):
-    store, tables = _store(spark), {p: lineage.cut(t) for p, t in _whole_snapshots(spark, sf_dir).items()}
+    store, tables = _store(spark), _whole_snapshots(spark, sf_dir)
     for batch, some in ((0, "version < 1"), (1, "version BETWEEN 1 AND 2"), (1, "version BETWEEN 1 AND 2"), (2, "version > 2")):  # run again, a batch adds nothing
         store.append(*(tables[p].where(some) for p in ("nodes", "edges", "snapshots")), batch, number=True)
     return tidy(store.versions().select("project", "version", "parent_version", "node_count", "edge_count", "score"))
@@ -277,13 +277,10 @@ def a12_intervals(spark, sf_dir):
     return snapshots.node_intervals(load(spark, sf_dir, "snap_nodes"), versions).select("project", "node", "valid_from", "valid_to")
 
 
-def _seeds(spark, sf_dir):
-    return load(spark, sf_dir, "snap_nodes").where("kind = 'class' AND signature = '7'")
-
-
 @query("c15_impact_set")
 def c15(spark, sf_dir):
-    found = graph.impact(load(spark, sf_dir, "snap_edges"), load(spark, sf_dir, "snap_nodes"), _seeds(spark, sf_dir), 1)
+    nodes = lineage.cut(load(spark, sf_dir, "snap_nodes"))
+    found = graph.impact(load(spark, sf_dir, "snap_edges"), nodes, nodes.where("kind = 'class' AND signature = '7'"), 1)
     return tidy(found)
 
 
@@ -371,7 +368,7 @@ def g05(spark, sf_dir):
 
 @query("g05_induced_edges")
 def g05_edges(spark, sf_dir):
-    edges = load(spark, sf_dir, "snap_edges")
+    edges = lineage.cut(load(spark, sf_dir, "snap_edges"))
     return graph.induced(edges, graph.hubs(load(spark, sf_dir, "snap_nodes"), edges, 60, "project", "version"), "project", "version")
 
 
@@ -426,7 +423,7 @@ def d01_all_policies(spark, sf_dir):
 
 @query("d04_run_rows")
 def d04(spark, sf_dir):
-    nodes, edges = load(spark, sf_dir, "snap_nodes"), load(spark, sf_dir, "snap_edges")
+    nodes, edges = lineage.cut(load(spark, sf_dir, "snap_nodes")), lineage.cut(load(spark, sf_dir, "snap_edges").select("project", "version", "src", "dst"))
     snaps = nodes.groupBy("project", "version").agg(F.count("*").alias("tokens")).withColumns({"text_hash": F.lit("t"), "structure_hash": F.lit("s"), "design_hash": F.floor(F.col("version") / 4).cast("string")})
     return tidy(replay.run_rows(snaps, nodes, edges, {"impact_radius": 1, "provider": "none"}))
 
@@ -440,9 +437,9 @@ def d05_oracle(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    design = load(spark, sf_dir, "members").where("side = 'design'").select("project", "element", "member_kind", "member")
-    code = load(spark, sf_dir, "code_history")
-    versions = code.select("project", "version").distinct()
+    design = lineage.cut(load(spark, sf_dir, "members").where("side = 'design'").select("project", "element", "member_kind", "member"))
+    code = lineage.cut(load(spark, sf_dir, "code_history"))
+    versions = lineage.cut(code.select("project", "version").distinct())
     return design, code, versions, lineage.cut(findings.over_versions(design, code, versions))
 
 
@@ -469,7 +466,7 @@ def d05_facts(spark, sf_dir):
 
 @query("d04_rows_with_analysis")
 def d04_analysis(spark, sf_dir):
-    nodes, edges = load(spark, sf_dir, "snap_nodes"), load(spark, sf_dir, "snap_edges")
+    nodes, edges = lineage.cut(load(spark, sf_dir, "snap_nodes")), lineage.cut(load(spark, sf_dir, "snap_edges").select("project", "version", "src", "dst"))
     nodes = nodes.withColumn("tokens", F.length("node"))
     design, code, versions, found = _history(spark, sf_dir)
     truth = findings.per_version(found, design, code, versions).withColumn("version", F.col("version") - 3)
@@ -960,7 +957,7 @@ def a14_totals(spark, sf_dir):
 
 @query("e23_overview_with_files")
 def e23_files(spark, sf_dir):
-    versions = _scored_versions(spark, sf_dir).withColumn("created_at", F.concat(F.lit("v"), F.col("version").cast("string")))
+    versions = _scored_versions(load(spark, sf_dir, "snap_nodes")).withColumn("created_at", F.concat(F.lit("v"), F.col("version").cast("string")))
     kept = _sized_files(spark, sf_dir).where("project <> 3")
     return tidy(files.overview(versions, kept, kept.where("path LIKE '%.mdj'"), "project"))
 
@@ -1068,9 +1065,9 @@ def i04(spark, sf_dir):
     store, where = _store(spark), f"{lineage.folder(spark)}/{uuid.uuid4().hex}"
     rows = lineage.cut(jobs.as_rows(**_whole_snapshots(spark, sf_dir)))
     for some in ("version < 0", "version BETWEEN -1 AND 0", "version IN (1, 2)", "version > 2"):  # -1 comes again, too late
-        rows.where(some).coalesce(1).write.mode("append").parquet(where)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(where)
-    stream.writeStream.foreachBatch(jobs.into_store(store)).option("checkpointLocation", f"{where}-state").trigger(availableNow=True).start().awaitTermination()
+        rows.where(some).write.mode("append").parquet(where)  # what has come since the last run, in however many files, is one batch
+        stream = spark.readStream.schema(rows.schema).parquet(where)
+        stream.writeStream.foreachBatch(jobs.into_store(store)).option("checkpointLocation", f"{where}-state").trigger(availableNow=True).start().awaitTermination()
     return store.runs().select("project", "version", "gate_strategy", "gate_allowed_llm", "decision", "reason", *replay.DELTAS, "impact_nodes")
 
 
