@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import count_if, exact_paired_p, rate, wilson
+from plumbline.operators.running import running
 
 #: Presentation order of the gates.
 GATE_ORDER = ("always", "content", "structural", "isomorphism")
@@ -17,7 +18,7 @@ def gate_rank(gate: Column) -> Column:
 
 
 def normalise_runs(rows: DataFrame, default_project: str = "project") -> DataFrame:
-    """One typed shape of 26 columns for raw run rows given as strings: aliases, boolean words, numbers and defaults (row order: ``ord``).
+    """One typed shape of 26 columns for raw run rows given as strings: aliases, boolean words, numbers and defaults (row order: ``ord``, a number).
 
     A run of a ledger has no commit: its place among the project's rows stands in. Whether it re-analysed is what the gate
     allowed, or where that is absent (NULL, not empty) whether a model was called. Absent and empty optional values are NULL.
@@ -38,8 +39,8 @@ def normalise_runs(rows: DataFrame, default_project: str = "project") -> DataFra
     def number(name: str) -> Column:
         return F.trim(raw(name)).try_cast("double")
 
-    rows = rows.withColumn("project", text("project", default_project))
-    place = F.row_number().over(Window.partitionBy("project").orderBy("ord")).cast("bigint")
+    rows = running(rows.withColumn("project", text("project", default_project)), ["project"], "ord", {"place": F.lit(1)})
+    place = F.col("place")
     amount = lambda name: F.coalesce(number(name), F.lit(0.0))
     return rows.select(
         "project",

@@ -6,6 +6,9 @@ Each text runs in Spark SQL and in DuckDB; ``{sha}`` is the engine's SHA-256 of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.operators.running import running
 
 TABLES = {
     "members": ("lineitem",),
@@ -219,12 +222,26 @@ SELECT DISTINCT concat('s', CAST(l_suppkey AS STRING), '/', lower(p_type)) AS fi
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
 }
 
+_ERRORS, _SIGNUPS = "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END", "CASE WHEN event_type = 'signup' AND value > 20 THEN 1 ELSE 0 END"
+_IN_ORDER = "PARTITION BY user_id % 5 ORDER BY event_id"
+#: Windows over all events of a project, by their text, and what each adds up: a project is too large for one task, so Spark works them out in blocks.
+WINDOWS = {
+    "runs": {f"row_number() OVER ({_IN_ORDER})": "1"} | {f"sum({x}) OVER\n        ({_IN_ORDER} ROWS UNBOUNDED PRECEDING)": x for x in (_ERRORS, _SIGNUPS)},
+}
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One stand-in table as a DataFrame."""
     for table in TABLES[name]:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     text = SQL[name].replace("{sha}(text)", "sha2(text, 256)")
+    if name in WINDOWS:
+        sums = {f"running_{i}": F.expr(added) for i, added in enumerate(WINDOWS[name].values())}
+        events = spark.table("events").withColumn("of_project", F.expr("user_id % 5"))
+        running(events, ["of_project"], "event_id", sums).createOrReplaceTempView("running_events")
+        for column, window in zip(sums, WINDOWS[name], strict=True):
+            text = text.replace(window, column)
+        text = text.replace("FROM events", "FROM running_events")
     return spark.sql(text.replace("{sha}(replace(replace(text, chr(10), ''), ' ', ''))", "sha2(replace(replace(text, chr(10), ''), ' ', ''), 256)"))
 
 
