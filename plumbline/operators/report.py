@@ -19,12 +19,12 @@ TABLES = (
 def counted(runs: DataFrame) -> DataFrame:
     """``statistics.gate_counts`` per project and gate and per gate alone (``pooled``) in one aggregation with grouping sets."""
     sets = runs.groupingSets([[F.col("project"), F.col("gate_strategy")], [F.col("gate_strategy")]], "project", "gate_strategy")
-    return sets.agg(*statistics.gate_sums(), F.count_distinct("commit_id").alias("commits"), (F.grouping("project") == 1).alias("pooled"))
+    return sets.agg(*statistics.gate_sums(), (F.grouping("project") == 1).alias("pooled"))
 
 
 def recovery(runs: DataFrame) -> DataFrame:
     """Per gate: stale stretches, how many were resolved and not, and the median number of commits that took."""
-    horizons = survival.recovery_horizons(statistics.serve(runs))
+    horizons = lineage.cut(survival.recovery_horizons(statistics.serve(runs)))
     out = survival.median_horizon(horizons, "gate_strategy")
     return out.select(
         "gate_strategy", F.col("total").alias("recovery_misses_tracked"), F.col("resolved").alias("recovery_resolved"),
@@ -41,7 +41,7 @@ def tables(runs: DataFrame, deviations: DataFrame | None = None, left: str = "st
     """
     runs = lineage.cut(runs)
     sums = lineage.cut(counted(runs))
-    pooled = sums.where("pooled").drop("pooled", "project", "commits")
+    pooled = sums.where("pooled").drop("pooled", "project")
     gates = lineage.cut(statistics.gate_rates(pooled))
     chosen = statistics.recommend(gates).first()["recommended"]
     each = sums.where("NOT pooled").drop("pooled")
@@ -58,7 +58,7 @@ def tables(runs: DataFrame, deviations: DataFrame | None = None, left: str = "st
     controlled = statistics.confusion(tested, "gate_strategy").select(
         F.col("gate_strategy").alias("gate"), F.col("tp").alias("caught"), F.col("fn").alias("missed"), F.col("fp").alias("false_alarms"), F.col("tn").alias("correctly_ignored"), "precision", "recall"
     )
-    points = statistics.trajectories(runs)
+    points = lineage.cut(statistics.trajectories(runs))
     enough = points.groupBy("project").count().where("count >= 2").select("project")
     study = statistics.study_table(runs)
     items = F.explode(F.array(*(F.struct(F.lit(c).alias("item"), F.col(c).cast("string").alias("value")) for c in study.columns)))

@@ -143,13 +143,13 @@ def by_strategy(runs: DataFrame) -> DataFrame:
 
 def study_table(runs: DataFrame) -> DataFrame:
     """One row: distinct projects, commits, gates, runs, and whether any run was held against an oracle."""
-    return runs.agg(
-        F.countDistinct("project").alias("projects"),
-        F.countDistinct("project", "commit_id").alias("commits"),
-        F.count("*").alias("runs"),
-        F.countDistinct("gate_strategy").alias("gates"),
-        F.coalesce(F.bool_or(F.col("missed_change").isNotNull()), F.lit(False)).alias("has_oracle"),
-    )
+    cells = runs.groupBy("project", "gate_strategy").agg(F.count("*").alias("n"), F.bool_or(F.col("missed_change").isNotNull()).alias("held"))
+    commits = runs.select("project", "commit_id").dropna().distinct().agg(F.count("*").alias("commits"))
+    out = cells.agg(
+        F.countDistinct("project").alias("projects"), F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("runs"), F.countDistinct("gate_strategy").alias("gates"),
+        F.coalesce(F.bool_or("held"), F.lit(False)).alias("has_oracle"),
+    )
+    return out.crossJoin(F.broadcast(commits)).select("projects", "commits", "runs", "gates", "has_oracle")  # one row each
 
 
 def baseline(gates: DataFrame) -> DataFrame:
@@ -230,7 +230,9 @@ def project_table(runs: DataFrame, gate: str) -> DataFrame:
 def project_wholes(runs: DataFrame) -> DataFrame:
     """Per project over the runs of all gates: commits, drift per commit and median similarity (NULL where none was measured)."""
     similarity = F.percentile("similarity_score", 0.5) if "similarity_score" in runs.columns else F.lit(None).cast("double")
-    each = runs.groupBy("project").agg(F.countDistinct("commit_id").alias("commits"), similarity.alias("median_similarity"))
+    # counted apart: beside a distinct count the median would be kept for every commit
+    commits = runs.select("project", "commit_id").dropna().distinct().groupBy("project").agg(F.count("*").alias("commits"))
+    each = runs.groupBy("project").agg(similarity.alias("median_similarity")).join(commits, "project", "left").select("project", F.coalesce("commits", F.lit(0)).alias("commits"), "median_similarity")
     return each.join(drift_rate(runs).withColumnRenamed("drift_rate", "drift_per_commit"), "project")
 
 
@@ -369,10 +371,9 @@ def dominance(gates: DataFrame) -> DataFrame:
 
 def serve(runs: DataFrame) -> DataFrame:
     """What each gate serves: the findings of its latest re-analysed commit; whether they differ from the current ones, and were missed."""
-    order = Window.partitionBy("project", "gate_strategy").orderBy("commit_index")
-    fresh = F.col("gate_allowed_llm") | (F.row_number().over(order) == 1)
-    served = F.last(F.when(fresh, F.col("findings_hash")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    out = runs.withColumn("served_hash", served)
+    own = F.when(F.col("gate_allowed_llm"), F.col("findings_hash"))
+    out = running(runs, ["project", "gate_strategy"], "commit_index", last={"own_hash": own}, first={"first_run": F.struct("findings_hash")})
+    out = out.withColumn("served_hash", F.coalesce("own_hash", "first_run.findings_hash")).drop("own_hash", "first_run")
     out = out.withColumn("diverges_from_oracle", F.col("served_hash") != F.col("findings_hash"))
     return out.withColumn("missed_change", F.col("diverges_from_oracle") & ~F.col("gate_allowed_llm"))
 

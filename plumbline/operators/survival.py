@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.running import running
+from plumbline.sources import lineage
+
 #: States in which an element departs from its design.
 DEVIATING = ("absent", "partial", "divergent")
 
@@ -61,12 +64,10 @@ def first_deviations(status: DataFrame) -> DataFrame:
 
 def recovery_horizons(served: DataFrame) -> DataFrame:
     """Each stale stretch once, at its onset: commits until what is served agrees again, NULL if it never does."""
-    order = Window.partitionBy("project", "gate_strategy").orderBy("commit_index")
-    before = F.coalesce(F.lag("diverges_from_oracle").over(order), F.lit(False))
-    # backwards, so that the next agreeing commit is a running value
-    back = Window.partitionBy("project", "gate_strategy").orderBy(F.desc("commit_index")).rowsBetween(Window.unboundedPreceding, -1)
-    good = F.last(F.when(~F.col("diverges_from_oracle"), F.col("commit_index")), ignorenulls=True).over(back)
-    out = served.withColumns({"before": before, "good": good}).where("missed_change AND NOT before")
+    keys, stale = ["project", "gate_strategy"], F.col("diverges_from_oracle")
+    served = lineage.cut(served.select(*keys, "commit_index", "diverges_from_oracle", "missed_change"))  # read several times
+    out = running(served, keys, "commit_index", before={"before": F.coalesce(stale, F.lit(False))}, after={"good": F.when(~stale, F.col("commit_index"))})
+    out = out.where(F.col("missed_change") & ~F.coalesce("before", F.lit(False)))
     return out.select("project", "gate_strategy", "commit_index", (F.col("good") - F.col("commit_index")).alias("horizon"))
 
 
