@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import count_if
 from plumbline.operators import shapes
-from plumbline.operators.shapes import MOST_NODES
 from plumbline.sources import lineage
 
 #: Fixed value: passes of layering.
@@ -93,8 +92,8 @@ def _pair(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.withColumn("version", F.lit(0)).unionByName(new.withColumn("version", F.lit(1)))
 
 
-def isomorphic(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, most: int = MOST_NODES) -> DataFrame:
-    """(project, isomorphic) of two snapshots of each project, names aside: NULL beyond ``most`` nodes where counts do not tell."""
+def isomorphic(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(project, isomorphic) of two snapshots of each project, names aside: NULL beyond ``most`` nodes, where that is given and counts do not tell."""
     versions = _pair(*(t.select("project").distinct() for t in (old.select("project").unionByName(new.select("project")),) * 2))
     return shapes.same_as_before(_pair(old, new), _pair(old_edges, new_edges), most, versions=versions).select("project", "isomorphic")
 
