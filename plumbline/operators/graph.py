@@ -56,33 +56,35 @@ def diff_edges(edges: DataFrame, versions: DataFrame | None = None) -> DataFrame
     return _steps(pairs, versions, "src", "dst").where("change <> 'unchanged'")
 
 
-def delta_counts(nodes: DataFrame, edges: DataFrame, versions: DataFrame | None = None, moved: DataFrame | None = None) -> DataFrame:
+def delta_counts(nodes: DataFrame, edges: DataFrame, versions: DataFrame | None = None, moved: DataFrame | None = None, moved_edges: DataFrame | None = None) -> DataFrame:
     """Per (project, version): the five delta sizes and their sum, the set-based edit distance.
 
-    Edges are compared over ``versions``, by default those that have edges. ``moved`` is diff_nodes' result where it is at hand.
+    Edges are compared over ``versions``, by default those that have edges. ``moved`` is diff_nodes' result where it is at hand, ``moved_edges`` diff_edges'.
     """
     moved = diff_nodes(nodes, versions=versions) if moved is None else moved
     n = moved.groupBy("project", "version").agg(*(count_if(F.col("change") == c).alias(f"{c}_nodes") for c in ("added", "removed", "changed")))
-    e = diff_edges(edges, versions).groupBy("project", "version").agg(*(count_if(F.col("change") == c).alias(f"{c}_edges") for c in ("added", "removed")))
+    e = (diff_edges(edges, versions) if moved_edges is None else moved_edges).groupBy("project", "version").agg(*(count_if(F.col("change") == c).alias(f"{c}_edges") for c in ("added", "removed")))
     names = ("added_nodes", "removed_nodes", "changed_nodes", "added_edges", "removed_edges")
     both = n.join(e, ["project", "version"], "left" if versions is None else "full_outer")
     out = both.select("project", "version", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names))
     return out.withColumn("edit_distance", reduce(lambda a, b: a + b, map(F.col, names)))
 
 
-def impact(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
-    """(project, version, node, hops): seeds that exist and everything within ``radius`` undirected steps of them."""
+def impact(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, radius: int, known: bool = False) -> DataFrame:
+    """(project, version, node, hops): seeds that exist and everything within ``radius`` undirected steps of them. Seeds that are ``known`` are nodes, each once."""
     keys = ["project", "version"]
     ways = (F.struct(F.col(a).alias("node"), F.col(b).alias("to")) for a, b in (("src", "dst"), ("dst", "src")))
     both = edges.select(*keys, F.explode(F.array(*ways)).alias("way")).select(*keys, "way.*")  # one reading of the edges
     if radius > 1:
         both = lineage.cut(both.distinct())
-    reached = seeds.select(*keys, "node").distinct().join(nodes.select(*keys, "node").distinct(), [*keys, "node"]).withColumn("hops", F.lit(0))
-    front = reached = lineage.cut(reached) if radius > 0 else reached
+    reached = seeds.select(*keys, "node")
+    reached = (reached if known else reached.distinct().join(nodes.select(*keys, "node").distinct(), [*keys, "node"])).withColumn("hops", F.lit(0))
+    front = reached = lineage.cut(reached) if radius > 0 and not known else reached
     for hop in range(1, radius + 1):
-        step = front.join(both, [*keys, "node"]).select(*keys, F.col("to").alias("node")).distinct()
-        front = step.join(reached, [*keys, "node"], "left_anti").withColumn("hops", F.lit(hop))
-        front = lineage.cut(front) if hop < radius else front
+        step = front.join(both, [*keys, "node"]).select(*keys, F.col("to").alias("node"), F.lit(hop).alias("hops"))
+        if hop == radius:
+            return reached.unionByName(step).groupBy(*keys, "node").agg(F.min("hops").alias("hops"))
+        front = lineage.cut(step.distinct().join(reached, [*keys, "node"], "left_anti"))
         reached = reached.unionByName(front)
     return reached
 

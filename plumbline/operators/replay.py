@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import gate, graph
+from plumbline.operators import runs as spans
 from plumbline.sources import lineage
 
 #: Reasons after which everything counts as affected.
@@ -14,16 +15,15 @@ WHOLE = ("first version", "design changed", "always")
 DELTAS = ("added_nodes", "removed_nodes", "changed_nodes", "added_edges", "removed_edges")
 
 
-def impact_sizes(nodes: DataFrame, edges: DataFrame, radius: int = 1, moved: DataFrame | None = None) -> DataFrame:
-    """(project, version, touched_impact, all_nodes): nodes within ``radius`` steps of what the step to a version touched, and all its nodes."""
-    moved = graph.diff_nodes(nodes) if moved is None else moved
-    touched = moved.where("change <> 'unchanged'").select("project", "version", "node")
+def impact_sizes(nodes: DataFrame, edges: DataFrame, radius: int, moved: DataFrame, counted: DataFrame) -> DataFrame:
+    """(project, version, touched_impact, all_nodes): nodes within ``radius`` steps of what the step to a version touched, and all its nodes, which ``counted`` has."""
+    touched = moved.where("change <> 'removed'").select("project", "version", "node")  # nodes of the version, each once
     keys, sized = ["project", "version"], "tokens" in nodes.columns
-    near = graph.impact(edges, nodes, touched, radius)
+    near = graph.impact(edges, nodes, touched, radius, known=True)
     near = near.join(nodes.select(*keys, "node", "tokens"), [*keys, "node"]) if sized else near
     amount = lambda name: [F.sum("tokens").alias(name)] if sized else []
     reached = near.groupBy(*keys).agg(F.count("*").alias("touched_impact"), *amount("touched_tokens"))
-    whole = nodes.groupBy(*keys).agg(F.countDistinct("node").alias("all_nodes"), *amount("all_tokens"))
+    whole = counted.join(nodes.groupBy(*keys).agg(*amount("all_tokens")), keys) if sized else counted.where("all_nodes > 0")
     return whole.join(reached, keys, "left").fillna(0, ["touched_impact", *(["touched_tokens"] if sized else [])])
 
 
@@ -31,8 +31,9 @@ ANALYSIS = ("convergences", "divergences", "absences", "findings_hash", "score",
 
 
 def run_rows(
-    snapshots: DataFrame, nodes: DataFrame, edges: DataFrame, settings: dict | None = None, radius: int = 1, strategies: tuple[str, ...] = gate.STRATEGIES, analysis: DataFrame | None = None
-) -> DataFrame:
+    snapshots: DataFrame, nodes: DataFrame, edges: DataFrame, settings: dict | None = None, radius: int = 1, strategies: tuple[str, ...] = gate.STRATEGIES, analysis: DataFrame | None = None,
+    runs: dict | None = None,
+) -> DataFrame:
     """One row per (project, version, gate_strategy): decision, sizes of the delta and of the impact, tokens and settings.
 
     snapshots(project, version, text_hash, structure_hash[, design_hash, isomorphic, tokens]). A version without one
@@ -40,12 +41,14 @@ def run_rows(
     Where nodes have ``tokens``, ``counterfactual_prompt_tokens`` is what a run would have sent: nothing if reused, the nodes
     of its impact, or all nodes where everything counts as affected or nothing was touched. ``analysis`` adds those of
     ``ANALYSIS`` that it has, by project and version: reflexion counts, fingerprint, score, call resolution.
-    The diff is worked out once, for the delta and for the impact. Nodes and edges are read several times: give tables, not what is yet to be derived.
+    The diff is worked out once, for the delta and for the impact; ``runs`` has ``nodes`` and ``edges`` as runs of versions (``runs.node_runs``) where these are at hand.
+    Edges are read twice, and nodes that have tokens three times: give tables, not what is yet to be derived.
     """
     keys = ["project", "version"]
-    moved = lineage.cut(graph.diff_nodes(nodes, versions=snapshots).where("change <> 'unchanged'"))
-    sizes = impact_sizes(nodes, edges, radius, moved)
-    counts = graph.delta_counts(nodes, edges, snapshots, moved).select(*keys, *DELTAS, F.col("edit_distance").alias("delta_size"))
+    runs = runs or {"nodes": lineage.cut(spans.node_runs(nodes, snapshots)), "edges": spans.edge_runs(edges, snapshots)}
+    moved = spans.steps(runs["nodes"], "node")
+    sizes = impact_sizes(nodes, edges, radius, moved, spans.sizes(runs["nodes"], snapshots, "all_nodes"))
+    counts = graph.delta_counts(nodes, edges, snapshots, moved, spans.steps(runs["edges"], "src", "dst")).select(*keys, *DELTAS, F.col("edit_distance").alias("delta_size"))
     rows = lineage.cut(snapshots.join(counts, keys, "left").join(sizes, keys, "left"))  # one row a version, read several times
     decided = gate.decide(rows, strategies)
     extra = [F.col("tokens")] if "tokens" in snapshots.columns else [F.lit(None).cast("bigint").alias("tokens")]

@@ -18,43 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import gate, graph, replay
+from plumbline.operators.runs import EDGE, KEYS, NODE, digest, edge_intervals, edge_runs, intervals, node_intervals, node_runs, sizes
 from plumbline.sources import lineage
 
-KEYS = ("project", "version")
-NODE, EDGE = ("node",), ("src", "dst")
-
-
-def digest(*columns: str) -> Column:
-    """A value that is equal just for equal columns, NULLs included."""
-    return F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
-
-
-def intervals(rows: DataFrame, versions: DataFrame, *key: str) -> DataFrame:
-    """(project, key, digest, valid_from, valid_to) of rows(project, version, key, digest[, since]).
-
-    ``versions`` lists every version of a project, empty ones too. ``since`` is what a row that goes on from an earlier interval is valid from.
-    """
-    order = Window.partitionBy("project").orderBy("version")
-    placed = lineage.cut(versions.select(*KEYS).distinct().withColumns({"ord": F.row_number().over(order), "next": F.lead("version").over(order)}))  # its size is known then: a small one is broadcast
-    since = F.coalesce("since", "version") if "since" in rows.columns else F.col("version")
-    rows = rows.select(*KEYS, *key, "digest", since.alias("since")).dropDuplicates([*KEYS, *key]).join(placed, list(KEYS))
-    line = Window.partitionBy("project", *key).orderBy("ord")
-    goes_on = (F.lag("ord").over(line) == F.col("ord") - 1) & F.lag("digest").over(line).eqNullSafe(F.col("digest"))
-    rows = rows.withColumn("starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("run", F.sum("starts").over(line))
-    found = rows.groupBy("project", *key, "run").agg(F.first("digest").alias("digest"), F.min_by("since", "ord").alias("valid_from"), F.max_by(F.struct("next"), "ord")["next"].alias("valid_to"))
-    return found.drop("run")
-
-
-def node_intervals(nodes: DataFrame, versions: DataFrame, tracked: tuple[str, ...] = graph.TRACKED) -> DataFrame:
-    since = ("since",) if "since" in nodes.columns else ()
-    return intervals(nodes.select(*KEYS, "node", digest(*graph.tracked_in(nodes, tracked)).alias("digest"), *since), versions, *NODE)
-
-
-def edge_intervals(edges: DataFrame, versions: DataFrame) -> DataFrame:
-    since = ("since",) if "since" in edges.columns else ()
-    return intervals(edges.select(*KEYS, "src", "dst", F.lit(0).cast("bigint").alias("digest"), *since), versions, *EDGE)
-
+__all__ = ["SnapshotStore", "covers", "diff", "edge_intervals", "intervals", "node_intervals"]
 
 def covers(version: int) -> Column:
     return (F.col("valid_from") <= version) & (F.col("valid_to").isNull() | (F.col("valid_to") > version))
@@ -138,7 +105,7 @@ class SnapshotStore:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _write(self, table: DataFrame, name: str, batch: int, *by: str) -> None:
-        writer = (table.repartition(*by) if by else table).write.mode("overwrite")
+        writer = (table.hint("rebalance", *by) if by else table).write.mode("overwrite")  # a bucket of many rows is written by several tasks
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{name}/batch={batch}")
 
     def append(self, nodes: DataFrame, edges: DataFrame, snapshots: DataFrame, batch: int, number: bool = False) -> DataFrame:
@@ -158,30 +125,28 @@ class SnapshotStore:
         fresh = {p: t.drop("bucket").join(numbers, list(KEYS)).drop("version").withColumnRenamed("stored", "version") for p, t in given.items()}
         late = given["snapshots"].join(numbers, list(KEYS), "left_anti").select(*KEYS)
         held = {p: had[p].join(last, "project").withColumnRenamed("last", "version") for p in ("nodes", "edges")} | {"snapshots": had["snapshots"]}
-        every = {p: lineage.cut(held[p].unionByName(fresh[p], allowMissingColumns=True)) for p in given}
+        every = {p: held[p].unionByName(fresh[p], allowMissingColumns=True) for p in given}
+        every |= {p: lineage.cut(every[p]) for p in ("snapshots", "edges")}  # read more than once
         stored = fresh["snapshots"].select(*KEYS)
-        runs = replay.run_rows(every["snapshots"], every["nodes"], every["edges"], radius=self.radius, strategies=self.strategies)
-        runs = lineage.cut(runs.join(stored, list(KEYS), "left_semi"))
         versions = every["snapshots"].select(*KEYS)
-        found = {p: lineage.cut(t) for p, t in (("nodes", node_intervals(every["nodes"], versions)), ("edges", edge_intervals(every["edges"], versions)))}
-        for part, key in (("nodes", NODE), ("edges", EDGE)):
-            self._write(found[part].where("valid_to IS NOT NULL"), f"closed_{part}", batch)
-            now = versions.groupBy("project").agg(F.max("version").alias("version"))
-            open_ = every[part].drop("since").join(now, list(KEYS)).drop("version").dropDuplicates(["project", *key])
-            since = found[part].where("valid_to IS NULL").select("project", *key, F.col("valid_from").alias("since"))
-            self._write(self._bucket(open_.join(since, ["project", *key])), f"open_{part}", batch, "bucket")
+        found = {"nodes": lineage.cut(node_runs(every["nodes"], versions, kept=("kind", "signature"))), "edges": lineage.cut(edge_runs(every["edges"], versions, kept=("relation",)))}
+        runs = replay.run_rows(every["snapshots"], every["nodes"], every["edges"], radius=self.radius, strategies=self.strategies, runs=found)
+        runs = lineage.cut(runs.join(stored, list(KEYS), "left_semi"))
+        for part, key, kept in (("nodes", NODE, ("kind", "signature")), ("edges", EDGE, ("relation",))):
+            self._write(found[part].where("valid_to IS NOT NULL").select("project", *key, "digest", "valid_from", "valid_to"), f"closed_{part}", batch)
+            self._write(self._bucket(found[part].where("valid_to IS NULL").select("project", *key, *kept, F.col("valid_from").alias("since"))), f"open_{part}", batch, "bucket")
         newest = Window.partitionBy("project").orderBy(F.desc("version"))
         self._write(self._bucket(every["snapshots"].withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k")), "open_snapshots", batch, "bucket")
-        self._write(self._index(every, stored), "versions", batch)
+        self._write(self._index(every["snapshots"], found, stored), "versions", batch)
         self._write(late, "late", batch)
         self._write(runs, "runs", batch)
         self._write(given["snapshots"].select("bucket").distinct(), "touched", batch)  # last: with it the batch is there
         return runs
 
-    def _index(self, every: dict, stored: DataFrame) -> DataFrame:
-        sizes = [every[p].groupBy(*KEYS).agg(F.countDistinct(*key).alias(n)) for p, key, n in (("nodes", NODE, "node_count"), ("edges", EDGE, "edge_count"))]
+    def _index(self, snapshots: DataFrame, found: dict, stored: DataFrame) -> DataFrame:
+        counts = [sizes(found[p], snapshots, n) for p, n in (("nodes", "node_count"), ("edges", "edge_count"))]
         parent = F.lag("version").over(Window.partitionBy("project").orderBy("version"))
-        rows = reduce(lambda t, s: t.join(s, list(KEYS), "left"), sizes, every["snapshots"].withColumn("parent_version", parent))
+        rows = reduce(lambda t, s: t.join(s, list(KEYS), "left"), counts, snapshots.withColumn("parent_version", parent))
         rows = rows.join(stored, list(KEYS), "left_semi")
         return rows.select(*KEYS, "parent_version", "text_hash", "structure_hash", "design_hash", "score", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("node_count", "edge_count")))
 
