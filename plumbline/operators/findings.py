@@ -40,28 +40,40 @@ def _named(table: DataFrame) -> DataFrame:
     return table.where(~((F.col("member_kind") == "method") & made))
 
 
-def over_versions(design: DataFrame, code: DataFrame, versions: DataFrame) -> DataFrame:
+def present(code: DataFrame, versions: DataFrame) -> DataFrame:
+    """(project, element, valid_from, valid_to): the versions in which the code has an element, as a table."""
+    none = F.lit(0).cast("bigint").alias("digest")
+    return lineage.cut(snapshots.intervals(code.select("project", "version", *_E, none), versions, *_E).drop("digest"))
+
+
+def over_versions(design: DataFrame, code: DataFrame, versions: DataFrame, there: DataFrame | None = None) -> DataFrame:
     """(project, kind, element, member_kind, member, valid_from, valid_to) of every finding.
 
     design(project, element, member_kind, member) stands for all versions; code has ``version`` as well; a NULL member only says
-    that the element is there. ``versions`` lists (project, version), empty ones too.
+    that the element is there. ``versions`` lists (project, version), empty ones too. ``there`` is ``present``'s result where it is at hand.
     """
-    none = F.lit(0).cast("bigint").alias("digest")
-    there = lineage.cut(snapshots.intervals(code.select("project", "version", *_E, none), versions, *_E).drop("digest"))
-    members = lineage.cut(snapshots.intervals(code.where("member IS NOT NULL").select("project", "version", *_M, none), versions, *_M).drop("digest"))
+    none = F.lit(0).cast("bigint")
+    there = present(code, versions) if there is None else there
+    members = snapshots.intervals(code.where("member IS NOT NULL").select("project", "version", *_M, none.alias("digest")), versions, *_M).drop("digest")
+    # members and the design meet in one shuffle by element: is the element designed, is the member
+    marks = design.select("project", *_M, *(F.lit(None).cast(members.schema[c].dataType).alias(c) for c in ("valid_from", "valid_to")), F.lit(True).alias("designed"))
+    members = members.withColumn("designed", F.lit(False)).unionByName(marks).where("project IS NOT NULL AND element IS NOT NULL").repartition("project", *_E)
+    known = F.col("designed") & F.col("member_kind").isNotNull() & F.col("member").isNotNull()
+    members = members.withColumns({"wanted": F.max("designed").over(Window.partitionBy("project", *_E)), "listed": F.max(known).over(Window.partitionBy("project", *_M))})
+    members = lineage.cut(members.where("wanted AND NOT designed").drop("wanted", "designed"))
     wanted, listed = design.select("project", *_E).distinct(), design.where("member IS NOT NULL").select("project", *_M).distinct()
     first = versions.groupBy("project").agg(F.min("version").alias("version"))
     blank = [F.lit(None).cast("string").alias(c) for c in ("member_kind", "member")]
     extra = there.join(wanted, ["project", *_E], "left_anti").select("project", F.lit("extra_class").alias("kind"), "element", *blank, "valid_from", "valid_to")
     here = wanted.join(first, "project").withColumn("step", F.lit(0)).unionByName(_edges(there.join(wanted, ["project", *_E], "left_semi"), *_E))
-    states = here.groupBy("project", *_E, "version").agg(F.sum("step").alias("step"))
+    states = here.repartition("project", *_E).groupBy("project", *_E, "version").agg(F.sum("step").alias("step"))
     on = F.sum("step").over(Window.partitionBy("project", *_E).orderBy("version"))
     missing = _spells(states.withColumn("on", on), F.col("on") == 0, *_E).where("state").select("project", F.lit("missing_class").alias("kind"), "element", *blank, "valid_from", "valid_to")
-    beyond = _named(members.join(wanted, ["project", *_E], "left_semi").join(listed, ["project", *_M], "left_anti"))
+    beyond = _named(members.where("NOT listed"))
     beyond = beyond.select("project", F.lit("extra_member").alias("kind"), *_M, "valid_from", "valid_to")
     both = _edges(there, *_E).join(listed, ["project", *_E]).select("project", *_M, "version", F.col("step").alias("e"), F.lit(0).alias("m"))
-    both = both.unionByName(_edges(members.join(listed, ["project", *_M], "left_semi"), *_M).select("project", *_M, "version", F.lit(0).alias("e"), F.col("step").alias("m")))
-    sums = both.groupBy("project", *_M, "version").agg(F.sum("e").alias("e"), F.sum("m").alias("m"))
+    both = both.unionByName(_edges(members.where("listed"), *_M).select("project", *_M, "version", F.lit(0).alias("e"), F.col("step").alias("m")))
+    sums = both.repartition("project", *_M).groupBy("project", *_M, "version").agg(F.sum("e").alias("e"), F.sum("m").alias("m"))
     line = Window.partitionBy("project", *_M).orderBy("version")
     sums = sums.withColumns({"e": F.sum("e").over(line), "m": F.sum("m").over(line)})
     lacking = _spells(sums, (F.col("e") > 0) & (F.col("m") == 0), *_M).where("state").select("project", F.lit("missing_member").alias("kind"), *_M, "valid_from", "valid_to")
@@ -72,11 +84,10 @@ def _finding(salt: int) -> Column:
     return F.xxhash64(F.lit(salt), "kind", "element", F.coalesce("member_kind", F.lit("")), F.coalesce("member", F.lit("")))
 
 
-def per_version(findings: DataFrame, design: DataFrame, code: DataFrame, versions: DataFrame) -> DataFrame:
+def per_version(findings: DataFrame, design: DataFrame, code: DataFrame, versions: DataFrame, there: DataFrame | None = None) -> DataFrame:
     """(project, version, counts of each kind, checks, passed, score, divergences, absences, and a fingerprint of each field's findings)."""
-    none = F.lit(0).cast("bigint").alias("digest")
     weight = design.groupBy("project", "element").agg(F.count("member").alias("checks"))
-    there = snapshots.intervals(code.select("project", "version", *_E, none), versions, *_E).join(weight, ["project", *_E])
+    there = (present(code, versions) if there is None else there).join(weight, ["project", *_E])
     checks = _edges(there, "element", "checks").groupBy("project", "version").agg(F.sum(F.col("step") * F.col("checks")).alias("member_checks"))
     elements = weight.groupBy("project").agg(F.count("*").alias("class_checks"))
     steps = _edges(findings, "kind", "element", "member_kind", "member")

@@ -440,25 +440,26 @@ def _history(spark, sf_dir):
     design = lineage.cut(load(spark, sf_dir, "members").where("side = 'design'").select("project", "element", "member_kind", "member"))
     code = lineage.cut(load(spark, sf_dir, "code_history"))
     versions = lineage.cut(code.select("project", "version").distinct())
-    return design, code, versions, lineage.cut(findings.over_versions(design, code, versions))
+    there = findings.present(code, versions)
+    return design, code, versions, lineage.cut(findings.over_versions(design, code, versions, there)), there
 
 
 @query("d05_findings_by_delta")
 def d05_delta(spark, sf_dir):
-    design, code, versions, found = _history(spark, sf_dir)
-    return tidy(findings.per_version(found, design, code, versions).drop("missing_classes", "extra_classes", "element_differences"))
+    design, code, versions, found, there = _history(spark, sf_dir)
+    return tidy(findings.per_version(found, design, code, versions, there).drop("missing_classes", "extra_classes", "element_differences"))
 
 
 @query("d05_element_statuses")
 def d05_statuses(spark, sf_dir):
-    design, _, versions, found = _history(spark, sf_dir)
+    design, _, versions, found, _ = _history(spark, sf_dir)
     return findings.statuses(found, design, versions)
 
 
 @query("d05_replay_from_facts")
 def d05_facts(spark, sf_dir):
-    design, code, versions, found = _history(spark, sf_dir)
-    truth = findings.per_version(found, design, code, versions)
+    design, code, versions, found, there = _history(spark, sf_dir)
+    truth = findings.per_version(found, design, code, versions, there)
     seen = code.groupBy("project", "version").agg(F.count_if(F.col("member_kind") == "method").cast("string").alias("structure_hash"), F.count("*").cast("string").alias("text_hash"))
     some = truth.join(seen, ["project", "version"]).withColumn("structure_hash", F.when(F.col("version") % 3 == 0, F.lit("same")).otherwise(F.col("structure_hash")))
     return replay.replay(some.withColumn("design_hash", F.lit("d")), findings.FIELDS)
@@ -468,8 +469,8 @@ def d05_facts(spark, sf_dir):
 def d04_analysis(spark, sf_dir):
     nodes, edges = lineage.cut(load(spark, sf_dir, "snap_nodes")), lineage.cut(load(spark, sf_dir, "snap_edges").select("project", "version", "src", "dst"))
     nodes = nodes.withColumn("tokens", F.length("node"))
-    design, code, versions, found = _history(spark, sf_dir)
-    truth = findings.per_version(found, design, code, versions).withColumn("version", F.col("version") - 3)
+    design, code, versions, found, there = _history(spark, sf_dir)
+    truth = findings.per_version(found, design, code, versions, there).withColumn("version", F.col("version") - 3)
     snaps = nodes.select("project", "version").distinct().withColumns({"text_hash": F.lit("t"), "structure_hash": F.lit("s"), "design_hash": F.floor(F.col("version") / 4).cast("string")})
     return tidy(replay.run_rows(snaps, nodes, edges, analysis=truth).drop("prompt_tokens"))
 
